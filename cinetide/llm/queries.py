@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import decontaminate, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secrets": secrets.op5,
     "op9_sharding": sharding.op9,
+    "op10_decontamination": decontaminate.op10,
 }
 ORACLES: dict[str, str] = {}
