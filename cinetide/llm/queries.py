@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, secrets, sharding, substrings
+from . import decontaminate, neardup, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": substrings.op3,
     "op5_secrets": secrets.op5,
+    "op7_neardup": neardup.op7,
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
 }
