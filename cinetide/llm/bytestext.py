@@ -79,6 +79,15 @@ class Words:
         self.first = np.searchsorted(self.starts, offs)
         self._hash: dict[int, np.ndarray] = {}
 
+    @classmethod
+    def cut(cls, buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> Words:
+        """Segments of the texts: one from each start to the next; every non-empty text has a start at its first byte."""
+        out = cls.__new__(cls)
+        out.buf, out.offs, out._hash = buf, offs, {}
+        out.starts, out.ends = starts, np.r_[starts[1:], len(buf)]
+        out.first = np.searchsorted(starts, offs)
+        return out
+
     def __len__(self) -> int:
         return len(self.starts)
 

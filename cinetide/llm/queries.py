@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, secrets, sharding, substrings
+from . import decontaminate, licences, media, neardup, pieces, secrets, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pieces": pieces.op2,
     "op3_substrings": substrings.op3,
     "op5_secrets": secrets.op5,
+    "op6_media": media.op6,
     "op7_neardup": neardup.op7,
+    "op8_licences": licences.op8,
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_licences": licences.ORACLE_SQL}
