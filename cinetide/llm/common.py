@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if its rows were counted and are at most this many.
-BROADCAST_ROWS = 100_000
+#: Groups that a training sample is drawn from, the largest first.
+GROUPS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +41,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3: rows that no training sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def hashed_sample(rows: DataFrame, by: str, most: int | dict) -> list[Row]:
+    """At most `most` rows of each value of a column: those with the smallest hash of doc_id.
+
+    The groups are counted, about twice as many rows as wanted are fetched by a
+    bound on the hash, and the driver takes the smallest; so what it receives is
+    bounded by `most` and `GROUPS`, whatever the table's size.
+    """
+    limit = most if isinstance(most, dict) else None
+    chosen, span = F.lit(False), 1 << 40
+    wanted = {}
+    for value, n in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(GROUPS).collect():
+        wanted[value] = limit.get(value, 0) if limit is not None else most
+        share = min(1.0, (2 * wanted[value] + 50) / n)
+        chosen = chosen | ((F.col(by) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(share * span)))
+    found = rows.where(chosen).withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(span))).collect() if wanted else []
+    out, taken = [], dict.fromkeys(wanted, 0)
+    for r in sorted(found, key=lambda r: (r["_hash"], r["doc_id"])):
+        if taken[r[by]] < wanted[r[by]]:
+            taken[r[by]] += 1
+            out.append(r)
+    return out

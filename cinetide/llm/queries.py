@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, media, neardup, pieces, secrets, sharding, substrings
+from . import decontaminate, language, licences, media, neardup, pieces, secrets, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1,
     "op2_pieces": pieces.op2,
     "op3_substrings": substrings.op3,
+    "op4_language": language.op4,
     "op5_secrets": secrets.op5,
     "op6_media": media.op6,
     "op7_neardup": neardup.op7,
@@ -18,4 +20,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
 }
+#: For DuckDB; the other queries are tested against brute force, exact round trips or held-out rows.
 ORACLES: dict[str, str] = {"op8_licences": licences.ORACLE_SQL}

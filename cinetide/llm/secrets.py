@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import U64, Words, chunks
-from .common import table
+from .common import hashed_sample, table
 
 KINDS = ("assign", "access", "hex", "crf")
 _any_case = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)  # noqa: E731  no other letters fold into these
@@ -281,9 +281,9 @@ def fitted(texts: list[str]) -> Field:
 
 def train(docs: DataFrame) -> Field:
     """A field for the documents, from at most TRAIN_DOCS of them."""
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 20_000)).limit(2 * TRAIN_DOCS).collect() if ids else []
-    return fitted([r[1] for r in sorted(rows)])
+    ids = [r["doc_id"] for r in hashed_sample(docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("one")), "one", TRAIN_DOCS)]
+    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").collect() if ids else []
+    return fitted([text for _, text in sorted({r["doc_id"]: r["text"] or "" for r in rows}.items())])
 
 
 # ---- scanning ----
