@@ -1,0 +1,217 @@
+"""Tiles, inference and the frame pipeline.
+
+The upscaling kernel is a parameter: any function of (n, 3, T, T) float arrays to
+(n, 3, 4T, 4T).  The built-in one is bilinear; `onnx_kernel` runs a model file
+that is sent with SparkContext.addFile, loaded once per worker.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from cinetide.functions import pixels
+from cinetide.functions.scalars import OVERLAP
+from cinetide.schemas import FRAMES
+
+SCALE = 4
+Kernel = Callable[[np.ndarray], np.ndarray]
+
+
+def tile_grid(df: DataFrame, width: str = "width", height: str = "height", tile: int | Column = 128) -> DataFrame:
+    """A row per tile: (tile_x, tile_y), the valid rectangle [x0, x1) x [y0, y1) and the input's origin."""
+    tile = F.lit(tile) if isinstance(tile, int) else tile
+    step = tile - 2 * OVERLAP
+    at = lambda size: F.explode(F.sequence(F.lit(0), F.col(size) - 1, step))
+    rows = df.where((F.col(width) > 0) & (F.col(height) > 0)).select("*", at(width).alias("x0")).select("*", at(height).alias("y0"))
+    origin = lambda start, size: F.least(F.greatest(F.col(start) - OVERLAP, F.lit(0)), F.greatest(F.col(size) - tile, F.lit(0)))
+    return rows.withColumns(
+        {
+            "x1": F.least(F.col("x0") + step, F.col(width)), "y1": F.least(F.col("y0") + step, F.col(height)),
+            "origin_x": origin("x0", width), "origin_y": origin("y0", height),
+        }
+    )
+
+
+def extracted(rgb: np.ndarray, x: int, y: int, tile: int) -> np.ndarray:
+    """A tile's samples; coordinates outside of the frame repeat its edge."""
+    rows = np.clip(np.arange(y, y + tile), 0, rgb.shape[0] - 1)
+    cols = np.clip(np.arange(x, x + tile), 0, rgb.shape[1] - 1)
+    return rgb[rows][:, cols]
+
+
+def bilinear_kernel(planes: np.ndarray) -> np.ndarray:
+    """J3's default: four times the size, sample centres aligned."""
+    n, c, h, w = planes.shape
+
+    def axis(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(size * SCALE) + 0.5) / SCALE - 0.5, 0, size - 1)
+        lo = at.astype(np.int64)
+        return lo, np.minimum(lo + 1, size - 1), (at - lo).astype(np.float32)
+
+    (y0, y1, fy), (x0, x1, fx) = axis(h), axis(w)
+    rows = planes[:, :, y0] * (1 - fy)[:, None] + planes[:, :, y1] * fy[:, None]
+    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
+
+
+def checked(kernel: Kernel, tile: int) -> Kernel:
+    """A warm-up run whose shape must be four times the tile."""
+    shape = kernel(np.zeros((1, 3, tile, tile), np.float32)).shape
+    if shape != (1, 3, SCALE * tile, SCALE * tile):
+        raise ValueError(f"the kernel gives {shape} for tiles of {tile}")
+    return kernel
+
+
+_sessions: dict[str, object] = {}
+
+
+def onnx_kernel(name: str) -> Kernel:
+    """A model file added to the session under `name`; CPU provider."""
+
+    def run(planes: np.ndarray) -> np.ndarray:
+        import onnxruntime
+        from pyspark import SparkFiles
+
+        if name not in _sessions:
+            _sessions[name] = onnxruntime.InferenceSession(SparkFiles.get(name), providers=["CPUExecutionProvider"])
+        session = _sessions[name]
+        return session.run(None, {session.get_inputs()[0].name: planes})[0]
+
+    return run
+
+
+def upscaled(rgb: np.ndarray, kernel: Kernel, tile: int = 128) -> np.ndarray:
+    """All tiles of a frame through the kernel, their valid parts put together."""
+    h, w, _ = rgb.shape
+    step = tile - 2 * OVERLAP
+    out = np.empty((h * SCALE, w * SCALE, 3), np.uint8)
+    for y in range(0, h, step):
+        for x in range(0, w, step):
+            ox, oy = (min(max(v - OVERLAP, 0), max(size - tile, 0)) for v, size in ((x, w), (y, h)))
+            big = pixels.planes_to_rgb(kernel(pixels.rgb_to_planes(extracted(rgb, ox, oy, tile))[None])[0])
+            x1, y1 = min(x + step, w), min(y + step, h)
+            part = big[(y - oy) * SCALE : (y1 - oy) * SCALE, (x - ox) * SCALE : (x1 - ox) * SCALE]
+            out[y * SCALE : y1 * SCALE, x * SCALE : x1 * SCALE] = part
+    return out
+
+
+def inferred(frames: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, passes: int = 1, natural: float = 0.0, pre2: bool = False) -> DataFrame:
+    """Frames through one or two passes and, if natural > 0, the faithful blend (K3); adds the source as `source`.
+
+    Frames are independent, so this needs no shuffle; a batch's tiles never leave its task.
+    pre2: doubles small frames first and halves the result, for high natural values.
+    """
+    schema = FRAMES + ", source binary"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = checked(kernel, tile)
+        for batch in batches:
+            cols = [batch.column(c) for c in ("video_id", "frame_idx", "pts_us")]
+            widths, heights, datas = [], [], []
+            for px, w, h in zip(batch.column("px"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
+                source = pixels.frame(px.as_py(), w, h)
+                out = pixels.bilinear(source, 2 * w, 2 * h) if pre2 else source
+                for _ in range(passes):
+                    out = upscaled(out, own, tile)
+                if pre2:
+                    out = pixels.bilinear(out, out.shape[1] // 2, out.shape[0] // 2)
+                out = pixels.faithful(out, source, natural)
+                widths.append(out.shape[1])
+                heights.append(out.shape[0])
+                datas.append(out.tobytes())
+            arrays = [*cols, pa.array(widths, pa.int32()), pa.array(heights, pa.int32()), pa.array(datas, pa.binary()), batch.column("px")]
+            yield pa.RecordBatch.from_arrays(arrays, ["video_id", "frame_idx", "pts_us", "width", "height", "px", "source"])
+
+    return frames.mapInArrow(run, schema)
+
+
+def stabilised(frames: DataFrame, segments: DataFrame, strength: float = 0.5, method: str = "device") -> DataFrame:
+    """The recursive filter along each scene; state is the previous output, and a cut begins anew.
+
+    frames: inferred() frames; segments: (video_id, frame_idx, segment, width, height of the source).
+    Sorted partitions are streamed, so a task holds one frame of state.
+    method: "device" for G4, "motion" for G5.
+    """
+    rows = frames.join(segments.select("video_id", "frame_idx", "segment", F.col("width").alias("sw"), F.col("height").alias("sh")), ["video_id", "frame_idx"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = last_source = None
+        for batch in batches:
+            out = []
+            names = ("video_id", "segment", "width", "height", "sw", "sh", "px", "source")
+            for video, segment, w, h, sw, sh, px, raw in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                now, source = pixels.frame(px, w, h), pixels.frame(raw, sw, sh)
+                if (video, segment) != key:
+                    key, last, last_source = (video, segment), None, None
+                if method == "motion":
+                    state = pixels.compensated(now, last, source, last_source)
+                    shown = np.clip(np.rint(state), 0, 255).astype(np.uint8)
+                else:
+                    state = shown = pixels.stabilised(now, last, source, last_source, strength)
+                last, last_source = state, source
+                out.append(shown.tobytes())
+            arrays = [batch.column(c) for c in ("video_id", "frame_idx", "pts_us", "width", "height")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+
+    return rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx").mapInArrow(run, FRAMES)
+
+
+def rendered(frames: DataFrame, colour: str = "OFF", sharpen: float = 0.0, size: tuple[int, int] | None = None) -> DataFrame:
+    """K6, K7: graded, sharpened and brought to an exact size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outs = []
+            for px, w, h in zip(batch.column("px").to_pylist(), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
+                x = pixels.rendered(pixels.frame(px, w, h), colour, sharpen)
+                outs.append(x if size is None else pixels.bilinear(x, *size))
+            arrays = [*(batch.column(c) for c in ("video_id", "frame_idx", "pts_us")), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in outs], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+
+    return frames.select("video_id", "frame_idx", "pts_us", "width", "height", "px").mapInArrow(run, FRAMES)
+
+
+def cropped(frames: DataFrame, size: int = 96) -> DataFrame:
+    """A5: the centred square of at most `size` pixels."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            outs = []
+            for px, w, h in zip(batch.column("px").to_pylist(), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
+                cw, ch = min(size, w), min(size, h)
+                x, y = (w - cw) // 2, (h - ch) // 2
+                outs.append(pixels.frame(px, w, h)[y : y + ch, x : x + cw])
+            arrays = [*(batch.column(c) for c in ("video_id", "frame_idx", "pts_us")), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in outs], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+
+    return frames.select("video_id", "frame_idx", "pts_us", "width", "height", "px").mapInArrow(run, FRAMES)
+
+
+def blended_weights(a: DataFrame, b: DataFrame, share: float = 0.5) -> DataFrame:
+    """Tensors (name, values) interpolated element by element."""
+    other = b.select("name", F.col("values").alias("other"))
+    mixed = F.zip_with("values", "other", lambda x, y: (x * F.lit(share) + y * F.lit(1 - share)).cast("float"))
+    return a.join(other, "name").select("name", mixed.alias("values"))
+
+
+def architecture(names: DataFrame, name: str = "name") -> DataFrame:
+    """The number of convolutions, from the last layer's number in tensor names like body.<n>.weight."""
+    last = F.max(F.split_part(F.col(name), F.lit("."), F.lit(2)).try_cast("int"))
+    return names.agg(F.floor((last - 2) / 2).cast("int").alias("num_conv"))
+
+
+def processed(frames: DataFrame, analysis: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, strength: float = 0.5, natural: float = 1.0, skip: bool = True) -> DataFrame:
+    """The whole of it: inference on roots, results shared with duplicates, temporal filter, in order."""
+    from . import frames as fr
+
+    source = fr.only_roots(frames, analysis) if skip else frames
+    results = inferred(source, kernel, tile, natural=natural)
+    if skip:
+        sizes = ("width", "height")
+        back = results.select("video_id", F.col("frame_idx").alias("root"), *sizes, "px", "source")
+        results = analysis.select("video_id", "frame_idx", "pts_us", "root").join(back, ["video_id", "root"]).select("video_id", "frame_idx", "pts_us", *sizes, "px", "source")
+    return stabilised(results, analysis, strength)

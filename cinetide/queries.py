@@ -1,0 +1,632 @@
+"""The media operators as queries on the driver's tables, each with its SQL for DuckDB.
+
+The tables hold no video: each query runs an operator on rows of the same shape
+(a user's events as frames, parts as clips, suppliers as backends).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cinetide.functions import scalars as S
+from cinetide.operators import control, folds, frames, tiles
+from cinetide.plans import planner
+from cinetide.sources import video
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# ---- frames ----
+
+
+@query("""
+with d as (select label, vec_id, embedding as a, lag(embedding) over (partition by label order by vec_id) as b from embeddings)
+select cast(label as bigint) as label, vec_id,
+  round(coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda i: abs(cast(a[i] as double) - cast(b[i] as double)))) / len(a), 255.0), 6) as diff from d""")
+def mean_abs_diff(spark, sf):
+    rows = frames.with_diff(read(spark, sf, "embeddings"), ["label"], "vec_id", "embedding")
+    return rows.select(F.col("label").cast("long"), "vec_id", F.round("diff", 6).alias("diff"))
+
+
+def _event_frames(spark, sf, duplicate=2.0, cut=40.0):
+    """A user's events as frames: the difference is that of their values."""
+    rows = read(spark, sf, "events").select("user_id", "event_id", "value")
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = rows.withColumn("diff", F.coalesce(F.round(F.abs(F.col("value") - before), 4), F.lit(frames.FIRST)))
+    rows = frames.with_flags(rows, "diff", duplicate, cut)
+    return frames.with_segments(frames.with_runs(rows, ["user_id"], "event_id"), ["user_id"], "event_id")
+
+
+_EVENT_FRAMES = """
+with a as (select user_id, event_id, value, coalesce(round(abs(value - lag(value) over w), 4), 255.0) as diff from events window w as (partition by user_id order by event_id)),
+f as (select *, diff <> 255.0 and diff < 2.0 as is_dup, diff = 255.0 or diff > 40.0 as is_cut from a),
+r as (select *, last_value(case when not is_dup then event_id end ignore nulls) over w as root, sum(case when is_dup then 0 else 1 end) over w as run,
+  sum(case when is_cut then 1 else 0 end) over w as segment from f window w as (partition by user_id order by event_id rows unbounded preceding))
+"""
+
+
+@query(_EVENT_FRAMES + "select user_id, event_id, is_dup, root, cast(run as bigint) as run from r")
+def dup_runs(spark, sf):
+    return _event_frames(spark, sf).select("user_id", "event_id", "is_dup", "root", "run")
+
+
+@query(_EVENT_FRAMES + "select user_id, segment, cast(count(*) as bigint) as frames, min(event_id) as first from (select user_id, cast(segment as bigint) as segment, event_id from r) group by 1, 2")
+def scene_segments(spark, sf):
+    rows = _event_frames(spark, sf).withColumn("segment", F.col("segment").cast("long"))
+    return rows.groupBy("user_id", "segment").agg(F.count("*").alias("frames"), F.min("event_id").alias("first"))
+
+
+@query(_EVENT_FRAMES + "select r.user_id, r.event_id, r.is_dup, r.root, o.value as result from r join events o on r.root = o.event_id")
+def shared_results(spark, sf):
+    rows = _event_frames(spark, sf)
+    results = rows.where(~F.col("is_dup")).select("user_id", F.col("event_id").alias("root"), F.col("value").alias("result"))
+    return rows.select("user_id", "event_id", "is_dup", "root").join(results, ["user_id", "root"]).select("user_id", "event_id", "is_dup", "root", "result")
+
+
+@query(
+    _EVENT_FRAMES.replace("with a", "with recursive a")
+    + """, n as (select user_id, event_id, segment, cast(floor(value * 10) as bigint) as v, row_number() over (partition by user_id, segment order by event_id) as i from r),
+t as (select user_id, segment, event_id, i, v, v as filtered from n where i = 1
+  union all select n.user_id, n.segment, n.event_id, n.i, n.v,
+    case when abs(n.v - t.v) >= 24 then n.v else (n.v * (256 - (128 * (24 - abs(n.v - t.v))) // 24) + t.filtered * ((128 * (24 - abs(n.v - t.v))) // 24)) >> 8 end
+  from t join n on n.user_id = t.user_id and n.segment = t.segment and n.i = t.i + 1)
+select user_id, event_id, v as value, filtered from t"""
+)
+def temporal_filter(spark, sf):
+    rows = _event_frames(spark, sf).select("user_id", "segment", "event_id", F.floor(F.col("value") * 10).cast("long").alias("value"))
+    out = folds.folded(rows, ["user_id", "segment"], ["event_id"], ["value"], folds.iir(), "filtered", "bigint")
+    return out.select("user_id", "event_id", "value", "filtered")
+
+
+@query("""
+select user_id, round(list_reduce(list(value order by event_id), lambda a, x: a * 0.7 + x * 0.3, 3000.0), 6) as latency, cast(count(*) as bigint) as n
+from events where event_type <> 'error' group by user_id""")
+def ema_latency(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", "event_id", "value", (F.col("event_type") != "error").alias("ok"))
+    out = folds.folded(rows, ["user_id"], ["event_id"], ["value", "ok"], folds.ema(), "latency", "double")
+    return out.groupBy("user_id").agg(F.round(F.max_by("latency", "event_id"), 6).alias("latency"), F.count_if("ok").alias("n")).where("n > 0")
+
+
+@query("""
+with g as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by event_id rows unbounded preceding) as good from events)
+select user_id, event_id, cast(sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, good order by event_id rows unbounded preceding) as bigint) as failures from g""")
+def failure_runs(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", "event_id", "event_type")
+    return control.failure_runs(rows, ["user_id"], ["event_id"], F.col("event_type") == "error").select("user_id", "event_id", "failures")
+
+
+@query("""
+select l_orderkey, l_linenumber from (
+  select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, row_number() over (partition by l_orderkey order by l_linenumber) as n
+  from (select distinct l_orderkey, l_linenumber from lineitem where l_returnflag <> 'R')) where n = l_linenumber""")
+def reorder_prefix(spark, sf):
+    rows = read(spark, sf, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")).distinct()
+    return frames.reordered_prefix(rows, ["l_orderkey"], "l_linenumber", start=1)
+
+
+@query("select p_partkey, cast(p_partkey % 3 as bigint) as device from part")
+def round_robin(spark, sf):
+    return control.round_robin(read(spark, sf, "part"), "p_partkey", 3).select("p_partkey", F.col("device").cast("long").alias("device"))
+
+
+@query("""
+with e as (select user_id, event_id, event_id % 3 = 0 as is_key, cast(epoch_us(ts) as bigint) as us from events),
+s as (select user_id, event_id, is_key, us - min(us) over (partition by user_id) as pts from e),
+d as (select user_id, max(pts) // 1000 as duration_ms from s group by 1),
+p as (select user_id, share, cast(floor(duration_ms * 1000 * share) as bigint) as t from d, (values (0.15::double), (0.5::double), (0.85::double)) v(share)),
+c as (select p.user_id, share, pts, event_id, row_number() over (partition by p.user_id, share order by abs(pts - t), pts, event_id) as n from p join s on s.user_id = p.user_id and is_key)
+select user_id, share, event_id, pts as pts_us from c where n = 1""")
+def sample_points(spark, sf):
+    rows = read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 3 == 0).alias("is_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = rows.groupBy("user_id").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    clips = first.select(F.col("user_id").alias("video_id"), F.floor((F.col("last") - F.col("first")) / 1000).alias("duration_ms"))
+    shown = rows.join(first, "user_id").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_idx"), (F.col("us") - F.col("first")).alias("pts_us"), "is_key")
+    return frames.sample_points(shown, clips).select(F.col("video_id").alias("user_id"), "share", F.col("frame_idx").alias("event_id"), "pts_us")
+
+
+# ---- colour and content ----
+
+_RGB = "cast(p_partkey % 256 as int) as r, cast((p_partkey * 7) % 256 as int) as g, cast((p_size * 5) % 256 as int) as b"
+
+
+def _rgb(spark, sf):
+    return read(spark, sf, "part").selectExpr("p_partkey", "p_brand", "p_size", *(x.strip() for x in _RGB.split(", ")))
+
+
+@query(f"""
+select p_partkey, cast((2 * r + 5 * g + b) >> 3 as bigint) as fast, round((299 * r + 587 * g + 114 * b) / 1000.0, 6)::double as exact,
+  cast((77 * r + 150 * g + 29 * b) >> 8 as bigint) as fixed, round(r * 0.299::double + g * 0.587::double + b * 0.114::double, 6) as unit,
+  round(case when greatest(r, g, b) = 0 then 0.0 else (greatest(r, g, b) - least(r, g, b))::double / greatest(r, g, b) end, 6)::double as saturation,
+  cast(((r >> 5) << 6) | ((g >> 5) << 3) | (b >> 5) as bigint) as bin from (select p_partkey, {_RGB} from part)""")
+def luma_variants(spark, sf):
+    c = ("r", "g", "b")
+    return _rgb(spark, sf).select(
+        "p_partkey", S.luma_fast(*c).cast("long").alias("fast"), F.round(S.luma_exact(*c), 6).alias("exact"), S.luma_256(*c).cast("long").alias("fixed"),
+        F.round(S.luma_unit(*c), 6).alias("unit"), F.round(S.saturation(*c), 6).alias("saturation"), S.colour_bin(*c).cast("long").alias("bin"),
+    )
+
+
+@query("select a, (a & 4278255360) | ((a & 255) << 16) | ((a >> 16) & 255) as swapped from (select distinct (l_partkey * 65537 + l_suppkey) % 4294967296 as a from lineitem)")
+def swizzled(spark, sf):
+    rows = read(spark, sf, "lineitem").select(((F.col("l_partkey") * 65537 + F.col("l_suppkey")) % 4294967296).alias("a")).distinct()
+    return rows.select("a", S.swizzle("a").alias("swapped"))
+
+
+_HIST = f"select p_brand, cast(((r >> 5) << 6) | ((g >> 5) << 3) | (b >> 5) as bigint) as bin, count(*) as n from (select p_brand, {_RGB} from part) group by 1, 2"
+
+
+@query(_HIST)
+def colour_hist(spark, sf):
+    return _rgb(spark, sf).groupBy("p_brand", S.colour_bin("r", "g", "b").cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+with h as ({_HIST}), c as (select p_brand, sum(n) over (partition by p_brand order by n desc, bin rows unbounded preceding) as cover,
+  row_number() over (partition by p_brand order by n desc, bin) as rank, sum(n) over (partition by p_brand) as total from h)
+select p_brand, min(rank) as bins, round(min(rank) / 512.0::double, 6) as diversity from c where cover * 100 >= total * 99 group by 1""")
+def hist_diversity(spark, sf):
+    by = Window.partitionBy("p_brand").orderBy(F.desc("n"), "bin")
+    rows = colour_hist(spark, sf).withColumns(
+        {
+            "cover": F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, 0)), "rank": F.row_number().over(by),
+            "total": F.sum("n").over(Window.partitionBy("p_brand")),
+        }
+    )
+    out = rows.where(F.col("cover") * 100 >= F.col("total") * 99).groupBy("p_brand").agg(F.min("rank").cast("long").alias("bins"))
+    return out.withColumn("diversity", F.round(F.col("bins") / F.lit(512.0), 6))
+
+
+@query("""
+select l_returnflag, round(coalesce(avg(case when x % 8 = 0 then e end) / (avg(case when x % 8 <> 0 then e end) + 0.5), 1.0), 6) as ratio,
+  count(*) filter (e > 6) as some, count(*) filter (e > 40) as strong from (select l_returnflag, l_orderkey % 64 as x, l_quantity as e from lineitem) group by 1""")
+def block_boundary(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_returnflag", (F.col("l_orderkey") % 64).alias("x"), F.col("l_quantity").alias("e"))
+    on, off = F.avg(F.when(F.col("x") % 8 == 0, F.col("e"))), F.avg(F.when(F.col("x") % 8 != 0, F.col("e")))
+    return rows.groupBy("l_returnflag").agg(
+        F.round(F.coalesce(on / (off + 0.5), F.lit(1.0)), 6).alias("ratio"), F.count_if(F.col("e") > 6).alias("some"), F.count_if(F.col("e") > 40).alias("strong")
+    )
+
+
+_SCORES = "(p_partkey % 10) / 10.0::double as anime, (p_size % 7) / 7.0::double as blockiness, (p_size % 5) / 5.0::double as darkness, (p_partkey % 3) / 10.0::double as saturation"
+
+
+@query(f"""
+with s as (select p_type, p_size % 10 as part_no, {_SCORES} from part),
+m as (select p_type, part_no, round(avg(anime), 6) as a, round(avg(blockiness), 6) as b, round(avg(darkness), 6) as d, round(avg(saturation), 6) as s from s group by 1, 2)
+select p_type, cast(part_no as bigint) as part_no, case when a > 0.46 then 'ANIME' when b > 0.43 then 'GENERAL_DENOISE' else 'NATURAL' end as recommended, d > 0.55 or s < 0.18 as color_fix from m""")
+def content_class(spark, sf):
+    rows = read(spark, sf, "part").selectExpr(
+        "p_type", "cast(p_size % 10 as bigint) as part_no", "(p_partkey % 10) / 10.0D as anime", "(p_size % 7) / 7.0D as blockiness", "(p_size % 5) / 5.0D as darkness", "(p_partkey % 3) / 10.0D as saturation"
+    )
+    out = frames.classified(rows, rows, ("p_type", "part_no"))
+    mean = lambda c: F.round(c, 6)
+    model = F.when(mean("anime") > 0.46, "ANIME").when(mean("blockiness") > 0.43, "GENERAL_DENOISE").otherwise("NATURAL")  # cuts between this table's means
+    return out.select("p_type", "part_no", model.alias("recommended"), "color_fix")
+
+
+# ---- geometry and plans ----
+
+
+@query("""
+with g as (select p_partkey, p_size * 20 as w, p_size * 12 as h from part),
+x as (select *, unnest(range(0, w, 112)) as x0 from g), t as (select *, unnest(range(0, h, 112)) as y0 from x)
+select p_partkey, cast(x0 as bigint) as x0, cast(y0 as bigint) as y0, cast(least(x0 + 112, w) as bigint) as x1, cast(least(y0 + 112, h) as bigint) as y1,
+  cast(least(greatest(x0 - 8, 0), greatest(w - 128, 0)) as bigint) as origin_x, cast(least(greatest(y0 - 8, 0), greatest(h - 128, 0)) as bigint) as origin_y from t""")
+def tile_grid(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", (F.col("p_size") * 20).alias("width"), (F.col("p_size") * 12).alias("height"))
+    cols = ("x0", "y0", "x1", "y1", "origin_x", "origin_y")
+    return tiles.tile_grid(rows).select("p_partkey", *(F.col(c).cast("long").alias(c) for c in cols))
+
+
+_CLIP = """select p_partkey, p_size * 32 as width, p_size * 18 as height, (p_partkey % 4) * 90 as rotation, 24.0::double + p_partkey % 37 as fps, p_partkey % 900000 + 1000 as duration_ms,
+  (['ULTRA', 'HIGH', 'BALANCED', 'FAST'])[p_partkey % 4 + 1] as preset, (['AUTO', 'P480', 'P720', 'P1080', 'P1440', 'P2160'])[p_partkey % 6 + 1] as target,
+  (['NATURAL', 'GENERAL', 'GENERAL_DENOISE', 'ANIME', 'ULTRA_PLUS'])[p_partkey % 5 + 1] as model, (['DEVICE', 'HYBRID', 'CLOUD'])[p_partkey % 3 + 1] as compute,
+  p_partkey % 2 = 0 as gpu, p_partkey % 7 < 3 as cloud_up, p_partkey % 5 < 2 as high_end, p_partkey % 11 < 4 as heavy_ready from part"""
+
+
+def _clips(spark, sf):
+    pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % n).cast("int"))
+    key = F.col("p_partkey")
+    return read(spark, sf, "part").select(
+        key, (F.col("p_size") * 32).alias("width"), (F.col("p_size") * 18).alias("height"), (key % 4 * 90).alias("rotation"), (F.lit(24.0) + key % 37).alias("fps"),
+        (key % 900000 + 1000).alias("duration_ms"), pick(4, *S.PRESETS).alias("preset"), pick(6, *S.TARGETS).alias("target"), pick(5, *S.MODELS).alias("model"),
+        pick(3, *S.COMPUTES).alias("compute"), (key % 2 == 0).alias("gpu"), (key % 7 < 3).alias("cloud_up"), (key % 5 < 2).alias("high_end"), (key % 11 < 4).alias("heavy_ready"),
+    )
+
+
+_HEIGHT = "case target when 'P480' then 480 when 'P720' then 720 when 'P1080' then 1080 when 'P1440' then 1440 when 'P2160' then 2160 else 0 end"
+_PASSES = "case when preset = 'ULTRA' and width * 16 <= 4096 and height * 16 <= 4096 then 2 else 1 end"
+
+
+@query(f"""
+with c as ({_CLIP}), t as (select *, {_HEIGHT} as tall, {_PASSES} as passes, rotation in (90, 270) as turned from c),
+d as (select *, case when turned then height else width end as sw, case when turned then width else height end as sh, case when preset <> 'FAST' and passes = 2 then 16 else 4 end as scale from t),
+s as (select *, case when sw >= sh then cast(floor(tall * (sw::double / sh) + 0.5) as int) else tall end as w, case when sw >= sh then tall else cast(floor(tall / (sw::double / sh) + 0.5) as int) end as h from d),
+o as (select *, case when tall = 0 then width * scale when turned then h else w end // 2 * 2 as ow, case when tall = 0 then height * scale when turned then w else h end // 2 * 2 as oh from s)
+select p_partkey, cast(passes as bigint) as passes,
+  cast(case when greatest(ow, oh) > 4096 then cast(floor(ow * (4096.0::double / greatest(ow, oh)) + 0.5) as int) // 2 * 2 else ow end as bigint) as width,
+  cast(case when greatest(ow, oh) > 4096 then cast(floor(oh * (4096.0::double / greatest(ow, oh)) + 0.5) as int) // 2 * 2 else oh end as bigint) as height from o""")
+def output_geometry(spark, sf):
+    size = S.output_size("width", "height", "rotation", "preset", "target")
+    return _clips(spark, sf).select(
+        "p_partkey", S.passes("preset", "width", "height").cast("long").alias("passes"), size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height")
+    )
+
+
+@query(f"""
+select p_partkey, cast(least(greatest(floor(width * 4 * height * 4 * fps * case when width * 4 * height * 4 >= 3840 * 2160 then 0.06::double when width * 4 * height * 4 >= 1920 * 1080 then 0.09::double else 0.12::double end), 2000000), 60000000) as bigint) as bitrate
+from ({_CLIP})""")
+def bitrate(spark, sf):
+    return _clips(spark, sf).select("p_partkey", S.bitrate(F.col("width") * 4, F.col("height") * 4, "fps").alias("bitrate"))
+
+
+def _cost_sql(preset: str, model: str, compute: str) -> str:
+    tile = f"(case when {model} = 'ULTRA_PLUS' then 80 else 160 end)"
+    cost = f"(case {model} when 'ANIME' then 0.25::double when 'ULTRA_PLUS' then 8.0::double else 1.0::double end)"
+    per = f"(45.0::double * ({tile} * {tile}) / (128.0::double * 128.0::double) * {cost} * case when gpu then 1.0::double else 4.0::double end * case when high_end then 1.0::double else 1.6::double end)"
+    count = lambda k: f"(ceil(width * {k} / ({tile} - 16)::double) * ceil(height * {k} / ({tile} - 16)::double))"
+    second = f"case when {preset} = 'ULTRA' and width * 16 <= 4096 and height * 16 <= 4096 then {count(4)} else 0 end"
+    frames_ = f"(duration_ms / 1000.0::double * fps * case when {preset} = 'BALANCED' then 0.75::double else 1.0::double end)"
+    total = f"({frames_} * ({count(1)} + {second}) * {per} / 1000.0::double)"
+    return (
+        f"(case when {preset} = 'FAST' then greatest(duration_ms / 1000.0::double * 0.15::double, 2.0::double) when {compute} = 'HYBRID' and cloud_up then {total} * 0.6::double + 8 "
+        f"when {compute} = 'CLOUD' and cloud_up then duration_ms / 1000.0::double * case when {model} = 'ULTRA_PLUS' then 3.0::double else 1.2::double end + 40 else {total} * 1.1::double + 5 end)"
+    )
+
+
+def _columns():
+    names = ("width", "height", "fps", "duration_ms", "gpu", "high_end", "cloud_up")
+    return {n: F.col(n) for n in names} | {"tile": F.lit(160)}
+
+
+@query(f"select p_partkey, round({_cost_sql('preset', 'model', 'compute')}, 6) as seconds from ({_CLIP})")
+def cost_model(spark, sf):
+    seconds = planner.estimated_seconds(_columns(), F.col("preset"), F.col("model"), F.col("compute"))
+    return _clips(spark, sf).select("p_partkey", F.round(seconds, 6).alias("seconds"))
+
+
+def _target_sql(reach: str) -> str:
+    return f"(case when {reach} <= 480 then 'P480' when {reach} <= 720 then 'P720' when {reach} <= 1080 then 'P1080' when {reach} <= 1440 then 'P1440' else 'P2160' end)"
+
+
+@query(f"""
+with c as (select *, least(width, height) as short, greatest(width, height) as long from ({_CLIP})),
+k as (select *, case when cloud_up and duration_ms <= 720000 then 1
+  when long * 16 <= 4096 and {_cost_sql("'ULTRA'", "'NATURAL'", "'DEVICE'")} <= 1800 then 2
+  when heavy_ready and {_cost_sql("'HIGH'", "'ULTRA_PLUS'", "'DEVICE'")} <= 1800 then 3 else 4 end as k from c)
+select p_partkey, case k when 1 then 'CLOUD' else 'DEVICE' end as compute, case k when 2 then 'ULTRA' else 'HIGH' end as preset,
+  case when k = 1 and heavy_ready or k = 3 then 'ULTRA_PLUS' else 'NATURAL' end as model, {_target_sql("short * case k when 2 then 16 else 4 end")} as target from k""")
+def plan_choice(spark, sf):
+    plan = planner.plan(_columns(), F.lit("NATURAL"), F.col("heavy_ready"))
+    return _clips(spark, sf).select("p_partkey", plan.alias("plan")).select("p_partkey", "plan.compute", "plan.preset", "plan.model", "plan.target")
+
+
+@query(f"select p_partkey, {_target_sql('p_size * 60')} as target from part")
+def target_pick(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", planner.target_for(F.col("p_size") * 60).alias("target"))
+
+
+@query("""
+with j as (select o_orderkey, o_custkey % 5000 - 500 as start_ms, o_orderkey % 9000 - 1000 as end_ms, 8000 as duration_ms, o_orderkey % 60 as fps from orders),
+t as (select *, greatest(start_ms, 0) as s, case when end_ms > 0 and end_ms > greatest(start_ms, 0) then end_ms end as e from j)
+select o_orderkey, s as start_ms, e as end_ms, cast(greatest(least(coalesce(e, duration_ms), duration_ms) - s, 0) as bigint) as length_ms,
+  cast(greatest(floor(duration_ms / 1000.0::double * fps), 1) as bigint) as total_frames, case when end_ms >= duration_ms - 200 then 0 else end_ms end as snapped from t""")
+def trim_range(spark, sf):
+    rows = read(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 5000 - 500).alias("start_ms"), (F.col("o_orderkey") % 9000 - 1000).alias("end_ms"), F.lit(8000).alias("duration_ms"), (F.col("o_orderkey") % 60).alias("fps")
+    )
+    t = S.trim("start_ms", "end_ms", "duration_ms")
+    return rows.select(
+        "o_orderkey", t["start_ms"].alias("start_ms"), t["end_ms"].alias("end_ms"), t["duration_ms"].alias("length_ms"),
+        S.total_frames("duration_ms", "fps").alias("total_frames"), S.snapped_end("end_ms", "duration_ms").alias("snapped"),
+    )
+
+
+@query("""
+with d as (select s_suppkey, cast(s_suppkey * 97 % 10000 as bigint) as ram, s_suppkey % 12 + 1 as cores from supplier)
+select s_suppkey, cast(case when ram >= 8000 then 256 when ram >= 6000 then 192 when ram >= 4000 then 160 else 128 end as bigint) as tile, cast(least(greatest(cores - 1, 2), 6) as bigint) as threads,
+  ram >= 6000 and cores >= 8 as high_end from d""")
+def device_plan(spark, sf):
+    rows = read(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") * 97 % 10000).alias("ram"), (F.col("s_suppkey") % 12 + 1).alias("cores"))
+    plan = S.device_plan("ram", "cores")
+    return rows.select("s_suppkey", plan["tile"].cast("long").alias("tile"), plan["threads"].cast("long").alias("threads"), plan["high_end"].alias("high_end"))
+
+
+@query("""
+select l_orderkey, l_linenumber::bigint as l_linenumber, round(l_linenumber / greatest(l_quantity - l_tax, 0.001::double), 6) as fps,
+  round((8 - l_linenumber) / (l_linenumber / greatest(l_quantity - l_tax, 0.001::double)), 4) as eta_s, round(least(l_linenumber / 7.0::double, 0.999::double), 6) as progress
+from (select distinct l_orderkey, l_linenumber, l_quantity, l_tax from lineitem)""")
+def job_progress(spark, sf):
+    rows = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity", "l_tax").distinct()
+    p = S.progress("l_linenumber", F.lit(8), "l_quantity", "l_tax")
+    share = S.progress("l_linenumber", F.lit(7), "l_quantity", "l_tax")["progress"]
+    return rows.select("l_orderkey", "l_linenumber", F.round(p["fps"], 6).alias("fps"), F.round(p["eta_s"], 4).alias("eta_s"), F.round(share, 6).alias("progress"))
+
+
+@query("""
+with d as (select c_custkey, ['2', '4', '8', '3', 'x', ''][c_custkey % 6 + 1] as scale, ['0.25', '1.7', '-1', 'nan', 'abc', '0.5'][c_custkey % 6 + 1] as strength from customer)
+select c_custkey, case when scale in ('2', '4', '8') then scale::bigint else 4 end as scale, case strength when '0.25' then 0.25::double when '1.7' then 1.0::double when '-1' then 0.0::double else 0.5::double end as strength,
+  case when c_custkey % 3 = 0 then 'webp' when c_custkey % 3 = 1 then 'jpg' else 'png' end as extension,
+  case when c_mktsegment = 'MACHINERY' then 'ULTRA' else 'BALANCED' end as preset from (select d.*, c_mktsegment from d join customer using (c_custkey))""")
+def request_decoding(spark, sf):
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (F.col("c_custkey") % len(names)).cast("int"))
+    rows = read(spark, sf, "customer").select(
+        "c_custkey", pick("2", "4", "8", "3", "x", "").alias("scale"), pick("0.25", "1.7", "-1", "nan", "abc", "0.5").alias("natural"), pick("image/webp", "image/jpeg", "image/png").alias("mime"),
+        F.regexp_replace("c_mktsegment", "MACHINERY", "ULTRA").alias("preset"),
+    )
+    return rows.select("c_custkey", S.known_scale("scale").cast("long").alias("scale"), S.natural("natural").alias("strength"), S.extension("mime").alias("extension"), S.enum("preset", "preset").alias("preset"))
+
+
+# ---- control plane ----
+
+
+@query("""
+with k as (select doc_id, sha256(coalesce(text, '')) as key from documents), f as (select *, min(doc_id) over (partition by key) as first from k)
+select doc_id, key, case when doc_id = first then 'MISS' else 'HIT' end as state from f""")
+def cache_lookup(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", control.content_key(F.coalesce("text", F.lit(""))).alias("key"))
+    return control.cache_state(rows, "key", "doc_id").select("doc_id", "key", "state")
+
+
+@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def cache_misses(spark, sf):
+    requests = read(spark, sf, "documents").select("doc_id", "lang")
+    return control.hits_and_misses(requests, read(spark, sf, "labels").select("doc_id"), "doc_id")[1]
+
+
+@query("""
+with h as (select r_regionkey, case r_regionkey when 0 then ['general', 'anime'] when 1 then ['heavy', 'denoise'] when 2 then [] when 3 then ['natural', 'general'] else null end as have from region),
+w as (select n_nationkey, n_regionkey, ['natural', 'general', 'anime', 'heavy'][n_nationkey % 4 + 1] as want from nation)
+select n_nationkey::bigint as n_nationkey, want, case when have is null or len(have) = 0 or list_contains(have, want) then want when list_contains(have, 'general') then 'general' else have[1] end as model
+from w join h on n_regionkey = r_regionkey""")
+def model_resolve(spark, sf):
+    known = {0: ("general", "anime"), 1: ("heavy", "denoise"), 2: (), 3: ("natural", "general")}
+    have = F.lit(None).cast("array<string>")
+    for key, names in known.items():
+        have = F.when(F.col("r_regionkey") == key, F.array(*map(F.lit, names)).cast("array<string>")).otherwise(have)
+    regions = read(spark, sf, "region").select("r_regionkey", have.alias("have"))
+    want = F.get(F.array(*map(F.lit, ("natural", "general", "anime", "heavy"))), F.col("n_nationkey") % 4)
+    rows = read(spark, sf, "nation").select("n_nationkey", "n_regionkey", want.alias("want")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "want", control.resolved_model(F.col("want"), F.col("have")).alias("model"))
+
+
+def _backends(spark, sf):
+    key = F.col("s_suppkey")
+    return read(spark, sf, "supplier").select(
+        F.col("s_nationkey").cast("long").alias("s_nationkey"), key.alias("pos"), F.col("s_name").alias("host"), (key % 4 != 0).alias("up"), F.when(key % 7 != 0, key % 10).alias("queue")
+    )
+
+
+_BACKENDS = "(select s_nationkey::bigint as s_nationkey, s_suppkey as pos, s_name as host, s_suppkey % 4 <> 0 as up, case when s_suppkey % 7 <> 0 then s_suppkey % 10 end as queue from supplier)"
+
+
+@query(f"select s_nationkey, host, row_number() over (partition by s_nationkey order by coalesce(queue, 0) // 3, pos) as rank from {_BACKENDS} where up")
+def backend_rank(spark, sf):
+    return control.ranked(_backends(spark, sf), ["s_nationkey"]).select("s_nationkey", "host", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"select s_nationkey, bool_or(up) as ok, min_by(host, coalesce(queue, 0) // 3 * 1000000000 + pos) filter (up) as primary from {_BACKENDS} group by 1")
+def backend_health(spark, sf):
+    return control.health(_backends(spark, sf), ["s_nationkey"])
+
+
+@query("""
+with a as (select l_orderkey, l_linenumber, l_returnflag = 'N' as ok, l_partkey, l_shipdate from lineitem)
+select l_orderkey as request_id, min_by(l_partkey, l_linenumber) filter (ok) as result, cast(min(l_linenumber) filter (ok) as bigint) as rank,
+  case when not bool_or(ok) then max_by('failed at ' || l_linenumber, l_linenumber) end as error
+from (select l_orderkey, l_linenumber, bool_or(ok) as ok, min(l_partkey) as l_partkey from a group by 1, 2) group by 1""")
+def failover(spark, sf):
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").cast("long").alias("rank"))
+    attempts = rows.agg(F.bool_or(F.col("l_returnflag") == "N").alias("ok"), F.min("l_partkey").alias("result")).withColumn("error", F.concat(F.lit("failed at "), F.col("rank")))
+    return control.failover(attempts).select("request_id", "result", "rank", "error")
+
+
+@query("""
+with o as (select o_orderpriority, o_orderkey, o_custkey + 1 as mine, max(o_custkey + 1) over (partition by o_orderpriority order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding) as best from orders)
+select o_orderpriority, o_orderkey, best is null or mine >= best as accepted from o""")
+def registration(spark, sf):
+    rows = read(spark, sf, "orders").select(
+        "o_orderpriority", "o_orderdate", "o_orderkey", (F.col("o_custkey") + 1).alias("mine"), F.lit(False).alias("force"), F.lit(True).alias("is_tunnel"), F.lit(1).alias("now")
+    )
+    out = folds.folded(rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ["mine", "force", "is_tunnel", "now"], folds.arbitration(), "accepted", "boolean")
+    return out.select("o_orderpriority", "o_orderkey", "accepted")
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey < 500")
+def kick_filter(spark, sf):
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_custkey").alias("session_start"))
+    return control.kicked(rows, 500).select("o_orderkey", "o_custkey")
+
+
+_ACTIONS = "case event_type when 'view' then 'ENQUEUE' when 'click' then 'START' when 'purchase' then 'DONE' when 'error' then 'FAIL' else 'CANCEL' end"
+
+
+def _queue(spark, sf):
+    action = F.expr(_ACTIONS)
+    rows = read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), action.alias("action"))
+    return control.queue_state(rows)
+
+
+_QUEUE = f"select user_id as job_id, case max_by({_ACTIONS}, event_id) when 'ENQUEUE' then 'WAITING' when 'START' then 'RUNNING' when 'DONE' then 'DONE' when 'FAIL' then 'FAILED' else 'CANCELLED' end as status from events group by 1"
+
+
+@query(_QUEUE)
+def queue_state(spark, sf):
+    return _queue(spark, sf)
+
+
+@query(f"select status, count(*) as n from ({_QUEUE}) group by 1")
+def queue_counts(spark, sf):
+    return control.queue_counts(_queue(spark, sf))
+
+
+@query("select o_orderkey, o_totalprice from (select * from orders order by o_orderdate desc, o_orderkey limit 30)")
+def history_topk(spark, sf):
+    return control.newest(read(spark, sf, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+select 'order' as track, o_orderkey as key, cast(epoch_us(o_orderdate) as bigint) as pts_us from orders where o_orderdate <= (select least((select max(o_orderdate) from orders), (select max(l_shipdate) from lineitem)))
+union all select 'line', l_orderkey, cast(epoch_us(l_shipdate) as bigint) from lineitem where l_shipdate <= (select least((select max(o_orderdate) from orders), (select max(l_shipdate) from lineitem)))""")
+def packet_interleave(spark, sf):
+    time = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("pts_us")
+    one = read(spark, sf, "orders").select(F.lit(0).alias("video_id"), F.lit("order").alias("track"), F.col("o_orderkey").alias("key"), time("o_orderdate"))
+    other = read(spark, sf, "lineitem").select(F.lit(0).alias("video_id"), F.lit("line").alias("track"), F.col("l_orderkey").alias("key"), time("l_shipdate"))
+    return control.interleaved(one, other, shortest=True).select("track", "key", "pts_us")
+
+
+@query("""
+select 'order' as track, o_orderkey as key, cast(epoch_us(o_orderdate) as bigint) - 800000000000000 as pts_us from orders
+where epoch_us(o_orderdate) between 800000000000000 and 900000000000000""")
+def packet_range(spark, sf):
+    rows = read(spark, sf, "orders").select(F.lit("order").alias("track"), F.col("o_orderkey").alias("key"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("pts_us"))
+    return control.track_range(rows, 800_000_000_000_000, 900_000_000_000_000, "ord")
+
+
+@query("select c_custkey, c_name from customer where c_nationkey < 10 union all select c_custkey, c_name from customer where c_acctbal > 0 and not c_nationkey < 10")
+def append_dedup(spark, sf):
+    rows = read(spark, sf, "customer")
+    return control.added_sources(rows.where("c_nationkey < 10").select("c_custkey", "c_name"), rows.where("c_acctbal > 0").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("""
+with c as (select n_nationkey, 'https://a' || n_nationkey || '/|2|5|3, ,https://b|' || case when n_nationkey % 2 = 0 then '0|0' else 'x' end || ',c' as text from nation),
+e as (select n_nationkey, unnest(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: s <> '')) as entry, generate_subscripts(list_filter(list_transform(string_split(text, ','), lambda s: trim(s)), lambda s: s <> ''), 1) - 1 as pos from c)
+select n_nationkey::bigint as n_nationkey, pos::bigint as pos, regexp_replace(string_split(entry, '|')[1], '/$', '') as host, coalesce(nullif(try_cast(string_split(entry, '|')[2] as bigint), 0), 0) as fn_image,
+  coalesce(nullif(try_cast(string_split(entry, '|')[3] as bigint), 0), 3) as fn_video, case when string_split(entry, '|')[4] = '3' then 3 else 2 end::bigint as args from e""")
+def backend_parse(spark, sf):
+    tail = F.when(F.col("n_nationkey") % 2 == 0, "0|0").otherwise("x")
+    rows = read(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("https://a"), "n_nationkey", F.lit("/|2|5|3, ,https://b|"), tail, F.lit(",c")).alias("text"))
+    out = control.parsed_backends(rows, "text")
+    return out.select("host", *(F.col(c).cast("long").alias(c) for c in ("n_nationkey", "pos", "fn_image", "fn_video", "args")))
+
+
+@query("""
+select event_id, case event_type when 'view' then 'queued' when 'click' then 'processing' when 'purchase' then 'done' else 'error' end as stage, cast(json_extract_string(props, '$.k') as double) / 100 as progress
+from events where event_type <> 'signup'""")
+def sse_parse(spark, sf):
+    stage = F.expr("case event_type when 'view' then 'queued' when 'click' then 'processing' when 'purchase' then 'done' when 'error' then 'error' else 'unknown' end")
+    data = F.to_json(F.struct(stage.alias("stage"), (F.get_json_object("props", "$.k").cast("double") / 100).alias("progress")))
+    rows = read(spark, sf, "events").select("event_id", F.concat(F.lit("event: message\ndata: "), data).alias("line"))
+    return video.parsed_events(rows).select("event_id", "stage", "progress")
+
+
+@query("""
+with n as (select o_orderkey, case when o_orderkey % 10 = 0 then '.mp4' else 'clip.' || o_orderpriority || ' ' || repeat('x', (o_orderkey % 50)::int) || '.mp4' end as name, o_orderdate from orders),
+b as (select *, left(regexp_replace(name, '\\.[^.]*$', ''), 40) as base from n)
+select o_orderkey, case when trim(base) = '' then 'video' else base end || '_' || least(1280, o_orderkey % 2000) || 'p_AI_' || strftime(o_orderdate, '%Y%m%d_%H%M%S') || '.mp4' as name from b""")
+def name_format(spark, sf):
+    rows = read(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    name = F.when(key % 10 == 0, ".mp4").otherwise(F.concat(F.lit("clip."), "o_orderpriority", F.lit(" "), F.repeat(F.lit("x"), (key % 50).cast("int")), F.lit(".mp4")))
+    return rows.select("o_orderkey", S.output_name(name, F.lit(1280), key % 2000, "o_orderdate").alias("name"))
+
+
+@query("""
+select event_id, case when s >= 3600 then (s // 3600) || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') else (s // 60)::varchar end || ':' || lpad((s % 60)::varchar, 2, '0') as clock,
+  case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' when s >= 60 then (s // 60) || 'm ' || (s % 60) || 's' else s || 's' end as spoken
+from (select event_id, cast(floor(value * 37) as bigint) as s from events)""")
+def dur_format(spark, sf):
+    rows = read(spark, sf, "events").select("event_id", F.floor(F.col("value") * 37).alias("s"))
+    return rows.select("event_id", S.clock("s").alias("clock"), S.spoken("s").alias("spoken"))
+
+
+@query("""
+select c_custkey, case when c_custkey % 3 = 0 then 'NATURAL' else 'ANIME' end as model, 'BALANCED' as preset, case when c_custkey % 3 = 0 then 1.0::double else c_custkey % 10 / 10.0::double end as natural, true as gpu from customer""")
+def settings_decode(spark, sf):
+    good = F.concat(F.lit('{"model": "ANIME", "preset": "NONE", "natural": '), (F.col("c_custkey") % 10 / F.lit(10.0)).cast("string"), F.lit("}"))
+    rows = read(spark, sf, "customer").select("c_custkey", S.settings(F.when(F.col("c_custkey") % 3 == 0, "not json").otherwise(good)).alias("s"))
+    return rows.select("c_custkey", "s.model", "s.preset", "s.natural", "s.gpu")
+
+
+@query("select s_suppkey, round(avg(ms), 6) as ms from (select l_suppkey as s_suppkey, l_quantity / 4.0::double as ms from lineitem where l_linenumber > 1) group by 1")
+def tile_benchmark(spark, sf):
+    """F16: mean of the timed runs after the warm-up, by tiles."""
+    rows = read(spark, sf, "lineitem").where("l_linenumber > 1").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_quantity") / 4.0).alias("ms"))
+    return rows.groupBy("s_suppkey").agg(F.round(F.avg("ms"), 6).alias("ms"))
+
+
+@query("""
+with e as (select user_id, event_id, cast(epoch_ms(ts) as bigint) as ms from events)
+select user_id, count(*) as reports from e where event_id % 2 = 0 group by 1""")
+def report_counts(spark, sf):
+    """G12 with a gap of 0: every report passes; the throttle itself is compared with a loop in the tests."""
+    rows = read(spark, sf, "events").where("event_id % 2 = 0").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    out = folds.folded(rows, ["user_id"], ["event_id"], ["ms"], folds.throttle(-(10**15)), "passes", "boolean")
+    return out.where("passes").groupBy("user_id").agg(F.count("*").alias("reports"))
+
+
+# ---- frames for real: rows only ----
+
+
+def made_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Clips of 64 x 48 frames made by rule from parts: gradients that move, pause and cut; one clip per brand."""
+    parts = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", "p_size")
+    index = F.row_number().over(Window.partitionBy("video_id").orderBy("p_partkey")) - 1
+    rows = parts.withColumn("frame_idx", index.cast("long"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = np.mgrid[0:48, 0:64]
+        for batch in batches:
+            datas = []
+            for i in batch.column("frame_idx").to_pylist():
+                step, scene = i // 2, i // 8  # every second frame repeats the one before, every eighth cuts
+                base = (x * 3 + y * 2 + step * 5 + scene * 90) % 256
+                datas.append(np.stack([base, (base * 2) % 256, 255 - base], axis=-1).astype(np.uint8).tobytes())
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("video_id"), batch.column("frame_idx"), pa.array([i * 33_333 for i in batch.column("frame_idx").to_pylist()], pa.int64()),
+                    pa.array([64] * n, pa.int32()), pa.array([48] * n, pa.int32()), pa.array(datas, pa.binary()),
+                ],
+                ["video_id", "frame_idx", "pts_us", "width", "height", "px"],
+            )
+
+    from cinetide.schemas import FRAMES
+
+    return rows.mapInArrow(run, FRAMES)
+
+
+@query()
+def frame_analysis(spark, sf):
+    """F1, F2, G1-G3 on pixels."""
+    return frames.analysed(made_clips(spark, sf)).select("video_id", "frame_idx", F.round("diff", 4).alias("diff"), "is_dup", "is_cut", "root", "segment")
+
+
+@query()
+def frame_content(spark, sf):
+    """F3-F10 on pixels."""
+    scores = frames.content_scores(made_clips(spark, sf))
+    return frames.classified(scores, scores).select("video_id", "recommended", "color_fix", *(F.round(c, 6).alias(c) for c in ("anime", "blockiness", "darkness", "saturation")))
+
+
+@query()
+def upscale_smoke(spark, sf):
+    """J1-J5, K1-K3, E1, G4 on pixels: digests of the finished frames."""
+    clips = made_clips(spark, sf)
+    out = tiles.processed(clips, frames.analysed(clips), tile=48)
+    return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))

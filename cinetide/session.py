@@ -1,0 +1,22 @@
+"""The session's settings."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def session(name: str = "cinetide", master: str | None = None, **conf: str) -> SparkSession:
+    """A session with adaptive plans, UTC times and small Arrow batches, as frames are large."""
+    builder = SparkSession.builder.appName(name)
+    if master:
+        builder = builder.master(master)
+    settings = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+        "spark.ui.enabled": "false",
+    } | conf
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
