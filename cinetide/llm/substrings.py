@@ -255,7 +255,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     same = docs.mapInArrow(digests, "doc_id bigint, d0 bigint, d1 bigint")
     stands = same.groupBy("d0", "d1").agg(F.min("doc_id").alias("stands"), F.max("doc_id").alias("last")).where("last > stands")
-    copies = saved(same.join(stands.drop("last"), ["d0", "d1"]).where("doc_id > stands").select("doc_id", "stands").distinct(), "copies")
+    stands = saved(stands.drop("last"), "stands")  # read from a table, both sides of the join are shuffled and can be split
+    copies = saved(same.join(stands, ["d0", "d1"]).where("doc_id > stands").select("doc_id", "stands").distinct(), "copies")
     hits = shared_anchors(docs, copies)
     windows = docs.join(hits, "doc_id").mapInArrow(candidates, WINDOWS)
     smallest = F.min("doc_id").over(Window.partitionBy("key", "rest"))
