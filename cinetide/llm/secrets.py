@@ -44,15 +44,13 @@ HEX = re.compile("[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
 TRAIN_DOCS = 300
-EPOCHS = 80
+EPOCHS = 100
 WINDOW = 24
 BUCKETS = 4096
 OUT, BEGIN, IN = 0, 1, 2
 #: Of the tokens' shapes, and of files.
 SHAPES, FILES = 7 * 4 * 4 * 3 * 2, 27
 MASK = "[SECRET]"
-#: Added to the outside score when decoding: a tag must be this much likelier (as a logarithm).
-CAUTION = 2.5
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -133,7 +131,7 @@ class Field:
             out += self.w[ids[:, c]]
         return out
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, rate: float = 0.3, decay: float = 1e-4) -> None:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5) -> None:
         """Ascends the likelihood of windows: ids (n, WINDOW, kinds), tags (n, WINDOW)."""
         n, size, kinds = ids.shape
         flat = ids.reshape(-1, kinds)
@@ -162,20 +160,24 @@ class Field:
             self.w += rate * grad / np.sqrt(seen_w)
             self.t += rate * grad_t / np.sqrt(seen_t)
 
-    def viterbi(self, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Best tags of the sequences e[start : start + size], all decoded side by side."""
+    def viterbi(self, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Best tags of the sequences e[start : start + size], all decoded side by side.
+
+        after, before: whether an outside token comes before, or after, the sequence.
+        """
         order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
+        starts, sizes, after, before = starts[order], sizes[order], after[order], before[order]
         live = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1), "right")  # sequences longer than each step
-        best, back = e[starts] + self.first, []
+        best, back = e[starts] + np.where(after[:, None], self.t[OUT], self.first), []
+        closing = np.where(before[:, None], self.t[:, OUT], np.float32(0))
         ends = np.empty(len(starts), np.int64)
         for i in range(1, len(live)):
-            n, before = live[i], live[i - 1]
-            ends[n:before] = best[n:before].argmax(axis=1)
+            n, m = live[i], live[i - 1]
+            ends[n:m] = (best[n:m] + closing[n:m]).argmax(axis=1)
             total = best[:n, :, None] + self.t
             back.append(total.argmax(axis=1).astype(np.int8))
             best = total.max(axis=1) + e[starts[:n] + i]
-        ends[: len(best)] = best.argmax(axis=1)
+        ends[: len(best)] = (best + closing[: len(best)]).argmax(axis=1)
         tags = np.zeros(len(e), np.int8)
         tags[starts + sizes - 1] = ends
         now = ends.copy()
@@ -190,7 +192,6 @@ class Field:
         if not len(words):
             return
         e = self.scores(feature_ids(words))
-        e[:, OUT] += CAUTION
         free = self.t[self.t > -1e3]
         # Putting a token outside changes three transitions at most, and makes a following inside a begin.
         gain = np.full(len(e), 3 * float(free.max() - free.min()), np.float32)
@@ -202,7 +203,8 @@ class Field:
         own = doc[places]
         head = np.r_[True, (np.diff(places) > 1) | (np.diff(own) > 0)]
         tail = np.r_[head[1:], True]
-        tags = self.viterbi(e, places[head], places[tail] - places[head] + 1)
+        first, last = places[head], places[tail]
+        tags = self.viterbi(e, first, last - first + 1, first > words.first[doc[first]], last + 1 < words.first[doc[last] + 1])
         for k in places[tags[places] == BEGIN].tolist():
             to, last = k + 1, int(words.first[doc[k] + 1])
             while to < last and tags[to] == IN:
