@@ -184,9 +184,11 @@ class MediaReader(DataSourceReader):
             n = max(1, -(-int(size) // self.range_bytes))
             step = -(-int(size) // n)
             out += [ByteRange(name, k * step, (k + 1) * step) for k in range(n)]
-        return out
+        return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not partition.archive:
+            return
         fs, root = filesystem(self.directory)
         path = f"{root}/{partition.archive}"
         with fs.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:

@@ -18,6 +18,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,35 +57,29 @@ def first_map(stats: list[tuple[int, int, int]], shards: int = SHARDS, slots: in
 def edited_map(old: list[tuple], stats: list[tuple[int, int, int]], shards: int) -> list[tuple]:
     """The next version for new statistics or more shards, moving few slots.
 
-    Slots leave a shard only while it holds more than an even share by at least
-    the slot's bytes, and go to the lightest shard; all others stay.
+    Again and again the slot nearest to half the gap goes from the heaviest shard
+    to the lightest, as long as that narrows the gap; all others stay.
     """
     known = {slot: (size, rows) for slot, size, rows in stats}
     where = {slot: shard for _, slot, shard, _, _ in old}
-    size_of = {slot: known.get(slot, (0, 0))[0] for slot in where}
-    loads = dict.fromkeys(range(shards), 0)
-    held: dict[int, list[int]] = {s: [] for s in range(shards)}
-    for slot in sorted(where, key=lambda k: (size_of[k], k)):
-        loads[where[slot]] += size_of[slot]
-        held[where[slot]].append(slot)
-    even = sum(loads.values()) / shards
-    heap = [(load, s) for s, load in loads.items()]
-    heapq.heapify(heap)
-    for shard in sorted(loads, key=lambda s: -loads[s]):
-        keep = []
-        while held[shard] and loads[shard] > even:
-            slot = held[shard].pop()
-            size = size_of[slot]
-            while heap and heap[0][0] != loads[heap[0][1]]:
-                heapq.heapreplace(heap, (loads[heap[0][1]], heap[0][1]))
-            light = heap[0][1]
-            if size and light != shard and loads[light] + size < loads[shard]:
-                where[slot] = light
-                loads[shard] -= size
-                loads[light] += size
-            else:
-                keep.append(slot)
-        held[shard].extend(keep)
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    for slot, shard in where.items():
+        if size := known.get(slot, (0, 0))[0]:
+            bisect.insort(held[shard], (size, slot))
+    loads = [sum(size for size, _ in own) for own in held]
+    while True:
+        heavy, light = loads.index(max(loads)), loads.index(min(loads))
+        gap = loads[heavy] - loads[light]
+        at = bisect.bisect_left(held[heavy], (gap / 2, -1))
+        near = [held[heavy][k] for k in (at - 1, at) if 0 <= k < len(held[heavy]) and held[heavy][k][0] < gap]
+        if not near:
+            break
+        size, slot = min(near, key=lambda x: (abs(2 * x[0] - gap), x))
+        held[heavy].remove((size, slot))
+        bisect.insort(held[light], (size, slot))
+        loads[heavy] -= size
+        loads[light] += size
+        where[slot] = light
     version = max(v for v, *_ in old) + 1
     return [(version, slot, shard, *known.get(slot, (0, 0))) for slot, shard in sorted(where.items())]
 
