@@ -222,7 +222,7 @@ def buckets(first: DataFrame) -> DataFrame:
     """Members of buckets of two or more: (key, doc_id, n_shingles, hub, n, shingles)."""
     bands = first.select("doc_id", "n_shingles", "sig").mapInArrow(banded, "key bigint, doc_id bigint, n_shingles bigint")
     hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
-    return saved(bands.join(hubs, "key"), "buckets")
+    return saved(bands.join(saved(hubs, "hubs"), "key"), "buckets")  # read from a table, both sides of the join are shuffled and can be split
 
 
 def hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -239,9 +239,9 @@ def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFr
     of_key = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main")
     )
-    rows = rows.join(of_key.where("lo < hi").select("key", "main"), "key")
+    rows = saved(rows.join(saved(of_key.where("lo < hi").select("key", "main"), "mixed"), "key"), "mixed-members")
     left = rows.where("component <> main").groupBy("key").agg(F.count("*").alias("left"), F.sum("n_shingles").alias("left_shingles"))
-    rows = rows.join(left, "key")
+    rows = rows.join(saved(left, "left"), "key")
     blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
     rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
     spot = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
@@ -258,7 +258,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     sets = saved(docs.mapInArrow(sketches, SKETCHES), "sketches")
     with_set = sets.where("doc_id is not null and d0 is not null")
     classes = with_set.groupBy("d0", "d1").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = saved(with_set.select("doc_id", "d0", "d1").join(classes, ["d0", "d1"]).select("doc_id", "class").distinct(), "classes")
+    known = saved(with_set.select("doc_id", "d0", "d1").join(saved(classes, "class-ids"), ["d0", "d1"]).select("doc_id", "class").distinct(), "classes")
     first = with_set.join(known.where("doc_id <> class").select("doc_id"), "doc_id", "left_anti")
     members = buckets(first)
     texts = members.select("doc_id").distinct().join(docs, "doc_id").join(first.select("doc_id", "sig"), "doc_id")
