@@ -47,6 +47,8 @@ PRIOR = 2.0
 GRAM, GRAM_BITS = 5, 18
 EDGE = 0x5E  # stands before and after each token
 REJECT = 0.7
+#: Documents whose training inputs are made at once.
+TOGETHER = 64
 #: Windows that the network reads at once.
 AT_ONCE = 4096
 
@@ -82,9 +84,19 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     return Tokens(words.hashes(), words.first, runs[at], gram_first)
 
 
+def tokens_of(texts: list[str]) -> Tokens:
+    """Tokens of many texts, made TOGETHER texts at a time."""
+    parts = []
+    for lo in range(0, len(texts), TOGETHER):
+        raw = [(t or "").encode() for t in texts[lo : lo + TOGETHER]]
+        parts.append(tokens(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]))
+    join = lambda rows: np.concatenate([[0], *(r[1:] + o for r, o in zip(rows, np.cumsum([0, *(r[-1] for r in rows[:-1])]), strict=True))]).astype(np.int64)
+    return Tokens(np.concatenate([p.words for p in parts]), join([p.first for p in parts]), np.concatenate([p.grams for p in parts]), join([p.gram_first for p in parts]))
+
+
 def odds(toxic: np.ndarray, clean: np.ndarray, n_toxic, n_clean) -> np.ndarray:
     """Smoothed log odds of document counts; 0 for what was never seen."""
-    share = n_toxic / (n_toxic + n_clean)
+    share = (n_toxic + 0.5) / (n_toxic + n_clean + 1.0)
     high = np.log((toxic + PRIOR * share) / (n_toxic + PRIOR * share))
     low = np.log((clean + PRIOR * (1 - share)) / (n_clean + PRIOR * (1 - share)))
     rest = np.log(PRIOR * share / (n_toxic + PRIOR * share)) - np.log(PRIOR * (1 - share) / (n_clean + PRIOR * (1 - share)))
@@ -282,11 +294,12 @@ class Scorer:
         return _sigmoid(pooled(z, doc, n) @ self.layer)
 
 
-def _document_counts(keys: np.ndarray, doc: np.ndarray, toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """In how many toxic and clean documents each key below n stands."""
-    pair = np.unique(doc.astype(np.int64) * n + keys)
-    own = toxic[pair // n]
-    return np.bincount(pair[own] % n, minlength=n), np.bincount(pair[~own] % n, minlength=n)
+def _document_counts(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic and clean documents each key below n stands; a document's keys begin at `first`."""
+    counts = np.zeros((2, n), np.int32)
+    for d, own in enumerate(toxic.tolist()):
+        counts[int(not own), np.unique(keys[first[d] : first[d + 1]])] += 1
+    return counts[0], counts[1]
 
 
 def fitted(texts: list[str], labels: list[int]) -> Scorer:
@@ -296,19 +309,21 @@ def fitted(texts: list[str], labels: list[int]) -> Scorer:
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return scorer
-    raw = [(t or "").encode() for t in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    own = tokens(buf, np.r_[0, np.cumsum([len(r) for r in raw])])
+    own = tokens_of(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(own.first))
+    doc = doc.astype(np.int32)
     gram_doc = np.repeat(doc, np.diff(own.gram_first))
     known, index = np.unique(own.words, return_inverse=True)
-    high, low = _document_counts(index, doc, toxic, len(known))
-    gram_high, gram_low = _document_counts(own.grams, gram_doc, toxic, 1 << GRAM_BITS)
-    # what a token's own document adds is left out for training
-    mine, gram_mine = toxic[doc], toxic[gram_doc]
-    word_x = odds(high[index] - mine, low[index] - ~mine, n_toxic - mine, n_clean - ~mine)
-    gram_x = odds(gram_high[own.grams] - gram_mine, gram_low[own.grams] - ~gram_mine, n_toxic - gram_mine, n_clean - ~gram_mine)
-    x = inputs(word_x.astype(np.float32), gram_x.astype(np.float32), own.gram_first)
+    high, low = _document_counts(index, own.first, toxic, len(known))
+    gram_high, gram_low = _document_counts(own.grams, own.gram_first[own.first], toxic, 1 << GRAM_BITS)
+    x = np.empty((len(doc), INPUTS), np.float32)
+    for lo in range(0, len(texts), TOGETHER):  # what a token's own document adds is left out for training
+        a, b = own.first[lo], own.first[min(lo + TOGETHER, len(texts))]
+        g = slice(own.gram_first[a], own.gram_first[b])
+        mine, gram_mine = toxic[doc[a:b]], toxic[gram_doc[g]]
+        word_x = odds(high[index[a:b]] - mine, low[index[a:b]] - ~mine, n_toxic - mine, n_clean - ~mine)
+        gram_x = odds(gram_high[own.grams[g]] - gram_mine, gram_low[own.grams[g]] - ~gram_mine, n_toxic - gram_mine, n_clean - ~gram_mine)
+        x[a:b] = inputs(word_x.astype(np.float32), gram_x.astype(np.float32), own.gram_first[a : b + 1] - own.gram_first[a])
     start, size, of = windows(own.first)
     rng = np.random.default_rng(9)
     pick = np.arange(len(start))
