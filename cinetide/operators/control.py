@@ -133,12 +133,13 @@ def queue_state(events: DataFrame) -> DataFrame:
     all_at = events.where("action = 'CANCEL_ALL'").agg(F.max("seq").alias("all_at"))
     own = events.where("action <> 'CANCEL_ALL' and job_id is not null")
     last = own.where(F.col("action").isin(*ACTIONS)).groupBy("job_id").agg(F.max_by("action", "seq").alias("action"), F.max("seq").alias("seq"))
-    removed = own.where("action = 'REMOVE'").groupBy("job_id").agg(F.max("seq").alias("removed_at"))
+    after = own.where("action = 'REMOVE'").select("job_id", F.col("seq").alias("at")).join(last.select("job_id", "seq"), "job_id").where("at > seq")
+    removed = after.groupBy("job_id").agg(F.min("at").alias("removed_at"))
     pairs = [F.lit(x) for kv in ACTIONS.items() for x in kv]
     rows = last.join(removed, "job_id", "left").join(F.broadcast(all_at)).withColumn("status", F.create_map(*pairs)[F.col("action")])  # one row
-    stopped = F.col("status").isin("WAITING", "RUNNING") & (F.col("all_at") > F.col("seq"))
-    rows = rows.withColumn("status", F.when(stopped, "CANCELLED").otherwise(F.col("status")))
-    return rows.where((F.col("status") != "WAITING") | F.col("removed_at").isNull() | (F.col("removed_at") < F.col("seq"))).select("job_id", "status")
+    stopped_at = F.when(F.col("status").isin("WAITING", "RUNNING") & (F.col("all_at") > F.col("seq")), F.col("all_at"))
+    gone = (F.col("status") == "WAITING") & F.col("removed_at").isNotNull() & (stopped_at.isNull() | (F.col("removed_at") < stopped_at))
+    return rows.where(~gone).select("job_id", F.when(stopped_at.isNotNull(), "CANCELLED").otherwise(F.col("status")).alias("status"))
 
 
 def queue_counts(state: DataFrame) -> DataFrame:

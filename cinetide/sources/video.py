@@ -187,6 +187,7 @@ class Y4MWriter(DataSourceWriter):
 def read_video(spark: SparkSession, path: str, **options) -> DataFrame:
     """A1, A2: frames of raw video; startUs and endUs bound the time, which then counts from the start."""
     spark.dataSource.register(Y4M)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("y4m").options(path=path, **{k: str(v) for k, v in options.items()}).load()
 
 

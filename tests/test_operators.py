@@ -1,0 +1,258 @@
+import json
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cinetide import queries as Q
+from cinetide.functions import pixels
+from cinetide.functions import scalars as S
+from cinetide.operators import control, folds, frames, tiles
+from cinetide.schemas import FRAMES
+from cinetide.sources import video
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def clip(spark, thumbs, video_id="v"):
+    data = [(video_id, i, i * 40_000, 64, 48, bytearray(np.full((48, 64, 3), v, np.uint8).tobytes())) for i, v in enumerate(thumbs)]
+    return spark.createDataFrame(data, FRAMES)
+
+
+def analysis(spark, values):
+    out = frames.analysed(clip(spark, values)).orderBy("frame_idx").collect()
+    return [(r["is_dup"], r["is_cut"], r["root"], r["segment"]) for r in out]
+
+
+def test_static_padded_and_cut_clips(spark):
+    assert analysis(spark, [9] * 4) == [(False, True, 0, 1)] + [(True, False, 0, 1)] * 3
+    assert analysis(spark, [0, 0, 10, 10]) == [(False, True, 0, 1), (True, False, 0, 1), (False, False, 2, 1), (True, False, 2, 1)]
+    assert analysis(spark, [0, 255, 255]) == [(False, True, 0, 1), (False, True, 1, 2), (True, False, 1, 2)]
+
+
+def test_limits_are_strict(spark):
+    df = spark.createDataFrame([(1, 255.0), (2, 0.05), (3, 40.0), (4, 0.049), (5, 40.1)], "i int, diff double")
+    assert rows(frames.with_flags(df).select("i", "is_dup", "is_cut")) == [(1, False, True), (2, False, False), (3, False, False), (4, True, False), (5, False, True)]
+
+
+def test_drift_chains_duplicates(spark):
+    df = spark.createDataFrame([(0, i, [i * 0.04] * 4) for i in range(6)], "v int, i int, t array<float>")
+    out = frames.with_runs(frames.with_flags(frames.with_diff(df, ["v"], "i", "t")), ["v"], "i")
+    assert {r["root"] for r in out.collect()} == {0}
+
+
+def test_pipeline_infers_roots_only_and_shares(spark):
+    source = clip(spark, [0, 0, 60, 60, 61])
+    flags = frames.analysed(source)
+    assert frames.only_roots(source, flags).count() == 3
+    out = {r["frame_idx"]: bytes(r["px"]) for r in tiles.processed(source, flags, tile=48, natural=0.0, strength=0.5).collect()}
+    assert len(out) == 5 and out[2] == out[3]
+    assert np.frombuffer(out[0], np.uint8).max() == 0 and (np.frombuffer(out[4], np.uint8) == (61 * (256 - 112) + 60 * 112) >> 8).all()
+    motion = tiles.stabilised(tiles.inferred(source, tile=48), flags, method="motion")
+    assert motion.count() == 5
+
+
+def test_two_passes_crops_and_sizes(spark):
+    source = clip(spark, [7])
+    assert tuple(tiles.inferred(source, tile=64, passes=2).select("width", "height").first()) == (64 * 16, 48 * 16)
+    assert tuple(tiles.inferred(source, tile=64, pre2=True).select("width", "height").first()) == (256, 192)
+    assert tuple(tiles.cropped(source, 32).select("width", "height").first()) == (32, 32)
+    assert tuple(tiles.rendered(source, "AUTO", 0.3, (30, 20)).select("width", "height").first()) == (30, 20)
+
+
+def test_content_default_for_videos_without_frames(spark):
+    videos = spark.createDataFrame([("v",), ("none",)], "video_id string")
+    out = {r["video_id"]: (r["recommended"], r["color_fix"]) for r in frames.classified(frames.content_scores(clip(spark, [0])), videos).collect()}
+    assert out == {"v": ("ANIME", True), "none": ("NATURAL", False)}
+
+
+@pytest.mark.parametrize("w,h", [(1, 1), (111, 113), (112, 128), (129, 300)])
+def test_tile_grid_covers_exactly_once(spark, w, h):
+    grid = tiles.tile_grid(spark.createDataFrame([(w, h)], "width int, height int")).collect()
+    seen = np.zeros((h, w), int)
+    for r in grid:
+        seen[r["y0"] : r["y1"], r["x0"] : r["x1"]] += 1
+        assert r["origin_x"] <= r["x0"] and r["x1"] <= max(r["origin_x"] + 128, w) and 0 <= r["origin_y"] <= max(h - 128, 0)
+    assert (seen == 1).all()
+    assert tiles.tile_grid(spark.createDataFrame([(0, 5)], "width int, height int")).count() == 0
+
+
+def test_folds_run_in_order_over_many_batches(spark):
+    df = spark.range(3000).selectExpr("id % 3 as k", "id as i", "id * 7 % 101 as v").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    out = folds.folded(df, ["k"], ["i"], ["v"], folds.iir(), "f", "bigint").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    step = folds.iir()
+    want = {}
+    for k in range(3):
+        state = None
+        for i in range(k, 3000, 3):
+            state, want[k, i] = step(state, (i * 7 % 101,))
+    assert {(r["k"], r["i"]): r["f"] for r in out} == want
+
+
+def test_arbitration(spark):
+    step = folds.arbitration()
+    state, got = None, []
+    for mine, force in ((5, False), (3, False), (7, False), (7, False), (0, False), (6, False), (2, True), (3, False)):
+        state, ok = step(state, (mine, force, True, 100))
+        got.append(ok)
+    assert got == [True, False, True, True, False, False, True, True]
+    assert folds.arbitration()(7, (1, False, False, 9)) == (1, True)  # no tunnel: accepted
+    assert folds.arbitration()(None, (0, False, True, 9)) == (9, True)  # a missing session stores the time
+
+
+def test_throttle_and_ema():
+    step, state, got = folds.throttle(400), None, []
+    for t in (0, 100, 399, 400, 700, 800, 1300):
+        state, ok = step(state, (t,))
+        got.append(ok)
+    assert got == [True, False, False, True, False, True, True]
+    assert folds.ema()(None, (1000.0, True))[1] == pytest.approx(2400) and folds.ema()(10.0, (5.0, False))[1] == 10.0
+
+
+def test_queue_state(spark):
+    log = [(1, 1, "ENQUEUE"), (2, 2, "ENQUEUE"), (3, 3, "ENQUEUE"), (4, 1, "START"), (5, 3, "REMOVE"), (6, 1, "REMOVE"), (7, None, "CANCEL_ALL"), (8, 4, "ENQUEUE"), (9, 2, "REMOVE")]
+    state = control.queue_state(spark.createDataFrame(log, "seq bigint, job_id bigint, action string"))
+    assert rows(state) == [(1, "CANCELLED"), (2, "CANCELLED"), (4, "WAITING")]
+    assert control.next_job(state).first()["job_id"] == 4 and rows(control.queue_counts(state)) == [("CANCELLED", 2), ("WAITING", 1)]
+
+
+def test_failover_health_and_rank(spark):
+    tries = spark.createDataFrame([(1, 0, False, None, "a"), (1, 1, True, "x", None), (1, 2, True, "y", None), (2, 0, False, None, "a"), (2, 1, False, None, "b")], "request_id int, rank int, ok boolean, result string, error string")
+    assert rows(control.failover(tries)) == [(1, "x", 1, None), (2, None, None, "b")]
+    hosts = spark.createDataFrame([(0, "a", True, 7), (1, "b", True, None), (2, "c", False, 0), (3, "d", True, 2)], "pos int, host string, up boolean, queue int")
+    assert [r["host"] for r in control.ranked(hosts).orderBy("rank").collect()] == ["b", "d", "a"]
+    assert tuple(control.health(hosts).first()) == (True, "b")
+
+
+def test_backend_texts(spark):
+    df = spark.createDataFrame([("https://a/|1|2|3, ,b|0|0|x,c", ""), ("z", " https://d|x ")], "s string, d string")
+    got = [tuple(r)[2:] for r in control.parsed_backends(df, "s", "d").collect()]
+    assert got == [(0, "https://a", 1, 2, 3), (1, "b", 0, 3, 2), (2, "c", 0, 3, 2), (0, "https://d", 0, 3, 2)]
+
+
+def test_liveness_and_kick(spark):
+    mine = spark.createDataFrame([("a", 10, 5), ("b", 20, 5), ("c", 20, 50_000), ("d", 20, 5)], "host string, session_start int, age_s int")
+    live = spark.createDataFrame([("a", 10), ("b", 20)], "host string, session_start int")
+    assert rows(control.liveness(mine, live).select("host", "action")) == [("a", "EXIT"), ("b", "STAY"), ("c", "EXIT"), ("d", "REGISTER")]
+    assert control.kicked(live, 20).count() == 1
+
+
+def test_caches(spark):
+    cache = spark.createDataFrame([("a", 1)], "key string, v int")
+    fresh = spark.createDataFrame([("a", 2), ("b", 3), ("b", 3)], "key string, v int")
+    assert rows(control.merged_cache(cache, fresh)) == [("a", 1), ("b", 3)]
+    hits, misses = control.hits_and_misses(fresh.select("key"), cache)
+    assert hits.count() == 1 and misses.count() == 2
+    bodies = spark.createDataFrame([(bytearray(b"x" * n),) for n in (99, 100, 8_000_000, 8_000_001)], "body binary")
+    assert control.valid_bodies(bodies).count() == 2
+
+
+def test_history_and_settings(spark):
+    items = spark.createDataFrame([(f"u{i}", i) for i in range(40)], "uri string, ts_ms bigint")
+    text = control.history_json(items).first()["json"]
+    assert [x["ts_ms"] for x in json.loads(text)] == list(range(39, 9, -1))
+    back = spark.createDataFrame([(text,), (None,), ("{",)], "t string").select(F.size(control.history_rows(F.col("t"), "uri string, ts_ms bigint")).alias("n"))
+    assert [r["n"] for r in back.collect()] == [30, 0, 0]
+    s = spark.createDataFrame([('{"model": "ANIME", "preset": "?", "natural": 0.25}',), ("nope",), (None,)], "j string").select(S.settings("j").alias("s")).collect()
+    assert [(r["s"]["model"], r["s"]["preset"], r["s"]["natural"]) for r in s] == [("ANIME", "BALANCED", 0.25), ("NATURAL", "BALANCED", 1.0), ("NATURAL", "BALANCED", 1.0)]
+
+
+def test_jobs_sources_and_models(spark):
+    src = spark.createDataFrame([(0, "a", 60_000), (1, "b", 5_000)], "pos int, uri string, duration_ms bigint")
+    assert rows(control.expanded_jobs(src, (1000, 4000)).select("uri", "start_ms", "end_ms")) == [("a", 1000, 4000), ("b", 0, 0)]
+    assert rows(control.expanded_jobs(src, (1000, 0), quick=True).select("uri", "start_ms", "end_ms")) == [("a", 1000, 11_000)]
+    up = control.upserted(src, spark.createDataFrame([("b", 9)], "uri string, duration_ms bigint"), "uri")
+    assert rows(up.select("uri", "duration_ms")) == [("a", 60_000), ("b", 9)]
+    models = spark.createDataFrame([("A", None), ("B", "u"), ("C", "u")], "name string, download_url string")
+    files = spark.createDataFrame([("B", 1_000_000), ("C", 1_000_001)], "name string, size_bytes bigint")
+    assert control.availability(models, files).first()["available"] == {"A": True, "B": False, "C": True}
+    settings = spark.createDataFrame([("v", "NATURAL", "OFF"), ("w", "ULTRA_PLUS", "VIVID")], "video_id string, model string, color string")
+    found = spark.createDataFrame([("v", "ANIME", True), ("w", "ANIME", True)], "video_id string, recommended string, color_fix boolean")
+    assert rows(control.applied_analysis(settings, found)) == [("v", "ANIME", "AUTO"), ("w", "ULTRA_PLUS", "VIVID")]
+
+
+def test_packets(spark):
+    packets = spark.createDataFrame([("v", "video/a", t) for t in (0, 10, 20)] + [("v", "audio/b", t) for t in (5, 15, 25, 35)], "video_id string, track string, pts_us bigint")
+    assert rows(control.track_range(packets, 10, 20, "video/").select("pts_us")) == [(0,), (10,)]
+    out = control.interleaved(packets.where("track like 'video%'"), packets.where("track like 'audio%'"), shortest=True)
+    assert [r["pts_us"] for r in out.collect()] == [0, 5, 10, 15, 20]
+
+
+def test_reorder_prefix_stops_at_a_gap(spark):
+    df = spark.createDataFrame([(0, i) for i in (4, 0, 3, 1)], "v int, i int")
+    assert rows(frames.reordered_prefix(df, ["v"], "i")) == [(0, 0), (0, 1)]
+
+
+def test_weights_and_architecture(spark):
+    a = spark.createDataFrame([("w", [1.0, 2.0])], "name string, values array<float>")
+    b = spark.createDataFrame([("w", [3.0, 6.0])], "name string, values array<float>")
+    assert tiles.blended_weights(a, b).first()["values"] == [2.0, 4.0]
+    names = spark.createDataFrame([(f"body.{i}.weight",) for i in range(35)], "name string")
+    assert tiles.architecture(names).first()["num_conv"] == 16
+
+
+def test_small_expressions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("x")).first()["x"]
+    assert value(S.swizzle(F.lit(0x11223344))) == 0x11443322
+    assert [value(S.known_scale(F.lit(t))) for t in ("2", "8", "3", "x", None)] == [2, 8, 4, 4, 4]
+    assert [value(S.natural(F.lit(t))) for t in ("0.3", "9", "-2", "nan", None)] == [0.3, 1.0, 0.0, 0.5, 0.5]
+    assert value(S.host_label(F.lit("x.shared.y"), {"shared": "pool"}, "own")) == "pool"
+    assert value(S.localised(F.lit("fr"), {"en": "a", "de": "b"}, "en")) == "a"
+    assert [value(S.auto_target(F.lit(h))) for h in (360, 540, 541)] == ["P1080", "P2160", "AUTO"]
+    assert value(S.smoothstep(0.0, 2.0, F.lit(1.0))) == 0.5 and value(S.remote_name(F.lit("?"))) == "natural"
+    assert value(control.routed_model(F.lit("natural"), F.lit(0.3))) == "general"
+    assert value(S.plan_label(F.lit("P720"), F.lit("HIGH"), F.lit("CLOUD"))) == "720p - high - cloud"
+    size = S.output_size(*map(F.lit, (144, 256, 90, "HIGH", "P1080")))
+    assert tuple(value(size)) == (1080, 1920)
+    assert value(S.effective_tile(F.lit(160), F.lit("ULTRA_PLUS"))) == 80 and value(S.sharpen_amount(F.lit("FAST"), F.lit(0.5))) == pytest.approx(0.65)
+    assert value(video.display_name(F.lit(None).cast("string"), F.lit("content://x/clip"))) == "clip"
+    probe = spark.createDataFrame([(None, None, 60, 2000), (240.0, None, 0, 1000), (None, 0.5, 0, 1000)], "track_fps double, capture_fps double, frames int, duration_ms int")
+    assert rows(video.probed(probe).select("fps", "frame_count")) == [(30.0, 30), (30.0, 30), (30.0, 60)]
+
+
+def test_events_and_health(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.txt").write_text('event: m\ndata: {"stage": "processing", "progress": 0.5}\n\n: ping\n\ndata: nope\n\ndata: {"stage": "odd"}\n\ndata: {"stage": "done", "url": "u"}\n\n')
+    got = video.parsed_events(video.read_events(spark, str(tmp_path / "e"))).select("stage", "progress", "url")
+    assert rows(got) == [("done", None, "u"), ("processing", 0.5, None)]
+    health = spark.createDataFrame([('{"ok": true, "gpu": "g"}',), (None,)], "body string")
+    assert [r["ok"] for r in video.parsed_health(health).collect()] == [True, False]
+
+
+def test_raw_video_round_trip(spark, tmp_path):
+    path = f"file://{tmp_path}/clips"
+    source = clip(spark, [16, 90, 200, 40, 60], "a").union(clip(spark, [5, 250], "b"))
+    video.write_video(source, path, fps="25:1")
+    assert sorted(os.listdir(tmp_path / "clips")) == ["a.y4m", "b.y4m"]
+    back = {(r["video_id"], r["frame_idx"]): r for r in video.read_video(spark, path, framesPerPartition=2).collect()}
+    assert len(back) == 7 and back["a", 3]["pts_us"] == 120_000
+    for r in source.collect():
+        mine = pixels.frame(bytes(back[r["video_id"], r["frame_idx"]]["px"]), 64, 48)
+        assert np.abs(mine.astype(int) - r["px"][0]).max() <= 3
+    part = video.read_video(spark, path, startUs=40_000, endUs=120_000).where("video_id = 'a'").orderBy("frame_idx").collect()
+    assert [(r["frame_idx"], r["pts_us"]) for r in part] == [(0, 0), (1, 40_000), (2, 80_000)]
+    narrow = video.read_video(spark, path).where("frame_idx >= 1 and frame_idx < 3")
+    assert narrow.count() == 3
+    audio_only = video.read_bodies(spark, str(tmp_path / "clips"))
+    assert audio_only.count() == 2
+    with pytest.raises(ValueError):
+        video.header(b"RIFF W1 H1\n")
+
+
+def test_sample_points_prefer_the_earlier(spark):
+    clips = spark.createDataFrame([("v", 1)], "video_id string, duration_ms bigint")
+    points = spark.createDataFrame([("v", 0, 100, True), ("v", 1, 900, True), ("v", 2, 500, False)], "video_id string, frame_idx bigint, pts_us bigint, is_key boolean")
+    assert rows(frames.sample_points(points, clips)) == [("v", 0.15, 0, 100), ("v", 0.5, 0, 100), ("v", 0.85, 1, 900)]
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).limit(1).count() == 1
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(Q.ORACLES) <= set(Q.QUERIES)
