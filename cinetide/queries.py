@@ -567,14 +567,161 @@ def tile_benchmark(spark, sf):
     return rows.groupBy("s_suppkey").agg(F.round(F.avg("ms"), 6).alias("ms"))
 
 
+# ---- more of the inventory ----
+
+
+@query("select doc_id, octet_length(encode(text)) as size from documents where octet_length(encode(text)) between 100 and 8000000")
+def valid_bodies(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("body"))
+    return control.valid_bodies(rows).select("doc_id", F.octet_length("body").cast("long").alias("size"))
+
+
+@query("""
+with k as (select doc_id, lang, sha256(text) || '-' || lang || '-' || (['0.50', '1.00', '0.25'])[doc_id % 3 + 1] as key from documents)
+select key, min(doc_id) as doc_id, count(*) as requests from k group by 1""")
+def cache_keys(spark, sf):
+    """L13 with the resolved model and natural to two decimals, so that 0.5 and 0.50 are one key."""
+    raw = F.get(F.array(F.lit("0.5"), F.lit("1"), F.lit("0.250")), (F.col("doc_id") % 3).cast("int"))
+    natural = F.format_string("%.2f", S.natural(raw))
+    rows = read(spark, sf, "documents").select("doc_id", control.content_key("text", F.col("lang"), natural).alias("key"))
+    return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("requests"))
+
+
+@query("""
+with c as (select sha256(text) as key, min(doc_id) as doc_id from documents where doc_id % 2 = 0 group by 1), f as (select sha256(text) as key, min(doc_id) as doc_id from documents where doc_id % 2 = 1 group by 1)
+select key, doc_id from c union all select key, doc_id from f where key not in (select key from c)""")
+def cache_merge(spark, sf):
+    rows = read(spark, sf, "documents").select("doc_id", control.content_key("text").alias("key"))
+    part = lambda n: rows.where(F.col("doc_id") % 2 == n).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return control.merged_cache(part(0), part(1))
+
+
+@query("""
+select a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: cast(cast(a.embedding[i] * 0.5 + b.embedding[i] * 0.5 as float) as double))), 5) as total
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def weight_blend(spark, sf):
+    """J11 on vectors as tensors: each with the next one."""
+    rows = read(spark, sf, "embeddings").select(F.col("vec_id").alias("name"), F.col("embedding").alias("values"))
+    out = tiles.blended_weights(rows, rows.select((F.col("name") - 1).alias("name"), "values"))
+    return out.select(F.col("name").alias("vec_id"), F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+
+
+@query("select cast((max(p_size) - 2) // 2 as bigint) as num_conv from part")
+def architecture(spark, sf):
+    names = read(spark, sf, "part").select(F.concat(F.lit("body."), "p_size", F.lit(".weight")).alias("name"))
+    return tiles.architecture(names).select(F.col("num_conv").cast("long").alias("num_conv"))
+
+
+@query("""
+with s as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) - 1 as pos, o_orderkey % 90000 as duration_ms from orders)
+select o_custkey, o_orderkey, case when pos = 0 then 1000 else 0 end::bigint as start_ms, case when pos = 0 then 4000 else 0 end::bigint as end_ms from s""")
+def job_expansion(spark, sf):
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    rows = read(spark, sf, "orders").select("o_custkey", "o_orderkey", place.alias("pos"), (F.col("o_orderkey") % 90000).alias("duration_ms"))
+    return control.expanded_jobs(rows, (1000, 4000)).select("o_custkey", "o_orderkey", "start_ms", "end_ms")
+
+
+@query("""
+select c_custkey, case when c_custkey % 4 = 0 then 'ULTRA_PLUS' when c_custkey % 2 = 0 then case when c_custkey % 3 = 0 then 'ANIME' else 'GENERAL_DENOISE' end else 'NATURAL' end as model,
+  case when c_custkey % 2 = 0 and c_custkey % 5 < 2 and c_custkey % 7 <> 0 then 'AUTO' when c_custkey % 7 = 0 then 'VIVID' else 'OFF' end as color from customer""")
+def analysis_applied(spark, sf):
+    key = F.col("c_custkey")
+    rows = read(spark, sf, "customer").select(key.alias("video_id"), F.when(key % 4 == 0, "ULTRA_PLUS").otherwise("NATURAL").alias("model"), F.when(key % 7 == 0, "VIVID").otherwise("OFF").alias("color"))
+    found = read(spark, sf, "customer").where(key % 2 == 0).select(key.alias("video_id"), F.when(key % 3 == 0, "ANIME").otherwise("GENERAL_DENOISE").alias("recommended"), (key % 5 < 2).alias("color_fix"))
+    return control.applied_analysis(rows, found).withColumnRenamed("video_id", "c_custkey")
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'new ' || s_name else s_name end as s_name, case when s_suppkey % 6 = 0 then 0.0 else s_acctbal end::double as s_acctbal from supplier")
+def source_upsert(spark, sf):
+    rows = read(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    updates = rows.where("s_suppkey % 3 = 0").select("s_suppkey", F.concat(F.lit("new "), "s_name").alias("s_name"), F.when(F.col("s_suppkey") % 6 == 0, 0.0).alias("s_acctbal"))
+    return control.upserted(rows, updates, "s_suppkey")
+
+
+@query("""
+with r as (select p_partkey, case when p_partkey % 3 = 0 then p_size::double end as t, case when p_partkey % 5 = 0 then p_size * 4.0::double end as c, p_partkey % 900 as n, p_partkey % 4 * 1000 as ms from part),
+f as (select *, coalesce(case when t > 1 then t end, case when c > 1 then c end, case when ms > 0 and n * 1000.0::double / nullif(ms, 0) > 1 then n * 1000.0::double / nullif(ms, 0) end, 30.0::double) as raw from r)
+select p_partkey, round(case when raw > 120 then 30.0::double else raw end, 6) as fps, cast(case when n > 0 then n else floor(ms / 1000.0::double * case when raw > 120 then 30.0::double else raw end) end as bigint) as frame_count from f""")
+def metadata_probe(spark, sf):
+    key = F.col("p_partkey")
+    rows = read(spark, sf, "part").select(
+        key, F.when(key % 3 == 0, F.col("p_size").cast("double")).alias("track_fps"), F.when(key % 5 == 0, F.col("p_size") * F.lit(4.0)).alias("capture_fps"), (key % 900).alias("frames"), (key % 4 * 1000).alias("duration_ms")
+    )
+    return video.probed(rows).select("p_partkey", F.round("fps", 6).alias("fps"), "frame_count")
+
+
+@query("""
+with m as (select s_suppkey, s_name as host, s_suppkey % 50 as start, s_suppkey * 1000 % 60000 as age from supplier), l as (select s_name as host, s_suppkey % 50 as start from supplier where s_suppkey % 3 <> 0 and s_suppkey % 50 < 40)
+select m.s_suppkey, case when (select max(start) from l) > m.start or age >= 42000 then 'EXIT' when m.host not in (select host from l) then 'REGISTER' else 'STAY' end as action from m""")
+def session_liveness(spark, sf):
+    key = F.col("s_suppkey")
+    mine = read(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("host"), (key % 50).alias("session_start"), (key * 1000 % 60000).alias("age_s"))
+    live = read(spark, sf, "supplier").where((key % 3 != 0) & (key % 50 < 40)).select(F.col("s_name").alias("host"), (key % 50).alias("session_start"))
+    return control.liveness(mine, live).select("s_suppkey", "action")
+
+
+@query(f"""
+select p_partkey, case when model in ('NATURAL', 'GENERAL') and fps / 100 >= 0.35 then 'natural' when model = 'NATURAL' then 'general' when model = 'GENERAL' then 'general' when model = 'GENERAL_DENOISE' then 'denoise'
+    when model = 'ANIME' then 'anime' else 'heavy' end as routed,
+  cast(case when {_HEIGHT} = 0 then 4 when {_HEIGHT}::double / least(width, height) <= 2.2 then 2 else 4 end as bigint) as scale, case when height <= 360 then 'P1080' when height <= 540 then 'P2160' else 'AUTO' end as auto_target,
+  cast(case when model = 'ULTRA_PLUS' then 80 else 160 end as bigint) as tile, round(case when preset = 'FAST' then 0.35::double + 0.6::double * (p_partkey % 10 / 10.0::double) else 0.6::double * (p_partkey % 10 / 10.0::double) end, 6) as sharpen,
+  case when {_HEIGHT} = 0 then 'x4' else {_HEIGHT}::varchar || 'p' end || ' - ' || lower(preset) || ' - ' || lower(compute) as label from ({_CLIP})""")
+def request_parameters(spark, sf):
+    """C15, C24, C26, C30, C31, C36, J7."""
+    share = F.col("p_partkey") % 10 / F.lit(10.0)
+    return _clips(spark, sf).select(
+        "p_partkey", control.routed_model(S.remote_name("model"), F.col("fps") / 100).alias("routed"), S.remote_scale("target", "width", "height").cast("long").alias("scale"),
+        S.auto_target("height").alias("auto_target"), S.effective_tile(F.lit(160), "model").cast("long").alias("tile"), F.round(S.sharpen_amount("preset", share), 6).alias("sharpen"),
+        S.plan_label("target", "preset", "compute").alias("label"),
+    )
+
+
+@query("""
+select s_suppkey, case when s_name like '%1' then 'shared' else 'own' end as gpu, case when s_suppkey % 4 = 0 then 'Supplier' when s_suppkey % 4 = 1 then 'clip' || s_suppkey when s_suppkey % 4 = 2 then 'video' else s_name end as name,
+  case s_nationkey % 3 when 0 then 'stop' when 1 then 'halt' else 'stop' end as text from supplier""")
+def labels_and_names(spark, sf):
+    """A17, C32, C33."""
+    key = F.col("s_suppkey")
+    name = F.when(key % 4 == 0, "Supplier").when(key % 4 == 3, F.col("s_name"))
+    uri = F.when(key % 4 == 1, F.concat(F.lit("content://media/clip"), key)).otherwise("")
+    lang = F.get(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), F.col("s_nationkey") % 3)
+    rows = read(spark, sf, "supplier").withColumn("host", F.when(F.col("s_name").endswith("1"), "x.pool.net").otherwise("y.net"))
+    return rows.select("s_suppkey", S.host_label("host", {"pool": "shared"}, "own").alias("gpu"), video.display_name(name, uri).alias("name"), S.localised(lang, {"en": "stop", "de": "halt"}, "en").alias("text"))
+
+
 @query("""
-with e as (select user_id, event_id, cast(epoch_ms(ts) as bigint) as ms from events)
-select user_id, count(*) as reports from e where event_id % 2 = 0 group by 1""")
-def report_counts(spark, sf):
-    """G12 with a gap of 0: every report passes; the throttle itself is compared with a loop in the tests."""
-    rows = read(spark, sf, "events").where("event_id % 2 = 0").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    out = folds.folded(rows, ["user_id"], ["event_id"], ["ms"], folds.throttle(-(10**15)), "passes", "boolean")
-    return out.where("passes").groupBy("user_id").agg(F.count("*").alias("reports"))
+with recursive e as (select user_id, event_id, cast(epoch_ms(ts) as bigint) as ms, row_number() over (partition by user_id order by ts, event_id) as i from events),
+t as (select user_id, event_id, i, ms as last, true as passes from e where i = 1
+  union all select e.user_id, e.event_id, e.i, case when e.ms - t.last >= 43200000 then e.ms else t.last end, e.ms - t.last >= 43200000 from t join e on e.user_id = t.user_id and e.i = t.i + 1)
+select user_id, event_id, passes from t""")
+def report_throttle(spark, sf):
+    """At most one report in twelve hours."""
+    rows = read(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return folds.folded(rows, ["user_id"], ["ms", "event_id"], ["ms"], folds.throttle(43_200_000), "passes", "boolean").select("user_id", "event_id", "passes")
+
+
+@query("""
+with recursive o as (select o_orderpriority, o_orderkey, o_custkey % 800 as mine, o_orderkey % 40 = 0 as force, o_custkey % 9 <> 0 as tunnel, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) as i from orders),
+t as (select o_orderpriority, o_orderkey, i, case when mine = 0 then 1 else mine end as state, true as accepted from o where i = 1
+  union all select o.o_orderpriority, o.o_orderkey, o.i, case when not force and mine < state and tunnel then state when mine = 0 then 1 else mine end, not (not force and mine < state and tunnel)
+  from t join o on o.o_orderpriority = t.o_orderpriority and o.i = t.i + 1)
+select o_orderpriority, o_orderkey, accepted from t""")
+def registration_forced(spark, sf):
+    """L4 in full: forced and tunnel-less registrations may lower the state."""
+    rows = read(spark, sf, "orders").select(
+        "o_orderpriority", "o_orderdate", "o_orderkey", (F.col("o_custkey") % 800).alias("mine"), (F.col("o_orderkey") % 40 == 0).alias("force"), (F.col("o_custkey") % 9 != 0).alias("is_tunnel"), F.lit(1).alias("now")
+    )
+    out = folds.folded(rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ["mine", "force", "is_tunnel", "now"], folds.arbitration(), "accepted", "boolean")
+    return out.select("o_orderpriority", "o_orderkey", "accepted")
+
+
+@query(f"""
+with s as (select p_partkey, {_cost_sql('preset', 'model', 'compute')} as seconds, width from ({_CLIP})) select width::bigint as width, cast(floor(round(sum(seconds), 3)) as bigint) as seconds from s group by 1""")
+def selection_time(spark, sf):
+    """the estimated time of each selection (clips of one width), in whole seconds."""
+    seconds = planner.estimated_seconds(_columns(), F.col("preset"), F.col("model"), F.col("compute"))
+    rows = _clips(spark, sf).select(F.col("width").cast("long").alias("width"), seconds.alias("seconds"))
+    return rows.groupBy("width").agg(F.floor(F.round(F.sum("seconds"), 3)).cast("long").alias("seconds"))
 
 
 # ---- frames for real: rows only ----
