@@ -256,3 +256,20 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries()) and set(Q.ORACLES) <= set(Q.QUERIES)
+
+
+def test_images_in_order_of_their_names(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(pixels_):
+        part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+        raw = b"".join(b"\0" + bytes(x for px in row for x in px) for row in pixels_)
+        head = struct.pack(">IIBBBBB", len(pixels_[0]), len(pixels_), 8, 2, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+    (tmp_path / "clip").mkdir()
+    (tmp_path / "clip" / "b.png").write_bytes(png([[(1, 2, 3), (4, 5, 6)]]))
+    (tmp_path / "clip" / "a.png").write_bytes(png([[(9, 8, 7), (0, 0, 255)]]))
+    got = video.read_images(spark, str(tmp_path / "clip")).orderBy("frame_idx").collect()
+    assert [(r["video_id"], r["frame_idx"], r["width"], r["height"], list(r["px"])) for r in got] == [("clip", 0, 2, 1, [9, 8, 7, 0, 0, 255]), ("clip", 1, 2, 1, [1, 2, 3, 4, 5, 6])]
