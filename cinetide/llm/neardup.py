@@ -236,12 +236,13 @@ def hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
 def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that hubs do not have, from buckets of three or more in several components."""
     rows = members.where("n > 2").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    of_key = rows.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("component"))).alias("main")
-    )
-    rows = saved(rows.join(saved(of_key.where("lo < hi").select("key", "main"), "mixed"), "key"), "mixed-members")
-    left = rows.where("component <> main").groupBy("key").agg(F.count("*").alias("left"), F.sum("n_shingles").alias("left_shingles"))
-    rows = rows.join(saved(left, "left"), "key")
+    rows = saved(rows, "bucket-parts")
+    own = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.bool_or(F.col("doc_id") == F.col("hub")).alias("with_hub"))
+    keys = own.groupBy("key").agg(
+        F.max(F.when(F.col("with_hub"), F.col("component"))).alias("main"), F.sum(F.when(~F.col("with_hub"), F.col("size"))).alias("left"),
+        F.sum(F.when(~F.col("with_hub"), F.col("weight"))).alias("left_shingles"),
+    )
+    rows = rows.join(saved(keys.where("left > 0"), "mixed"), "key")
     blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
     rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
     spot = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
