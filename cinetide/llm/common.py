@@ -20,6 +20,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="cinetide-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -45,8 +45,8 @@ SHINGLE = 5
 SIMILARITY = 0.75
 RADIUS = 31
 BLOCKS = 8
-BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 32 << 20
+BLOCK_ITEMS = 5_000
+BLOCK_BYTES = 2 << 20
 #: Words of a text whose votes are held at once.
 REACH = 1 << 15
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_windows bigint"

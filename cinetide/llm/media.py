@@ -40,8 +40,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .common import scratch, table
 
-ARCHIVE_BYTES = 64 << 20
-RANGE_BYTES = 16 << 20
+ARCHIVE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 WIDTH = 64
@@ -131,7 +131,7 @@ def write_archives(batches: Iterable[pa.RecordBatch], directory: str) -> Iterato
                 zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
             raw = (text.as_py() or "").encode()
             zipped.writestr(zipfile.ZipInfo(f"{doc_id.as_py()}/{len(raw)}.png"), encoded(padded(raw)))
-            if out.tell() >= ARCHIVE_BYTES // 4:  # held in memory until it is full
+            if out.tell() >= ARCHIVE_BYTES:  # held in memory until it is full
                 close()
     close()
     names, sizes, members = zip(*done, strict=True) if done else ((), (), ())

@@ -262,7 +262,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     windows = known.join(hits, "doc_id").mapInArrow(candidates, WINDOWS)
     smallest = F.min("doc_id").over(Window.partitionBy("key", "rest"))
     fallen = windows.withColumn("settled", F.col("settled") | (F.col("doc_id") > smallest)).where("settled")
-    falls = fallen.groupBy("doc_id").agg(F.collect_list("first").alias("falls"))
+    falls = fallen.groupBy("doc_id").agg(F.collect_set("first").alias("falls"))
     marks = falls.join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "full_outer")
     unknown = docs.where("doc_id is null").select("*", F.array().cast("array<int>").alias("falls"), F.lit(False).alias("copy"))
     return known.join(marks, "doc_id", "left").mapInArrow(finished, FINISHED).union(unknown.mapInArrow(finished, FINISHED))
