@@ -47,8 +47,8 @@ from .bytestext import Words, chunks
 from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 400_000
-ARCS = 400_000
+CACHE = 500_000
+ARCS = 600_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _SPACE_BYTES = SPACE.encode()
