@@ -51,6 +51,8 @@ MINIMA = BANDS * ROWS
 LEAST_EQUAL = 72
 #: Members, and shingles, of a block.
 BLOCK, BLOCK_SHINGLES = 256, 300_000
+#: Places where members of a mixed bucket meet its statistics.
+SALTS = 16
 #: Columns of the matrix of shingles that are held at once.
 SLICE = 4096
 ROUNDS = 60
@@ -242,7 +244,9 @@ def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFr
         F.max(F.when(F.col("with_hub"), F.col("component"))).alias("main"), F.sum(F.when(~F.col("with_hub"), F.col("size"))).alias("left"),
         F.sum(F.when(~F.col("with_hub"), F.col("weight"))).alias("left_shingles"),
     )
-    rows = rows.join(saved(keys.where("left > 0"), "mixed"), "key")
+    # Members of one bucket meet its statistics in SALTS places, so that a hot bucket has no task of its own.
+    salted = saved(keys.where("left > 0"), "mixed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
     blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
     rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
     spot = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
