@@ -246,7 +246,8 @@ def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFr
     )
     # Members of one bucket meet its statistics in SALTS places, so that a hot bucket has no task of its own.
     salted = saved(keys.where("left > 0"), "mixed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    rows = rows.join(salted.hint("merge"), ["key", "salt"]).drop("salt")  # the copies must not be broadcast
     blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
     rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
     spot = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
