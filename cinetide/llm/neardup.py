@@ -287,3 +287,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(table(spark, sf_dir, "documents"))
+
+
+#: The same result by counting common shingles of all pairs.
+ORACLE_SQL = r"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from t),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as both_have from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * both_have >= 75 * (nx.n + ny.n - both_have)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as node from t union select r.doc_id, e.y from r join e on r.node = e.x),
+c as (select doc_id, min(node) as component_id from r group by doc_id)
+select c.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, c.doc_id = component_id as kept from c left join n using (doc_id)"""

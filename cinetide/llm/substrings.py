@@ -270,3 +270,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: The same result by comparing all windows.
+ORACLE_SQL = r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 48)) as s from t where len(w) >= 50),
+windows as (select doc_id, s, sha256(array_to_string(list_slice(w, s, s + 49), ' ')) as h from starts),
+firsts as (select h, min(doc_id) as first from windows group by h),
+gone as (select distinct doc_id, unnest(range(s, s + 50)) as i from windows join firsts using (h) where doc_id > first),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from t),
+kept as (select doc_id, string_agg(word, ' ' order by i) as k from words anti join gone using (doc_id, i) group by doc_id),
+n as (select doc_id, count(*) as n from gone group by doc_id)
+select t.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from t left join kept using (doc_id) left join n using (doc_id)"""
