@@ -17,6 +17,12 @@ first.  A template of m words of which a = ceil(THRESHOLD m) are needed:
 What passes is counted exactly, so the result is that of comparing all blocks
 with all templates.
 
+Blocks end with their line, as in the SQL, so a hard-wrapped notice is compared
+line by line.  `notices` compares every run of `BLOCK` consecutive words of the
+whole text instead, whatever lines it crosses; each block lies in such a run, so
+it finds all that blocks find.  A run that matches holds a word of the template's prefix,
+so only words within `BLOCK` of one are counted.
+
 Scale: one scan for the frequencies of the templates' words (a fixed list, so
 one row per word and task is aggregated) and one for the join, without a
 shuffle of texts.  Templates are fixed and sent with the task.
@@ -146,9 +152,50 @@ def blocks_of(words: Words, at: np.ndarray) -> set[tuple[int, int]]:
     return out
 
 
+def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, float]]:
+    """Text, label and containment of each template that some BLOCK consecutive words of a text match, at its best place."""
+    hashes, doc = words.hashes(), words.doc_of_word()
+    places = np.flatnonzero(member(hashes, templates.table))
+    found = templates.order[np.searchsorted(templates.table, hashes[places])]
+    for label, ranks in templates.sets:
+        least = needed(len(ranks))
+        rare, own = (np.isin(found, r) for r in (ranks[: len(ranks) - least + 1], ranks))
+        rare, at, word = places[rare], places[own], found[own]
+        if not len(rare):
+            continue
+        k = np.searchsorted(rare, at)
+        near = (at - rare[np.maximum(k - 1, 0)] < BLOCK) & (k > 0) | (rare[np.minimum(k, len(rare) - 1)] - at < BLOCK) & (k < len(rare))
+        at, word = at[near], word[near]
+        first = np.maximum(at - BLOCK + 1, words.first[doc[at]])  # of the run that ends at the place
+        common = np.zeros(len(at), np.int64)
+        for r in ranks:
+            common += np.maximum.accumulate(np.where(word == r, at, -1)) >= first
+        best = np.zeros(len(words.counts), np.int64)
+        np.maximum.at(best, doc[at], common)
+        for d in np.flatnonzero(best >= least).tolist():
+            yield d, label, int(best[d]) / len(ranks)
+
+
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, n_blocks bigint"
 
 
+NOTICES = "doc_id bigint, base_labels string, labels string, score double"
+
+
+def phrases_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, int]]:
+    """Text, label and place (the word's number in the text) of each base phrase."""
+    hashes, doc = words.hashes(), words.doc_of_word()
+    for label, phrase in templates.phrases:
+        k = len(phrase)
+        if len(hashes) < k:
+            continue
+        at = np.flatnonzero(hashes[: len(hashes) - k + 1] == phrase[0])
+        for j in range(1, k):
+            at = at[hashes[at + j] == phrase[j]]
+        for a in at[doc[at] == doc[at + k - 1]].tolist():
+            yield int(doc[a]), label, a - int(words.first[doc[a]])
+
+
 def scan(batches: Iterable[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, offs in chunks(batch):
@@ -159,16 +206,9 @@ def scan(batches: Iterable[pa.RecordBatch], templates: Templates) -> Iterator[pa
             base: list[set[str]] = [set() for _ in range(n)]
             more: list[set[str]] = [set() for _ in range(n)]
             score, blocks = [0.0] * n, [0] * n
-            for label, phrase in templates.phrases:
-                k = len(phrase)
-                if len(hashes) < k:
-                    continue
-                at = np.flatnonzero(hashes[: len(hashes) - k + 1] == phrase[0])
-                for j in range(1, k):
-                    at = at[hashes[at + j] == phrase[j]]
-                for a in at[doc[at] == doc[at + k - 1]].tolist():
-                    places[doc[a]].append(a - int(words.first[doc[a]]))
-                    base[doc[a]].add(label)
+            for d, label, place in phrases_in(words, templates):
+                places[d].append(place)
+                base[d].add(label)
             for lo, hi in blocks_of(words, np.flatnonzero(member(hashes, templates.prefix))) if len(hashes) else ():
                 if found := templates.matches(hashes[lo:hi]):
                     d = int(doc[lo])
@@ -191,6 +231,34 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: scan(it, templates), SCHEMA)
 
 
+def scan_notices(batches: Iterable[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, buf, offs in chunks(batch):
+            words = Words(LOWER[buf], offs, ALNUM)
+            base: list[set[str]] = [set() for _ in range(part.num_rows)]
+            more: list[set[str]] = [set() for _ in range(part.num_rows)]
+            score = [0.0] * part.num_rows
+            for d, label, _ in phrases_in(words, templates):
+                base[d].add(label)
+            for d, label, share in notices_in(words, templates):
+                more[d].add(label)
+                score[d] = max(score[d], share)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(sorted(b | m)) for b, m in zip(base, more, strict=True)], pa.string()), pa.array(score, pa.float64())],
+                [c.split()[0] for c in NOTICES.split(", ")],
+            )
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """Labels and best score of each text by runs of words over its whole length."""
+    templates = Templates(frequencies(docs))
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: scan_notices(it, templates), NOTICES)
+
+
+def op8_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices(table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 

@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": media.op6,
     "op7_neardup": neardup.op7,
     "op8_licences": licences.op8,
+    "op8_notices": licences.op8_notices,
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
 }

@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import re
 import zlib
 
 import duckdb
@@ -186,6 +188,49 @@ def test_templates_are_found_at_any_place_of_a_line(gap):
         assert label in row["labels"].split(",") and row["score"] == 1.0
 
 
+def _notices(texts, templates=None):
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    return pa.Table.from_batches(list(licences.scan_notices([batch], templates or licences.Templates({})))).to_pylist()
+
+
+@pytest.mark.parametrize("width", [1, 3, 7, 11])
+@pytest.mark.parametrize("gap", [0, 31, 64, 95])
+def test_wrapped_notices_are_found(gap, width):
+    for label, text in licences.TEMPLATES:
+        words = ["filler"] * gap + text.split() + ["more"] * 40
+        wrapped = "\n".join(" * " + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+        (row,) = _notices([wrapped])
+        assert label in row["labels"].split(",") and row["score"] == 1.0
+
+
+def test_notices_equal_all_runs_and_hold_all_of_the_blocks(spark, odd, empty):
+    rng = random.Random(3)
+    vocabulary = sorted({w for _, t in licences.TEMPLATES for w in t.split()})
+    texts = [None, "", "x"]
+    for _ in range(300):
+        _, text = rng.choice(licences.TEMPLATES)
+        own = [x for w in text.split() if rng.random() < 0.93 for x in [w] + ["other"] * rng.choice([0, 0, 0, 1, 4])]
+        around = [[rng.choice([*vocabulary, "a1", "b2"]) for _ in range(rng.randint(0, 50))] for _ in range(2)]
+        texts.append("".join(w + rng.choice("   \n") for w in [*around[0], *own, *around[1]]))
+    got = [(r["labels"], r["score"]) for r in _notices(texts)]
+    want = []
+    for text in texts:
+        words, found = re.findall("[0-9a-z]+", text or ""), {}
+        for label, t in licences.TEMPLATES:
+            own = set(t.split())
+            best = max((len(own & set(words[i : i + licences.BLOCK])) for i in range(max(1, len(words) - licences.BLOCK + 1))), default=0)
+            if best >= licences.needed(len(own)):
+                found[label] = max(found.get(label, 0), best / len(own))
+        base = {label for phrase, label in licences.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+        want.append((",".join(sorted(base | set(found))), max(found.values(), default=0.0)))
+    assert got == want and sum(score > 0 for _, score in got) > 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    for (labels, score), row in zip(got, pa.Table.from_batches(list(licences.scan([batch], licences.Templates({})))).to_pylist(), strict=True):
+        assert set(row["labels"].split(",")) - {""} <= set(labels.split(",")) and row["score"] <= score
+    assert licences.notices(empty).count() == 0
+    assert licences.notices(odd).count() == odd.count()
+
+
 # ---- sharding ----
 
 
