@@ -20,8 +20,9 @@ with all templates.
 Blocks end with their line, as in the SQL, so a hard-wrapped notice is compared
 line by line.  `notices` compares every run of `BLOCK` consecutive words of the
 whole text instead, whatever lines it crosses; each block lies in such a run, so
-it finds all that blocks find.  A run that matches holds a word of the template's prefix,
-so only words within `BLOCK` of one are counted.
+a template found in a block is found in one.  A run that matches holds a word of the
+template's prefix, so only words within `BLOCK` of one are counted.  It must also
+hold the word that tells the template from other licences' notices (`TELLING`).
 
 Scale: one scan for the frequencies of the templates' words (a fixed list, so
 one row per word and task is aggregated) and one for the join, without a
@@ -62,6 +63,14 @@ TEMPLATES = (
     ("reserved", "all rights reserved"),
 )
 
+#: A word without which `notices` takes no run for the template; another licence's notice can have all others.
+TELLING = {
+    "released under the mit license": "mit",
+    "licensed under the apache license version 2 0": "apache",
+    "this work is licensed under the gnu general public license version 3": "gnu",
+    "licensed under cc by nc 4 0": "nc",
+}
+
 
 def needed(size: int) -> int:
     return ceil(THRESHOLD * size - 1e-9)
@@ -78,6 +87,7 @@ class Templates:
         self.order = np.argsort(hashes)
         self.table = hashes[self.order]
         self.sets = [(label, sorted({self.rank[w] for w in text.split()})) for label, text in templates]
+        self.telling = [self.rank.get(TELLING.get(text)) for _, text in templates]
         self.by_prefix: dict[int, list[int]] = {}
         for t, (_, ranks) in enumerate(self.sets):
             for r in ranks[: len(ranks) - needed(len(ranks)) + 1]:
@@ -157,7 +167,7 @@ def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, f
     hashes, doc = words.hashes(), words.doc_of_word()
     places = np.flatnonzero(member(hashes, templates.table))
     found = templates.order[np.searchsorted(templates.table, hashes[places])]
-    for label, ranks in templates.sets:
+    for (label, ranks), telling in zip(templates.sets, templates.telling, strict=True):
         least = needed(len(ranks))
         rare, own = (np.isin(found, r) for r in (ranks[: len(ranks) - least + 1], ranks))
         rare, at, word = places[rare], places[own], found[own]
@@ -167,11 +177,14 @@ def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, f
         near = (at - rare[np.maximum(k - 1, 0)] < BLOCK) & (k > 0) | (rare[np.minimum(k, len(rare) - 1)] - at < BLOCK) & (k < len(rare))
         at, word = at[near], word[near]
         first = np.maximum(at - BLOCK + 1, words.first[doc[at]])  # of the run that ends at the place
-        common = np.zeros(len(at), np.int64)
+        common, told = np.zeros(len(at), np.int64), np.ones(len(at), bool)
         for r in ranks:
-            common += np.maximum.accumulate(np.where(word == r, at, -1)) >= first
+            there = np.maximum.accumulate(np.where(word == r, at, -1)) >= first
+            common += there
+            if r == telling:
+                told = there
         best = np.zeros(len(words.counts), np.int64)
-        np.maximum.at(best, doc[at], common)
+        np.maximum.at(best, doc[at], common * told)
         for d in np.flatnonzero(best >= least).tolist():
             yield d, label, int(best[d]) / len(ranks)
 
