@@ -15,9 +15,12 @@ multi-index: 64 bits fall in `BLOCKS` blocks, and within `RADIUS` bits of an
 item's fingerprint at least one block is within RADIUS // BLOCKS bits, so every
 item within the radius is found.  Candidates are then verified exactly.
 
-How wide the radius must be: a similarity of 0.75 is a cosine of 0.857 or more,
-0.17 of all bits in the mean, 11 of 64 with a deviation of 3, so RADIUS = 31
-lies over six deviations away.  That the result is the brute-force one is tested.
+How wide the radius must be: between sets, a similarity of 0.75 is a cosine of
+0.857 or more, 0.17 of all bits in the mean, 11 of 64 with a deviation of 3, so
+RADIUS = 31 lies over six deviations away.  Repeated shingles can make the cosine
+smaller, so where the item or the window has a shingle more than once, the item
+is verified whatever its fingerprint, if enough of the window's shingles are its
+own.  That the result is the brute-force one is tested.
 
 Scale: documents are scanned once without a shuffle.  The benchmark is the
 stated query set.  It goes to the executors in blocks of at most `BLOCK_ITEMS`
@@ -31,6 +34,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -92,10 +96,14 @@ class Index:
             self.by_length.setdefault(n, []).append(k)
         self.short = [n for n in self.by_length if n < SHINGLE]
         self.multi = {n: self._multi(ks) for n, ks in self.by_length.items() if n >= SHINGLE}
+        self.repeats = [int(n.max()) > 1 for _, n in self.counts]
+        self.uneven = {n for n, again in zip(self.n_words, self.repeats, strict=True) if again}
+        self.holders: dict[tuple[int, int], list[int]] = {}  # the items of a length that have a shingle
         lengths: dict[int, set[int]] = {}
         for n, k in ((n, k) for k, n in enumerate(self.n_words) if n >= SHINGLE):
             for h in self.counts[k][0].tolist():
                 lengths.setdefault(h, set()).add(n)
+                self.holders.setdefault((h, n), []).append(k)
         self.lengths = lengths  # of the items that have a shingle
         self.table = np.array(sorted(lengths), np.uint64)
 
@@ -115,6 +123,11 @@ class Index:
             found.update(lists[(fingerprint >> (8 * b)) & 255])
         return [k for k in found if (self.prints[k] ^ fingerprint).bit_count() <= RADIUS]
 
+    def sharing(self, window: np.ndarray, length: int, again: bool) -> set[int]:
+        """Items of the length that, by the window's shingles that they have, may be similar; with `again` unset, only those that repeat a shingle."""
+        shared = Counter(k for h in window.tolist() for k in self.holders.get((h, length), ()))
+        return {k for k, n in shared.items() if (again or self.repeats[k]) and n * (1 + SIMILARITY) >= SIMILARITY * (len(window) + len(self.sets[k]))}
+
     def similarity(self, window: np.ndarray, k: int) -> float:
         """Sum of the smaller counts over the sum of the larger ones."""
         mine, n_mine = np.unique(window, return_counts=True)
@@ -136,6 +149,11 @@ class Index:
         if len(words) < SHINGLE:
             return found
         shingles = shingle_hashes(words)
+        order = np.argsort(shingles, kind="stable")
+        following = np.full(len(shingles), len(shingles) + SHINGLE)
+        same = shingles[order[1:]] == shingles[order[:-1]]
+        following[order[:-1][same]] = order[1:][same]
+        repeated = np.minimum.accumulate(following[::-1])[::-1]  # where the first repetition from each place on is complete
         places: dict[int, list[int]] = {}
         for a in np.flatnonzero(member(shingles, self.table)).tolist():
             for n in self.lengths[int(shingles[a])]:
@@ -148,8 +166,12 @@ class Index:
             for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // REACH)) + 1):  # bounds the votes held
                 lo = starts[at[0]]
                 prints[at] = simhash(shingles[lo : starts[at[-1]] + span], starts[at] - lo, span)
-            for s, f in zip(starts.tolist(), prints.tolist(), strict=True):
-                for k in self.near(f, n):
+            again = repeated[starts] < starts + span
+            for s, f, twice in zip(starts.tolist(), prints.tolist(), again.tolist(), strict=True):
+                near = self.near(f, n)
+                if twice or n in self.uneven:
+                    near = self.sharing(shingles[s : s + span], n, twice).union(near)
+                for k in near:
                     sim = self.similarity(shingles[s : s + span], k)
                     if sim >= SIMILARITY:
                         best, first, count = found.get(k, (-1.0, 0, 0))

@@ -70,3 +70,19 @@ def test_clean_keeps_columns_and_the_rest(spark, small, odd, empty):
     assert decontaminate.clean(empty, bench).count() == 0
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
     assert decontaminate.contaminated(empty, bench).count() == 0
+
+
+def test_windows_with_repeated_shingles():
+    """Runs of a word make the cosine small at a similarity of 0.75 or more."""
+    rng = random.Random(4)
+    for twice in (True, False):
+        pairs = []
+        for t in range(150):
+            own = [f"u{t}x{rng.random()}" for _ in range(179)]
+            plain = [f"v{t}x{j}" for j in range(25)]
+            pairs.append((" ".join(own + ([f"y{t}"] * 25 if twice or t % 2 else plain)), " ".join(own + ([f"z{t}"] * 25 if twice or not t % 2 else plain))))
+        index = decontaminate.Index([(t, item) for t, (item, _) in enumerate(pairs)])
+        for t, (item, text) in enumerate(pairs):
+            raw = decontaminate.np.frombuffer(text.encode(), decontaminate.np.uint8)
+            found = index.search(decontaminate.Words(raw, decontaminate.np.array([0, len(raw)])).hashes())
+            assert brute([(0, text)], [(t, item)]) == {(0, t)} and set(found) == {t}
