@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: Groups that a training sample is drawn from, the largest first.
+#: Groups whose training samples are fetched by one scan.
 GROUPS = 200
 
 
@@ -49,17 +49,20 @@ def hashed_sample(rows: DataFrame, by: str, most: int | dict) -> list[Row]:
     """At most `most` rows of each value of a column: those with the smallest hash of doc_id.
 
     The groups are counted, about twice as many rows as wanted are fetched by a
-    bound on the hash, and the driver takes the smallest; so what it receives is
-    bounded by `most` and `GROUPS`, whatever the table's size.
+    bound on the hash, by one scan for each `GROUPS` groups, and the driver takes
+    the smallest; so what it receives is bounded by `most` and the number of groups.
     """
     limit = most if isinstance(most, dict) else None
-    chosen, span = F.lit(False), 1 << 40
-    wanted = {}
-    for value, n in rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(GROUPS).collect():
-        wanted[value] = limit.get(value, 0) if limit is not None else most
-        share = min(1.0, (2 * wanted[value] + 50) / n)
-        chosen = chosen | ((F.col(by) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(share * span)))
-    found = rows.where(chosen).withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(span))).collect() if wanted else []
+    span = 1 << 40
+    found, wanted = [], {}
+    groups = rows.groupBy(by).count().orderBy(F.desc("count"), by).collect()
+    for at in range(0, len(groups), GROUPS):
+        chosen = F.lit(False)
+        for value, n in groups[at : at + GROUPS]:
+            wanted[value] = limit.get(value, 0) if limit is not None else most
+            share = min(1.0, (2 * wanted[value] + 50) / n)
+            chosen = chosen | ((F.col(by) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(share * span)))
+        found += rows.where(chosen).withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(span))).collect()
     out, taken = [], dict.fromkeys(wanted, 0)
     for r in sorted(found, key=lambda r: (r["_hash"], r["doc_id"])):
         if taken[r[by]] < wanted[r[by]]:

@@ -257,3 +257,9 @@ def test_hashed_sample_is_bounded_and_repeatable(spark):
     assert sorted(r["label"] for r in one) == [0] * 70 + [1] * 30
     assert one == hashed_sample(rows.repartition(7), "label", {1: 30, 0: 70})
     assert len(hashed_sample(rows.limit(10), "label", 100)) == 10 and hashed_sample(rows.limit(0), "label", 5) == []
+
+
+def test_hashed_sample_takes_every_value(spark):
+    rows = spark.range(1350).selectExpr("id as doc_id", "concat('l', id % 450) as lang")
+    got = hashed_sample(rows, "lang", 2)
+    assert len(got) == 900 and len({r["lang"] for r in got}) == 450
