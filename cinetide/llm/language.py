@@ -43,8 +43,8 @@ TRAIN_WORDS = 30_000
 ROUNDS = 4
 SMOOTHING = 0.1
 FLOOR = 1e-7
-#: Bytes of a word that are scored together; longer ones are cut.
-LONGEST = 48
+#: Longer words are cut where no piece crosses, and their sums rescaled every RESCALE bytes.
+LONGEST, RESCALE = 48, 16
 MARK = 0x5F  # stands for the word mark in the machine's alphabet; no word holds it
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -103,10 +103,11 @@ def lattice(trie: Trie, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray)
 
 
 def forward(starts: np.ndarray, sizes: np.ndarray, arcs: tuple[np.ndarray, ...], weight: np.ndarray) -> np.ndarray:
-    """Sum over all paths to each byte place of each word: a row per place, one more than bytes, per language.
+    """Log of the sum over all paths to each byte place of each word: a row per place, one more than bytes, per language.
 
     Place of byte b of word w is b + w.  Arcs are taken by their end's distance
     from the word's start, and among those by length, so no two add to one place.
+    In long words the places that arcs can still start at are rescaled together.
     """
     begin, end, piece = arcs
     word = np.searchsorted(starts, begin, "right") - 1
@@ -117,9 +118,23 @@ def forward(starts: np.ndarray, sizes: np.ndarray, arcs: tuple[np.ndarray, ...],
     alpha = np.zeros((int(sizes.sum()) + len(sizes), weight.shape[1]))
     alpha[starts + np.arange(len(sizes))] = 1
     breaks = np.flatnonzero(np.r_[True, (off[1:] != off[:-1]) | (size[1:] != size[:-1])]) if len(off) else np.empty(0, int)
+    scale = np.zeros_like(alpha)
+    longer, limit, reach = np.flatnonzero(sizes > LONGEST), RESCALE, int(size.max(initial=1))
     for a, b in zip(breaks.tolist(), [*breaks[1:].tolist(), len(off)], strict=True):
+        while len(longer) and off[a] >= limit:  # the places before the limit are complete
+            longer = longer[sizes[longer] >= limit]
+            zero = starts[longer] + longer
+            rows = zero[:, None] + np.arange(max(0, limit - reach), limit)
+            top = alpha[rows].max(axis=1, keepdims=True, initial=0)
+            top[top == 0] = 1
+            alpha[rows] /= top
+            scale[rows] += np.log(top)
+            for at in range(limit, limit + RESCALE):
+                there = sizes[longer] >= at
+                scale[zero[there] + at] = scale[zero[there] + limit - 1]
+            limit += RESCALE
         alpha[end[a:b] + word[a:b]] += alpha[begin[a:b] + word[a:b]] * weight[piece[a:b]]
-    return alpha
+    return np.log(np.maximum(alpha, 1e-300)) + scale
 
 
 class Identifier:
@@ -133,7 +148,7 @@ class Identifier:
         """Log probability of each word in each language."""
         arcs = lattice(self.trie, flat, starts, sizes)
         alpha = forward(starts, sizes, arcs, self.weight)
-        return np.log(np.maximum(alpha[starts + sizes + np.arange(len(sizes))], 1e-300))
+        return alpha[starts + sizes + np.arange(len(sizes))]
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Log probability of each text in each language."""
@@ -142,7 +157,7 @@ class Identifier:
         if not len(words) or not self.languages:
             return out
         _, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        flat, starts, sizes, owner = marked([words.text(i) for i in index.tolist()])
+        flat, starts, sizes, owner = marked([words.text(i) for i in index.tolist()], self.trie)
         parts = self.word_scores(flat, starts, sizes)
         per_word = np.zeros((len(index), parts.shape[1]))
         np.add.at(per_word, owner, parts)
@@ -150,22 +165,27 @@ class Identifier:
         return sums[words.first[1:]] - sums[words.first[:-1]]
 
 
-def marked(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words after the mark as one run of bytes, in parts of at most LONGEST: bytes, starts, sizes, the word of each part."""
-    parts, owner = [], []
-    for k, word in enumerate(words):
-        body = bytes([MARK]) + word
-        while len(body) > LONGEST:
-            cut = LONGEST
-            while (body[cut] & 0xC0) == 0x80 and cut > 1:
-                cut -= 1
-            parts.append(body[:cut])
-            owner.append(k)
-            body = body[cut:]
-        parts.append(body)
-        owner.append(k)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array(owner)
+def marked(words: list[bytes], trie: Trie | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words after the mark as one run of bytes: bytes, starts, sizes, the word of each part.
+
+    With a trie, words of more than LONGEST bytes are parted wherever no arc
+    crosses; every way to cut the word passes there, so the parts' sums multiply.
+    """
+    bodies = [bytes([MARK]) + word for word in words]
+    sizes = np.array([len(body) for body in bodies], np.int64)
+    long = np.flatnonzero(sizes > LONGEST) if trie is not None else np.empty(0, np.int64)
+    if not len(long):
+        return np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(sizes) - sizes, sizes, np.arange(len(words))
+    short = np.flatnonzero(sizes <= LONGEST)
+    flat = np.frombuffer(b"".join(bodies[k] for k in long.tolist()), np.uint8)
+    first = np.cumsum(sizes[long]) - sizes[long]
+    begin, end, _ = lattice(trie, flat, first, sizes[long])
+    crossed = np.cumsum(np.bincount(begin + 1, minlength=len(flat) + 1)[: len(flat) + 1] - np.bincount(end, minlength=len(flat) + 1))
+    parts = np.flatnonzero(crossed[:-1] == 0)
+    sizes_all = np.r_[sizes[short], np.diff(np.r_[parts, len(flat)])]
+    owner = np.r_[short, long[np.searchsorted(first, parts, "right") - 1]]
+    body = np.frombuffer(b"".join(bodies[k] for k in short.tolist()), np.uint8)
+    return np.r_[body, flat], np.cumsum(sizes_all) - sizes_all, sizes_all, owner
 
 
 def vocabulary(model: str) -> list[bytes]:
@@ -194,7 +214,7 @@ def fitted(texts: dict[str, list[str]], model: str = MODEL) -> Identifier:
         kept = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
         if not kept:
             continue
-        flat, starts, sizes, owner = marked([w for w, _ in kept])
+        flat, starts, sizes, owner = marked([w for w, _ in kept], trie)
         times = np.array([n for _, n in kept], float)[owner]
         arcs = lattice(trie, flat, starts, sizes)
         begin, end, piece = arcs
@@ -207,7 +227,7 @@ def fitted(texts: dict[str, list[str]], model: str = MODEL) -> Identifier:
             beta = forward(starts, sizes, back, weight)[:, 0]
             total = alpha[starts + sizes + np.arange(len(sizes))]
             mirror = starts[word] + sizes[word] - (end - starts[word]) + word  # end's place, from the word's end
-            share = alpha[begin + word] * weight[piece, 0] * beta[mirror] / total[word] * times[word]
+            share = np.exp(alpha[begin + word] + np.log(weight[piece, 0]) + beta[mirror] - total[word]) * times[word]
             own = np.bincount(piece[piece >= 0], share[piece >= 0], len(pieces))
             weight[:-1, 0] = (own + SMOOTHING) / (own.sum() + SMOOTHING * len(pieces))
         counts[:-1, k] = own

@@ -147,6 +147,29 @@ def test_long_words_are_scored_whole():
     assert scores[0].argmax() == 0 and scores[1].argmax() == 1 and np.isfinite(scores).all()
 
 
+def test_long_words_sum_over_all_cuts():
+    own = language.fitted({"aa": ["then the other then", "the then"], "bb": ["élan über de la", "de la über"]})
+    pieces = {p: i for i, p in enumerate(own.pieces)}
+
+    def whole(word, k):
+        """The forward sum of the whole word in logs, place by place."""
+        raw = bytes([language.MARK]) + word
+        alpha = [0.0] + [-np.inf] * len(raw)
+        for end in range(1, len(raw) + 1):
+            for start in range(max(0, end - own.trie.depth - 4), end):
+                part = raw[start:end]
+                if (raw[start] & 0xC0) == 0x80 or (end < len(raw) and (raw[end] & 0xC0) == 0x80):
+                    continue
+                if part in pieces:
+                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + np.log(own.weight[pieces[part], k]))
+                elif len(part.decode()) == 1:
+                    alpha[end] = np.logaddexp(alpha[end], alpha[start] + np.log(language.FLOOR))
+        return alpha[-1]
+
+    for word in ("x" * 46 + "then", "otherthen" * 40, "thenüberélan" * 25, "你好世界" * 60 + "then" * 30, "the" + "q" * 500):
+        assert np.allclose(own.scores(*laid([word, "then " + word]))[0], [whole(word.encode(), k) for k in (0, 1)])
+
+
 # ---- secrets ----
 
 PATTERNS = {
