@@ -2,11 +2,16 @@
 
 Every operator of this subpackage that reads words works on whole Arrow
 buffers with numpy instead of on Python strings: a byte table marks word
-bytes, prefix sums of byte values give one 64-bit polynomial hash per word,
-and prefix sums of word hashes give one hash per window of words.  Nulls are
-empty texts.  Chunks are cut by bytes, so memory stays bounded whatever the
-number of rows per Arrow batch; a single text longer than the bound is a
-chunk of its own.
+bytes, sums of byte values give one hash per word, and prefix sums of word
+hashes give one hash per window of words.  Nulls are empty texts.  Chunks are
+cut by bytes, so memory stays bounded whatever the number of rows per Arrow
+batch; a single text longer than the bound is a chunk of its own.
+
+Hashes are polynomials over the field of 2**61 - 1 elements at a base drawn at
+random, one base per lane.  Two unequal words of at most n bytes have equal
+hashes in a lane with a chance of n / 2**61 over the draw of the base, windows
+of k words with k / 2**61 more; no pair of words collides for every base, as
+pairs do modulo a power of two.
 """
 
 from __future__ import annotations
@@ -31,9 +36,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _MIX1, _MIX2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
-_BASE = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
-_tables: dict[int, np.ndarray] = {lane: np.random.default_rng(11 + lane).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1) for lane in (0, 1)}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The field's size, a prime.
+P = (1 << 61) - 1
+_P, _S31, _S30, _S61 = U64(P), U64(31), U64(30), U64(61)
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+_BASE = tuple(int(x) for x in np.random.default_rng(61).integers(1 << 40, P - 1, 2))
+#: Bytes of a coefficient; words above LONG bytes are hashed one by one.
+STEP, LONG = 7, 700
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(STEP + 1)], np.uint64)
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,25 +57,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the lane's odd base and of its inverse, modulo 2**64."""
-    have = _powers.get(lane)
+def folded(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo P."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Elements as upper 30 and lower 31 bits."""
+    return x >> _S31, x & _LOW31
+
+
+def joined(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2**31 + low modulo P, for any high and low below 2**62."""
+    return folded((high >> _S30) + ((high & _LOW30) << _S31) + low)
+
+
+def times(x: np.ndarray, by: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Products of elements x with elements given as halves."""
+    high, low = halves(x)
+    middle = high * by[1] + low * by[0]
+    return folded(U64(2) * high * by[0] + (middle >> _S30) + ((middle & _LOW30) << _S31) + low * by[1])
+
+
+def powers(n: int, lane: int = 0, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the lane's base, or of its inverse, as halves."""
+    have = _powers.get((lane, inverse))
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        base = int(_BASE[lane])
-        rows = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, U64(b))
-            p[0] = 1
-            rows.append(np.multiply.accumulate(p))
-        _powers[lane] = have = (rows[0], rows[1])
-    return have
+        base = pow(_BASE[lane], -1, P) if inverse else _BASE[lane]
+        row = np.ones(1, np.uint64)
+        while len(row) <= max(n, 1 << 12):  # each turn doubles what there is
+            row = np.r_[row, times(row, halves(np.array([pow(base, len(row), P)], np.uint64)))]
+        _powers[lane, inverse] = have = halves(row)
+    return have[0][: n + 1], have[1][: n + 1]
 
 
 class Words:
     """Words of some texts: byte places, hashes, and the first word of each text."""
 
-    __slots__ = ("buf", "offs", "starts", "ends", "first", "_hash")
+    __slots__ = ("buf", "offs", "starts", "ends", "first", "_fields", "_hash")
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = WORD):
         self.buf, self.offs = buf, offs
@@ -78,15 +109,7 @@ class Words:
         self.ends = np.flatnonzero(mid & (~inside[2:] | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, offs)
         self._hash: dict[int, np.ndarray] = {}
-
-    @classmethod
-    def cut(cls, buf: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> Words:
-        """Segments of the texts: one from each start to the next; every non-empty text has a start at its first byte."""
-        out = cls.__new__(cls)
-        out.buf, out.offs, out._hash = buf, offs, {}
-        out.starts, out.ends = starts, np.r_[starts[1:], len(buf)]
-        out.first = np.searchsorted(starts, offs)
-        return out
+        self._fields: dict[int, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
@@ -98,14 +121,32 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offs) - 1), self.counts)
 
+    def elements(self, lane: int = 0) -> np.ndarray:
+        """One field element per word: its size, and its runs of STEP bytes, as coefficients of a polynomial."""
+        if lane not in self._fields:
+            size = self.ends - self.starts
+            padded = np.r_[self.buf, np.zeros(8, np.uint8)]
+            runs = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+            high, low = powers(LONG // STEP + 1, lane)
+            out = size.astype(np.uint64)
+            at, k = np.flatnonzero(size <= LONG), 0
+            while len(at):
+                run = runs[self.starts[at] + STEP * k] & _TAIL[np.minimum(size[at] - STEP * k, STEP)]
+                k += 1
+                out[at] = folded(out[at] + times(run, (high[k], low[k])))
+                at = at[size[at] > STEP * k]
+            for w in np.flatnonzero(size > LONG).tolist():
+                places = np.arange(self.starts[w], self.ends[w], STEP)
+                up = powers(len(places), lane)
+                parts = halves(times(runs[places] & _TAIL[np.minimum(self.ends[w] - places, STEP)], (up[0][1:], up[1][1:])))
+                out[w] = (int(out[w]) + (int(parts[0].sum()) << 31) + int(parts[1].sum())) % P
+            self._fields[lane] = out
+        return self._fields[lane]
+
     def hashes(self, lane: int = 0) -> np.ndarray:
         """One 64-bit hash per word."""
         if lane not in self._hash:
-            up, down = powers(len(self.buf), lane)
-            sums = np.empty(len(self.buf) + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(_tables[lane][self.buf] * up[: len(self.buf)], out=sums[1:])
-            self._hash[lane] = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+            self._hash[lane] = mix(self.elements(lane))
         return self._hash[lane]
 
     def windows(self, k: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +154,13 @@ class Words:
         n = len(self)
         if n < k:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
-        up, down = powers(n, lane)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(self.hashes(lane) * up[:n], out=sums[1:])
+        up, down = powers(n, lane), powers(n, lane, inverse=True)
+        sums = np.zeros((2, n + 1), np.uint64)
+        for half, out in zip(halves(times(self.elements(lane), (up[0][:n], up[1][:n]))), sums, strict=True):
+            np.cumsum(half, out=out[1:])
         left = np.repeat(self.first[1:], self.counts) - np.arange(n)
         at = np.flatnonzero(left >= k)
-        return mix((sums[at + k] - sums[at]) * down[at]), at
+        return mix(times(joined(sums[0, at + k] - sums[0, at], sums[1, at + k] - sums[1, at]), (down[0][at], down[1][at]))), at
 
     def text(self, i: int) -> bytes:
         return self.buf[self.starts[i] : self.ends[i]].tobytes()

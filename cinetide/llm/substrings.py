@@ -12,11 +12,15 @@ anchor together are at most 50 words.  Anchors that two different texts share
 are then extended: every window around one is hashed in 96 bits, and a window
 falls if a smaller id has it.
 
-Steps: (1) anchors of each document; (2) anchors shared by different texts;
+Steps: (1) anchors of each text; (2) anchors shared by different texts;
 (3) candidate windows around those; (4) the smallest id of each window; (5) the
-words that are left.  Documents with the same words (equal 128-bit digests) are
-settled before step 2: all but the smallest id fall whole, and only that one
-goes on.
+words that are left.  A text is known by the digest of its words (128 bits).  Of
+rows with the same words all but the smallest id fall whole, and only that row
+brings windows in step 3.
+
+Rows are told apart by id and a salt from their text, so an id that stands on
+several rows, with any texts, is handled row by row: what falls is told by the
+window's hash, never by its place in a row.
 
 Hot anchors and windows.  Each task first compares what it has itself: rows of
 one key that meet in a task are settled there, and only the key's smallest id
@@ -24,10 +28,15 @@ goes to the shuffle, so a key that a third of all documents hold has as many
 rows as there are tasks, not documents.  Settled rows travel by document.  No
 pairs are made anywhere.
 
+Windows are told apart by 96 bits of two polynomial hashes over a field of
+2**61 - 1 elements with different random bases (see bytestext): two unequal
+windows meet with a chance of 2**-88 or so, for any contents.
+
 Defined results: a null text has no words (0, 0, digest of the empty string);
 ids that are null neither remove nor lose anything; rows with one id do not
-remove each other's words; an empty table gives an empty result; other columns
-are ignored.
+remove each other's words, whether their texts are equal or not; a very long
+text is a chunk of its own, read whole; an empty table gives an empty result;
+other columns, also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -54,17 +63,19 @@ HELD = 1_500_000
 _ON_COVER = np.zeros(PERIOD, bool)
 _ON_COVER[list(COVER)] = True
 
-ANCHORS = "key bigint, doc_id bigint, settled boolean"
-WINDOWS = "key bigint, rest bigint, doc_id bigint, first int, settled boolean"
+ANCHORS = "key bigint, words bigint, settled boolean"
+WINDOWS = "key bigint, rest bigint, doc_id bigint, salt smallint, settled boolean"
+#: Values of the salt that tells rows of one id apart.
+SALTS = 4096
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _spread(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """A key of its own for each key and document; the key again, if applied again."""
-    return keys ^ docs.astype(np.uint64)
+def _spread(keys: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A key of its own for each key and document or text; the key again, if applied again."""
+    return keys ^ by.astype(np.uint64)
 
 
 def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +86,8 @@ def digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has_id = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             rows = np.flatnonzero((words.counts >= WINDOW) & has_id)
             sums = [_text_digests(words, lane)[rows] for lane in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), *map(_signed, sums)], ["doc_id", "d0", "d1"])
+            own = [part.column(c).take(pa.array(rows)) for c in ("doc_id", "salt")]
+            yield pa.RecordBatch.from_arrays([*own, *map(_signed, sums)], ["doc_id", "salt", "d0", "d1"])
 
 
 def _text_digests(words: Words, lane: int) -> np.ndarray:
@@ -87,12 +99,12 @@ def _text_digests(words: Words, lane: int) -> np.ndarray:
     return mix(sums[words.first[1:]] - sums[words.first[:-1]] + words.counts.astype(np.uint64))
 
 
-def settle(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows in order of key and document: the first of each key, and whether the key has other documents."""
+def settle(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order of key and text: the first of each key, and whether the key has other texts."""
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.r_[head, len(keys)])
     last = head + size - 1
-    return head, np.repeat(docs[head] != docs[last], size) if len(keys) else np.empty(0, bool)
+    return head, np.repeat(texts[head] != texts[last], size) if len(keys) else np.empty(0, bool)
 
 
 def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +116,9 @@ def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(buf, offs)
             hashes, at = words.windows(ANCHOR)
             doc = words.doc_of_word()[at]
-            column = part.column("doc_id")
-            has_id = column.is_valid().to_numpy(zero_copy_only=False)
+            has_id = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             pick = _ON_COVER[(at - words.first[doc]) % PERIOD] & (words.counts >= WINDOW)[doc] & has_id[doc]
-            ids = column.fill_null(0).to_numpy()
-            held.append((hashes[pick], ids[doc[pick]]))
+            held.append((hashes[pick], _text_digests(words, 0)[doc[pick]]))
             size += int(pick.sum())
             if size >= HELD:
                 yield _anchor_rows(held)
@@ -118,37 +128,31 @@ def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _anchor_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    keys, docs = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])] if len(keys) else np.empty(0, bool)
-    keys, docs = keys[fresh], docs[fresh]
-    head, shared = settle(keys, docs)
-    out_keys = np.concatenate([keys[head], _spread(keys, docs)[shared]])
-    out_docs = np.concatenate([docs[head], docs[shared]])
+    keys, texts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((texts, keys))
+    keys, texts = keys[order], texts[order]
+    fresh = np.r_[True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])] if len(keys) else np.empty(0, bool)
+    keys, texts = keys[fresh], texts[fresh]
+    head, shared = settle(keys, texts)
+    out_keys = np.concatenate([keys[head], _spread(keys, texts)[shared]])
+    out_texts = np.concatenate([texts[head], texts[shared]])
     settled = np.arange(len(out_keys)) >= len(head)
-    return pa.RecordBatch.from_arrays([_signed(out_keys), pa.array(out_docs), pa.array(settled)], ["key", "doc_id", "settled"])
-
+    return pa.RecordBatch.from_arrays([_signed(out_keys), _signed(out_texts), pa.array(settled)], ["key", "words", "settled"])
 
-def shared_anchors(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """Per document that goes on, the anchors that another text has: doc_id, hits.
 
-    A copy's anchors count for the document that stands for it, so an anchor
-    that only copies of one text have is not shared.  (If those met in one task,
-    it is left in: its windows then find no other document.)
-    """
-    rows = docs.select("doc_id", "text").mapInArrow(anchors, ANCHORS)
+def shared_anchors(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Per row that goes on, the anchors of its text that another text has: doc_id, salt, hits."""
+    rows = docs.mapInArrow(anchors, ANCHORS)
     by_key = Window.partitionBy("key")
-    rows = rows.withColumn("n", F.count("*").over(by_key)).where("n > 1 or settled").drop("n")
-    anchor = F.when(F.col("settled"), F.col("key").bitwiseXOR(F.col("doc_id"))).otherwise(F.col("key"))
-    rows = rows.withColumn("anchor", anchor).join(copies, "doc_id", "left").withColumn("doc_id", F.coalesce("stands", "doc_id"))
-    rows = rows.groupBy("key", "doc_id", "settled", "anchor").agg(F.lit(1).alias("one"))
-    rows = rows.withColumn("n", F.count("*").over(by_key)).where("n > 1 or settled")
-    return rows.groupBy("doc_id").agg(F.collect_set("anchor").alias("hits"))
+    several = F.min("words").over(by_key) < F.max("words").over(by_key)
+    rows = rows.withColumn("several", several).where("several or settled")
+    rows = rows.select("words", F.when(F.col("settled"), F.col("key").bitwiseXOR(F.col("words"))).otherwise(F.col("key")).alias("anchor"))
+    hits = rows.groupBy(F.col("words").alias("d0")).agg(F.collect_set("anchor").alias("hits"))
+    return hits.join(firsts, "d0").groupBy("doc_id", "salt").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of WINDOWS for texts with their shared anchors; `first` counts the document's words from 0."""
+    """Rows of WINDOWS for texts with their shared anchors."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
     for batch in batches:
@@ -157,14 +161,12 @@ def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, at = words.windows(ANCHOR)
             doc = words.doc_of_word()
             start = words.first[doc]
-            ids = part.column("doc_id").fill_null(0).to_numpy()
+            ids, salts = part.column("doc_id").to_numpy(), part.column("salt").to_numpy()
             near = np.zeros(len(words) + 1, np.int32)
             cover = _ON_COVER[(at - start[at]) % PERIOD]
             hits = part.column("hits")
             for d in range(part.num_rows):
-                keys = np.sort(hits[d].values.to_numpy().view(np.uint64)) if hits[d].is_valid else np.empty(0, np.uint64)
-                if not len(keys):
-                    continue
+                keys = np.sort(hits[d].values.to_numpy().view(np.uint64))
                 lo, hi = np.searchsorted(at, words.first[d]), np.searchsorted(at, words.first[d + 1])
                 found = at[lo:hi][cover[lo:hi] & member(low[lo:hi], keys)]
                 np.add.at(near, np.maximum(found - (WINDOW - ANCHOR), words.first[d]), 1)
@@ -173,7 +175,7 @@ def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.flatnonzero(np.cumsum(near)[first] > 0)
             rest, _ = words.windows(WINDOW, 1)
             first = first[pick]
-            held.append((whole[pick], rest[pick] & U64(0xFFFFFFFF), ids[doc[first]], first - start[first]))
+            held.append((whole[pick], rest[pick] & U64(0xFFFFFFFF), ids[doc[first]], salts[doc[first]]))
             size += len(pick)
             if size >= HELD:
                 yield _window_rows(held)
@@ -183,38 +185,39 @@ def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    keys, rest, docs, first = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((first, docs, rest, keys))
-    keys, rest, docs, first = keys[order], rest[order], docs[order], first[order]
+    keys, rest, docs, salts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((salts, docs, rest, keys))
+    keys, rest, docs, salts = keys[order], rest[order], docs[order], salts[order]
     new = np.r_[True, (keys[1:] != keys[:-1]) | (rest[1:] != rest[:-1])] if len(keys) else np.empty(0, bool)
     head = np.flatnonzero(new)
     settled = docs > np.repeat(docs[head], np.diff(np.r_[head, len(keys)]))  # a smaller id of this task has it
-    once = np.flatnonzero(new | np.r_[True, docs[1:] != docs[:-1]]) if len(keys) else head  # finished() knows a document's equal windows
-    keys, rest, docs, first, settled = keys[once], rest[once], docs[once], first[once], settled[once]
+    other = np.r_[True, (docs[1:] != docs[:-1]) | (salts[1:] != salts[:-1])] if len(keys) else new
+    once = np.flatnonzero(new | other)
+    keys, rest, docs, salts, settled = keys[once], rest[once], docs[once], salts[once], settled[once]
     keys = np.where(settled, _spread(keys, docs), keys)
     return pa.RecordBatch.from_arrays(
-        [_signed(keys), pa.array(rest.astype(np.int64)), pa.array(docs), pa.array(first.astype(np.int32)), pa.array(settled)],
-        ["key", "rest", "doc_id", "first", "settled"],
+        [_signed(keys), pa.array(rest.astype(np.int64)), pa.array(docs), pa.array(salts.astype(np.int16)), pa.array(settled)],
+        ["key", "rest", "doc_id", "salt", "settled"],
     )
 
 
 def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the first words of their fallen windows to counts, digest and the text that is left."""
+    """Texts with the hashes of their id's fallen windows, and the digests of its copies, to counts, digest and the text that is left."""
     for batch in batches:
         for part, buf, offs in chunks(batch):
             words = Words(buf, offs)
             gone = np.zeros(len(words) + 1, np.int32)
             whole, start = words.windows(WINDOW)
-            falls, copy = part.column("falls"), part.column("copy")
+            falls, copies = part.column("falls"), part.column("copies")
+            texts = _text_digests(words, 0).view(np.int64)
             for d in range(part.num_rows):
                 a, b = int(words.first[d]), int(words.first[d + 1])
-                if copy[d].as_py():
+                if copies[d].is_valid and b - a >= WINDOW and texts[d] in copies[d].values.to_numpy():
                     gone[a] += 1
                     gone[b] -= 1
                 elif falls[d].is_valid:
                     lo, hi = np.searchsorted(start, (a, b))
-                    fallen = np.unique(whole[lo + falls[d].values.to_numpy()])
-                    at = start[lo:hi][member(whole[lo:hi], fallen)]
+                    at = start[lo:hi][member(whole[lo:hi], np.sort(falls[d].values.to_numpy().view(np.uint64)))]
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + WINDOW, -1)
             left = np.cumsum(gone[:-1]) == 0
@@ -252,20 +255,25 @@ FINISHED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string,
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of FINISHED: each document without the words that earlier documents have."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    same = docs.mapInArrow(digests, "doc_id bigint, d0 bigint, d1 bigint")
-    stands = same.groupBy("d0", "d1").agg(F.min("doc_id").alias("stands"), F.max("doc_id").alias("last")).where("last > stands")
-    stands = saved(stands.drop("last"), "stands")  # read from a table, both sides of the join are shuffled and can be split
-    copies = saved(same.join(stands, ["d0", "d1"]).where("doc_id > stands").select("doc_id", "stands").distinct(), "copies")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("smallint").alias("salt"))
+    same = docs.mapInArrow(digests, "doc_id bigint, salt smallint, d0 bigint, d1 bigint")
+    firsts = same.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "salt")).alias("first"), F.max("doc_id").alias("last"))
+    firsts = saved(firsts.select("d0", "d1", "first.doc_id", "first.salt", "last"), "firsts")  # read from a table, both sides of the join are shuffled and can be split
+    several = firsts.where("last > doc_id").select("d0", "d1", F.col("doc_id").alias("stands"))
+    copies = saved(same.join(several, ["d0", "d1"]).where("doc_id > stands").select("doc_id", "salt", "d0").distinct(), "copies")
     known = docs.where("doc_id is not null")  # in both joins alike, so their shuffle of the texts is one
-    hits = shared_anchors(docs, copies)
-    windows = known.join(hits, "doc_id").mapInArrow(candidates, WINDOWS)
+    hits = shared_anchors(docs, firsts.select("d0", "doc_id", "salt"))
+    windows = known.join(hits, ["doc_id", "salt"]).mapInArrow(candidates, WINDOWS)
     smallest = F.min("doc_id").over(Window.partitionBy("key", "rest"))
-    fallen = windows.withColumn("settled", F.col("settled") | (F.col("doc_id") > smallest)).where("settled")
-    falls = fallen.groupBy("doc_id").agg(F.collect_set("first").alias("falls"))
-    marks = falls.join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "full_outer")
-    unknown = docs.where("doc_id is null").select("*", F.array().cast("array<int>").alias("falls"), F.lit(False).alias("copy"))
-    return known.join(marks, "doc_id", "left").mapInArrow(finished, FINISHED).union(unknown.mapInArrow(finished, FINISHED))
+    window = F.when(F.col("settled"), F.col("key").bitwiseXOR(F.col("doc_id"))).otherwise(F.col("key"))
+    fallen = windows.select("doc_id", "salt", window.alias("window"), (F.col("settled") | (F.col("doc_id") > smallest)).alias("falls")).where("falls")
+    falls = fallen.groupBy("doc_id", "salt").agg(F.collect_set("window").alias("falls"))
+    whole = copies.groupBy("doc_id", "salt").agg(F.collect_set("d0").alias("copies"))
+    marks = falls.join(whole, ["doc_id", "salt"], "full_outer")
+    none = F.lit(None).cast("array<bigint>")
+    unknown = docs.where("doc_id is null").select("*", none.alias("falls"), none.alias("copies"))
+    done = known.join(marks, ["doc_id", "salt"], "left").select(unknown.columns)
+    return done.mapInArrow(finished, FINISHED).union(unknown.mapInArrow(finished, FINISHED))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

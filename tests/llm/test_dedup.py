@@ -155,3 +155,62 @@ def test_signatures_estimate_similarity():
     sets = np.r_[flat[:800], flat[200:]]
     sig = neardup.signatures(sets, np.array([0, 800, 1600]))
     assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.15
+
+
+# ---- ids with several texts, and words that a weak hash takes for each other ----
+
+
+def thue_morse(letters, size=1024):
+    """Two words that polynomial hashes modulo a power of two confuse, for any odd base."""
+    bits = [0]
+    while len(bits) < size:
+        bits += [1 - b for b in bits]
+    return ["".join(letters[b ^ turn] for b in bits) for turn in (0, 1)]
+
+
+def shared_ids():
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(500)}"
+    a, b, c, d = ([word() for _ in range(n)] for n in (70, 90, 65, 311))
+    near = [*b[:80], "other", *b[81:]]
+    return [
+        (1, " ".join(a)), (5, " ".join(d + a[:60])), (5, " ".join(c)), (5, " ".join(a)), (5, " ".join(a)), (2, " ".join(b)), (5, " ".join(b)), (9, " ".join(near)),
+        (7, " ".join(d)), (7, " ".join([*c, "more"])), (3, "few words"), (3, "few words"), (3, None), (None, " ".join(a)), (None, " ".join(a)), (8, ""), (8, ""),
+    ]
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    rows = shared_ids()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = [tuple(r) for r in substrings.deduplicated(df).drop("kept").collect()]
+    assert sorted(got, key=key) == sorted(fallen(rows), key=key)
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    one, two = thue_morse("ab")
+    tail = " ".join(f"c{i}" for i in range(49))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, one), (4, two)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert not any(r["n_removed"] for r in substrings.deduplicated(df).collect())
+    assert sorted(tuple(r) for r in neardup.grouped(df).collect()) == sorted(clusters(rows))
+
+
+def test_windows_of_two_words_in_turn(spark):
+    """All windows over two words, of which many share every count and every run."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(("ab", "ba")[b] for b in rng.integers(0, 2, 60))) for i in range(40)] + [(50, " ".join(["ab", "ba"] * 40)), (51, " ".join(["ba", "ab"] * 40))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [tuple(r) for r in substrings.deduplicated(df).drop("kept").collect()]
+    assert sorted(got, key=key) == sorted(fallen(rows), key=key)
+
+
+def test_a_text_over_a_chunk(spark):
+    rng = np.random.default_rng(6)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 90_000, 220_000))
+    assert len(long) > 1 << 20
+    words = long.split()
+    rows = [(4, long), (2, " ".join(words[200_000:200_080])), (6, " ".join(words[100:160])), (7, " ".join([*words[:5], "x", *words[6:]])), (8, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = [tuple(r) for r in substrings.deduplicated(df).drop("kept").collect()]
+    assert sorted(got, key=key) == sorted(fallen(rows), key=key)
+    assert sorted(tuple(r) for r in neardup.grouped(df).collect()) == sorted(clusters(rows))
