@@ -7,28 +7,38 @@ similarity is at least 75 / 100; a component's smallest id stands for it.
 
 Method.
 1. Each set gets `MINIMA` minima of universal hashes ((a x + b) mod 2**64,
-   upper half) and a 128-bit digest.  Documents of equal sets form a class, and
-   only its smallest id goes on, so exact copies cost one row.
+   upper half) and a 128-bit digest.  Rows of equal sets form a class, numbered in
+   a table, and only the class goes on, so exact copies cost one row.
 2. Banding: `BANDS` bands of `ROWS` minima.  A pair at 0.75 misses all of them
    with a chance of 5e-6.
-3. In each bucket the smallest id is the hub.  Pairs of a hub and a member are
+3. In each bucket the smallest class is the hub.  Pairs of a hub and a member are
    verified by their signatures and then on the full sets: as many pairs as
    members.  Components of these links are found.
 4. A bucket whose members are not yet in one component may hide links that its
-   hub does not have.  There every pair of different components is compared on
-   the full sets, in cells of two blocks of members, and a cell returns links
-   only as far as they join components: no pairs are emitted, no link between
-   components is lost, and no cell grows with the bucket.
-5. Components of all links, by alternating large-star and small-star.
+   hub does not have.  First the signatures of its members are compared, in cells
+   of two blocks of members; only members that have a likely partner in another
+   component bring their texts.  Their pairs are compared on the full sets, in
+   smaller cells, and a cell returns links only as far as they join components: no
+   pairs are emitted, no link between components is lost, and no cell grows with
+   the bucket.
+5. Links between the classes of one id's rows are added, and components of all
+   links found by alternating large-star and small-star.
 
 Hot groups: step 1 folds copies after partial aggregation; hubs are found by a
 partial aggregate and brought to members by a join whose skewed partitions
 Spark splits; cells bound what one task holds.  Iterations are cut by tables in
-the shared folder.  The driver receives two numbers per iteration.
+the shared folder.  The driver receives two numbers per iteration.  A bucket of n
+members that no hub holds together costs n**2 / SIGNATURES signatures: that much
+any exact comparison within a bucket needs.
+
+Shingles are told apart by 61-bit hashes of words over a prime field, mixed (see
+bytestext): two unequal shingles of one pair of texts meet with a chance of 2**-60.
 
 Defined results: a null text is empty; a null id takes no part (component_id
-null, kept); rows of one id belong together; an empty table gives an empty
-result; other columns are ignored by the query and kept by deduplicated().
+null, kept); every row gives one row; rows of one id belong together, whatever
+their texts; a very long text is read whole; an empty table gives an empty
+result; other columns, also those named like the operator's own, are ignored by
+the query and kept by deduplicated(), where equal rows (id and text) become one.
 """
 
 from __future__ import annotations
@@ -49,7 +59,8 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Equal minima that a pair needs to be compared on its sets: five deviations below 0.75.
 LEAST_EQUAL = 72
-#: Members, and shingles, of a block.
+#: Members of a block whose signatures are compared; members, and shingles, of one whose sets are.
+SIGNATURES = 2048
 BLOCK, BLOCK_SHINGLES = 256, 300_000
 #: Places where members of a mixed bucket meet its statistics.
 SALTS = 16
@@ -101,7 +112,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
-SKETCHES = "doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, sig binary"
+SKETCHES = "doc_id bigint, row bigint, n_shingles bigint, d0 bigint, d1 bigint, sig binary"
 
 
 def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +131,17 @@ def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.full(len(size), -1)
             rows[full] = np.arange(len(sig))
             blobs = pa.array([sig[r].tobytes() if r >= 0 else None for r in rows.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int64)), *cols, blobs], ["doc_id", "n_shingles", "d0", "d1", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(size.astype(np.int64)), *cols, blobs], [c.split()[0] for c in SKETCHES.split(", ")])
 
 
 def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, n_shingles) for each band of (doc_id, n_shingles, sig)."""
+    """(key, node, n_shingles) for each band of (node, n_shingles, sig)."""
     for batch in batches:
         n = batch.num_rows
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, MINIMA)
         index = pa.array(np.repeat(np.arange(n), BANDS))
         keys = pa.array(band_keys(sig).ravel().view(np.int64))
-        yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id").take(index), batch.column("n_shingles").take(index)], ["key", "doc_id", "n_shingles"])
+        yield pa.RecordBatch.from_arrays([keys, batch.column("node").take(index), batch.column("n_shingles").take(index)], ["key", "node", "n_shingles"])
 
 
 def confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +165,20 @@ def linked(both, one, other):
     return DENOMINATOR * both >= NUMERATOR * (one + other - both)
 
 
+def cell_likely(table: pa.Table) -> pa.Table:
+    """(key, node) of a cell's classes (key, node, component, sig) that have a likely partner in another component."""
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
+    equal = np.zeros((len(sig), len(sig)), np.uint8)
+    for k in range(MINIMA):
+        equal += sig[:, k, None] == sig[None, :, k]
+    comp = table.column("component").to_numpy()
+    found = ((equal >= LEAST_EQUAL) & (comp[:, None] != comp[None, :])).any(axis=1)
+    return table.select(["key", "node"]).filter(pa.array(found))
+
+
 def cell_links(table: pa.Table) -> pa.Table:
-    """Links of a cell's documents (doc_id, component, text) that join different components."""
-    table = table.select(["doc_id", "component", "text"])
+    """Links of a cell's classes (node, component, text) that join different components."""
+    table = table.select(["node", "component", "text"])
     flat, first = shingle_sets(*buffers(table.column("text")))
     size = np.diff(first)
     own = np.repeat(np.arange(len(size)), size)
@@ -167,14 +189,14 @@ def cell_links(table: pa.Table) -> pa.Table:
     own, at = own[at >= 0], at[at >= 0]
     order = np.argsort(at, kind="stable")
     own, at = own[order], at[order]
-    both = np.zeros((len(size), len(size)), np.float32)
+    both = np.zeros((len(size), len(size)), np.int64)
     for lo in range(0, int(at[-1]) + 1 if len(at) else 0, SLICE):
         a, b = np.searchsorted(at, (lo, lo + SLICE))
         grid = np.zeros((len(size), SLICE), np.float32)
         grid[own[a:b], at[a:b] - lo] = 1
-        both += grid @ grid.T
+        both += (grid @ grid.T).astype(np.int64)  # a slice counts exactly in single precision
     comp = table.column("component").to_numpy()
-    ids = table.column("doc_id").to_numpy()
+    ids = table.column("node").to_numpy()
     found = linked(both, size[:, None], size[None, :]) & (comp[:, None] < comp[None, :]) & (size > 0)[:, None]
     top: dict[int, int] = {}
 
@@ -197,7 +219,7 @@ def cell_links(table: pa.Table) -> pa.Table:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, component) for the ends of links (a, b), by alternating large-star and small-star."""
+    """(node, component) for the ends of links (a, b), by alternating large-star and small-star."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
     for _ in range(ROUNDS):
@@ -214,75 +236,110 @@ def components(links: DataFrame) -> DataFrame:
         edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
 # ---- the whole ----
 
 
 def buckets(first: DataFrame) -> DataFrame:
-    """Members of buckets of two or more: (key, doc_id, n_shingles, hub, n, shingles)."""
-    bands = first.select("doc_id", "n_shingles", "sig").mapInArrow(banded, "key bigint, doc_id bigint, n_shingles bigint")
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).where("n > 1")
+    """Members of buckets of two or more: (key, node, n_shingles, hub, n)."""
+    bands = first.select("node", "n_shingles", "sig").mapInArrow(banded, "key bigint, node bigint, n_shingles bigint")
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     return saved(bands.join(saved(hubs, "hubs"), "key"), "buckets")  # read from a table, both sides of the join are shuffled and can be split
 
 
 def hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links between hubs and members."""
-    pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     for side in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"{side}_text"), F.col("sig").alias(f"{side}_sig")), side)
+        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text"), F.col("sig").alias(f"{side}_sig")), side)
     return pairs.select("a", "b", "a_text", "b_text", "a_sig", "b_sig").mapInArrow(confirmed, "a bigint, b bigint")
 
 
-def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that hubs do not have, from buckets of three or more in several components."""
-    rows = members.where("n > 2").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    rows = saved(rows, "bucket-parts")
-    own = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.bool_or(F.col("doc_id") == F.col("hub")).alias("with_hub"))
+def cells(rows: DataFrame, block: int, block_shingles: int, name: str) -> DataFrame:
+    """(key, i, j, node, component): every two members (key, node, component, n_shingles, hub) of a bucket's different components meet in a cell.
+
+    Of a bucket, `j` numbers blocks of all members and `i` blocks of those outside of its largest part, the hub's component.
+    """
+    own = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.bool_or(F.col("node") == F.col("hub")).alias("with_hub"))
+    outside = lambda c: F.sum(F.when(~F.col("with_hub"), F.col(c)))
     keys = own.groupBy("key").agg(
-        F.max(F.when(F.col("with_hub"), F.col("component"))).alias("main"), F.sum(F.when(~F.col("with_hub"), F.col("size"))).alias("left"),
-        F.sum(F.when(~F.col("with_hub"), F.col("weight"))).alias("left_shingles"),
+        F.max(F.when(F.col("with_hub"), F.col("component"))).alias("main"), F.sum("size").alias("n"), F.sum("weight").alias("shingles"),
+        outside("size").alias("left"), outside("weight").alias("left_shingles"), F.count("*").alias("parts"),
     )
     # Members of one bucket meet its statistics in SALTS places, so that a hot bucket has no task of its own.
-    salted = saved(keys.where("left > 0"), "mixed").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int"))
+    salted = saved(keys.where("left > 0 and parts > 1"), name).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.select("key", "node", "component", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt"))
     rows = rows.join(salted.hint("merge"), ["key", "salt"]).drop("salt")  # the copies must not be broadcast
-    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(s) / block_shingles), F.lit(1)).cast("int")
     rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
-    spot = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    spot = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     as_member = rows.select("*", spot(1, "across").alias("j"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"))
-    as_left = rows.where("component <> main and (across > 1 or down > 1)").select("*", spot(2, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
-    cells = as_member.select("key", "i", "j", "doc_id", "component").union(as_left.select("key", "i", "j", "doc_id", "component")).distinct()
-    cells = cells.join(texts.select("doc_id", "text"), "doc_id")
-    return cells.groupBy("key", "i", "j").applyInArrow(cell_links, "a bigint, b bigint")
+    as_left = rows.where("coalesce(component <> main, true) and (across > 1 or down > 1)").select("*", spot(2, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
+    return as_member.select("key", "i", "j", "node", "component").union(as_left.select("key", "i", "j", "node", "component")).distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links that hubs do not have, from buckets of three or more in several components."""
+    rows = members.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = saved(rows.select("key", "node", "component", "n_shingles", "hub"), "bucket-parts")
+    by_signature = cells(rows, SIGNATURES, 1 << 62, "mixed").join(texts.select("node", "sig"), "node").select("key", "i", "j", "node", "component", "sig")
+    likely = by_signature.groupBy("key", "i", "j").applyInArrow(cell_likely, "key bigint, node bigint").distinct()
+    rows = saved(rows.join(saved(likely, "likely"), ["key", "node"]), "likely-parts")
+    by_text = cells(rows, BLOCK, BLOCK_SHINGLES, "mixed-likely").join(texts.select("node", "text"), "node")
+    return by_text.groupBy("key", "i", "j").applyInArrow(cell_links, "a bigint, b bigint")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, n_shingles, node), where `row` is a hash of the text; classes (node, first id, ...); texts' sketches of classes."""
     sets = saved(docs.mapInArrow(sketches, SKETCHES), "sketches")
     with_set = sets.where("doc_id is not null and d0 is not null")
-    classes = with_set.groupBy("d0", "d1").agg(F.min("doc_id").alias("class"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = saved(with_set.select("doc_id", "d0", "d1").join(saved(classes, "class-ids"), ["d0", "d1"]).select("doc_id", "class").distinct(), "classes")
-    first = with_set.join(known.where("doc_id <> class").select("doc_id"), "doc_id", "left_anti")
+    classes = with_set.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = saved(classes.select("d0", "d1", "first.doc_id", "first.row", F.monotonically_increasing_id().alias("node")), "classes")
+    known = saved(with_set.select("doc_id", "row", "n_shingles", "d0", "d1").join(classes.select("d0", "d1", "node"), ["d0", "d1"]).drop("d0", "d1"), "known")
+    first = with_set.join(classes.select("doc_id", "row", "node"), ["doc_id", "row"])
+    first = first.groupBy("doc_id", "row").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))  # rows may stand there twice
+    by_id = known.groupBy("doc_id").agg(F.min("node").alias("node"))
+    empty = sets.where("doc_id is not null and d0 is null").select("doc_id", "row", "n_shingles").join(by_id, "doc_id", "left")
+    without_id = sets.where("doc_id is null").select("doc_id", "row", "n_shingles", F.lit(None).cast("bigint").alias("node"))
+    rows = known.unionByName(empty).unionByName(without_id)
+    return saved(rows, "rows"), classes.select("node", "doc_id"), saved(first, "class-sketches")
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept) for each row of documents."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row"))
+    rows, classes, first = numbered(docs)
     members = buckets(first)
-    texts = members.select("doc_id").distinct().join(docs, "doc_id").join(first.select("doc_id", "sig"), "doc_id")
-    texts = saved(texts, "texts")
+    texts = members.select("node").distinct().join(first.drop("n_shingles"), "node").join(docs, ["doc_id", "row"])
+    texts = saved(texts.groupBy("doc_id", "row").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("text").alias("text")), "texts")
     links = saved(hub_links(members, texts), "hub-links")
     more = saved(rest_links(members, components(links), texts), "rest-links")
-    parts = components(links.union(more)).withColumnRenamed("doc_id", "class")
-    return (
-        sets.select("doc_id", "n_shingles").join(known, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")).join(parts, "class", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    ids = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    of_ids = rows.where("node is not null").join(saved(ids.select("doc_id", "a"), "ids"), "doc_id").where("node > a").select("a", F.col("node").alias("b"))
+    parts = classes.join(components(links.union(more).union(of_ids)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = saved(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
+    named = saved(parts.join(least, "component").select("node", "component_id"), "named")
+    alone = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
+    out = rows.where("node is not null").join(named, "node").unionByName(alone)
+    return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of documents."""
+    return labelled(docs).drop("row")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each component stays; all columns."""
-    gone = grouped(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents of which one of each component stays; all columns.  Equal rows of an id that stays become one."""
+    rows = labelled(docs)
+    gone = saved(rows.where("not kept").select("doc_id").distinct(), "gone")
+    twice = saved(rows.where("kept and doc_id is not null").groupBy("doc_id", "row").count().where("count > 1").select("doc_id").distinct(), "twice")
+    if twice.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(gone.union(twice), "doc_id", "left_anti").select(docs.columns)
+    return once.union(docs.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

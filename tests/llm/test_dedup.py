@@ -31,14 +31,14 @@ def fallen(rows):
 
 def clusters(rows):
     """Brute force: (id, shingles, component, kept) of each row."""
-    sets = collections.defaultdict(set)
+    sets = collections.defaultdict(list)
     sizes = []
     for i, t in rows:
         w = WORDS.findall((t or "").translate(LOWER))
         s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
         sizes.append((i, len(s)))
         if i is not None:
-            sets[i] |= s
+            sets[i].append(s)
     top = {i: i for i in sets}
 
     def root(x):
@@ -49,8 +49,7 @@ def clusters(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            if a < b and any(s & t and 100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
                 x, y = root(a), root(b)
                 top[max(x, y)] = min(x, y)
     return [(i, n, None if i is None else root(i), i is None or root(i) == i) for i, n in sizes]
@@ -113,6 +112,7 @@ def test_near_duplicates_equal_brute_force(spark, small, odd):
 def test_links_that_the_hub_lacks_are_found(spark, monkeypatch):
     """A chain: each text is near the next only, and the smallest id is at its end; cells are made tiny."""
     monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "SIGNATURES", 3)
     base = [f"w{i}" for i in range(200)]
     rows = [(d, " ".join(f"x{d // 8}_{i}" if i < 5 * (d % 8) else w for i, w in enumerate(base))) for d in range(24)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
@@ -143,6 +143,7 @@ def test_deduplicated_keeps_columns_and_one_of_each(odd):
     assert out.schema == odd.schema
     kept = {i for i, _, _, k in clusters(pairs(odd)) if k}
     assert {r[0] for r in out.select("doc_id").collect()} == kept
+    assert out.where("doc_id = 6").count() == 1  # stands there three times
 
 
 def test_empty_tables(empty):
@@ -186,6 +187,16 @@ def test_substrings_of_rows_that_share_an_id(spark):
     assert sorted(got, key=key) == sorted(fallen(rows), key=key)
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    for rows in (shared_ids(), [(1, "a b c d e f"), (2, "g h i j k l"), (5, "a b c d e f"), (5, "g h i j k l")]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        got = [tuple(r) for r in neardup.grouped(df).collect()]
+        assert sorted(got, key=key) == sorted(clusters(rows), key=key)
+        kept = {i for i, _, _, k in clusters(rows) if k}
+        left = [tuple(r) for r in neardup.deduplicated(df).collect()]
+        assert sorted(left, key=key) == sorted([*{r for r in rows if r[0] in kept and r[0] is not None}, *(r for r in rows if r[0] is None)], key=key)
+
+
 def test_words_that_weak_hashes_confuse(spark):
     one, two = thue_morse("ab")
     tail = " ".join(f"c{i}" for i in range(49))
