@@ -65,7 +65,7 @@ _ON_COVER[list(COVER)] = True
 
 ANCHORS = "key bigint, words bigint, settled boolean"
 WINDOWS = "key bigint, rest bigint, doc_id bigint, salt smallint, settled boolean"
-#: Values of the salt that tells rows of one id apart.
+#: Values of the salt that tells rows of one id apart, a power of two.
 SALTS = 4096
 
 
@@ -255,7 +255,7 @@ FINISHED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string,
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of FINISHED: each document without the words that earlier documents have."""
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("smallint").alias("salt"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").bitwiseAND(SALTS - 1).cast("smallint").alias("salt"))
     same = docs.mapInArrow(digests, "doc_id bigint, salt smallint, d0 bigint, d1 bigint")
     firsts = same.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "salt")).alias("first"), F.max("doc_id").alias("last"))
     firsts = saved(firsts.select("d0", "d1", "first.doc_id", "first.salt", "last"), "firsts")  # read from a table, both sides of the join are shuffled and can be split
