@@ -10,54 +10,97 @@ sum of the smaller weights over the sum of the larger ones.
 Method.  A shingle in common is necessary for any similarity, so windows are
 fingerprinted only around the places where a document has a shingle of the
 benchmark; all other windows have similarity 0.  A window's fingerprint is the
-64-bit SimHash of its weighted shingles.  Fingerprints are looked up in a
-multi-index: 64 bits fall in `BLOCKS` blocks, and within `RADIUS` bits of an
-item's fingerprint at least one block is within RADIUS // BLOCKS bits, so every
-item within the radius is found.  Candidates are then verified exactly.
-
-How wide the radius must be: between sets, a similarity of 0.75 is a cosine of
-0.857 or more, 0.17 of all bits in the mean, 11 of 64 with a deviation of 3, so
-RADIUS = 31 lies over six deviations away.  Repeated shingles can make the cosine
-smaller, so where the item or the window has a shingle more than once, the item
-is verified whatever its fingerprint, if enough of the window's shingles are its
-own.  That the result is the brute-force one is tested.
-
-Scale: documents are scanned once without a shuffle.  The benchmark is the
-stated query set.  It goes to the executors in blocks of at most `BLOCK_ITEMS`
-items and `BLOCK_BYTES` bytes, one scan per block, so what is sent is bounded
-whatever the benchmark's size; within a scan only hits leave a task.
-
-Defined results: null or wordless texts and items match nothing; repeated rows
-and equal items each get their own rows; an empty table gives an empty result;
-other columns are ignored.
+128-bit SimHash of its weighted shingles.  Fingerprints are looked up in a
+multi-index of the items of the window's length: 128 bits fall in `BLOCKS` blocks,
+and within the radius of an item's fingerprint at least one block is within
+radius // BLOCKS bits, so every item within the radius is found.  What is within
+the radius is verified exactly, on the counts of all shingles.
+
+The radius follows from the number of shingles.  A window that is just similar
+enough has m shingles of n that the item lacks; the chance that a bit of the two
+fingerprints differs is then a sum of binomials, and `radius` is the least number
+of differing bits that such a window exceeds with a chance below `MISS`.  Unrelated
+fingerprints differ in 64 bits with a deviation of 5.7, the radius is 45 at most,
+so fewer than 1 in 1000 of them get through (tests measure it).
+
+The sum holds for shingles that stand once.  Windows or items that repeat a
+shingle need not obey it; there the fingerprint is not asked, and every window
+that holds enough of an item's shingles is verified.  That the result is the
+brute-force one is tested.
+
+Scale: documents are scanned once without a shuffle, whatever the benchmark's
+size.  The benchmark is written to the shared folder, and tasks build its index
+from there in blocks of at most `BLOCK_ITEMS` items and `BLOCK_BYTES` bytes; with
+more than one block a task holds `GROUP_BYTES` of texts, already cut in words, and
+goes through the blocks.  Memory is linear in a text and in an item.  Only hits
+leave a task; the driver holds nothing of the benchmark.
+
+Defined results: null or wordless texts and items match nothing; null ids of
+documents and items are ids like any other; repeated rows and equal items each get
+their own rows; very long texts and items are compared whole; an empty table gives
+an empty result; other columns, also those named like the operator's own, are
+ignored, and kept by clean().
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import LOWER, U64, Words, chunks, member, mix
-from .common import table
+from .common import scratch, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
-RADIUS = 31
-BLOCKS = 8
+BITS, BLOCKS = 128, 16
+#: Chance that a window of just that similarity is beyond the radius.
+MISS = 1e-6
 BLOCK_ITEMS = 5_000
-BLOCK_BYTES = 2 << 20
-#: Words of a text whose votes are held at once.
-REACH = 1 << 15
+BLOCK_BYTES = 8 << 20
+#: Texts that a task holds while it goes through several blocks of the benchmark.
+GROUP_BYTES = 8 << 20
+#: Windows whose votes are held at once.
+REACH = 1 << 14
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_windows bigint"
 
-_POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-#: For each block value, the values within RADIUS // BLOCKS bits of it.
-_NEAR = [np.flatnonzero(_POPCOUNT[np.arange(256) ^ v] <= RADIUS // BLOCKS) for v in range(256)]
+_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
+
+
+def fewest(one: int, other: int) -> int:
+    """Shingles that two multisets of those sizes have in common at least at the similarity wanted."""
+    return int(-(-SIMILARITY * (one + other) // (1 + SIMILARITY)))
+
+
+@lru_cache(4096)
+def radius(one: int, other: int) -> int:
+    """Differing bits beyond which a window of `one` shingles like an item of `other` is with a chance below MISS only."""
+    both = fewest(one, other)
+    if both > min(one, other):
+        return -1  # no window of that size can be similar
+    if max(one, other) > 400:  # the normal law; binomials of that size agree to three digits
+        flip = float(np.arccos(both / np.sqrt(one * other)) / np.pi)
+    else:
+        law = lambda n: np.array([comb(n, k) / 2**n for k in range(n + 1)])  # noqa: E731  of (n + sum of n signs) / 2
+        up = lambda n: np.r_[0.0, np.cumsum(law(n))]
+        common = 2 * np.arange(both + 1) - both
+        # a bit is set if the votes' sum is above 0: common + own > 0
+        share = lambda own: 1 - up(own)[np.clip((own - common) // 2 + 1, 0, own + 1)]
+        a, b = share(one - both), share(other - both)
+        flip = float((law(both) * (a * (1 - b) + b * (1 - a))).sum())
+    tail, r = 1.0, -1
+    while tail > MISS and r < BITS:
+        r += 1
+        tail -= comb(BITS, r) * flip**r * (1 - flip) ** (BITS - r)
+    return r
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -70,17 +113,28 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def simhash(shingles: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit SimHash of the `length` shingles from each start; a repeated shingle votes as often as it stands there."""
-    votes = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(((shingles[:, None] >> np.arange(64, dtype=np.uint64)) & U64(1)).astype(np.int32) * 2 - 1, axis=0, out=votes[1:])
-    bits = votes[starts + length] > votes[starts]
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    """128-bit SimHash (two columns) of the `length` shingles from each start; a repeated shingle votes as often as it stands there."""
+    out = np.empty((len(starts), BITS // 64), np.uint64)
+    for lane in range(BITS // 64):
+        bits = np.unpackbits((mix(shingles + U64(lane)) if lane else shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes = np.zeros((len(shingles) + 1, 64), np.int32)
+        np.cumsum(bits, axis=0, out=votes[1:], dtype=np.int32)
+        out[:, lane] = np.packbits(2 * (votes[starts + length] - votes[starts]) > length, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+    """The union of the intervals from lo to hi, both included, as intervals."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    head = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + 1])
+    return list(zip(lo[head].tolist(), hi[np.r_[head[1:] - 1, len(hi) - 1]].tolist(), strict=True)) if len(lo) else []
 
 
 class Index:
     """Fingerprints, shingle counts and the multi-index of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids, self.sets, self.n_words = [], [], []
         for item_id, text in items:
             raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -89,52 +143,74 @@ class Index:
                 self.ids.append(item_id)
                 self.n_words.append(len(words))
                 self.sets.append(shingle_hashes(words))
-        self.counts = [np.unique(s, return_counts=True) for s in self.sets]
-        self.prints = [int(simhash(s, np.zeros(1, int), len(s))[0]) for s in self.sets]
-        self.by_length: dict[int, list[int]] = {}
-        for k, n in enumerate(self.n_words):
-            self.by_length.setdefault(n, []).append(k)
+        self.counts = [Counter(s.tolist()) for s in self.sets]
+        self.repeats = np.array([len(c) < len(s) for c, s in zip(self.counts, self.sets, strict=True)], bool)
+        self.by_length: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.n_words) == n) for n in sorted(set(self.n_words))}
         self.short = [n for n in self.by_length if n < SHINGLE]
-        self.multi = {n: self._multi(ks) for n, ks in self.by_length.items() if n >= SHINGLE}
-        self.repeats = [int(n.max()) > 1 for _, n in self.counts]
-        self.uneven = {n for n, again in zip(self.n_words, self.repeats, strict=True) if again}
-        self.holders: dict[tuple[int, int], list[int]] = {}  # the items of a length that have a shingle
-        lengths: dict[int, set[int]] = {}
-        for n, k in ((n, k) for k, n in enumerate(self.n_words) if n >= SHINGLE):
-            for h in self.counts[k][0].tolist():
-                lengths.setdefault(h, set()).add(n)
-                self.holders.setdefault((h, n), []).append(k)
-        self.lengths = lengths  # of the items that have a shingle
-        self.table = np.array(sorted(lengths), np.uint64)
-
-    def _multi(self, ks: list[int]) -> list[list[list[int]]]:
-        """Per block, for each of its 256 values, the items near that value."""
-        out: list[list[list[int]]] = [[[] for _ in range(256)] for _ in range(BLOCKS)]
-        for b in range(BLOCKS):
-            for k in ks:
-                for v in _NEAR[(self.prints[k] >> (8 * b)) & 255]:
-                    out[b][v].append(k)
-        return out
-
-    def near(self, fingerprint: int, length: int) -> list[int]:
-        """Items of the length whose fingerprint is within RADIUS bits."""
-        found: set[int] = set()
-        for b, lists in enumerate(self.multi[length]):
-            found.update(lists[(fingerprint >> (8 * b)) & 255])
-        return [k for k in found if (self.prints[k] ^ fingerprint).bit_count() <= RADIUS]
-
-    def sharing(self, window: np.ndarray, length: int, again: bool) -> set[int]:
-        """Items of the length that, by the window's shingles that they have, may be similar; with `again` unset, only those that repeat a shingle."""
-        shared = Counter(k for h in window.tolist() for k in self.holders.get((h, length), ()))
-        return {k for k, n in shared.items() if (again or self.repeats[k]) and n * (1 + SIMILARITY) >= SIMILARITY * (len(window) + len(self.sets[k]))}
-
-    def similarity(self, window: np.ndarray, k: int) -> float:
-        """Sum of the smaller counts over the sum of the larger ones."""
-        mine, n_mine = np.unique(window, return_counts=True)
-        theirs, n_theirs = self.counts[k]
-        _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
-        smaller = int(np.minimum(n_mine[i], n_theirs[j]).sum())
-        return smaller / (len(window) + len(self.sets[k]) - smaller)
+        self.multi: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.lookups: dict[tuple[int, int], np.ndarray] = {}
+        long = [k for k, n in enumerate(self.n_words) if n >= SHINGLE]
+        own = [np.fromiter(self.counts[k], np.uint64, len(self.counts[k])) for k in long]
+        flat = np.concatenate([np.empty(0, np.uint64), *own])
+        of = np.repeat(np.array(long, np.int64), [len(x) for x in own]) if long else np.empty(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.holders = of[order]  # the items of each shingle of the table
+        self.table, first = np.unique(flat[order], return_index=True)
+        self.first = np.r_[first, len(flat)]
+
+    def blocks(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the items of a length: fingerprints, and for each block and its values, which items are near that value."""
+        if n not in self.multi:
+            ks = self.by_length[n]
+            prints = np.concatenate([simhash(self.sets[k], np.zeros(1, int), len(self.sets[k])) for k in ks.tolist()])
+            self.multi[n] = prints, _NEAR[np.ascontiguousarray(prints).view(np.uint8).reshape(len(ks), BLOCKS)]  # items, blocks, values
+        return self.multi[n]
+
+    def near(self, prints: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of windows of `size` shingles whose fingerprint is within the radius of an item of n words."""
+        own, distance = self.blocks(n)
+        most = radius(size, n - SHINGLE + 1)
+        lookup = self.lookups.get((n, most // BLOCKS))
+        if lookup is None:
+            lookup = self.lookups[n, most // BLOCKS] = distance <= most // BLOCKS
+        parts = np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), BLOCKS)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, (1 << 22) // len(own))
+        for at in range(0, len(prints), step):
+            some = np.zeros((len(own), min(step, len(prints) - at)), bool)
+            for b in range(BLOCKS):
+                some |= lookup[:, b, parts[at : at + step, b]]
+            k, w = np.nonzero(some)
+            within = np.bitwise_count(prints[at + w] ^ own[k]).sum(axis=1) <= most
+            out.append((at + w[within], self.by_length[n][k[within]]))
+        w, k = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int))
+        return w, k
+
+    def verified(self, shingles: np.ndarray, k: int, starts: np.ndarray, span: int) -> Iterator[tuple[int, float]]:
+        """(start, similarity) of the windows of `span` shingles from the starts, in order, that are similar to item k: counts slide along."""
+        theirs, size = self.counts[k], len(self.sets[k])
+        mine: Counter[int] = Counter()
+        smaller, lo, hi = 0, 0, 0
+        values = shingles.tolist() if len(starts) * 4 > len(shingles) else shingles
+        for s in starts.tolist():
+            if s >= hi:
+                mine.clear()
+                smaller, lo, hi = 0, s, s
+            while hi < s + span:
+                h = int(values[hi])
+                if h in theirs:
+                    mine[h] += 1
+                    smaller += mine[h] <= theirs[h]
+                hi += 1
+            while lo < s:
+                h = int(values[lo])
+                if h in theirs:
+                    smaller -= mine[h] <= theirs[h]
+                    mine[h] -= 1
+                lo += 1
+            similarity = smaller / (span + size - smaller)
+            if similarity >= SIMILARITY:
+                yield s, similarity
 
     def search(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """For each item that the words hold: best similarity, first word of that window, matching windows."""
@@ -142,46 +218,105 @@ class Index:
         for n in self.short:
             if n <= len(words):
                 runs = shingle_hashes(words, n)
-                for k in self.by_length[n]:
+                for k in self.by_length[n].tolist():
                     at = np.flatnonzero(runs == self.sets[k][0])
                     if len(at):
                         found[k] = (1.0, int(at[0]), len(at))
         if len(words) < SHINGLE:
             return found
         shingles = shingle_hashes(words)
+        places = np.flatnonzero(member(shingles, self.table))
+        if not len(places):
+            return found
         order = np.argsort(shingles, kind="stable")
         following = np.full(len(shingles), len(shingles) + SHINGLE)
         same = shingles[order[1:]] == shingles[order[:-1]]
         following[order[:-1][same]] = order[1:][same]
         repeated = np.minimum.accumulate(following[::-1])[::-1]  # where the first repetition from each place on is complete
-        places: dict[int, list[int]] = {}
-        for a in np.flatnonzero(member(shingles, self.table)).tolist():
-            for n in self.lengths[int(shingles[a])]:
-                places.setdefault(n, []).append(a)
-        for n, anchors in places.items():
+        row = np.searchsorted(self.table, shingles[places])
+        each = self.first[row + 1] - self.first[row]
+        holder = self.holders[np.arange(each.sum()) + np.repeat(self.first[row] - np.r_[0, np.cumsum(each)[:-1]], each)]
+        place = np.repeat(places, each)
+        length = np.array(self.n_words)[holder]
+        for n in np.unique(length).tolist():
             size = min(n, len(words))
-            span = size - SHINGLE + 1
-            starts = np.unique(np.clip((np.array(anchors)[:, None] - np.arange(span)).ravel(), 0, len(words) - size))
-            prints = np.empty(len(starts), np.uint64)
-            for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // REACH)) + 1):  # bounds the votes held
-                lo = starts[at[0]]
-                prints[at] = simhash(shingles[lo : starts[at[-1]] + span], starts[at] - lo, span)
-            again = repeated[starts] < starts + span
-            for s, f, twice in zip(starts.tolist(), prints.tolist(), again.tolist(), strict=True):
-                near = self.near(f, n)
-                if twice or n in self.uneven:
-                    near = self.sharing(shingles[s : s + span], n, twice).union(near)
-                for k in near:
-                    sim = self.similarity(shingles[s : s + span], k)
-                    if sim >= SIMILARITY:
-                        best, first, count = found.get(k, (-1.0, 0, 0))
-                        found[k] = (max(best, sim), s if sim > best else first, count + 1)
+            span, last = size - SHINGLE + 1, len(words) - size
+            own = length == n
+            candidates: list[tuple[np.ndarray, np.ndarray]] = []
+            for lo, hi in merged(np.clip(place[own] - span + 1, 0, last), np.clip(place[own], 0, last)):
+                for at in range(lo, hi + 1, REACH):  # bounds the votes held
+                    starts = np.arange(at, min(at + REACH, hi + 1))
+                    w, k = self.near(simhash(shingles[at : int(starts[-1]) + span], starts - at, span), n, span)
+                    candidates.append((starts[w], k))
+            candidates.append(self.sharing(place[own], holder[own], n, span, last, repeated))
+            start, k = (np.concatenate(x) for x in zip(*candidates, strict=True))
+            for item in np.unique(k).tolist():
+                for s, similarity in self.verified(shingles, item, np.unique(start[k == item]), span):
+                    best, first, count = found.get(item, (-1.0, 0, 0))
+                    found[item] = (max(best, similarity), s if similarity > best else first, count + 1)
         return found
 
-
-def found_in(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, index: Index) -> Iterator[tuple[int, dict]]:
+    def sharing(self, place: np.ndarray, holder: np.ndarray, n: int, span: int, last: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of windows that hold enough of an item's shingles, where the window or the item repeats one."""
+        least = fewest(span, n - SHINGLE + 1)
+        out = [(np.empty(0, int), np.empty(0, int))]
+        kept = np.flatnonzero(np.bincount(holder, minlength=len(self.ids)) >= least)
+        for k in kept.tolist():
+            own = np.sort(place[holder == k])
+            lo, hi = own[least - 1 :] - span + 1, own[: len(own) - least + 1]
+            near = lo <= hi
+            for a, b in merged(np.clip(lo[near], 0, last), np.clip(hi[near], 0, last)):
+                starts = np.arange(a, b + 1)
+                if not self.repeats[k]:
+                    starts = starts[repeated[starts] < starts + span]
+                out.append((starts, np.full(len(starts), k)))
+        start, item = (np.concatenate(x) for x in zip(*out, strict=True))
+        return start, item
+
+
+# ---- Spark ----
+
+_indexes: dict[tuple[str, int], Index] = {}
+
+
+def blocks_of(path: str) -> Iterator[Index]:
+    """Indexes of the benchmark written at the path; a worker keeps the last ones it built."""
+    fs, root = pafs.FileSystem.from_uri(path)
+    number = 0
+
+    def index(rows: list[tuple[int | None, str | None]]) -> Index:
+        nonlocal number
+        number += 1
+        if (path, number) not in _indexes:
+            if len(_indexes) >= 2:
+                _indexes.clear()
+            _indexes[path, number] = Index(rows)
+        return _indexes[path, number]
+
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
+    rows, size = [], 0
+    for name in names:
+        with fs.open_input_file(name) as source:
+            for batch in pq.ParquetFile(source).iter_batches(512):
+                for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    rows.append((item_id, text))
+                    size += len(text or "")
+                    if len(rows) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+                        yield index(rows)
+                        rows, size = [], 0
+    if rows:
+        yield index(rows)
+
+
+def written(benchmark: DataFrame) -> str:
+    """The folder of the shared one in which the benchmark now is, in few files."""
+    path = scratch(benchmark.sparkSession, "benchmark")
+    benchmark.select(F.col("item_id").cast("bigint"), "text").coalesce(8).write.parquet(path)
+    return path
+
+
+def found_in(words: Words, index: Index) -> Iterator[tuple[int, dict]]:
     """The rows of a chunk that hold items, with what Index.search() gives."""
-    words = Words(LOWER[buf], offs)
     hashes = words.hashes()
     if index.short or len(words) < SHINGLE:
         docs = np.flatnonzero(words.counts)
@@ -194,54 +329,59 @@ def found_in(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, index: Ind
             yield d, found
 
 
-def hits(batches: Iterable[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    """Rows of SCHEMA for batches of (doc_id, text)."""
-    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "similarity": pa.float64(), "first_word": pa.int64(), "n_windows": pa.int64()}
+def groups(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[list[tuple[pa.RecordBatch, list[tuple[Index, int, dict]]]]]:
+    """Chunks with what is found in them, as (index, row, found)."""
+    first = list(zip(range(2), blocks_of(path)))  # two at most are looked at to know whether there is one
+    held: list[tuple[pa.RecordBatch, Words, list]] = []
+    size = 0
+
+    def searched() -> list:
+        for index in [first[0][1]] if len(first) == 1 else blocks_of(path):
+            for _, words, out in held:
+                out += [(index, d, found) for d, found in found_in(words, index)]
+        return [(part, out) for part, _, out in held]
+
     for batch in batches:
-        rows: list[tuple] = []
         for part, buf, offs in chunks(batch):
-            ids = part.column("doc_id")
-            for d, found in found_in(part, buf, offs, index):
-                rows += [(ids[d].as_py(), index.ids[k], *best) for k, best in found.items()]
+            words = Words(LOWER[buf], offs)
+            words.hashes()
+            held.append((part, words, []))
+            size += len(buf)
+            if len(first) < 2 or size >= GROUP_BYTES:
+                yield searched() if first else [(p, out) for p, _, out in held]
+                held, size = [], 0
+    if held:
+        yield searched()
+
+
+def hits(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA for batches of (doc_id, text)."""
+    kinds = {"doc_id": pa.int64(), "item_id": pa.int64(), "similarity": pa.float64(), "first_word": pa.int64(), "n_windows": pa.int64()}
+    for group in groups(batches, path):
+        rows = [(part.column("doc_id")[d].as_py(), index.ids[k], *best) for part, out in group for index, d, found in out for k, best in found.items()]
         cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
-def without_hits(batches: Iterable[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
+def without_hits(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The batches without the rows whose text holds an item."""
-    for batch in batches:
-        for part, buf, offs in chunks(batch):
+    for group in groups(batches, path):
+        for part, out in group:
             keep = np.ones(part.num_rows, bool)
-            keep[[d for d, _ in found_in(part, buf, offs, index)]] = False
+            keep[[d for _, d, _ in out]] = False
             yield part.filter(pa.array(keep))
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded rows and bytes; the driver holds one at a time."""
-    block, size = [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
-        block.append((item_id, text))
-        size += len((text or "").encode())
-        if len(block) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and each item that it holds, with the best window."""
-    found = docs.sparkSession.createDataFrame([], SCHEMA)
-    for block in item_blocks(benchmark):
-        found = found.union(docs.select("doc_id", "text").mapInArrow(lambda it, index=Index(block): hits(it, index), SCHEMA))
-    return found
+    path = written(benchmark)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: hits(it, path), SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item; all columns, no shuffle."""
-    for block in item_blocks(benchmark):
-        docs = docs.mapInArrow(lambda it, index=Index(block): without_hits(it, index), docs.schema)
-    return docs
+    path = written(benchmark)
+    return docs.mapInArrow(lambda it: without_hits(it, path), docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

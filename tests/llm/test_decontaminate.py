@@ -1,6 +1,11 @@
 import collections
 import random
 import re
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from cinetide.llm import decontaminate
 
@@ -14,21 +19,23 @@ def shingles(words):
 
 
 def brute(docs, items):
-    """Every item-sized window of every document against every item."""
+    """Every item-sized window of every document against every item; without a shingle in common the similarity is 0."""
     out = set()
     known = [(i, WORDS.findall((t or "").translate(LOWER))) for i, t in items]
+    known = [(i, own, collections.Counter(shingles(own))) for i, own in known if own]
     for doc_id, text in docs:
         words = WORDS.findall((text or "").translate(LOWER))
-        for item, own in known:
-            if not own or not words or (len(own) < 5 and len(words) < len(own)) or (len(words) < 5 <= len(own)):
+        runs = {k: [tuple(words[i : i + k]) for i in range(len(words) - k + 1)] for k in range(1, 6)}
+        seen = {k: set(r) for k, r in runs.items()}
+        for item, own, mine in known:
+            k = min(5, len(own))
+            if not words or len(words) < k or not any(s in seen[k] for s in mine):
                 continue
-            mine = collections.Counter(shingles(own))
-            size = min(len(own), len(words))
-            for s in range(len(words) - size + 1):
-                window = words[s : s + size]
-                there = collections.Counter(shingles(window)) if len(own) >= 5 else collections.Counter([tuple(window)])
+            size = min(len(own), len(words)) - k + 1
+            for s in range(len(runs[k]) - size + 1):
+                there = collections.Counter(runs[k][s : s + size])
                 both = sum((mine & there).values())
-                if both and both >= 0.75 * (sum(mine.values()) + sum(there.values()) - both):
+                if both and both >= 0.75 * (sum(mine.values()) + size - both):
                     out.add((doc_id, item))
                     break
     return out
@@ -48,18 +55,89 @@ def test_equals_brute_force(spark, small, odd):
     assert got == brute(docs, items) and len(got) > 40
 
 
-def test_equals_brute_force_on_the_tables(spark, small):
-    docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+def test_equals_brute_force_on_the_tables(spark):
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r[0], r[1]) for r in decontaminate.contaminated(docs, bench).collect()}
-    near = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert got == brute(near[:120], [(r["item_id"], r["text"]) for r in bench.collect()]) | {g for g in got if g[0] not in {d for d, _ in near[:120]}}
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()])
+    print("recall", len(got & want) / len(want), "of", len(want))
+    assert got == want and len(want) > 20
+
+
+def laid(words):
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return decontaminate.Words(raw, np.array([0, len(raw)])).hashes()
+
+
+@pytest.mark.parametrize("n", [5, 6, 9, 15, 24, 45, 120, 500])
+def test_the_radius_holds_what_is_similar_and_little_else(n):
+    """Windows with just enough shingles in common are within the radius, unrelated ones are not."""
+    rng = np.random.default_rng(n)
+    size = n - 4
+    shared = decontaminate.fewest(size, size)
+    assert shared <= size and 2 * size * 0.75 <= shared * 1.75 < 2 * size * 0.75 + 1.75
+    most = decontaminate.radius(size, size)
+    assert most <= 45
+    draw = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
+    one = lambda s: decontaminate.simhash(s, np.zeros(1, int), len(s))[0]
+    far = near = 0
+    for _ in range(1000):
+        a, b = draw(size), draw(size)
+        far += int(np.bitwise_count(one(a) ^ one(b)).sum()) <= most
+        near += int(np.bitwise_count(one(a) ^ one(np.r_[a[:shared], b[shared:]])).sum()) <= most
+    assert near == 1000 and far < 10
+
+
+def test_the_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 300, 30))) for k in range(200)]
+    index = decontaminate.Index(items)
+    own, _ = index.blocks(30)
+    prints = np.r_[own[:50] ^ rng.integers(0, 2**63, (50, 2), dtype=np.uint64) & rng.integers(0, 2**63, (50, 2), dtype=np.uint64), rng.integers(0, 2**63, (500, 2), dtype=np.uint64)]
+    most = decontaminate.radius(26, 26)
+    want = {(w, k) for w in range(len(prints)) for k in range(200) if int(np.bitwise_count(prints[w] ^ own[k]).sum()) <= most}
+    assert set(zip(*(x.tolist() for x in index.near(prints, 30, 26)), strict=True)) == want and want
+    assert len(want) < 0.01 * len(prints) * 200
+
+
+def test_very_long_items_take_little_memory():
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 50_000, 20_000)]
+    other = [w if i % 60 else "other" for i, w in enumerate(words)]
+    index = decontaminate.Index([(1, " ".join(words)), (2, " ".join(f"v{x}" for x in rng.integers(0, 9, 20_000)))])
+    tracemalloc.start()
+    found = index.search(laid(["before"] * 30 + other + ["after"] * 500))
+    runs = index.search(laid([f"v{x}" for x in rng.integers(0, 9, 21_000)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {0} and found[0][1] == 30 and 0.75 < found[0][0] < 0.9
+    assert set(runs) <= {1} and peak < 400 << 20
+
+
+def test_a_text_over_a_chunk_and_words_that_weak_hashes_confuse(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one, two = ("".join("ab"[b ^ turn] for b in bits) for turn in (0, 1))
+    rng = random.Random(5)
+    item = " ".join(f"q{i}" for i in range(25))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200_000)) + " " + item
+    docs = [(1, long), (2, two), (3, one), (None, item)]
+    got = {(r[0], r[1]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item), (8, one), (None, "x y")], "item_id bigint, text string")).collect()}
+    assert got == {(1, 7), (3, 8), (None, 7)} and len(long) > 1 << 20
 
 
 def test_blocks_of_the_benchmark_change_nothing(spark, small, monkeypatch):
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 7)
-    assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect())) == whole and whole
+    path = decontaminate.written(bench)
+    rows = [pa.RecordBatch.from_pylist([{"doc_id": r["doc_id"], "text": r["text"]} for r in docs.collect()])]
+    assert len(list(decontaminate.blocks_of(path))) > 3
+    for group in (1, 1 << 30):
+        monkeypatch.setattr(decontaminate, "GROUP_BYTES", group)
+        got = [tuple(r.values()) for b in decontaminate.hits(rows, path) for r in b.to_pylist()]
+        assert sorted(got) == whole and whole
+    assert sum(b.num_rows for b in decontaminate.without_hits(rows, path)) == docs.count() - len({r[0] for r in whole})
 
 
 def test_clean_keeps_columns_and_the_rest(spark, small, odd, empty):
@@ -83,6 +161,6 @@ def test_windows_with_repeated_shingles():
             pairs.append((" ".join(own + ([f"y{t}"] * 25 if twice or t % 2 else plain)), " ".join(own + ([f"z{t}"] * 25 if twice or not t % 2 else plain))))
         index = decontaminate.Index([(t, item) for t, (item, _) in enumerate(pairs)])
         for t, (item, text) in enumerate(pairs):
-            raw = decontaminate.np.frombuffer(text.encode(), decontaminate.np.uint8)
-            found = index.search(decontaminate.Words(raw, decontaminate.np.array([0, len(raw)])).hashes())
+            raw = np.frombuffer(text.encode(), np.uint8)
+            found = index.search(decontaminate.Words(raw, np.array([0, len(raw)])).hashes())
             assert brute([(0, text)], [(t, item)]) == {(0, t)} and set(found) == {t}
