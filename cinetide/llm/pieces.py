@@ -1,40 +1,47 @@
-"""SentencePiece encoding and decoding by a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
 Three machines are compiled from a model file:
-* N, the normaliser: the dummy prefix and U+2581 for every space; identity
-  otherwise (the models in use have no character map);
-* L, the lexicon: a trie whose paths spell pieces, with weight -score, plus byte
-  fallback: a character that is no piece becomes the pieces of its UTF-8 bytes;
+* N, the normaliser: arcs that rewrite characters by the model's character map
+  (longest match first), squeeze spaces if the model says so, put U+2581 for every
+  space and the dummy prefix in front;
+* L, the lexicon: a trie of states whose paths spell pieces, with weight -score for
+  unigram models, plus byte fallback: a character that is no piece becomes the
+  pieces of its UTF-8 bytes;
 * A, an acceptor over pieces for models of the merging (BPE) kind, with a state
   per last piece.  The arc from u to v weighs 0 if merging the characters of uv
   ends in u, v, and infinity otherwise.  A sequence whose neighbours all pass is
   what merging the whole text gives, and there is just one: merges inside of two
   neighbours never depend on anything beyond them.  Arcs of A are made when they
-  are first asked for and kept, as in lazy composition.
-An input's encoding is the shortest path, in the tropical semiring (least sum),
-of input o N o L o A; for unigram models A is left out.  With A only one path to
-each place is finite, so a depth-first search that enters no place twice finds
-it; without A the sums are compared.  For the public model the result
-equals the SentencePiece library's ids, which is tested on whole documents.
-Decoding runs the machines backwards: pieces to bytes, spaces restored, the
-dummy prefix dropped.
+  are first asked for and kept.
+An input's encoding is the shortest path, in the tropical semiring (least sum of
+weights), of input o N o L o A; for unigram models A has one state and weight 0.
+The composition is lazy: its states are pairs of a place in the normalised input
+and a state of A, and arcs are made as the search reaches them.  The search takes
+the lightest state first, of equals the furthest.  The result equals the
+SentencePiece library's ids for the public BPE model, and for a made-up unigram
+model with a character map; both are tested.  Decoding runs the machines backwards:
+pieces to bytes, spaces restored, the dummy prefix dropped.
 
 Speed without loss: no piece has U+2581 after another character, and a line feed
 is no piece, so texts fall apart before each run of spaces and around line feeds
 into segments that are encoded on their own (this is checked for the model).
-Each distinct segment of a chunk is looked up by hash and encoded if new; a
-worker keeps at most `CACHE` segments in two generations.
+Each distinct segment is looked up by its bytes and encoded if new; a worker keeps
+at most `CACHE` segments in two generations.  A text is read whole, whatever its
+size; a segment without blanks costs some 200 bytes a character while it is encoded.
 
-The model's path is a parameter; the driver reads the file and sends its pieces.
+The model's path is a parameter, or the setting `spark.cinetide.pieces.model`; the
+driver reads the file and sends its pieces.
 
 Defined results: a null text is empty and has no ids; U+2581 in a text reads as
-a space, so round_trip is false for such texts; repeated rows are encoded alike;
-an empty table gives an empty result; other columns are ignored.
+a space, so round_trip is false for such texts, as it is where the character map
+changed something; repeated rows are encoded alike; an empty table gives an empty
+result; other columns, also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -43,10 +50,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestext import Words, chunks
+from .bytestext import chunks
 from .common import table
 
+#: The public model, where neither a parameter nor the setting names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+SETTING = "spark.cinetide.pieces.model"
 CACHE = 500_000
 ARCS = 600_000
 SPACE = "▁"
@@ -87,7 +96,7 @@ class Model:
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.bpe, self.prefix = False, True
+        self.bpe, self.prefix, self.strip, self.map = False, True, True, b""
         for number, value in _fields(raw):
             if number == 1:
                 own = dict(_fields(value))
@@ -98,34 +107,123 @@ class Model:
                 self.bpe = dict(_fields(value)).get(3, 1) == 2
             elif number == 3:
                 own = dict(_fields(value))
-                self.prefix = bool(own.get(3, 1))
-                if own.get(2) or own.get(4, 1) or not own.get(5, 1):
-                    raise ValueError("character maps, stripped spaces and plain spaces are not supported")
+                self.map, self.prefix, self.strip = own.get(2) or b"", bool(own.get(3, 1)), bool(own.get(4, 1))
+                if not own.get(5, 1):
+                    raise ValueError("plain spaces are not supported")
         usable = [p for p, k in zip(self.pieces, self.kinds, strict=True) if k in (NORMAL, USER)]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in usable):
             raise ValueError("pieces reach over words")
 
 
-class Transducer:
-    """N, L and A of a model."""
+INFINITY = float("inf")
+Arc = tuple[int, int, float]  # where to, the piece (or -1, the character itself), the weight
+
+
+class CharacterMap:
+    """The rewriting arcs of N: a double-array trie over bytes, and the texts that its keys become."""
+
+    def __init__(self, raw: bytes):
+        size = struct.unpack("<I", raw[:4])[0] if raw else 0
+        self.units = np.frombuffer(raw[4 : 4 + size], "<u4").tolist()
+        self.texts = raw[4 + size :]
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
+        """End and replacement of the longest key at a place."""
+        if not self.units:
+            return None
+        step = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        node, best = step(self.units[0]), None
+        for k in range(at, len(raw)):
+            node ^= raw[k]
+            unit = self.units[node]
+            if unit & 0x800000FF != raw[k]:
+                break
+            node ^= step(unit)
+            if unit & 256:
+                start = self.units[node] & 0x7FFFFFFF
+                best = k + 1, self.texts[start : self.texts.index(b"\0", start)]
+        return best
+
+
+class Normaliser:
+    """N: two states, whether a space came last (it matters where spaces are squeezed), and arcs by the character map."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.map, self.prefix, self.strip = CharacterMap(model.map), model.prefix, model.strip
+
+    def arc(self, raw: bytes, at: int) -> tuple[int, bytes]:
+        """Where the arc from a place of the input ends, and what it gives."""
+        found = self.map.longest(raw, at)
+        if found is None:
+            lead = raw[at]
+            end = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+            return end, raw[at:end]
+        return found
+
+    def output(self, text: str, whole: bool = True) -> str:
+        """What N makes of the text; without `whole`, of a piece of a text, so without dummy prefix."""
+        raw, at, out, spaced = text.encode(), 0, [], self.strip
+        while at < len(raw):
+            at, made = self.arc(raw, at)
+            if spaced:
+                made = made.lstrip(b" ")
+            if made:
+                out.append(made)
+                spaced = self.strip and made.endswith(b" ")
+        result = b"".join(out).decode().replace(" ", SPACE)
+        result = (SPACE if self.prefix and whole and result else "") + result
+        return result.rstrip(SPACE) if self.strip else result
+
+
+class Lexicon:
+    """L: the trie's states, each with its arcs by character and the piece that ends there."""
+
+    def __init__(self, model: Model):
+        self.next: list[dict[str, int]] = [{}]
+        self.piece = [-1]
+        used = [(p, i) for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k in (NORMAL, USER)]
+        for text, i in used:
+            state = 0
+            for c in text:
+                to = self.next[state].get(c)
+                if to is None:
+                    to = self.next[state][c] = len(self.next)
+                    self.next.append({})
+                    self.piece.append(-1)
+                state = to
+            self.piece[state] = i
+        self.weight = [0.0] * len(model.pieces) if model.bpe else [-score for score in model.scores]
+        self.rare = 0.0 if model.bpe else 10.0 - min((model.scores[i] for _, i in used), default=0.0)  # of a character without a piece
+
+    def arcs(self, text: str, at: int) -> list[Arc]:
+        """The paths from the trie's root along the text; the character itself, if it is no piece."""
+        out: list[Arc] = []
+        end, size, state, next_, piece = at, len(text), 0, self.next, self.piece
+        while end < size:
+            state = next_[state].get(text[end], 0)
+            if not state:
+                break
+            end += 1
+            i = piece[state]
+            if i >= 0:
+                out.append((end, i, self.weight[i]))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, -1, self.rare))
+        return out
+
+
+class Pairs:
+    """A: a state for each last piece, and weights of the arcs between them."""
+
+    def __init__(self, model: Model):
+        self.pieces, self.scores, self.bpe = model.pieces, model.scores, model.bpe
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k in (NORMAL, USER)}
-        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
-        self.unknown = model.kinds.index(UNKNOWN)
-        #: The trie: each prefix of a piece, with the piece's id or -1.
-        self.trie: dict[str, int] = {}
-        for piece, i in self.ids.items():
-            for n in range(1, len(piece)):
-                self.trie.setdefault(piece[:n], -1)
-            self.trie[piece] = i
-        self.arcs: dict[int, bool] = {}
+        self.arcs: dict[int, float] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merging of characters by score, leftmost first among equals; only ever used on two pieces."""
         parts = list(text)
-        scores, ids = self.model.scores, self.ids
+        scores, ids = self.scores, self.ids
         while True:
             best = at = None
             for k in range(len(parts) - 1):
@@ -136,97 +234,73 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def passes(self, u: int, v: int) -> bool:
-        """Whether A's arc from piece u to v has a finite weight; characters without a piece are -1 and merge with nothing."""
-        if u < 0 or v < 0:
-            return True
+    def weight(self, u: int, v: int) -> float:
+        """Weight of the arc from piece u to v; a character without a piece, and the start, merge with nothing."""
+        if not self.bpe or u < 0 or v < 0:
+            return 0.0
         key = u << 20 | v
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            pair = [self.model.pieces[u], self.model.pieces[v]]
-            known = self.arcs[key] = self.merged(pair[0] + pair[1]) == pair
+            pair = [self.pieces[u], self.pieces[v]]
+            known = self.arcs[key] = 0.0 if self.merged(pair[0] + pair[1]) == pair else INFINITY
         return known
 
-    def arcs_from(self, text: str, at: int) -> list[tuple[int, int]]:
-        """L's (end, piece) from a place, the longest last; the character itself, as -1, if it is no piece."""
-        out: list[tuple[int, int]] = []
-        end, size, get = at + 1, len(text), self.trie.get
-        i = get(text[at])
-        if i is None:
-            return [(end, -1)]
-        while i is not None:
-            if i >= 0:
-                out.append((end, i))
-            if end == size:
-                break
-            end += 1
-            i = get(text[at:end])
-        if not out or out[0][0] > at + 1:
-            out.insert(0, (at + 1, -1))
-        return out
+
+class Transducer:
+    """N, L and A of a model, their composition with an input, and the shortest path in it."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.normaliser, self.lexicon, self.pairs = Normaliser(model), Lexicon(model), Pairs(model)
+        self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        self.unknown = model.kinds.index(UNKNOWN)
 
     def path(self, text: str) -> list[tuple[int, int]]:
-        """The shortest path for normalised text: (end, piece or -1 for a character without one)."""
-        return self.only_path(text) if self.model.bpe else self.least_path(text)
-
-    def only_path(self, text: str) -> list[tuple[int, int]]:
-        """Shortest path where A leaves one path to each place: depth first, no place twice."""
-        size, seen = len(text), set()
-        trail: list[tuple[int, int]] = []
-        todo, last, known = [self.arcs_from(text, 0)], -1, self.arcs.get
+        """The shortest path of normalised text: (end, piece or -1) of each arc.
+
+        A state is (place, last piece), as one number.  An arc's weight in A is asked
+        for when the search comes to it, so arcs that no light path needs are never made.
+        """
+        arcs, weight, size = self.lexicon.arcs, self.pairs.weight, len(text)
+        reached: dict[int, int] = {}
+        todo: list[tuple[float, int, int, int, float]] = [(0.0, 0, 0, -1, 0.0)]  # weight, -place, state, the state before, the arc's weight in A or -1
         while todo:
-            arcs = todo[-1]
-            while arcs:
-                step = arcs.pop()
-                end, piece = step
-                if end not in seen and (last < 0 or piece < 0 or (known(last << 20 | piece) or self.passes(last, piece))):
-                    seen.add(end)
-                    trail.append(step)
-                    if end == size:
-                        return trail
-                    last = piece
-                    todo.append(self.arcs_from(text, end))
-                    break
-            else:
-                todo.pop()
-                if trail:
-                    trail.pop()
-                    last = trail[-1][1] if trail else -1
+            so_far, back, state, before, known = heapq.heappop(todo)
+            if state in reached:
+                continue
+            piece = (state & 0xFFFFF) - 1
+            if known < 0:
+                more = weight((before & 0xFFFFF) - 1, piece)
+                if more:
+                    if more < INFINITY:
+                        heapq.heappush(todo, (so_far + more, back, state, before, more))
+                    continue
+            reached[state] = before
+            if back == -size:
+                out = []
+                while before >= 0:
+                    out.append((state >> 20, (state & 0xFFFFF) - 1))
+                    state, before = before, reached[before]
+                return out[::-1]
+            for end, i, own in arcs(text, -back):
+                heapq.heappush(todo, (so_far + own, -end, end << 20 | (i + 1), state, -1.0))
         raise AssertionError("no path")
 
-    def least_path(self, text: str) -> list[tuple[int, int]]:
-        """Shortest path by least sums over all places, for models without A."""
-        best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(float("inf"), 0, 0)] * len(text)
-        rare = min(self.model.scores) - 10.0  # of a character without a piece
-        for at in range(len(text)):
-            for end, piece in self.arcs_from(text, at):
-                weight = best[at][0] - (self.model.scores[piece] if piece >= 0 else rare)
-                if weight < best[end][0]:
-                    best[end] = (weight, at, piece)
-        out, at = [], len(text)
-        while at:
-            out.append((at, best[at][2]))
-            at = best[at][1]
-        return out[::-1]
-
     def segment_ids(self, text: str) -> list[int]:
-        """Ids of normalised text without a dummy prefix."""
+        """Ids of normalised text."""
         out, at = [], 0
         for end, piece in self.path(text) if text else ():
             if piece >= 0:
                 out.append(piece)
             else:
-                out += [self.bytes.get(b, self.unknown) for b in text[at:end].encode()]
+                out += [self.bytes.get(b, self.unknown) for b in text[at:end].encode()] if self.bytes else [self.unknown]
             at = end
         return out
 
-    def normalised(self, text: str) -> str:
-        return ((SPACE if self.model.prefix and text else "") + text).replace(" ", SPACE)
-
     def encode(self, text: str) -> list[int]:
-        return self.segment_ids(self.normalised(text))
+        return self.segment_ids(self.normaliser.output(text))
 
     def table(self) -> list[bytes]:
         """Bytes that each id stands for."""
@@ -246,27 +320,34 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.machine = Transducer(model)
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         raw = self.machine.table()
         self.sizes = np.array([len(x) for x in raw])
         self.places = np.r_[0, np.cumsum(self.sizes)]
         self.flat = np.frombuffer(b"".join(raw), np.uint8)
+        #: N rewrites characters on their own then, so segments can be cut before it.
+        self.plain = not model.map and not model.strip
 
-    def ids_of(self, key: int, segments: Words, i: int) -> bytes:
-        known = self.young.get(key)
+    def ids_of(self, segment: bytes) -> bytes:
+        known = self.young.get(segment)
         if known is None:
-            known = self.old.get(key)
+            known = self.old.get(segment)
             if known is None:
-                ids = self.machine.segment_ids(segments.text(i).decode().replace(" ", SPACE))
+                text = segment.decode()
+                ids = self.machine.segment_ids(self.machine.normaliser.output(text, whole=False) if self.plain else text.replace(" ", SPACE))
                 known = struct.pack(f"<{len(ids)}i", *ids)
             if len(self.young) >= CACHE // 2:
                 self.young, self.old = {}, self.young
-            self.young[key] = known
+            self.young[segment] = known
         return known
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin."""
+        if not self.plain:
+            raw = buf.tobytes()
+            texts = [self.machine.normaliser.output(raw[a:b].decode(), whole=False).replace(SPACE, " ").encode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            buf, offs = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])]
         sizes = np.diff(offs)
         if self.machine.model.prefix:
             buf = np.insert(buf, offs[:-1][sizes > 0], 0x20)
@@ -276,10 +357,12 @@ class Encoder:
         blank, line = buf == 0x20, buf == 0x0A
         head = line | (blank & ~np.r_[False, blank[:-1]]) | np.r_[False, line[:-1]]
         head[offs[:-1][np.diff(offs) > 0]] = True
-        segments = Words.cut(buf, offs, np.flatnonzero(head))
-        keys, index, inverse = np.unique(segments.hashes(), return_index=True, return_inverse=True)
-        ids = [self.ids_of(k, segments, i) for k, i in zip(keys.tolist(), index.tolist(), strict=True)]
-        return spread(np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids]), inverse, segments.first)
+        starts = np.flatnonzero(head)
+        raw, limits = buf.tobytes(), [*starts.tolist(), len(buf)]
+        own: dict[bytes, int] = {}
+        which = np.fromiter((own.setdefault(raw[a:b], len(own)) for a, b in zip(limits, limits[1:])), np.int64, len(starts))
+        ids = [self.ids_of(segment) for segment in own]
+        return spread(np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids]), which, np.searchsorted(starts, offs))
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts with those ids, and where each text's begin."""
@@ -345,10 +428,15 @@ def _without_marks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(x) for x in texts])]
 
 
-def tokenized(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def model_bytes(spark: SparkSession, model: str | None = None) -> bytes:
+    """The model's file, read by the driver."""
+    with open(model or spark.conf.get(SETTING, MODEL), "rb") as f:
+        return f.read()
+
+
+def tokenized(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Ids of each document, with the digest of their decoding."""
-    with open(model, "rb") as f:
-        raw = f.read()
+    raw = model_bytes(docs.sparkSession, model)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: encoded(it, raw), SCHEMA)
 
 
@@ -366,10 +454,9 @@ def decoded(batches: Iterable[pa.RecordBatch], raw: bytes) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-def detokenized(tokens: DataFrame, model: str = MODEL) -> DataFrame:
+def detokenized(tokens: DataFrame, model: str | None = None) -> DataFrame:
     """Texts of (doc_id, ids)."""
-    with open(model, "rb") as f:
-        raw = f.read()
+    raw = model_bytes(tokens.sparkSession, model)
     return tokens.select("doc_id", "ids").mapInArrow(lambda it: decoded(it, raw), "doc_id bigint, text string")
 
 
