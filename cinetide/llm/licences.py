@@ -1,42 +1,42 @@
 """Licence scans by an exact set-similarity join of text blocks with templates.
 
 Words are lower-cased (A-Z) runs of digits, ASCII letters and non-ASCII
-characters.  A block is up to `BLOCK` consecutive words of one line, from every
-`STEP` words on, so a template of up to STEP + 1 words falls into one block.  A
-block matches a template if it holds at least `THRESHOLD` of the template's
-distinct words; the document then gets the template's label.  The base labels
-(the three phrases of consecutive words) always stay.
+characters, over the whole text, whatever lines they stand on.  A template is a
+public licence notice or its short form.  Its blocks are all runs of `window`
+consecutive words, a quarter more than it has itself, so a short form can't be
+put together from words far apart.  A block matches a template if it holds at least
+`THRESHOLD` of the template's distinct words, its telling word, without which it may
+be another licence's notice, and none of the words that make it one; the document
+then gets the template's label.  The base labels (the three phrases of consecutive
+words) always stay.
 
 Method.  Words are ordered by their frequency over all documents, rarest
-first.  A template of m words of which a = ceil(THRESHOLD m) are needed:
+first.  A template of m distinct words of which a = ceil(THRESHOLD m) are needed:
 * prefix filter: a match holds one of its m - a + 1 rarest words, so only
-  blocks with such a word are looked at;
-* length filter: the block has a distinct words at least;
-* positional filter: with the first common word at place p of the template and
-  q of the block's words that any template has, min(m - p, n - q) >= a.
+  places within a window of such a word are looked at;
+* length filter: such a place must end a block that has a words of the template
+  at least, repeated ones counted;
+* positional filter: the template's words are looked up rarest first, and a block
+  is dropped as soon as the words that are left can't bring it to a.
 What passes is counted exactly, so the result is that of comparing all blocks
 with all templates.
 
-Blocks end with their line, as in the SQL, so a hard-wrapped notice is compared
-line by line.  `notices` compares every run of `BLOCK` consecutive words of the
-whole text instead, whatever lines it crosses; each block lies in such a run, so
-a template found in a block is found in one.  A run that matches holds a word of the
-template's prefix, so only words within `BLOCK` of one are counted.  It must also
-hold the word that tells the template from other licences' notices (`TELLING`).
-
 Scale: one scan for the frequencies of the templates' words (a fixed list, so
 one row per word and task is aggregated) and one for the join, without a
-shuffle of texts.  Templates are fixed and sent with the task.
+shuffle of texts.  Templates are fixed and sent with the task.  Memory is linear
+in a text, and each template costs a few passes over the words that it has too.
 
-Defined results: a null text is empty (0 words, no labels, score 0); repeated
-rows are scanned alike; an empty table gives an empty result; other columns are
-ignored.
+Defined results: a null text is empty (0 words, no labels, score 0); null ids and
+repeated rows are scanned alike; a very long text is read whole; of equally good
+templates the label is the same or both are given; an empty table gives an empty
+result; other columns, also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from math import ceil
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,152 +47,163 @@ from .bytestext import ALNUM, LOWER, Words, chunks, hash_word, member
 from .common import table
 
 THRESHOLD = 0.8
-BLOCK, STEP = 64, 32
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short forms of public licence notices, by label.
+
+
+class Template(NamedTuple):
+    """A notice in lower case: its label, a word that it must hold, and words that it must not hold."""
+
+    label: str
+    text: str
+    telling: str | None = None
+    barred: tuple[str, ...] = ()
+
+    @property
+    def words(self) -> list[str]:
+        return sorted(set(self.text.split()))
+
+    @property
+    def window(self) -> int:
+        n = len(self.text.split())
+        return n + n // 4
+
+
+_OTHER_CC = ("noncommercial", "nc", "sharealike", "sa", "noderivatives", "noderivs", "nd")
+#: Public licence notices and their short forms.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("reserved", "all rights reserved"),
+    Template("mit", "released under the mit license", "mit"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software",
+    ),
+    Template("apache", "licensed under the apache license version 2 0", "apache"),
+    Template("apache", "you may not use this file except in compliance with the license", None, ("mozilla", "mpl")),
+    Template(
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is "
+        "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache",
+    ),
+    Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu", ("lesser", "affero")),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu", ("lesser", "affero")),
+    Template(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gnu",
+        ("lesser", "affero"),
+    ),
+    Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser"),
+    Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", "affero"),
+    Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "nc", ("sa", "nd")),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "noncommercial", ("sharealike", "noderivatives")),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "sharealike", ("noncommercial",)),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution", _OTHER_CC),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("reserved", "all rights reserved"),
 )
 
-#: A word without which `notices` takes no run for the template; another licence's notice can have all others.
-TELLING = {
-    "released under the mit license": "mit",
-    "licensed under the apache license version 2 0": "apache",
-    "this work is licensed under the gnu general public license version 3": "gnu",
-    "licensed under cc by nc 4 0": "nc",
-}
-
 
 def needed(size: int) -> int:
     return ceil(THRESHOLD * size - 1e-9)
 
 
 class Templates:
-    """The templates' words in global order, with the words of their prefixes."""
+    """The templates' words in global order."""
 
-    def __init__(self, frequency: dict[str, int], templates: tuple[tuple[str, str], ...] = TEMPLATES):
-        vocabulary = {w for _, text in templates for w in text.split()}
-        ranked = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-        self.rank = {w: k for k, w in enumerate(ranked)}
+    def __init__(self, frequency: dict[str, int], templates: tuple[Template, ...] = TEMPLATES):
+        ranked = sorted(vocabulary(templates), key=lambda w: (frequency.get(w, 0), w))
+        rank = {w: k for k, w in enumerate(ranked)}
         hashes = np.array([hash_word(w) for w in ranked], np.uint64)
         self.order = np.argsort(hashes)
         self.table = hashes[self.order]
-        self.sets = [(label, sorted({self.rank[w] for w in text.split()})) for label, text in templates]
-        self.telling = [self.rank.get(TELLING.get(text)) for _, text in templates]
-        self.by_prefix: dict[int, list[int]] = {}
-        for t, (_, ranks) in enumerate(self.sets):
-            for r in ranks[: len(ranks) - needed(len(ranks)) + 1]:
-                self.by_prefix.setdefault(r, []).append(t)
-        self.prefix = np.sort(hashes[sorted(self.by_prefix)])
+        self.rows = [(t.label, t.window, sorted(rank[w] for w in t.words), rank.get(t.telling), sorted(rank[w] for w in t.barred)) for t in templates]
         self.phrases = [(label, np.array([hash_word(w) for w in phrase.split()], np.uint64)) for phrase, label in PHRASES.items()]
 
-    def ranks(self, hashes: np.ndarray) -> np.ndarray:
-        """Ranks of a block's words that some template has, in order."""
-        at = np.flatnonzero(member(hashes, self.table))
-        return np.unique(self.order[np.searchsorted(self.table, hashes[at])])
-
-    def matches(self, block: np.ndarray) -> dict[str, float]:
-        """Containment of each label's best template that the block matches."""
-        mine = self.ranks(block)
-        distinct = len(np.unique(block))
-        found: dict[str, float] = {}
-        tried = set()
-        for q, r in enumerate(mine.tolist()):
-            for t in self.by_prefix.get(r, ()):
-                if t in tried:
-                    continue
-                tried.add(t)
-                label, ranks = self.sets[t]
-                least = needed(len(ranks))
-                if distinct < least or min(len(ranks) - ranks.index(r), len(mine) - q) < least:
-                    continue
-                common = len(np.intersect1d(mine, ranks, assume_unique=True))
-                if common >= least:
-                    found[label] = max(found.get(label, 0.0), common / len(ranks))
-        return found
-
-
-def counted(batches: Iterable[pa.RecordBatch], vocabulary: list[str]) -> Iterator[pa.RecordBatch]:
+
+def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[str]:
+    return sorted({w for t in templates for w in (*t.words, *t.barred)})
+
+
+def counted(batches: Iterable[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
     """How often the words stand in the batches: one row per word and task."""
-    hashes = np.array([hash_word(w) for w in vocabulary], np.uint64)
+    hashes = np.array([hash_word(w) for w in words], np.uint64)
     order = np.argsort(hashes)
-    sums = np.zeros(len(vocabulary), np.int64)
+    sums = np.zeros(len(words), np.int64)
     for batch in batches:
         for _, buf, offs in chunks(batch):
             seen = Words(LOWER[buf], offs, ALNUM).hashes()
             seen = seen[member(seen, hashes[order])]
-            sums += np.bincount(order[np.searchsorted(hashes[order], seen)], minlength=len(vocabulary))
-    yield pa.RecordBatch.from_arrays([pa.array(vocabulary), pa.array(sums)], ["word", "n"])
+            sums += np.bincount(order[np.searchsorted(hashes[order], seen)], minlength=len(words))
+    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(sums)], ["word", "n"])
 
 
-def frequencies(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> dict[str, int]:
+def frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, int]:
     """Occurrences of the templates' words over all documents."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
-    rows = docs.select("text").mapInArrow(lambda it: counted(it, vocabulary), "word string, n bigint")
+    words = vocabulary(templates)
+    rows = docs.select("text").mapInArrow(lambda it: counted(it, words), "word string, n bigint")
     return dict(rows.groupBy("word").agg(F.sum("n")).collect())  # one row per template word
 
 
-def blocks_of(words: Words, at: np.ndarray) -> set[tuple[int, int]]:
-    """Blocks (first word, word after the last) that hold any of the words at the places."""
-    breaks = np.cumsum(np.r_[0, words.buf == 0x0A])
-    doc = words.doc_of_word()
-    line = breaks[words.starts]
-    head = np.r_[True, (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])]
-    firsts = np.flatnonzero(head)
-    ends = np.r_[firsts[1:], len(words)]
-    own = np.cumsum(head) - 1
-    out = set()
-    for a in at.tolist():
-        first, end = int(firsts[own[a]]), int(ends[own[a]])
-        last = max(0, ceil((end - first - BLOCK) / STEP))  # the line's last block
-        k = (a - first) // STEP
-        for b in {min(k, last), min(max(k - 1, 0), last)}:
-            lo = first + b * STEP
-            if lo <= a < lo + BLOCK:
-                out.add((lo, min(lo + BLOCK, end)))
-    return out
-
-
-def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, float]]:
-    """Text, label and containment of each template that some BLOCK consecutive words of a text match, at its best place."""
+def last_before(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each end the last of the places that is not behind it; -1 if there is none."""
+    at = np.searchsorted(places, ends, "right") - 1
+    return np.where(at >= 0, places[at], -1) if len(places) else np.full(len(ends), -1)
+
+
+def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, int, str, float]]:
+    """Text, template, label and containment of each template that some block of a text matches, at its best block."""
     hashes, doc = words.hashes(), words.doc_of_word()
     places = np.flatnonzero(member(hashes, templates.table))
     found = templates.order[np.searchsorted(templates.table, hashes[places])]
-    for (label, ranks), telling in zip(templates.sets, templates.telling, strict=True):
+    by_rank = np.argsort(found, kind="stable")
+    limits = np.searchsorted(found[by_rank], np.arange(len(templates.table) + 1))
+    of = lambda r: places[by_rank[limits[r] : limits[r + 1]]]  # noqa: E731  a word's places in order
+    for number, (label, window, ranks, telling, barred) in enumerate(templates.rows):
         least = needed(len(ranks))
-        rare, own = (np.isin(found, r) for r in (ranks[: len(ranks) - least + 1], ranks))
-        rare, at, word = places[rare], places[own], found[own]
+        rare = np.sort(np.concatenate([of(r) for r in ranks[: len(ranks) - least + 1]]))
         if not len(rare):
             continue
-        k = np.searchsorted(rare, at)
-        near = (at - rare[np.maximum(k - 1, 0)] < BLOCK) & (k > 0) | (rare[np.minimum(k, len(rare) - 1)] - at < BLOCK) & (k < len(rare))
-        at, word = at[near], word[near]
-        first = np.maximum(at - BLOCK + 1, words.first[doc[at]])  # of the run that ends at the place
-        common, told = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-        for r in ranks:
-            there = np.maximum.accumulate(np.where(word == r, at, -1)) >= first
-            common += there
-            if r == telling:
-                told = there
+        ends = np.sort(np.concatenate([of(r) for r in ranks]))
+        k = np.searchsorted(ends, ends - window, "right")  # the first of these words within the window
+        ends = ends[np.arange(len(ends)) - k + 1 >= least]
+        first = np.maximum(ends - window + 1, words.first[doc[ends]])
+        near = last_before(rare, ends) >= first
+        ends, first = ends[near], first[near]
+        if telling is not None:
+            told = last_before(of(telling), ends) >= first
+            ends, first = ends[told], first[told]
+        for r in barred:
+            free = last_before(of(r), ends) < first
+            ends, first = ends[free], first[free]
+        common = np.zeros(len(ends), np.int64)
+        for n, r in enumerate(ranks, 1):
+            common += last_before(of(r), ends) >= first
+            can = common + len(ranks) - n >= least
+            ends, first, common = ends[can], first[can], common[can]
+            if not len(ends):
+                break
         best = np.zeros(len(words.counts), np.int64)
-        np.maximum.at(best, doc[at], common * told)
-        for d in np.flatnonzero(best >= least).tolist():
-            yield d, label, int(best[d]) / len(ranks)
-
-
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, n_blocks bigint"
+        np.maximum.at(best, doc[ends], common)
+        for d in np.flatnonzero(best).tolist():
+            yield d, number, label, int(best[d]) / len(ranks)
 
 
-NOTICES = "doc_id bigint, base_labels string, labels string, score double"
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, n_templates bigint"
 
 
 def phrases_in(words: Words, templates: Templates) -> Iterator[tuple[int, str, int]]:
@@ -213,27 +224,24 @@ def scan(batches: Iterable[pa.RecordBatch], templates: Templates) -> Iterator[pa
     for batch in batches:
         for part, buf, offs in chunks(batch):
             words = Words(LOWER[buf], offs, ALNUM)
-            hashes, doc = words.hashes(), words.doc_of_word()
             n = part.num_rows
             places: list[list[int]] = [[] for _ in range(n)]
             base: list[set[str]] = [set() for _ in range(n)]
             more: list[set[str]] = [set() for _ in range(n)]
-            score, blocks = [0.0] * n, [0] * n
+            score, matched = [0.0] * n, [0] * n
             for d, label, place in phrases_in(words, templates):
                 places[d].append(place)
                 base[d].add(label)
-            for lo, hi in blocks_of(words, np.flatnonzero(member(hashes, templates.prefix))) if len(hashes) else ():
-                if found := templates.matches(hashes[lo:hi]):
-                    d = int(doc[lo])
-                    more[d] |= set(found)
-                    blocks[d] += 1
-                    score[d] = max(score[d], *found.values())
+            for d, _, label, share in notices_in(words, templates):
+                more[d].add(label)
+                matched[d] += 1
+                score[d] = max(score[d], share)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array([len(p) for p in places], pa.int64()),
                     pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
                     pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(sorted(b | m)) for b, m in zip(base, more, strict=True)], pa.string()),
-                    pa.array(score, pa.float64()), pa.array(blocks, pa.int64()),
+                    pa.array(score, pa.float64()), pa.array(matched, pa.int64()),
                 ],
                 [c.split()[0] for c in SCHEMA.split(", ")],
             )
@@ -244,32 +252,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: scan(it, templates), SCHEMA)
 
 
-def scan_notices(batches: Iterable[pa.RecordBatch], templates: Templates) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, buf, offs in chunks(batch):
-            words = Words(LOWER[buf], offs, ALNUM)
-            base: list[set[str]] = [set() for _ in range(part.num_rows)]
-            more: list[set[str]] = [set() for _ in range(part.num_rows)]
-            score = [0.0] * part.num_rows
-            for d, label, _ in phrases_in(words, templates):
-                base[d].add(label)
-            for d, label, share in notices_in(words, templates):
-                more[d].add(label)
-                score[d] = max(score[d], share)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([",".join(sorted(b)) for b in base], pa.string()), pa.array([",".join(sorted(b | m)) for b, m in zip(base, more, strict=True)], pa.string()), pa.array(score, pa.float64())],
-                [c.split()[0] for c in NOTICES.split(", ")],
-            )
-
-
-def notices(docs: DataFrame) -> DataFrame:
-    """Labels and best score of each text by runs of words over its whole length."""
-    templates = Templates(frequencies(docs))
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: scan_notices(it, templates), NOTICES)
-
-
 def op8_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notices(table(spark, sf_dir, "documents"))
+    """Labels and best score alone."""
+    return op8(spark, sf_dir).select("doc_id", "base_labels", "labels", "score")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,10 +262,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same result by comparing all blocks with all templates."""
+    """The same result by counting the distinct words of all blocks that end at a template's word."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    rows = ", ".join(f"('{label}', {sorted(set(text.split()))!r})" for label, text in TEMPLATES)
+    rows = ", ".join(f"({k}, '{t.label}', {t.words!r}, '{t.telling or ''}', {list(t.barred) or ['']!r}, {t.window}, {len(t.words)}, {needed(len(t.words))})" for k, t in enumerate(TEMPLATES))
     phrases = " union all ".join(
         f"select doc_id, '{label}' as label, unnest(list_filter(range(0, len(w)), lambda i: "
         + " and ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split())) + ")) as place from whole"
@@ -289,21 +274,22 @@ def _sql() -> str:
     return f"""
 with texts as (select doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') as t from documents),
 whole as (select doc_id, regexp_extract_all(t, '{pattern}') as w from texts),
-templates(label, words) as (values {rows}),
-lines as (select doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{pattern}') as w from texts),
-starts as (select doc_id, w, unnest(range(0, 1 + greatest(0, cast(ceil((len(w) - {BLOCK}) / {STEP}.0) as bigint)))) as b from lines where len(w) > 0),
-blocks as (select doc_id, list_distinct(list_slice(w, b * {STEP} + 1, b * {STEP} + {BLOCK})) as w, row_number() over () as block from starts),
-found as (
-  select doc_id, block, label, len(list_intersect(blocks.w, templates.words)) * 1.0::double / len(templates.words) as share
-  from blocks, templates where len(list_intersect(blocks.w, templates.words)) >= ceil({THRESHOLD} * len(templates.words) - 1e-9)),
-best as (select doc_id, max(share) as score, count(distinct block) as n_blocks from found group by 1),
-places as ({phrases}),
-base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from places group by 1),
-labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from found union select doc_id, label from places) group by 1)
+templates(t, label, words, telling, barred, size, n, least) as (values {rows}),
+known as (select t, unnest(words) as word, true as own from templates union all select t, unnest(barred), false from templates),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from whole),
+places as (select doc_id, t, place, word, own, telling, size, n, least, label from words join known using (word) join templates using (t)),
+runs as (select doc_id, t, label, own, n, least, telling, count(distinct case when own then word end) over r as common, count(case when word = telling then 1 end) over r as told,
+  count(case when not own then 1 end) over r as bars from places window r as (partition by doc_id, t order by place range between size - 1 preceding and current row)),
+found as (select doc_id, t, label, max(common * 1.0::double / n) as share from runs where own and common >= least and (telling = '' or told > 0) and bars = 0 group by all),
+best as (select doc_id, max(share) as score, count(*) as n_templates from found group by 1),
+phrases as ({phrases}),
+base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from phrases group by 1),
+labels as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from found union select doc_id, label from phrases) group by 1)
 select whole.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word,
   cast(last_word as bigint) as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score,
-  cast(coalesce(n_blocks, 0) as bigint) as n_blocks
+  cast(coalesce(n_templates, 0) as bigint) as n_templates
 from whole left join base using (doc_id) left join labels using (doc_id) left join best using (doc_id)"""
 
 
 ORACLE_SQL = _sql()
+NOTICES_SQL = f"select doc_id, base_labels, labels, score from ({ORACLE_SQL})"
