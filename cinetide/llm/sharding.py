@@ -1,19 +1,28 @@
 """Sharding through fixed virtual slots.
 
-A record's id is hashed into one of `SLOTS` virtual slots.  Bytes and rows are
-aggregated per slot, never per record, and a slot-to-shard map, one row per
-slot and version, says where a slot lives.  Rebalancing and growing edit the
-map: a new version moves whole slots and the hash never changes, so a record
-is found by its id, the map and nothing else.
+A record's id, text checksum and size are hashed into one of `SLOTS` virtual slots.
+Bytes and rows are aggregated per slot, never per record, and a slot-to-shard map,
+one row per slot and version, says where a slot lives.  The map is a table in the
+shared folder, a folder per version: `rebalanced` reads the last version, edits it
+for the bytes that the slots have now or for more shards, moving few slots, and
+commits the next one; only a data set without a map gets one made from nothing.
 
 The law is `bytes`: shards get nearly equal sizes.  The first map deals slots,
-largest first, to the lightest shard, so two shards differ by at most the
-largest slot's bytes; since ids are hashed, copies of one text and rows of one
-source spread over all slots.
-
-Defined results: a null text has no bytes (size 1, crc32 0); a null id goes to
-slot hash 0; repeated rows are separate records; an empty table gives an empty
-result; other columns are ignored.
+largest first, to the lightest shard, so two shards differ by at most the largest
+slot's bytes; later ones keep that as long as a slot can be moved.  Since ids and
+texts are hashed, copies of one text and rows of one source spread over all slots.
+
+Hot slots.  Rows without an id, and rows of a slot that holds more than 1 of `HOT`
+of all bytes (an equal record repeated very often), have no slot by their content:
+they are dealt over all slots by their number in a table of the records, so neither
+a slot nor a task grows with a repeated record.
+
+Defined results: a null text has no bytes (size 1, crc32 0); rows with a null id
+are records like any other, in any shard; repeated rows are separate records;
+records of one id may be in several shards if their texts differ; ties in a shard's
+order are between equal records only; a very long text counts its bytes and stays
+one record; an empty table gives an empty result; other columns are ignored by the
+query and kept by assigned(), where columns named shard and virtual_slot are replaced.
 """
 
 from __future__ import annotations
@@ -21,19 +30,25 @@ from __future__ import annotations
 import bisect
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, scratch_root, table
 
 #: Virtual slots; fixed for the life of a data set, and a proven bound of the map's rows.
 SLOTS = 4096
 SHARDS = 8
-MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes bigint, slot_rows bigint"
+#: A slot with more than this part of all bytes is hot: there are at most so many.
+HOT = 128
+MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes bigint, slot_rows bigint, hot boolean"
+
+
+# ---- the map ----
 
 
-def virtual_slot(doc_id: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.coalesce(F.xxhash64(doc_id), F.lit(0)), F.lit(slots)).cast("int")
+def hashed_slot(*content: Column | str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*content), F.lit(slots)).cast("int")
 
 
 def slot_stats(records: DataFrame) -> DataFrame:
@@ -84,36 +99,97 @@ def edited_map(old: list[tuple], stats: list[tuple[int, int, int]], shards: int)
     return [(version, slot, shard, *known.get(slot, (0, 0))) for slot, shard in sorted(where.items())]
 
 
-def stored(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """The map as a table in the shared folder; it has one row per slot and version."""
-    return saved(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), "shard-map")
+def last_map(spark: SparkSession, path: str) -> list[tuple]:
+    """The rows of the last committed version of the map at the path, or none."""
+    try:
+        maps = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    last = maps.agg(F.max("version")).first()[0]
+    return [tuple(r) for r in maps.where(F.col("version") == last).orderBy("virtual_slot").collect()] if last else []  # SLOTS rows
+
+
+def commit(spark: SparkSession, rows: list[tuple], path: str) -> DataFrame:
+    """Writes a version of the map; fails if another run has committed the version meanwhile."""
+    folder = f"{path}/v{rows[0][0]:06d}"
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(folder)
+    return spark.read.schema(MAP_SCHEMA).parquet(folder)
+
+
+def rebalanced(spark: SparkSession, stats: list[tuple[int, int, int]], hot: set[int], path: str, shards: int = SHARDS) -> DataFrame:
+    """The map at the path for slots with these bytes and rows: the committed one if it still fits, else the next version."""
+    old = last_map(spark, path)
+    new = edited_map([r[:5] for r in old], stats, shards) if old else first_map(stats, shards)
+    rows = [(*r, r[1] in hot) for r in new]
+    if old and [r[1:] for r in old] == [r[1:] for r in rows]:
+        return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{old[0][0]:06d}")
+    return commit(spark, rows, path)
+
+
+# ---- records ----
+
+
+def with_slots(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], set[int]]:
+    """Records (doc_id, size, text_crc32) as a table with a slot each; bytes and rows of the slots; the hot ones by content."""
+    by_content = F.when(F.col("doc_id").isNotNull(), hashed_slot("doc_id", "text_crc32", "size"))
+    numbered = records.select("doc_id", "size", "text_crc32", by_content.alias("by_content"), F.monotonically_increasing_id().alias("number"))
+    numbered = saved(numbered, "records")  # the numbers must be the same whenever they are read
+    stats = numbered.groupBy("by_content").agg(F.sum("size").alias("slot_bytes")).collect()  # at most SLOTS rows and one
+    total = sum(size for _, size in stats)
+    hot = {slot for slot, size in stats if slot is not None and size * HOT > total}
+    rehash = F.col("by_content").isNull() | F.col("by_content").isin(sorted(hot)) if hot else F.col("by_content").isNull()
+    out = numbered.withColumn("virtual_slot", F.when(rehash, hashed_slot("number")).otherwise(F.col("by_content"))).drop("by_content", "number")
+    return out, [tuple(r) for r in slot_stats(out).collect()], hot
 
 
-def shard(records: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Adds shard, and slot: the record's place in its shard, counted from 0 without gaps.
+def measured(docs: DataFrame) -> DataFrame:
+    """Id, size and checksum of each document."""
+    text = F.col("text").cast("binary")
+    return docs.select(
+        F.col("doc_id").cast("bigint"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32")
+    )
+
+
+def placed(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, size, text_crc32, virtual_slot, shard, slot); slot is the record's place in its shard, counted from 0 without gaps.
 
     A place is the rows of the shard's earlier virtual slots plus the place in the
     own one, so that only rows of one virtual slot are ever ordered together.
     """
-    spark = records.sparkSession
-    stats = [tuple(r) for r in slot_stats(records).collect()]  # at most SLOTS rows
-    slots = stored(spark, first_map(stats, shards))
+    records, stats, hot = with_slots(measured(docs))
+    slots = rebalanced(docs.sparkSession, stats, hot, path, shards)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("start"))
     own = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = records.withColumn("nth", F.row_number().over(own))
-    return placed.join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("start") + F.col("nth") - 1)
+    rows = records.withColumn("nth", F.row_number().over(own)).join(F.broadcast(starts), "virtual_slot")
+    return rows.withColumn("slot", F.col("start") + F.col("nth") - 1).drop("start", "nth")
 
 
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assigned(docs: DataFrame, path: str) -> DataFrame:
+    """The documents with the virtual_slot and shard that the committed map gives them; all columns, no shuffle."""
+    rows = last_map(docs.sparkSession, path)
+    if not rows:
+        raise ValueError(f"no map at {path}")
+    hot = sorted(r[1] for r in rows if r[5])
     text = F.col("text").cast("binary")
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"),
-        virtual_slot(F.col("doc_id")).alias("virtual_slot"),
-    )
-    return shard(records).select(
+    content = hashed_slot(F.col("doc_id").cast("bigint"), F.coalesce(F.crc32(text), F.lit(0)), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
+    rehash = F.col("doc_id").isNull() | content.isin(hot) if hot else F.col("doc_id").isNull()
+    out = docs.withColumn("virtual_slot", F.when(rehash, hashed_slot(F.monotonically_increasing_id())).otherwise(content))
+    slots = docs.sparkSession.createDataFrame([(r[1], r[2]) for r in rows], "virtual_slot int, shard int")
+    return out.drop("shard").join(F.broadcast(slots), "virtual_slot").select(*(c for c in docs.columns if c not in ("virtual_slot", "shard")), "virtual_slot", "shard")
+
+
+def map_path(spark: SparkSession, dataset: str) -> str:
+    """Where the shared folder keeps a data set's maps."""
+    name = "".join(c if c.isalnum() else "-" for c in dataset.strip("/"))
+    return f"{scratch_root(spark)}/cinetide/shard-maps/{name}"
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = placed(table(spark, sf_dir, "documents"), map_path(spark, sf_dir))
+    return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
     )

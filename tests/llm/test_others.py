@@ -356,17 +356,60 @@ def test_maps_are_edited_not_made_anew():
     assert max(loads) - min(loads) < 2200 and sum(a[2] != b[2] for a, b in zip(grown, again, strict=True)) < 400
 
 
-def test_sharding_of_odd_rows(odd, empty):
-    def records(df):
-        text = F.col("text").cast("binary")
-        return df.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"), sharding.virtual_slot(F.col("doc_id")).alias("virtual_slot"))
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
 
-    rows = sharding.shard(records(odd)).collect()
-    assert len(rows) == odd.count()
+
+def _gapless(rows):
+    loads = [0] * 8
     for s in range(8):
         own = sorted(r["slot"] for r in rows if r["shard"] == s)
         assert own == list(range(len(own)))
-    assert sharding.shard(records(empty)).count() == 0
+        loads[s] = sum(r["size"] for r in rows if r["shard"] == s)
+    return loads
+
+
+def test_sharding_of_odd_rows(spark, odd, empty):
+    rows = sharding.placed(odd, scratch(spark, "map")).collect()
+    want = sorted(((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd.collect()), key=str)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=str) == want
+    _gapless(rows)
+    assert sharding.placed(empty, scratch(spark, "map")).count() == 0
+
+
+@pytest.mark.parametrize("row", [(None, None), (None, "the same text"), (7, "the same text")])
+def test_hot_records_spread(spark, row):
+    """4000 rows without an id, or of one record, among as many others."""
+    rows = sharding.placed(_docs(spark, [row] * 4000 + [(100 + i, f"text {i}") for i in range(4000)]), scratch(spark, "map")).collect()
+    loads = _gapless(rows)
+    assert len(rows) == 8000 and max(loads) - min(loads) < sum(loads) / 8 / 20
+    per_slot = {}
+    for r in rows:
+        per_slot[r["virtual_slot"]] = per_slot.get(r["virtual_slot"], 0) + 1
+    assert max(per_slot.values()) < 40
+
+
+def test_a_committed_map_is_edited_as_the_data_grow(spark):
+    path = scratch(spark, "map")
+    texts = [(i, "word " * (i % 13)) for i in range(6000)]
+    first = {r["doc_id"]: r["shard"] for r in sharding.placed(_docs(spark, texts[:5000]), path).collect()}
+    again = {r["doc_id"]: r["shard"] for r in sharding.placed(_docs(spark, texts[:5000]), path).collect()}
+    assert again == first and {r[0] for r in sharding.last_map(spark, path)} == {1}  # nothing new to commit
+    rows = sharding.placed(_docs(spark, texts), path).collect()
+    loads = _gapless(rows)
+    assert {r[0] for r in sharding.last_map(spark, path)} == {2} and max(loads) - min(loads) < 200
+    moved = sum(first[r["doc_id"]] != r["shard"] for r in rows if r["doc_id"] in first)
+    assert moved < 500  # a map made anew would move some 4400
+    with pytest.raises(Exception, match="exist"):
+        sharding.commit(spark, [(2, 0, 0, 0, 0, False)], path)
+    where = {r["doc_id"]: r["shard"] for r in rows}
+    clash = _docs(spark, texts).selectExpr("doc_id", "text", "'x' as shard", "'y' as start", "1 as virtual_slot", "2 as size", "3 as slot")
+    out = sharding.assigned(clash, path)
+    assert out.columns == ["doc_id", "text", "start", "size", "slot", "virtual_slot", "shard"]
+    assert {r["doc_id"]: r["shard"] for r in out.collect()} == where
+    assert "Exchange hash" not in out._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="no map"):
+        sharding.assigned(clash, scratch(spark, "map"))
 
 
 # ---- pipeline ----
