@@ -1,27 +1,33 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Tokens are lower-cased runs of letters (A-Z, non-ASCII).  A token's inputs are a
-word input, its smoothed log odds of standing in toxic documents, and three
-character inputs, the same odds of the five-byte run at the token's head, the
-strongest and the mean of all runs of five bytes in it.  The network reads
-windows of `WINDOW` tokens, one from every `STRIDE`: a gated recurrent unit in
-each direction, attention over all tokens, and a logistic output.  Every window
+Tokens are lower-cased runs of letters (A-Z, non-ASCII).  A token's word inputs are
+a learned embedding of the word and its smoothed log odds of standing in toxic
+documents; its character inputs are the mean of learned embeddings of its runs of
+five bytes, and the odds of the run at its head, of the strongest run and of all in
+the mean.  Embeddings are found by hash and trained with the network, through all
+of its layers.  The network reads all windows of `WINDOW` tokens that begin at
+every `STRIDE`th token, each overlapping the next by half: a gated recurrent unit
+in each direction, attention over all tokens, and a logistic output.  Every window
 of every whole text is scored; the document's score comes from a logistic layer
 over its windows' greatest, second and mean output and their number.
 
 Training, in numpy on the driver, uses at most `TRAIN_DOCS` labelled documents of
 each label (those with the smallest hash of their id) outside of the held-out
-fold.  Odds that train the network leave the token's own document out, so words
-that one document has alone teach nothing.  Labels are the only thing besides
-texts that training sees; scores depend on the text alone.
+fold, `TRAIN_BYTES` of texts at most.  Each of its `EPOCHS` draws `EPOCH_WINDOWS` of
+all their windows anew, toxic and other ones alike.  Odds that train the network
+leave the token's own document out, and embeddings are dropped at random, so words
+that one document has alone teach little.  Labels are the only thing besides texts
+that training sees; scores depend on the text alone.
 
-Scale: one scan for the sample, one for the scores, no shuffle of texts; the
-network and its odds are some MB, bounded by the sample.
+Scale: scans for the sample, one for the scores, no shuffle of texts; the network,
+its embeddings and its odds are some MB, bounded by the sample.
 
 Defined results: a null, empty or letterless text has a window without tokens;
 without labels of both kinds every score is 0; repeated labels count once a
-document, as toxic if any is; repeated rows are scored alike; an empty table
-gives an empty result; other columns are ignored, and kept by accepted().
+document, as toxic if any is; null ids and repeated rows are scored like others; a
+very long text is read whole, some windows at a time; an empty table gives an empty
+result; other columns, also those named like the operator's own, are ignored, and
+kept by accepted().
 """
 
 from __future__ import annotations
@@ -35,13 +41,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import LOWER, U64, Words, chunks, member, mix
-from .common import hashed_sample, held_out, table
+from .common import held_out, sampled_ids, table, texts_of
 from .language import LETTERS
 
 TRAIN_DOCS = {1: 700, 0: 1100}
-TRAIN_WINDOWS = 9000
-WINDOW, STRIDE = 32, 24
-HIDDEN, ATTENTION, INPUTS = 8, 6, 4
+TRAIN_BYTES = 48 << 20
+EPOCH_WINDOWS = 9000
+WINDOW, STRIDE = 32, 16
+#: Numbers of a token: odds of the word and of its runs, and embeddings of both.
+ODDS, EMBED = 4, 6
+INPUTS = ODDS + 2 * EMBED
+HIDDEN, ATTENTION = 8, 6
+GRAM_ROWS = 1 << 12
+#: Documents that a word with an embedding of its own stands in; share of words whose embeddings are left out at a time.
+LEAST_DOCS, DROP = 5, 0.8
+EMBED_START, EMBED_RATE, EMBED_DECAY = 0.02, 0.001, 0.05
 EPOCHS, BATCH, RATE = 14, 256, 0.01
 PRIOR = 2.0
 GRAM, GRAM_BITS = 5, 18
@@ -50,7 +64,7 @@ REJECT = 0.7
 #: Documents whose training inputs are made at once.
 TOGETHER = 64
 #: Windows that the network reads at once.
-AT_ONCE = 4096
+AT_ONCE = 2048
 
 
 # ---- tokens and their inputs ----
@@ -76,6 +90,8 @@ def tokens(buf: np.ndarray, offs: np.ndarray) -> Tokens:
     runs = np.zeros(len(buf), np.uint64)
     for k in range(GRAM):
         runs |= wide[k : len(buf) + k] << U64(8 * k)
+    short = np.flatnonzero(words.ends - words.starts < GRAM - 2)  # their run ends with the edge after them
+    runs[words.starts[short] - 1] &= (U64(1) << (U64(8) * (words.ends - words.starts + 2)[short].astype(np.uint64))) - U64(1)
     runs = (mix(runs) >> U64(64 - GRAM_BITS)).astype(np.int32)
     # a token's runs start from the edge before it to GRAM - 1 before the edge after it, one at least
     size = np.maximum(words.ends - words.starts + 3 - GRAM, 1)
@@ -104,9 +120,9 @@ def odds(toxic: np.ndarray, clean: np.ndarray, n_toxic, n_clean) -> np.ndarray:
 
 
 def inputs(word_odds: np.ndarray, gram_odds: np.ndarray, gram_first: np.ndarray) -> np.ndarray:
-    """The four inputs of each token."""
+    """The odds of each token and of its runs."""
     n = len(word_odds)
-    out = np.empty((n, INPUTS), np.float32)
+    out = np.empty((n, ODDS), np.float32)
     if n:
         out[:, 0] = word_odds
         out[:, 1] = gram_odds[gram_first[:-1]]
@@ -132,10 +148,35 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+@dataclass
+class Types:
+    """Distinct words: rows of the word embeddings (0 for words that training has in few documents), and of the runs' embeddings, those of each word from `first` on."""
+
+    word: np.ndarray
+    gram: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, own: Tokens, index: np.ndarray, known: np.ndarray) -> Types:
+        """Of the tokens at the index; the known words have the rows from 1 on."""
+        size = np.diff(own.gram_first)[index]
+        first = np.r_[0, np.cumsum(size)]
+        at = np.arange(first[-1]) + np.repeat(own.gram_first[index] - first[:-1], size)
+        words = own.words[index]
+        row = np.where(member(words, known), np.searchsorted(known, words) + 1, 0)
+        return cls(row, own.grams[at] >> (GRAM_BITS - 12), first)
+
+    def some(self, rows: np.ndarray) -> Types:
+        size = np.diff(self.first)[rows]
+        first = np.r_[0, np.cumsum(size)]
+        return Types(self.word[rows], self.gram[np.arange(first[-1]) + np.repeat(self.first[rows] - first[:-1], size)], first)
+
+
 @dataclass
 class Network:
-    """Weights: per direction (0 forward) inputs w, recurrence u and bias b of update, reset and state; attention; output."""
+    """Weights: embeddings e of words and runs; per direction (0 forward) inputs w, recurrence u and bias b of update, reset and state; attention; output."""
 
+    e: list[np.ndarray]
     w: list[np.ndarray]
     u: list[np.ndarray]
     b: list[np.ndarray]
@@ -147,23 +188,48 @@ class Network:
     moments: dict = field(default_factory=dict)
 
     @classmethod
-    def fresh(cls, seed: int = 3) -> Network:
+    def fresh(cls, n_words: int = 100, seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
         h = HIDDEN
+        small = lambda rows: (EMBED_START * rng.normal(size=(rows, EMBED))).astype(np.float32)
+        embeddings = [small(n_words + 1), small(GRAM_ROWS)]
+        embeddings[0][0] = 0
         return cls(
+            embeddings,
             [draw(INPUTS, 3 * h) for _ in range(2)], [draw(h, 3 * h) for _ in range(2)], [np.zeros(3 * h, np.float32) for _ in range(2)],
             draw(2 * h, ATTENTION), np.zeros(ATTENTION, np.float32), draw(ATTENTION), draw(2 * h), np.zeros(1, np.float32),
         )
 
-    def forward(self, x: np.ndarray, on: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Outputs (log odds) of windows x (n, WINDOW, INPUTS) whose tokens `on` exist; keep gets what backward() needs."""
-        n, size, _ = x.shape
+    def embedded(self, types: Types) -> np.ndarray:
+        """Embedding of each word, and the mean of its runs'."""
+        out = np.empty((len(types.word), 2 * EMBED), np.float32)
+        out[:, :EMBED] = self.e[0][types.word]
+        if len(out):
+            out[:, EMBED:] = np.add.reduceat(self.e[1][types.gram], types.first[:-1]) / np.diff(types.first)[:, None]
+        return out
+
+    def embedding_grads(self, types: Types, by_type: np.ndarray) -> dict:
+        """Gradients of the embeddings for those of each word's embedded()."""
+        gw, gg = np.zeros_like(self.e[0]), np.zeros_like(self.e[1])
+        np.add.at(gw, types.word, by_type[:, :EMBED])
+        gw[0] = 0
+        size = np.diff(types.first)
+        np.add.at(gg, types.gram, np.repeat(by_type[:, EMBED:] / size[:, None], size, axis=0))
+        return {"e0": gw, "e1": gg}
+
+    def projected(self, x: np.ndarray) -> np.ndarray:
+        """What inputs give to the gates of both directions, side by side."""
+        return x @ np.concatenate(self.w, axis=1) + np.concatenate(self.b)
+
+    def forward(self, projected: np.ndarray, on: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Outputs (log odds) of windows (n, WINDOW, gates) whose tokens `on` exist; keep gets what backward() needs."""
+        n, size, _ = projected.shape
         h = HIDDEN
         states = np.empty((n, size, 2 * h), np.float32)
         for way in (0, 1):
             now = np.zeros((n, h), np.float32)
-            pre = x @ self.w[way] + self.b[way]
+            pre = projected[:, :, way * 3 * h : (way + 1) * 3 * h]
             for t in range(size) if way == 0 else range(size - 1, -1, -1):
                 rec = now @ self.u[way]
                 gates = _sigmoid(pre[:, t, : 2 * h] + rec[:, : 2 * h])
@@ -185,7 +251,7 @@ class Network:
         return pooled @ self.o + self.d[0]
 
     def backward(self, x: np.ndarray, on: np.ndarray, out_grad: np.ndarray, keep: list) -> dict:
-        """Gradients of all weights for the outputs' gradients."""
+        """Gradients of all weights but the embeddings', and as "x" of the inputs, for the outputs' gradients."""
         h = HIDDEN
         states, hidden, weight, pooled = keep.pop()
         grads = {"o": pooled.T @ out_grad, "d": out_grad.sum(keepdims=True)}
@@ -197,6 +263,7 @@ class Network:
         grads["a"] = np.einsum("nth,nta->ha", states, by_hidden)
         grads["c"] = by_hidden.sum(axis=(0, 1))
         by_state = weight[:, :, None] * by_pool[:, None, :] + by_hidden @ self.a.T
+        grads["x"] = np.zeros_like(x)
         for way in (0, 1):
             gw, gu, gb = (np.zeros_like(p[way]) for p in (self.w, self.u, self.b))
             carry = np.zeros((len(x), h), np.float32)
@@ -208,6 +275,7 @@ class Network:
                 g_pre = np.concatenate([g * (before - new) * z * (1 - z) * live, g_new * rec * r * (1 - r), g_new], axis=1)
                 g_rec = np.concatenate([g_pre[:, : 2 * h], g_new * r], axis=1)
                 gw += x[:, t].T @ g_pre
+                grads["x"][:, t] += g_pre @ self.w[way].T
                 gu += before.T @ g_rec
                 gb += g_pre.sum(axis=0)
                 carry = np.where(live, g * z, g) + g_rec @ self.u[way].T
@@ -218,37 +286,59 @@ class Network:
         """One step of Adam."""
         for name, g in grads.items():
             p = getattr(self, name[0])[int(name[1])] if len(name) > 1 else getattr(self, name)
+            if name[0] == "e":  # rows that a batch does not have stay as they are
+                (s,) = self.moments.setdefault(name, (np.full_like(p, 1e-6),))
+                s += g * g
+                p -= EMBED_RATE * (g / np.sqrt(s) + EMBED_DECAY * p * (g != 0))
+                continue
             m, s = self.moments.setdefault(name, (np.zeros_like(p), np.zeros_like(p)))
             g = g + 1e-4 * p
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             p -= rate * (m / (1 - 0.9**count)) / (np.sqrt(s / (1 - 0.99**count)) + 1e-6)
 
-    def fit(self, x: np.ndarray, on: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 4) -> None:
+    def fit(self, odds_of: np.ndarray, kind: np.ndarray, types: Types, start: np.ndarray, size: np.ndarray, y: np.ndarray, seed: int = 4) -> None:
+        """Trains on windows of tokens with odds and a kind (a row of the types) each; y is the windows' label."""
         rng = np.random.default_rng(seed)
+        steps = np.arange(WINDOW)
+        share = _balanced(y > 0)
+        weight = np.where(y > 0, 1.0, max(0.3, y.sum() / max(1, (1 - y).sum()))).astype(np.float32)
+        odds_of = np.vstack([odds_of, np.zeros((WINDOW, ODDS), np.float32)])
+        kind = np.r_[kind, np.zeros(WINDOW, kind.dtype)]
         count = 0
         for epoch in range(EPOCHS):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), BATCH):
+            order = rng.choice(len(start), min(EPOCH_WINDOWS, 4 * len(start)), p=share)
+            for at in range(0, len(order), BATCH):
                 rows = order[at : at + BATCH]
+                places = start[rows, None] + steps
+                on = steps < size[rows, None]
+                used, which = np.unique(kind[places], return_inverse=True)
+                own = types.some(used)
+                shown = (rng.random((len(used), 1)) >= DROP) / np.float32(1 - DROP)
+                x = np.concatenate([odds_of[places], (self.embedded(own) * shown)[which.reshape(places.shape)]], axis=2).astype(np.float32)
                 keep: list = []
-                z = self.forward(x[rows], on[rows], keep)
+                z = self.forward(self.projected(x), on, keep)
                 grad = ((_sigmoid(z) - y[rows]) * weight[rows] / weight[rows].sum()).astype(np.float32)
+                grads = self.backward(x, on, grad, keep)
+                by_type = np.zeros((len(used), 2 * EMBED), np.float32)
+                np.add.at(by_type, which.ravel(), grads.pop("x")[:, :, ODDS:].reshape(-1, 2 * EMBED))
                 count += 1
-                self.step(self.backward(x[rows], on[rows], grad, keep), count, RATE * (1 - 0.8 * epoch / EPOCHS))
+                self.step(grads | self.embedding_grads(own, by_type * shown), count, RATE * (1 - 0.8 * epoch / EPOCHS))
         self.moments = {}
 
 
-def read(network: Network, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The output of every window of the texts, and its text."""
+def read(network: Network, projected: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The output of every window of the texts, and its text; a token's gates are those of its kind."""
     start, size, doc = windows(first)
-    padded = np.vstack([x, np.zeros((WINDOW, INPUTS), np.float32)])
+    kind = np.r_[kind, np.zeros(WINDOW, np.int64)]
+    if not len(projected):
+        projected = np.zeros((1, 6 * HIDDEN), np.float32)
     out = np.empty(len(start), np.float32)
     steps = np.arange(WINDOW)
     for at in range(0, len(start), AT_ONCE):
         s, n = start[at : at + AT_ONCE], size[at : at + AT_ONCE]
         on = steps < n[:, None]
-        out[at : at + AT_ONCE] = network.forward(padded[s[:, None] + steps], on)
+        out[at : at + AT_ONCE] = network.forward(projected[kind[s[:, None] + steps]], on)
     return out, doc
 
 
@@ -277,6 +367,7 @@ class Scorer:
 
     def __init__(self) -> None:
         self.network: Network | None = None
+        self.known = np.empty(0, np.uint64)  # words with embeddings of their own
         self.words = np.empty(0, np.uint64)
         self.word_odds = np.empty(0, np.float32)
         self.gram_odds = np.zeros(1 << GRAM_BITS, np.float32)
@@ -287,12 +378,20 @@ class Scorer:
         if self.network is None or not n:
             return np.zeros(n)
         own = tokens(buf, offs)
-        word_odds = np.zeros(len(own.words), np.float32)
-        at = np.flatnonzero(member(own.words, self.words))
-        word_odds[at] = self.word_odds[np.searchsorted(self.words, own.words[at])]
-        z, doc = read(self.network, inputs(word_odds, self.gram_odds[own.grams], own.gram_first), own.first)
+        _, index, kind = np.unique(own.words, return_index=True, return_inverse=True)  # a token's inputs follow from its word
+        word_odds = np.zeros(len(index), np.float32)
+        at = np.flatnonzero(member(own.words[index], self.words))
+        word_odds[at] = self.word_odds[np.searchsorted(self.words, own.words[index[at]])]
+        z, doc = read(self.network, self.network.projected(self.inputs(own, index, word_odds)), kind, own.first)
         return _sigmoid(pooled(z, doc, n) @ self.layer)
 
+    def inputs(self, own: Tokens, index: np.ndarray, word_odds: np.ndarray) -> np.ndarray:
+        """All inputs of the tokens at the index."""
+        size = np.diff(own.gram_first)[index]
+        first = np.r_[0, np.cumsum(size)]
+        at = np.arange(first[-1]) + np.repeat(own.gram_first[index] - first[:-1], size)
+        return np.concatenate([inputs(word_odds, self.gram_odds[own.grams[at]], first), self.network.embedded(Types.of(own, index, self.known))], axis=1)
+
 
 def _document_counts(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """In how many toxic and clean documents each key below n stands; a document's keys begin at `first`."""
@@ -302,7 +401,7 @@ def _document_counts(keys: np.ndarray, first: np.ndarray, toxic: np.ndarray, n:
     return counts[0], counts[1]
 
 
-def fitted(texts: list[str], labels: list[int]) -> Scorer:
+def fitted(texts: list[str], labels: list[int], seed: int = 3) -> Scorer:
     """A scorer from labelled texts."""
     scorer = Scorer()
     toxic = np.array(labels, bool)
@@ -313,10 +412,12 @@ def fitted(texts: list[str], labels: list[int]) -> Scorer:
     doc = np.repeat(np.arange(len(texts)), np.diff(own.first))
     doc = doc.astype(np.int32)
     gram_doc = np.repeat(doc, np.diff(own.gram_first))
-    known, index = np.unique(own.words, return_inverse=True)
+    known, first_at, index = np.unique(own.words, return_index=True, return_inverse=True)
     high, low = _document_counts(index, own.first, toxic, len(known))
+    scorer.known = known[high + low >= LEAST_DOCS]
+    types = Types.of(own, first_at, scorer.known)
     gram_high, gram_low = _document_counts(own.grams, own.gram_first[own.first], toxic, 1 << GRAM_BITS)
-    x = np.empty((len(doc), INPUTS), np.float32)
+    x = np.empty((len(doc), ODDS), np.float32)
     for lo in range(0, len(texts), TOGETHER):  # what a token's own document adds is left out for training
         a, b = own.first[lo], own.first[min(lo + TOGETHER, len(texts))]
         g = slice(own.gram_first[a], own.gram_first[b])
@@ -325,17 +426,15 @@ def fitted(texts: list[str], labels: list[int]) -> Scorer:
         gram_x = odds(gram_high[own.grams[g]] - gram_mine, gram_low[own.grams[g]] - ~gram_mine, n_toxic - gram_mine, n_clean - ~gram_mine)
         x[a:b] = inputs(word_x.astype(np.float32), gram_x.astype(np.float32), own.gram_first[a : b + 1] - own.gram_first[a])
     start, size, of = windows(own.first)
-    rng = np.random.default_rng(9)
-    pick = np.arange(len(start))
-    if len(pick) > TRAIN_WINDOWS:
-        pick = rng.choice(pick, TRAIN_WINDOWS, replace=False, p=_balanced(toxic[of]))
-    steps = np.arange(WINDOW)
-    padded = np.vstack([x, np.zeros((WINDOW, INPUTS), np.float32)])
-    on = steps < size[pick, None]
-    y = toxic[of[pick]].astype(np.float32)
-    scorer.network = Network.fresh()
-    scorer.network.fit(padded[start[pick, None] + steps], on, y, np.where(y > 0, 1.0, max(0.3, y.sum() / max(1, (1 - y).sum()))).astype(np.float32))
-    z, of = read(scorer.network, x, own.first)
+    scorer.network = Network.fresh(len(scorer.known), seed)
+    scorer.network.fit(x, index, types, start, size, toxic[of].astype(np.float32), seed + 1)
+    z = np.empty(len(start), np.float32)
+    steps, padded, kinds = np.arange(WINDOW), np.vstack([x, np.zeros((WINDOW, ODDS), np.float32)]), np.r_[index, np.zeros(WINDOW, np.int64)]
+    embedded = scorer.network.embedded(types)
+    for at in range(0, len(start), AT_ONCE):
+        places = start[at : at + AT_ONCE, None] + steps
+        gates = scorer.network.projected(np.concatenate([padded[places], embedded[kinds[places]]], axis=2))
+        z[at : at + AT_ONCE] = scorer.network.forward(gates, steps < size[at : at + AT_ONCE, None])
     scorer.layer = logistic(pooled(z, of, len(texts)), toxic.astype(float))
     value = odds(high, low, n_toxic, n_clean)
     some = np.abs(value) > 0.02
@@ -356,9 +455,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """From at most TRAIN_DOCS documents of each label outside of the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    label = {r["doc_id"]: r["toxic"] for r in hashed_sample(known, "toxic", TRAIN_DOCS)}
-    rows = docs.where(F.col("doc_id").isin(list(label))).select("doc_id", "text").collect() if label else []
-    rows = sorted({r["doc_id"]: r["text"] or "" for r in rows}.items())
+    label = {doc_id: value for value, doc_id in sampled_ids(known, "toxic", TRAIN_DOCS)}
+    rows = sorted((doc_id, text) for doc_id, text in texts_of(docs, list(label), TRAIN_BYTES))
     return fitted([t for _, t in rows], [label[d] for d, _ in rows])
 
 
