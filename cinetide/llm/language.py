@@ -12,16 +12,22 @@ probability FLOOR, the same in all languages, so no word is impossible.
 
 Training: expectation maximisation, with forward-backward counts over the words
 of at most `TRAIN_DOCS` documents a language (those with the smallest hash of
-their id) outside of the held-out fold.  Probabilities are smoothed by
-`SMOOTHING` counts.  Only pieces seen in training go to the executors; others
+their id, `TRAIN_BYTES` of texts at most) outside of the held-out fold, all words of
+them.  Probabilities are smoothed by `SMOOTHING` counts.  Only pieces seen in training go to the executors; others
 have the same probability in all languages and say nothing.
 
+The sums are those over all ways to cut a word, of any length and script: words of
+over `LONGEST` bytes are parted only where no piece crosses, so their parts' sums
+multiply, and sums are rescaled as they grow long, so none becomes 0.
+
 Scale: one scan, no shuffle; each chunk scores its distinct words once, all
-cuts of all words at a time.
+cuts of all words at a time, known by two 61-bit hashes.
 
 Defined results: `und` with score 0 where the text is null or has no letter, or
-nothing was learned; null languages teach nothing; repeated rows are scored
-alike; an empty table gives an empty result; other columns are ignored.
+nothing was learned; null languages teach nothing; null ids and repeated rows are
+scored like others; of equally likely languages the first by name; a very long text
+is read whole; an empty table gives an empty result; other columns, also those named
+like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -35,16 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import LOWER, Words, chunks
-from .common import hashed_sample, held_out, table
+from .common import held_out, sampled_ids, table, texts_of
 from .pieces import MODEL, NORMAL, SPACE, Model
 
 TRAIN_DOCS = 150
-TRAIN_WORDS = 30_000
+TRAIN_BYTES = 16 << 20
 ROUNDS = 4
 SMOOTHING = 0.1
 FLOOR = 1e-7
-#: Longer words are cut where no piece crosses, and their sums rescaled every RESCALE bytes.
-LONGEST, RESCALE = 48, 16
+#: Longer words are parted where no arc crosses, and their sums rescaled every RESCALE bytes; no cut of a word into pieces is lost.
+LONGEST, RESCALE = 32, 16
 MARK = 0x5F  # stands for the word mark in the machine's alphabet; no word holds it
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -156,7 +162,8 @@ class Identifier:
         out = np.zeros((len(offs) - 1, len(self.languages)))
         if not len(words) or not self.languages:
             return out
-        _, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        pairs = np.stack([words.hashes(), words.hashes(1)], axis=1).view([("a", "u8"), ("b", "u8")]).ravel()
+        _, index, inverse = np.unique(pairs, return_index=True, return_inverse=True)
         flat, starts, sizes, owner = marked([words.text(i) for i in index.tolist()], self.trie)
         parts = self.word_scores(flat, starts, sizes)
         per_word = np.zeros((len(index), parts.shape[1]))
@@ -194,8 +201,8 @@ def vocabulary(model: str) -> list[bytes]:
         own = Model(f.read())
     out = set()
     for piece, kind in zip(own.pieces, own.kinds, strict=True):
-        body = piece.removeprefix(SPACE).lower()
-        if kind == NORMAL and body.isalpha():
+        body = piece.removeprefix(SPACE)
+        if kind == NORMAL and body.isalpha():  # folded as words are: A-Z only
             out.add((bytes([MARK]) if piece[0] == SPACE else b"") + LOWER[np.frombuffer(body.encode(), np.uint8)].tobytes())
     return sorted(out | {bytes([MARK])})
 
@@ -211,7 +218,7 @@ def fitted(texts: dict[str, list[str]], model: str = MODEL) -> Identifier:
             raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             words = Words(raw, np.array([0, len(raw)]), LETTERS)
             seen.update(words.text(i) for i in range(len(words)))
-        kept = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_WORDS]
+        kept = sorted(seen.items())
         if not kept:
             continue
         flat, starts, sizes, owner = marked([w for w, _ in kept], trie)
@@ -247,11 +254,13 @@ def mirrored(starts: np.ndarray, sizes: np.ndarray, arcs: tuple[np.ndarray, ...]
 def train(docs: DataFrame, model: str = MODEL) -> Identifier:
     """From at most TRAIN_DOCS documents a language outside of the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    lang = {r["doc_id"]: r["lang"] for r in hashed_sample(known, "lang", TRAIN_DOCS)}
-    rows = docs.where(F.col("doc_id").isin(list(lang))).select("doc_id", "text").collect() if lang else []
     texts: dict[str, list[str]] = {}
-    for doc_id, text in sorted({r["doc_id"]: r["text"] or "" for r in rows}.items()):
-        texts.setdefault(lang[doc_id], []).append(text)
+    chosen: dict[str, list] = {}
+    for lang, doc_id in sampled_ids(known, "lang", TRAIN_DOCS):
+        chosen.setdefault(lang, []).append(doc_id)
+    for lang in sorted(chosen):
+        found = texts_of(docs.where(F.col("lang") == lang), chosen[lang], TRAIN_BYTES)
+        texts[lang] = [text for _, text in sorted(found)]
     return fitted(texts, model)
 
 
