@@ -7,9 +7,11 @@ shapes, and features of the whole file; a run of begin and inside tags that
 meets no base span is a further span of kind `crf`.
 
 Training: the field is fitted by gradient ascent of the likelihood on at most
-`TRAIN_DOCS` documents (those with the smallest hash of their id), in which the
-base spans are tagged and secrets of other forms, made by rule from a seed, are
-planted.  Only the weights, some 100 kB, go to the executors.
+`TRAIN_DOCS` documents (those with the smallest hash of their id, `TRAIN_BYTES` of
+texts at most), read whole, in which the base spans are tagged and secrets of other
+forms, made by rule from a seed, are planted.  Every epoch ascends on all windows of
+tokens that hold a secret and `CLEAR` times as many of those that hold none, drawn
+anew from all of them.  Only the weights, some 100 kB, go to the executors.
 
 Decoding is exact Viterbi.  A token whose outside score leads by more than any
 transitions can win back is outside in every best path, so texts fall apart
@@ -17,16 +19,20 @@ there, and the recursion runs only on the few tokens in between.
 
 Scale: one scan, no shuffle; memory is bounded by the chunk of a batch.
 
-Defined results: a null text is empty and has no spans; repeated rows are
-scanned alike; an empty table gives an empty result (and an untrained field);
-other columns are kept by redact() and ignored by the query.
+Defined results: a null text is empty and has no spans; null ids and repeated rows
+are scanned like others; of equally good tags the path keeps outside, then begin; a
+very long text is scanned whole; an empty table gives an empty result (and an
+untrained field); other columns, also those named like the operator's own, are kept
+by redact() and ignored by the query.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import U64, Words, chunks
-from .common import hashed_sample, table
+from .common import sampled_ids, table, texts_of
 
 KINDS = ("assign", "access", "hex", "crf")
 _any_case = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)  # noqa: E731  no other letters fold into these
@@ -44,6 +50,8 @@ HEX = re.compile("[0-9a-f]{24,}")
 LEAST_VALUE = 6
 
 TRAIN_DOCS = 300
+TRAIN_BYTES = 8 << 20
+CLEAR = 6
 EPOCHS = 100
 WINDOW = 24
 BUCKETS = 4096
@@ -131,15 +139,20 @@ class Field:
             out += self.w[ids[:, c]]
         return out
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5) -> None:
+    def fit(self, all_ids: np.ndarray, all_tags: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5, seed: int = 6) -> None:
         """Ascends the likelihood of windows: ids (n, WINDOW, kinds), tags (n, WINDOW)."""
-        n, size, kinds = ids.shape
-        flat = ids.reshape(-1, kinds)
-        gold = np.eye(3)[tags]
-        pairs = np.zeros((3, 3))
-        np.add.at(pairs, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+        rng = np.random.default_rng(seed)
+        with_one = all_tags.any(axis=1)
+        some, rest = np.flatnonzero(with_one), np.flatnonzero(~with_one)
+        size, kinds = all_ids.shape[1:]
         seen_w, seen_t = np.full(self.w.shape, 1e-6), np.full((3, 3), 1e-6)
         for _ in range(epochs):
+            pick = np.r_[some, rng.choice(rest, min(len(rest), max(1, CLEAR * len(some))), replace=False)] if len(rest) else some
+            n, tags = len(pick), all_tags[pick]
+            flat = all_ids[pick].reshape(-1, kinds)
+            gold = np.eye(3)[tags]
+            pairs = np.zeros((3, 3))
+            np.add.at(pairs, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
             e = self.scores(flat).reshape(n, size, 3).astype(np.float64)
             t = self.t.astype(np.float64)
             a, b = np.empty_like(e), np.zeros_like(e)
@@ -235,7 +248,7 @@ def tagged(texts: list[str], seed: int = 5) -> tuple[Words, np.ndarray]:
     rng = np.random.default_rng(seed)
     raw, marks, at = [], [], 0
     for text in texts:
-        pieces = text.split(" ")[:4000]
+        pieces = text.split(" ")
         spans = []
         for _ in range(1 + len(pieces) // 120):
             pieces.insert(int(rng.integers(len(pieces) + 1)), "\0" + made_secret(rng) + "\1")
@@ -265,7 +278,7 @@ def tagged(texts: list[str], seed: int = 5) -> tuple[Words, np.ndarray]:
 
 
 def fitted(texts: list[str]) -> Field:
-    """A field trained on windows of the texts: all that hold a secret, and six times as many that hold none."""
+    """A field trained on all windows of the texts."""
     field = Field()
     words, tags = tagged(texts)
     n = len(words) // WINDOW
@@ -274,18 +287,14 @@ def fitted(texts: list[str]) -> Field:
     ids = feature_ids(words)[: n * WINDOW].reshape(n, WINDOW, -1)
     tags = tags[: n * WINDOW].reshape(n, WINDOW)
     tags[:, 0][tags[:, 0] == IN] = BEGIN
-    with_one = tags.any(axis=1)
-    rest = np.flatnonzero(~with_one)
-    pick = np.concatenate([np.flatnonzero(with_one), rest[:: max(1, len(rest) // max(1, 6 * int(with_one.sum())))]])
-    field.fit(ids[pick], tags[pick])
+    field.fit(ids, tags)
     return field
 
 
 def train(docs: DataFrame) -> Field:
     """A field for the documents, from at most TRAIN_DOCS of them."""
-    ids = [r["doc_id"] for r in hashed_sample(docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("one")), "one", TRAIN_DOCS)]
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").collect() if ids else []
-    return fitted([text for _, text in sorted({r["doc_id"]: r["text"] or "" for r in rows}.items())])
+    ids = [doc_id for _, doc_id in sampled_ids(docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("one")), "one", TRAIN_DOCS)]
+    return fitted([text for _, text in sorted(texts_of(docs, ids, TRAIN_BYTES))])
 
 
 # ---- scanning ----
@@ -296,11 +305,16 @@ def found_in(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, field: Fie
     out = [base_spans(x or "") for x in part.column("text").to_pylist()]
     if not part.num_rows:
         return out
-    shown = (buf & 0xC0) != 0x80
+    before = np.r_[0, np.cumsum((buf & 0xC0) != 0x80)]  # characters before each byte
+    taken: dict[int, tuple[list[int], list[int]]] = {}
     for d, a, b in field.spans(Words(buf, offs)):
-        place = int(shown[offs[d] : a].sum())
-        end = place + int(shown[a:b].sum())
-        if all(end <= x or place >= y for k, x, y in out[d] if k != "crf"):
+        place, end = int(before[a] - before[offs[d]]), int(before[b] - before[offs[d]])
+        if d not in taken:  # the base spans as places covered, in order
+            own = sorted(out[d], key=lambda x: x[1:])
+            taken[d] = [x for _, x, _ in own], list(accumulate((y for _, _, y in own), max))
+        starts, ends = taken[d]
+        k = bisect_left(starts, end)  # base spans that start before this one's end
+        if not k or ends[k - 1] <= place:
             out[d].append(("crf", place, end))
     return out
 
