@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups whose training samples are fetched by one scan.
@@ -45,27 +45,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def hashed_sample(rows: DataFrame, by: str, most: int | dict) -> list[Row]:
-    """At most `most` rows of each value of a column: those with the smallest hash of doc_id.
+def sampled_ids(rows: DataFrame, by: str, most: int | dict) -> list[tuple]:
+    """(value, doc_id) of at most `most` ids of each value of a column: those with the smallest hash.
 
-    The groups are counted, about twice as many rows as wanted are fetched by a
-    bound on the hash, by one scan for each `GROUPS` groups, and the driver takes
-    the smallest; so what it receives is bounded by `most` and the number of groups.
+    Ids are counted, about twice as many as wanted are fetched by a bound on the
+    hash, by one scan for each `GROUPS` values, and the driver takes the smallest;
+    so what it receives is bounded by `most` and the number of values, however
+    often an id is repeated.
     """
     limit = most if isinstance(most, dict) else None
     span = 1 << 40
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(span))
     found, wanted = [], {}
-    groups = rows.groupBy(by).count().orderBy(F.desc("count"), by).collect()
+    groups = rows.groupBy(by).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), by).collect()
     for at in range(0, len(groups), GROUPS):
         chosen = F.lit(False)
         for value, n in groups[at : at + GROUPS]:
             wanted[value] = limit.get(value, 0) if limit is not None else most
             share = min(1.0, (2 * wanted[value] + 50) / n)
-            chosen = chosen | ((F.col(by) == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(span)) < int(share * span)))
-        found += rows.where(chosen).withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(span))).collect()
+            chosen = chosen | ((F.col(by) == value) & (hashed < int(share * span)))
+        found += rows.where(chosen).select(by, "doc_id", hashed.alias("_hash")).distinct().collect()
     out, taken = [], dict.fromkeys(wanted, 0)
-    for r in sorted(found, key=lambda r: (r["_hash"], r["doc_id"])):
-        if taken[r[by]] < wanted[r[by]]:
-            taken[r[by]] += 1
-            out.append(r)
+    for value, doc_id, _ in sorted(found, key=lambda r: (r[2], r[1], str(r[0]))):
+        if taken[value] < wanted[value]:
+            taken[value] += 1
+            out.append((value, doc_id))
     return out
+
+
+def texts_of(docs: DataFrame, ids: list, most_bytes: int) -> list[tuple]:
+    """(doc_id, text) of the ids, in order, as long as the texts have `most_bytes` together.
+
+    Of an id's texts the one with the smallest hash is taken.  Their sizes are
+    fetched first, so the driver never receives more than it asked for.
+    """
+    if not ids:
+        return []
+    own = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    sizes = own.groupBy("doc_id").agg(F.min(F.struct("_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("least")).collect()
+    least = {doc_id: (key, size) for doc_id, (key, size) in sizes}
+    keys, total = [], 0
+    for doc_id in ids:
+        if doc_id in least and total + least[doc_id][1] <= most_bytes:
+            total += least[doc_id][1]
+            keys.append(least[doc_id][0])
+    rows = own.where(F.col("_hash").isin(keys)).groupBy("doc_id").agg(F.min_by("text", "_hash").alias("text")).collect() if keys else []
+    texts = {doc_id: text or "" for doc_id, text in rows}
+    return [(doc_id, texts[doc_id]) for doc_id in ids if doc_id in texts]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cinetide.llm import language, secrets, toxicity
 from cinetide.llm.bytestext import Words
-from cinetide.llm.common import hashed_sample
+from cinetide.llm.common import sampled_ids, texts_of
 
 
 def held_out(doc_id):
@@ -30,30 +30,91 @@ def laid(texts):
 # ---- toxicity ----
 
 
+def plain_forward(net, x, on):
+    """One window's output, step by step as the equations say."""
+    h = toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    states = np.zeros((len(x), 2 * h))
+    for way, steps in ((0, range(len(x))), (1, reversed(range(len(x))))):
+        s = np.zeros(h)
+        for t in steps:
+            if on[t]:
+                a, r = x[t] @ net.w[way] + net.b[way], s @ net.u[way]
+                z, reset = sigmoid(a[:h] + r[:h]), sigmoid(a[h : 2 * h] + r[h : 2 * h])
+                s = z * s + (1 - z) * np.tanh(a[2 * h :] + reset * r[2 * h :])
+            states[t, way * h : (way + 1) * h] = s
+    e = np.array([np.exp(np.tanh(states[t] @ net.a + net.c) @ net.v) if on[t] else 0.0 for t in range(len(x))])
+    return (e / max(e.sum(), 1e-9)) @ states @ net.o + net.d[0]
+
+
+def _doubled(net):
+    for name in ("e", "w", "u", "b"):
+        setattr(net, name, [p.astype(float) for p in getattr(net, name)])
+    return net
+
+
+def test_the_forward_pass_equals_the_equations():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network.fresh()
+    x = rng.normal(size=(4, toxicity.WINDOW, toxicity.INPUTS)).astype(np.float32)
+    on = np.arange(toxicity.WINDOW) < np.array([[toxicity.WINDOW], [7], [1], [0]])
+    assert np.allclose(net.forward(net.projected(x), on), [plain_forward(net, a, b) for a, b in zip(x, on, strict=True)], atol=1e-4)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    net = toxicity.Network.fresh()
-    for name in ("w", "u", "b"):
-        setattr(net, name, [p.astype(float) for p in getattr(net, name)])
-    x = rng.normal(size=(3, toxicity.WINDOW, toxicity.INPUTS))
+    net = _doubled(toxicity.Network.fresh(20))
+    own = toxicity.tokens(*laid(["some words and some other words", "more of them"]))
+    types = toxicity.Types.of(own, np.arange(len(own.words)), np.sort(np.unique(own.words)))
+    which = rng.integers(0, len(own.words), (3, toxicity.WINDOW))
+    odds = rng.normal(size=(3, toxicity.WINDOW, toxicity.ODDS))
     on = np.arange(toxicity.WINDOW) < np.array([[toxicity.WINDOW], [7], [0]])
     g = np.array([1.0, -2.0, 0.5])
+
+    def inputs():
+        embedded = np.concatenate([net.e[0][types.word], np.stack([net.e[1][types.gram[a:b]].mean(axis=0) for a, b in zip(types.first, types.first[1:])])], axis=1)
+        assert np.allclose(embedded, net.embedded(types), atol=1e-5)
+        return np.concatenate([odds, embedded[which]], axis=2)
+
     keep = []
-    net.forward(x, on, keep)
+    x = inputs()
+    net.forward(net.projected(x), on, keep)
     grads = net.backward(x, on, g, keep)
-    for name in ("w0", "w1", "u0", "u1", "b0", "b1", "a", "c", "v", "o", "d"):
+    by_type = np.zeros((len(own.words), 2 * toxicity.EMBED))
+    np.add.at(by_type, which.ravel(), grads["x"][:, :, toxicity.ODDS :].reshape(-1, 2 * toxicity.EMBED))
+    grads |= net.embedding_grads(types, by_type)
+    for name in ("w0", "w1", "u0", "u1", "b0", "b1", "a", "c", "v", "o", "d", "e0", "e1"):
         p = getattr(net, name[0])
         p = p[int(name[1])] if len(name) > 1 else p
-        at = tuple(n // 2 for n in p.shape)
+        at = (int(types.word[which[0, 3]]), 2) if name == "e0" else (int(types.gram[types.first[which[0, 3]]]), 2) if name == "e1" else tuple(n // 2 for n in p.shape)
         old, e = p[at], 1e-2
         p[at] = old + e
-        up = net.forward(x, on) @ g
+        up = net.forward(net.projected(inputs()), on) @ g
         p[at] = old - e
-        down = net.forward(x, on) @ g
+        down = net.forward(net.projected(inputs()), on) @ g
         p[at] = old
         assert abs((up - down) / (2 * e) - grads[name][at]) < 1e-3, name
 
 
+def test_scores_equal_window_by_window(spark, small):
+    """Tokens, inputs, windows, network and pooling of whole texts, written out plainly."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").limit(40).collect()
+    texts = [r["text"] for r in rows] + ["", "Ä b", "word " * 70]
+    scorer = toxicity.fitted(texts, [i % 2 for i in range(len(texts))])
+    for text, got in zip(texts[-8:], scorer.scores(*laid(texts[-8:])), strict=True):
+        own = toxicity.tokens(*laid([text]))
+        n = len(own.words)
+        odds = np.array([dict(zip(scorer.words.tolist(), scorer.word_odds.tolist(), strict=True)).get(int(w), 0.0) for w in own.words], np.float32)
+        x = scorer.inputs(own, np.arange(n), odds) if n else np.zeros((0, toxicity.INPUTS))
+        outs = []
+        for lo in range(0, max(1, n - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            window = x[lo : lo + toxicity.WINDOW]
+            outs.append(plain_forward(scorer.network, np.vstack([window, np.zeros((toxicity.WINDOW - len(window), toxicity.INPUTS))]), np.arange(toxicity.WINDOW) < len(window)))
+        outs = np.sort(outs)[::-1]
+        layer = np.array([outs[0], outs[min(1, len(outs) - 1)], outs.mean(), np.log(len(outs)), 1.0]) @ scorer.layer
+        assert abs(1 / (1 + np.exp(-layer)) - got) < 1e-4
+
+
 def test_windows_cover_every_token_and_overlap():
     counts = np.array([0, 1, 31, 32, 33, 56, 57, 500])
     start, size, doc = toxicity.windows(np.r_[0, np.cumsum(counts)])
@@ -99,7 +160,7 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
 
 
 def test_forward_sums_all_segmentations():
-    own = language.fitted({"aa": ["then the other then", "the then"], "bb": ["élan über de la", "de la über"]})
+    own = language.fitted({"aa": ["then the other then", "the then"], "bb": ["élan über de la École", "de la über"]})
     pieces = {p: i for i, p in enumerate(own.pieces)}
 
     def brute(word, k):
@@ -116,7 +177,7 @@ def test_forward_sums_all_segmentations():
                     alpha[end] += alpha[start] * language.FLOOR
         return np.log(alpha[-1])
 
-    words = [w.encode() for w in ("then", "über", "élan", "zz", "你好", "otherthen")]
+    words = [w.encode() for w in ("then", "über", "élan", "École", "zz", "你好", "otherthen")]
     flat, starts, sizes, _ = language.marked(words)
     assert np.allclose(own.word_scores(flat, starts, sizes), [[brute(w, k) for k in (0, 1)] for w in words])
 
@@ -271,18 +332,37 @@ def test_redact(spark, odd, empty):
     assert secrets.masked("abcdef", [("a", 1, 3), ("b", 2, 4), ("c", 5, 6)]) == "a[SECRET]e[SECRET]"
 
 
+def test_spans_late_in_a_very_long_text_and_many_of_them(trained):
+    field, _ = trained
+    long = "some words here " * 80_000
+    text = long + "password = hunter22 " + ("AKIA" + "ABCD" * 4 + " é ") * 3000
+    (found,) = secrets.found_in(pa.RecordBatch.from_pydict({"text": [text]}), *laid([text]), field)
+    assert len(text) > 1 << 20 and [x for x in found if x[0] != "crf"] == sorted(plain(text), key=lambda x: (secrets.KINDS.index(x[0]), x[1]))
+    assert all(text[a:b].strip() == text[a:b] for k, a, b in found)
+
+
 # ---- samples ----
 
 
-def test_hashed_sample_is_bounded_and_repeatable(spark):
+def test_sampled_ids_are_bounded_and_repeatable(spark):
     rows = spark.range(5000).selectExpr("id as doc_id", "if(id % 50 = 0, 1, 0) as label")
-    one = hashed_sample(rows, "label", {1: 30, 0: 70})
-    assert sorted(r["label"] for r in one) == [0] * 70 + [1] * 30
-    assert one == hashed_sample(rows.repartition(7), "label", {1: 30, 0: 70})
-    assert len(hashed_sample(rows.limit(10), "label", 100)) == 10 and hashed_sample(rows.limit(0), "label", 5) == []
+    one = sampled_ids(rows, "label", {1: 30, 0: 70})
+    assert sorted(value for value, _ in one) == [0] * 70 + [1] * 30
+    assert one == sampled_ids(rows.repartition(7), "label", {1: 30, 0: 70})
+    assert len(sampled_ids(rows.limit(10), "label", 100)) == 10 and sampled_ids(rows.limit(0), "label", 5) == []
+    again = rows.limit(10).union(rows.where("doc_id = 3").crossJoin(spark.range(3000)).drop("id"))
+    assert len(sampled_ids(again, "label", 100)) == 10  # an id that stands there 3001 times is one
 
 
-def test_hashed_sample_takes_every_value(spark):
+def test_sampled_ids_take_every_value(spark):
     rows = spark.range(1350).selectExpr("id as doc_id", "concat('l', id % 450) as lang")
-    got = hashed_sample(rows, "lang", 2)
-    assert len(got) == 900 and len({r["lang"] for r in got}) == 450
+    got = sampled_ids(rows, "lang", 2)
+    assert len(got) == 900 and len({value for value, _ in got}) == 450
+
+
+def test_texts_are_fetched_by_bytes(spark):
+    rows = [(1, "x" * 100), (2, "y" * 5000), (3, None), (4, "z" * 100), (4, "w" * 100), (5, "v" * 100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = texts_of(df, [5, 2, 4, 3, 1, 9], 350)
+    assert [d for d, _ in got] == [5, 4, 3, 1] and got[2][1] == "" and got[1][1] in ("z" * 100, "w" * 100)
+    assert texts_of(df, [], 10) == []
