@@ -2,13 +2,16 @@
 
 `store()` writes payloads as members of archives (stored ZIP files of about
 `ARCHIVE_BYTES`) in a directory; each task writes files under new names, and
-only those that finished tasks report enter the directory's manifest, so a lost
-or repeated task leaves nothing that is read.
+only those that finished tasks report enter the directory's manifest, a table that
+Spark commits, so a lost or repeated task leaves nothing that is read.
 
 `MediaArchives` (format "media_archives") plans byte ranges over the archives of
-the manifest, knowing only their names and sizes.  A range's reader takes the
-members whose header starts in it from the archive's own directory, reads the
-range as one block, and streams batches of at most `BATCH_BYTES` through Arrow.
+the manifest.  The driver only lists the manifest's parts and reads one total: a
+partition is a share of the ranges of some parts, of `RANGE_BYTES` or, so that there
+are `PARTITIONS` partitions at most, more.  Its reader gets the archives' names and
+sizes from the parts, takes the members whose header starts in a range from the
+archive's own directory, reads the range in blocks, and streams batches of at most
+`BATCH_BYTES` through Arrow.
 A member that comes out short or with a wrong checksum is read again on its own
 at its offset, up to `ATTEMPTS` times, without touching its neighbours; then the
 task fails, or with the option onError=row the member's row carries the error.
@@ -17,8 +20,9 @@ The stored form is a greyscale PNG, 64 samples of 8 bits a row, so a payload is
 the text's UTF-8 bytes and zeros up to a positive multiple of 64.
 
 Defined results: a null text is empty (64 zero bytes); a null id stays null;
-equal texts give equal values; repeated rows are members of their own; an empty
-table gives an empty result; other columns are ignored.
+equal texts give equal values; repeated rows are members of their own; a very long
+text is one member, held whole; an empty table gives an empty result; other columns,
+also those named like the operator's own, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -45,7 +50,9 @@ RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 ATTEMPTS = 3
 WIDTH = 64
-MANIFEST = "_manifest"
+MANIFEST, TOTAL = "_manifest", "_total"
+#: A bound of what the driver plans.
+PARTITIONS = 100_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -139,20 +146,21 @@ def write_archives(batches: Iterable[pa.RecordBatch], directory: str) -> Iterato
 
 
 def store(docs: DataFrame, directory: str) -> None:
-    """Writes the payloads of all documents and the manifest: a line for each archive, not for each member."""
+    """Writes the payloads of all documents, the manifest (a row for each archive, not for each member), and its total."""
     fs, root = filesystem(directory)
     fs.create_dir(root, recursive=True)
     done = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: write_archives(it, directory), "archive string, bytes bigint, members bigint")
-    lines = "".join(f"{name}\t{size}\n" for name, size, _ in done.collect())
-    with fs.open_output_stream(f"{root}/{MANIFEST}") as sink:
-        sink.write(lines.encode())
+    done.write.parquet(f"{directory}/{MANIFEST}")
+    total = docs.sparkSession.read.parquet(f"{directory}/{MANIFEST}").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    with fs.open_output_stream(f"{root}/{TOTAL}") as sink:
+        sink.write(str(total).encode())
 
 
-class ByteRange(InputPartition):
-    """Members of an archive whose headers start in [lo, hi)."""
+class ByteRanges(InputPartition):
+    """Every `of`th byte range, from number `share` on, of the archives in some parts of the manifest."""
 
-    def __init__(self, archive: str, lo: int, hi: int):
-        self.archive, self.lo, self.hi = archive, lo, hi
+    def __init__(self, parts: list[str], share: int, of: int, size: int):
+        self.parts, self.share, self.of, self.size = parts, share, of, size
 
 
 class MediaArchives(DataSource):
@@ -175,31 +183,49 @@ class MediaReader(DataSourceReader):
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.on_error = options.get("onError", "fail")
 
-    def partitions(self) -> list[ByteRange]:
+    def partitions(self) -> list[ByteRanges]:
         fs, root = filesystem(self.directory)
-        with fs.open_input_stream(f"{root}/{MANIFEST}") as source:
-            lines = source.read().decode().splitlines()
-        out = []
-        for name, size in (line.split("\t") for line in lines):
-            n = max(1, -(-int(size) // self.range_bytes))
-            step = -(-int(size) // n)
-            out += [ByteRange(name, k * step, (k + 1) * step) for k in range(n)]
-        return out or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+        with fs.open_input_stream(f"{root}/{TOTAL}") as source:
+            total = int(source.read())
+        parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/{MANIFEST}")) if f.path.endswith(".parquet"))
+        size = max(self.range_bytes, -(-total // PARTITIONS))
+        of = max(1, -(-total // (size * max(1, len(parts)))))  # shares of each group of parts
+        together = max(1, -(-len(parts) * of // PARTITIONS))
+        groups = [parts[k : k + together] for k in range(0, len(parts), together)]
+        return [ByteRanges(group, share, of, size) for group in groups for share in range(of)] or [ByteRanges([], 0, 1, size)]
+
+    def ranges(self, partition: ByteRanges) -> Iterator[tuple[str, int, int]]:
+        """Archive, and where its range begins and ends."""
+        fs, _ = filesystem(self.directory)
+        number = 0
+        for part in partition.parts:
+            with fs.open_input_file(part) as source:
+                rows = pq.read_table(source, columns=["archive", "bytes"]).to_pylist()
+            for row in rows:
+                n = max(1, -(-row["bytes"] // partition.size))
+                step = -(-row["bytes"] // n)
+                for k in range(n):
+                    if number % partition.of == partition.share:
+                        yield row["archive"], k * step, (k + 1) * step
+                    number += 1
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for archive, lo, hi in self.ranges(partition):
+            yield from self.members(archive, lo, hi)
+
+    def members(self, archive: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        """Batches of the members whose headers start in [lo, hi)."""
         fs, root = filesystem(self.directory)
-        path = f"{root}/{partition.archive}"
+        path = f"{root}/{archive}"
         with fs.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:
-            entries = sorted((e for e in zipped.infolist() if partition.lo <= e.header_offset < partition.hi), key=lambda e: e.header_offset)
+            entries = sorted((e for e in zipped.infolist() if lo <= e.header_offset < hi), key=lambda e: e.header_offset)
         rows: list[tuple] = []
         size = 0
         for entry, block in blocks(fs, path, entries):
             media, error = member(fs, path, entry, block)
             if error and self.on_error != "row":
                 raise OSError(f"{path}, member {entry.filename} at {entry.header_offset}: {error}")
-            rows.append((entry.filename, partition.archive, entry.header_offset, media, error))
+            rows.append((entry.filename, archive, entry.header_offset, media, error))
             size += len(media or b"")
             if size >= BATCH_BYTES:
                 yield _batch(rows)

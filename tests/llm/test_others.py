@@ -191,6 +191,19 @@ def test_media_round_trip(spark, small, odd, monkeypatch):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_the_plan_is_bounded_and_covers_every_range(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "ARCHIVE_BYTES", 3000)
+    directory = f"file://{tmp_path}/p"
+    media.store(spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat("id", 30)).alias("text")).repartition(7), directory)
+    for most, size in ((1000, 500), (1000, 8 << 20), (5, 500), (3, 100)):
+        monkeypatch.setattr(media, "PARTITIONS", most)
+        reader = media.MediaReader({"path": directory, "rangeBytes": str(size)})
+        plan = reader.partitions()
+        assert len(plan) <= most + 7
+        names = [row["member"] for p in plan for batch in reader.read(p) for row in batch.to_pylist()]
+        assert len(names) == 300 and len(set(names)) == 300
+
+
 def test_members_are_retried_alone_and_errors_stay_theirs(spark, tmp_path):
     df = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).coalesce(1)
     directory = f"file://{tmp_path}/a"
