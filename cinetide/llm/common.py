@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class _Made(threading.local):
+    """The scratch paths that this thread made and has not removed."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not (spark.sparkContext.master or "").startswith("local"):
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="cinetide-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -28,8 +41,35 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{scratch_root(spark)}/cinetide/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there when the driver ends is removed."""
+    path = f"{scratch_root(spark)}/cinetide/{name}-{uuid.uuid4().hex}"
+    if not _made.paths:
+        atexit.register(removed, spark, _made.paths)
+    _made.paths.append(path)
+    return path
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Removes scratch folders, as far as the session still lives."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    for path in list(paths):
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made.paths:
+            _made.paths.remove(path)
+
+
+def made() -> int:
+    """A mark for discarded()."""
+    return len(_made.paths)
+
+
+def discarded(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Removes the tables that this thread saved since the mark, but for those that are still read."""
+    stay = {getattr(df, "_scratch", None) for df in kept}
+    removed(spark, [p for p in _made.paths[since:] if p not in stay])
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +77,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def held_out(doc_id: Column) -> Column:

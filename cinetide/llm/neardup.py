@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import LOWER, U64, Words, buffers, chunks, mix
-from .common import saved, table
+from .common import discarded, made, saved, table
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -226,7 +226,7 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")), F.sum((F.xxhash64("v", "u") % 998_244_353).cast("long"))).first()
         if now == state:
             break
-        state = now
+        state, mark = now, made()
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -234,6 +234,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        discarded(links.sparkSession, mark, edges)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
@@ -309,6 +310,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def labelled(docs: DataFrame) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, kept) for each row of documents."""
+    mark = made()
     docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row"))
     rows, classes, first = numbered(docs)
     members = buckets(first)
@@ -320,7 +322,8 @@ def labelled(docs: DataFrame) -> DataFrame:
     of_ids = rows.where("node is not null").join(saved(ids.select("doc_id", "a"), "ids"), "doc_id").where("node > a").select("a", F.col("node").alias("b"))
     parts = classes.join(components(links.union(more).union(of_ids)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = saved(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
-    named = saved(parts.join(least, "component").select("node", "component_id"), "named")
+    named = saved(parts.join(least, "component").select("node", "component_id"), "named")  # nothing but this and the rows is read from now on
+    discarded(docs.sparkSession, mark, rows, named)
     alone = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
     out = rows.where("node is not null").join(named, "node").unionByName(alone)
     return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

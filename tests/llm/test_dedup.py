@@ -225,3 +225,14 @@ def test_a_text_over_a_chunk(spark):
     got = [tuple(r) for r in substrings.deduplicated(df).drop("kept").collect()]
     assert sorted(got, key=key) == sorted(fallen(rows), key=key)
     assert sorted(tuple(r) for r in neardup.grouped(df).collect()) == sorted(clusters(rows))
+
+
+def test_scratch_tables_are_removed(spark):
+    from cinetide.llm import common
+
+    mark = common.made()
+    neardup.deduplicated(spark.createDataFrame(shared_ids(), "doc_id bigint, text string")).count()
+    assert common.made() - mark <= 4
+    kept = common.saved(spark.range(3), "kept")
+    common.discarded(spark, mark, kept)
+    assert kept.count() == 3 and common.made() == mark + 1
