@@ -10,7 +10,12 @@ of `documents`.
 4. secrets: every secret found is masked in the text; no document goes.
 5. tokens: SentencePiece ids of each text, and the digest of their decoding.
 
-Rows with a null id take part in stages 1, 3, 4 and 5 and pass stage 2.
+Defined results: rows with a null id take part in stages 1, 3, 4 and 5 and pass
+stage 2; a null or empty text is clean, has no duplicates, items, secrets or ids;
+equal rows (id and text) become one in stage 2, rows of one id with other texts stay
+together; very long texts are read whole; an empty table gives an empty result; other
+columns of `documents`, also those named like an operator's own, are kept by all
+stages but the last.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cinetide.llm import decontaminate, neardup, pieces, secrets, toxicity
-from cinetide.llm.common import saved, table
+from cinetide.llm.common import discarded, made, saved, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
+        discarded(spark, mark, docs)  # what the stage itself made, and its predecessor's table
     return STAGES[-1][1](spark, docs, sf_dir)
