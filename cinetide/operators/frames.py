@@ -73,15 +73,10 @@ def analysed(frames: DataFrame) -> DataFrame:
     return with_segments(with_runs(out, ["video_id"], "frame_idx"), ["video_id"], "frame_idx")
 
 
-def only_roots(frames: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Frames that need inference: the duplicates are left out."""
-    return frames.join(analysis.where(~F.col("is_dup")).select("video_id", "frame_idx"), ["video_id", "frame_idx"], "left_semi")
-
-
-def shared_back(results: DataFrame, analysis: DataFrame) -> DataFrame:
-    """Gives every frame its root's result."""
-    roots = results.withColumnRenamed("frame_idx", "root").drop("pts_us", "width", "height")
-    return analysis.select("video_id", "frame_idx", "pts_us", "width", "height", "root", "is_dup", "segment").join(roots, ["video_id", "root"]).drop("root")
+def shared_back(results: DataFrame, analysis: DataFrame, keys: Sequence[str] = ("video_id",), order: str = "frame_idx") -> DataFrame:
+    """Gives every row of the analysis its root's result; results are keyed by the roots and have other columns than the analysis."""
+    roots = results.withColumnRenamed(order, "root")
+    return analysis.join(roots, [*keys, "root"])
 
 
 CONTENT = "anime double, blockiness double, darkness double, saturation double"

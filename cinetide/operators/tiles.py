@@ -19,6 +19,8 @@ from cinetide.functions.scalars import OVERLAP
 from cinetide.schemas import FRAMES
 
 SCALE = 4
+TILES_AT_ONCE, ROWS_AT_ONCE = 16, 64
+PRE2_NATURAL, PRE2_HEIGHT = 0.5, 240
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -85,50 +87,86 @@ def onnx_kernel(name: str) -> Kernel:
 
 
 def upscaled(rgb: np.ndarray, kernel: Kernel, tile: int = 128) -> np.ndarray:
-    """All tiles of a frame through the kernel, their valid parts put together."""
+    """All tiles of a frame through the kernel at once, their valid parts put together."""
     h, w, _ = rgb.shape
     step = tile - 2 * OVERLAP
     out = np.empty((h * SCALE, w * SCALE, 3), np.uint8)
-    for y in range(0, h, step):
-        for x in range(0, w, step):
-            ox, oy = (min(max(v - OVERLAP, 0), max(size - tile, 0)) for v, size in ((x, w), (y, h)))
-            big = pixels.planes_to_rgb(kernel(pixels.rgb_to_planes(extracted(rgb, ox, oy, tile))[None])[0])
+    corners = [(x, y) for y in range(0, h, step) for x in range(0, w, step)]
+    origins = [tuple(min(max(v - OVERLAP, 0), max(size - tile, 0)) for v, size in ((x, w), (y, h))) for x, y in corners]
+    for at in range(0, len(corners), TILES_AT_ONCE):
+        own = origins[at : at + TILES_AT_ONCE]
+        big = kernel(np.stack([pixels.rgb_to_planes(extracted(rgb, ox, oy, tile)) for ox, oy in own]))
+        for (x, y), (ox, oy), planes in zip(corners[at : at + TILES_AT_ONCE], own, big, strict=True):
             x1, y1 = min(x + step, w), min(y + step, h)
-            part = big[(y - oy) * SCALE : (y1 - oy) * SCALE, (x - ox) * SCALE : (x1 - ox) * SCALE]
-            out[y * SCALE : y1 * SCALE, x * SCALE : x1 * SCALE] = part
+            part = planes[:, (y - oy) * SCALE : (y1 - oy) * SCALE, (x - ox) * SCALE : (x1 - ox) * SCALE]
+            out[y * SCALE : y1 * SCALE, x * SCALE : x1 * SCALE] = pixels.planes_to_rgb(part)
     return out
 
 
-def inferred(frames: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, passes: int = 1, natural: float = 0.0, pre2: bool = False) -> DataFrame:
-    """Frames through one or two passes and, if natural > 0, the faithful blend (K3); adds the source as `source`.
+def result_of(source: np.ndarray, kernel: Kernel, tile: int, passes: int = 1, natural: float = 0.0, pre2: bool | None = None, blend: str = "device") -> np.ndarray:
+    """One frame through one or two passes and, if natural > 0, the faithful blend: "device" for K3, "backend" for K4.
+
+    pre2 (J8) doubles the frame with cubic weights first and halves the result by area; if not given,
+    it is done for natural values of 0.5 or more and frames of at most 240 rows.
+    """
+    h, w, _ = source.shape
+    double = natural >= PRE2_NATURAL and h <= PRE2_HEIGHT if pre2 is None else pre2
+    out = pixels.cubic(source, 2 * w, 2 * h) if double else source
+    for _ in range(passes):
+        out = upscaled(out, kernel, tile)
+    if double:
+        out = pixels.area_halved(out)
+    if blend == "backend":
+        return np.clip(np.rint(pixels.faithful_float(out, source, natural)), 0, 255).astype(np.uint8)
+    return pixels.faithful(out, source, natural)
+
+
+def inferred(
+    frames: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, passes: int = 1, natural: float = 0.0, pre2: bool | None = False, blend: str = "device"
+) -> DataFrame:
+    """Frames through result_of(); adds the source as `source`.
 
     Frames are independent, so this needs no shuffle; a batch's tiles never leave its task.
-    pre2: doubles small frames first and halves the result, for high natural values.
     """
     schema = FRAMES + ", source binary"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = checked(kernel, tile)
         for batch in batches:
-            cols = [batch.column(c) for c in ("video_id", "frame_idx", "pts_us")]
-            widths, heights, datas = [], [], []
-            for px, w, h in zip(batch.column("px"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
-                source = pixels.frame(px.as_py(), w, h)
-                out = pixels.bilinear(source, 2 * w, 2 * h) if pre2 else source
-                for _ in range(passes):
-                    out = upscaled(out, own, tile)
-                if pre2:
-                    out = pixels.bilinear(out, out.shape[1] // 2, out.shape[0] // 2)
-                out = pixels.faithful(out, source, natural)
-                widths.append(out.shape[1])
-                heights.append(out.shape[0])
-                datas.append(out.tobytes())
-            arrays = [*cols, pa.array(widths, pa.int32()), pa.array(heights, pa.int32()), pa.array(datas, pa.binary()), batch.column("px")]
-            yield pa.RecordBatch.from_arrays(arrays, ["video_id", "frame_idx", "pts_us", "width", "height", "px", "source"])
+            sizes = zip(batch.column("px"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)
+            outs = [result_of(pixels.frame(px.as_py(), w, h), own, tile, passes, natural, pre2, blend) for px, w, h in sizes]
+            yield _frames(batch, outs, batch.column("px"))
 
     return frames.mapInArrow(run, schema)
 
 
+def _frames(batch: pa.RecordBatch, outs: list[np.ndarray], source: pa.Array | None = None) -> pa.RecordBatch:
+    """A batch with new pixels, and with the source, if any, as a further column."""
+    names = ["video_id", "frame_idx", "pts_us", "width", "height", "px"]
+    arrays = [*(batch.column(c) for c in names[:3]), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
+    arrays.append(pa.array([x.tobytes() for x in outs], pa.binary()))
+    return pa.RecordBatch.from_arrays(arrays if source is None else [*arrays, source], names if source is None else [*names, "source"])
+
+
+class Filter:
+    """The recursive filter; state is the previous output and source, and a new scene begins anew."""
+
+    def __init__(self, strength: float, method: str):
+        self.strength, self.method = strength, method
+        self.scene = self.last = self.last_source = None
+
+    def shown(self, scene: tuple, now: np.ndarray, source: np.ndarray) -> np.ndarray:
+        if scene != self.scene:
+            self.scene, self.last, self.last_source = scene, None, None
+        if self.method == "motion":
+            self.last = pixels.compensated(now, self.last, source, self.last_source)
+            out = np.clip(np.rint(self.last), 0, 255).astype(np.uint8)
+        else:
+            self.last = out = pixels.stabilised(now, self.last, source, self.last_source, self.strength)
+        self.last_source = source
+        return out
+
+
 def stabilised(frames: DataFrame, segments: DataFrame, strength: float = 0.5, method: str = "device") -> DataFrame:
     """The recursive filter along each scene; state is the previous output, and a cut begins anew.
 
@@ -139,23 +177,11 @@ def stabilised(frames: DataFrame, segments: DataFrame, strength: float = 0.5, me
     rows = frames.join(segments.select("video_id", "frame_idx", "segment", F.col("width").alias("sw"), F.col("height").alias("sh")), ["video_id", "frame_idx"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = last_source = None
+        own = Filter(strength, method)
         for batch in batches:
-            out = []
             names = ("video_id", "segment", "width", "height", "sw", "sh", "px", "source")
-            for video, segment, w, h, sw, sh, px, raw in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                now, source = pixels.frame(px, w, h), pixels.frame(raw, sw, sh)
-                if (video, segment) != key:
-                    key, last, last_source = (video, segment), None, None
-                if method == "motion":
-                    state = pixels.compensated(now, last, source, last_source)
-                    shown = np.clip(np.rint(state), 0, 255).astype(np.uint8)
-                else:
-                    state = shown = pixels.stabilised(now, last, source, last_source, strength)
-                last, last_source = state, source
-                out.append(shown.tobytes())
-            arrays = [batch.column(c) for c in ("video_id", "frame_idx", "pts_us", "width", "height")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+            rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+            yield _frames(batch, [own.shown((video, segment), pixels.frame(px, w, h), pixels.frame(raw, sw, sh)) for video, segment, w, h, sw, sh, px, raw in rows])
 
     return rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx").mapInArrow(run, FRAMES)
 
@@ -169,8 +195,7 @@ def rendered(frames: DataFrame, colour: str = "OFF", sharpen: float = 0.0, size:
             for px, w, h in zip(batch.column("px").to_pylist(), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True):
                 x = pixels.rendered(pixels.frame(px, w, h), colour, sharpen)
                 outs.append(x if size is None else pixels.bilinear(x, *size))
-            arrays = [*(batch.column(c) for c in ("video_id", "frame_idx", "pts_us")), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in outs], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+            yield _frames(batch, outs)
 
     return frames.select("video_id", "frame_idx", "pts_us", "width", "height", "px").mapInArrow(run, FRAMES)
 
@@ -185,8 +210,7 @@ def cropped(frames: DataFrame, size: int = 96) -> DataFrame:
                 cw, ch = min(size, w), min(size, h)
                 x, y = (w - cw) // 2, (h - ch) // 2
                 outs.append(pixels.frame(px, w, h)[y : y + ch, x : x + cw])
-            arrays = [*(batch.column(c) for c in ("video_id", "frame_idx", "pts_us")), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([x.tobytes() for x in outs], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+            yield _frames(batch, outs)
 
     return frames.select("video_id", "frame_idx", "pts_us", "width", "height", "px").mapInArrow(run, FRAMES)
 
@@ -204,14 +228,31 @@ def architecture(names: DataFrame, name: str = "name") -> DataFrame:
     return names.agg(F.floor((last - 2) / 2).cast("int").alias("num_conv"))
 
 
-def processed(frames: DataFrame, analysis: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, strength: float = 0.5, natural: float = 1.0, skip: bool = True) -> DataFrame:
-    """The whole of it: inference on roots, results shared with duplicates, temporal filter, in order."""
-    from . import frames as fr
+def processed(
+    frames: DataFrame, analysis: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, strength: float = 0.5, natural: float = 1.0, skip: bool = True, method: str = "device"
+) -> DataFrame:
+    """The whole of it in one stream: inference on roots, their results for the duplicates that follow, temporal filter.
+
+    Source frames meet their flags by a join and are then dealt by scene and sorted; only source pixels
+    travel, once for each of the two, and results, sixteen times their size, never do.  A duplicate
+    follows its root within its scene, so the last root's result is all that sharing needs.  A scene is
+    one task, however long: its filter is a recursion over its frames.
+    """
+    flags = analysis.select("video_id", "frame_idx", "is_dup", "segment")
+    rows = frames.join(flags, ["video_id", "frame_idx"]).repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
 
-    source = fr.only_roots(frames, analysis) if skip else frames
-    results = inferred(source, kernel, tile, natural=natural)
-    if skip:
-        sizes = ("width", "height")
-        back = results.select("video_id", F.col("frame_idx").alias("root"), *sizes, "px", "source")
-        results = analysis.select("video_id", "frame_idx", "pts_us", "root").join(back, ["video_id", "root"]).select("video_id", "frame_idx", "pts_us", *sizes, "px", "source")
-    return stabilised(results, analysis, strength)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, filter_ = checked(kernel, tile), Filter(strength, method)
+        result = source = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part, outs = batch.slice(at, ROWS_AT_ONCE), []
+                names = ("video_id", "segment", "is_dup", "width", "height", "px")
+                for video, segment, dup, w, h, px in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                    if not (dup and skip) or result is None:
+                        source = pixels.frame(px, w, h)
+                        result = result_of(source, own, tile, natural=natural, pre2=False)
+                    outs.append(filter_.shown((video, segment), result, source))
+                yield _frames(part, outs)
+
+    return rows.mapInArrow(run, FRAMES)

@@ -80,8 +80,9 @@ def scene_segments(spark, sf):
 @query(_EVENT_FRAMES + "select r.user_id, r.event_id, r.is_dup, r.root, o.value as result from r join events o on r.root = o.event_id")
 def shared_results(spark, sf):
     rows = _event_frames(spark, sf)
-    results = rows.where(~F.col("is_dup")).select("user_id", F.col("event_id").alias("root"), F.col("value").alias("result"))
-    return rows.select("user_id", "event_id", "is_dup", "root").join(results, ["user_id", "root"]).select("user_id", "event_id", "is_dup", "root", "result")
+    results = rows.where(~F.col("is_dup")).select("user_id", "event_id", F.col("value").alias("result"))
+    out = frames.shared_back(results, rows.select("user_id", "event_id", "is_dup", "root"), ["user_id"], "event_id")
+    return out.select("user_id", "event_id", "is_dup", "root", "result")
 
 
 @query(
@@ -724,56 +725,111 @@ def selection_time(spark, sf):
     return rows.groupBy("width").agg(F.floor(F.round(F.sum("seconds"), 3)).cast("long").alias("seconds"))
 
 
-# ---- frames for real: rows only ----
+# ---- frames for real ----
 
+WIDE, HIGH = 32, 24
+#: A clip per brand, a frame per part; pixels follow from the values v and w of the part, or of the one before it for every second frame.
+_FRAMES_OF = """
+n as (select p_brand as video_id, p_size, cast(floor(p_retailprice) as bigint) % 64 as w, row_number() over (partition by p_brand order by p_partkey) - 1 as frame_idx from part),
+f as (select video_id, frame_idx, case when frame_idx % 2 = 1 then lag(p_size) over b else p_size end as v, case when frame_idx % 2 = 1 then lag(w) over b else w end as w from n window b as (partition by video_id order by frame_idx))"""
 
-def made_clips(spark: SparkSession, sf: str) -> DataFrame:
-    """Clips of 64 x 48 frames made by rule from parts: gradients that move, pause and cut; one clip per brand."""
-    parts = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", "p_size")
-    index = F.row_number().over(Window.partitionBy("video_id").orderBy("p_partkey")) - 1
-    rows = parts.withColumn("frame_idx", index.cast("long"))
+
+def _pixel_sql(x: str, y: str) -> tuple[str, str, str]:
+    r = f"((({x}) * 3 + ({y}) * 2 + v * 5) % 256)"
+    return r, f"((({x}) * w + ({y}) * 7 + v) % 256)", f"((255 - {r} + ({x}) * ({y})) % 256)"
+
+
+def part_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of WIDE x HIGH pixels whose samples are made from the values of parts."""
+    from cinetide.schemas import FRAMES
+
+    by = Window.partitionBy("video_id").orderBy("p_partkey")
+    price = F.floor("p_retailprice") % 64
+    rows = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", F.col("p_size").cast("long").alias("v"), price.cast("long").alias("w"))
+    rows = rows.withColumn("frame_idx", (F.row_number().over(by) - 1).cast("long"))
+    pair = lambda c: F.when(F.col("frame_idx") % 2 == 1, F.lag(c).over(by)).otherwise(F.col(c)).alias(c)
+    rows = rows.select("video_id", "frame_idx", pair("v"), pair("w"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        y, x = np.mgrid[0:48, 0:64]
+        y, x = np.mgrid[0:HIGH, 0:WIDE]
         for batch in batches:
-            datas = []
-            for i in batch.column("frame_idx").to_pylist():
-                step, scene = i // 2, i // 8  # every second frame repeats the one before, every eighth cuts
-                base = (x * 3 + y * 2 + step * 5 + scene * 90) % 256
-                datas.append(np.stack([base, (base * 2) % 256, 255 - base], axis=-1).astype(np.uint8).tobytes())
+            v, w = (batch.column(c).to_numpy()[:, None, None] for c in ("v", "w"))
+            r = (x * 3 + y * 2 + v * 5) % 256
+            px = np.stack([r, (x * w + y * 7 + v) % 256, (255 - r + x * y) % 256], axis=-1).astype(np.uint8)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("video_id"), batch.column("frame_idx"), pa.array([i * 33_333 for i in batch.column("frame_idx").to_pylist()], pa.int64()),
-                    pa.array([64] * n, pa.int32()), pa.array([48] * n, pa.int32()), pa.array(datas, pa.binary()),
+                    batch.column("video_id"), batch.column("frame_idx"), pa.array(batch.column("frame_idx").to_numpy() * 33_333), pa.array([WIDE] * n, pa.int32()),
+                    pa.array([HIGH] * n, pa.int32()), pa.array([p.tobytes() for p in px], pa.binary()),
                 ],
                 ["video_id", "frame_idx", "pts_us", "width", "height", "px"],
             )
 
-    from cinetide.schemas import FRAMES
-
     return rows.mapInArrow(run, FRAMES)
 
 
-@query()
+_R, _G, _B = _pixel_sql("x", "cast(floor(i * 0.75) as bigint)")
+
+
+@query(f"""
+with {_FRAMES_OF}, cells as (select video_id, frame_idx, x, i, cast((2 * {_R} + 5 * {_G} + {_B}) >> 3 as double) as luma from f, range(32) as a(x), range(32) as c(i)),
+steps as (select video_id, frame_idx, abs(luma - lag(luma) over (partition by video_id, x, i order by frame_idx)) as step from cells),
+d as (select video_id, frame_idx, coalesce(avg(step), 255.0) as diff from steps group by 1, 2),
+g as (select *, diff <> 255.0 and diff < 0.05 as is_dup, diff = 255.0 or diff > 40.0 as is_cut from d)
+select video_id, frame_idx, round(diff, 4) as diff, is_dup, is_cut, last_value(case when not is_dup then frame_idx end ignore nulls) over w as root, cast(sum(case when is_cut then 1 else 0 end) over w as bigint) as segment
+from g window w as (partition by video_id order by frame_idx rows unbounded preceding)""")
 def frame_analysis(spark, sf):
-    """F1, F2, G1-G3 on pixels."""
-    return frames.analysed(made_clips(spark, sf)).select("video_id", "frame_idx", F.round("diff", 4).alias("diff"), "is_dup", "is_cut", "root", "segment")
+    """F1, F2, D7, D8, G1-G3 on pixels."""
+    return frames.analysed(part_clips(spark, sf)).select("video_id", "frame_idx", F.round("diff", 4).alias("diff"), "is_dup", "is_cut", "root", F.col("segment").cast("long").alias("segment"))
 
 
-@query()
+def _luma_sql(x: str, y: str) -> str:
+    r, g, b = _pixel_sql(x, y)
+    return f"(299 * {r} + 587 * {g} + 114 * {b}) / 1000.0::double"
+
+
+_UNIT = "greatest(least({}, 1.0::double), 0.0::double)"
+_R, _G, _B = _pixel_sql("x", "y")
+_CONTENT_SQL = f"""
+{_FRAMES_OF}, px as (select video_id, frame_idx, x, y, v, w, {_R} as r, {_G} as g, {_B} as b, {_luma_sql("x", "y")} as luma from f, range({WIDE}) as a(x), range({HIGH}) as c(y)),
+plain as (select video_id, frame_idx, 1 - {_UNIT.format("avg(luma) / 255")} as darkness,
+  avg(case when greatest(r, g, b) = 0 then 0.0::double else (greatest(r, g, b) - least(r, g, b))::double / greatest(r, g, b) end) as saturation from px group by 1, 2),
+bins as (select video_id, frame_idx, ((r >> 5) << 6) | ((g >> 5) << 3) | (b >> 5) as bin, count(*) as n from px group by 1, 2, 3),
+cover as (select video_id, frame_idx, sum(n) over o as cover, row_number() over o as k from bins window o as (partition by video_id, frame_idx order by n desc, bin rows unbounded preceding)),
+spread as (select video_id, frame_idx, min(k) / 512.0::double as diversity from cover where cover >= 0.99 * {WIDE * HIGH} group by 1, 2),
+steps as (select video_id, frame_idx, x, y, abs({_luma_sql("x + 1", "y")} - {_luma_sql("x - 1", "y")}) as gx, abs({_luma_sql("x", "y + 1")} - {_luma_sql("x", "y - 1")}) as gy
+  from px where x between 1 and {WIDE - 2} and y between 1 and {HIGH - 2}),
+sums as (select video_id, frame_idx, count(*) as n, count(*) filter (gx + gy > 6) as soft, count(*) filter (gx + gy > 60) as strong, avg(gx + gy) as mean,
+  (sum(case when x % 8 = 0 then gx else 0 end) + sum(case when y % 8 = 0 then gy else 0 end)) / (count(*) filter (x % 8 = 0) + count(*) filter (y % 8 = 0)) as edge,
+  (sum(case when x % 8 <> 0 then gx else 0 end) + sum(case when y % 8 <> 0 then gy else 0 end)) / (count(*) filter (x % 8 <> 0) + count(*) filter (y % 8 <> 0)) as inside from steps group by 1, 2),
+scores as (select video_id, frame_idx, darkness, saturation,
+  0.4::double * {_UNIT.format("1 - 4 * diversity")} + 0.3::double * {_UNIT.format("1 - 6 * soft::double / n")} + 0.3::double * {_UNIT.format("case when soft = 0 then 0 else 3 * strong::double / soft end")} as anime,
+  greatest({_UNIT.format("(edge / (inside + 0.5) - 1.05::double) * 2.5::double")}, 0.7::double * {_UNIT.format("(mean - 14) / 20")}) as blockiness
+  from plain join spread using (video_id, frame_idx) join sums using (video_id, frame_idx))"""
+
+
+@query(f"with {_CONTENT_SQL} select video_id, frame_idx, round(anime, 6) as anime, round(blockiness, 6) as blockiness, round(darkness, 6) as darkness, round(saturation, 6) as saturation from scores")
+def frame_scores(spark, sf):
+    """F3-F9 of each frame's pixels: the kernel itself."""
+    return frames.content_scores(part_clips(spark, sf)).select("video_id", "frame_idx", *(F.round(c, 6).alias(c) for c in ("anime", "blockiness", "darkness", "saturation")))
+
+
+@query(f"""
+with {_CONTENT_SQL}, m as (select video_id, avg(anime) as anime, avg(blockiness) as blockiness, avg(darkness) as darkness, avg(saturation) as saturation from scores group by 1)
+select video_id, case when anime > 0.6 then 'ANIME' when blockiness > 0.55 then 'GENERAL_DENOISE' else 'NATURAL' end as recommended, darkness > 0.55 or saturation < 0.18 as color_fix,
+  round(anime, 6) as anime, round(blockiness, 6) as blockiness, round(darkness, 6) as darkness, round(saturation, 6) as saturation from m""")
 def frame_content(spark, sf):
     """F3-F10 on pixels."""
-    scores = frames.content_scores(made_clips(spark, sf))
+    scores = frames.content_scores(part_clips(spark, sf))
     return frames.classified(scores, scores).select("video_id", "recommended", "color_fix", *(F.round(c, 6).alias(c) for c in ("anime", "blockiness", "darkness", "saturation")))
 
 
 @query()
 def upscale_smoke(spark, sf):
     """J1-J5, K1-K3, E1, G4 on pixels: digests of the finished frames."""
-    clips = made_clips(spark, sf)
+    clips = part_clips(spark, sf)
     out = tiles.processed(clips, frames.analysed(clips), tile=48)
     return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))
