@@ -298,3 +298,23 @@ def settings(json) -> Column:
     raw = F.from_json(_col(json), SETTINGS)
     decoded = [enum(raw[k], k).alias(k) for k in DEFAULTS]
     return F.struct(*decoded, *(F.coalesce(raw[k], F.lit(v)).alias(k) for k, v in SETTING_DEFAULTS.items()))
+
+
+def settings_json(value) -> Column:
+    """Settings as the JSON text that settings() reads."""
+    return F.to_json(_col(value))
+
+
+def preview_us(start_ms, duration_ms) -> Column:
+    """A5: the time of a preview: three seconds after the trim's start, within the clip."""
+    return F.least(_col(start_ms) + F.least(_col(duration_ms), F.lit(3000)), _col(duration_ms) - 1) * 1000
+
+
+def thumbnail_us(duration_ms) -> Column:
+    """A5: the time of a thumbnail."""
+    return F.least(_col(duration_ms), F.lit(2000)) * 1000
+
+
+def trimmed_ms(pos, duration_ms, start_ms, end_ms) -> Column:
+    """what of a clip is processed: the trim holds for the first of a selection only."""
+    return F.when((_col(pos) == 0) & (_col(end_ms) > _col(start_ms)), _col(end_ms) - _col(start_ms)).otherwise(_col(duration_ms))

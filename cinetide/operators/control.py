@@ -63,6 +63,12 @@ def parsed_backends(configs: DataFrame, static: str, dynamic: str | None = None)
     )
 
 
+def zipped(lists: DataFrame, left: str, right: str) -> DataFrame:
+    """The entries of two arrays that have the same place, with their place; what one lacks is null."""
+    rest = [c for c in lists.columns if c not in (left, right)]
+    return lists.select(*rest, F.posexplode(F.arrays_zip(left, right)).alias("pos", "_pair")).select(*rest, "pos", F.col(f"_pair.{left}").alias(left), F.col(f"_pair.{right}").alias(right))
+
+
 def ranked(backends: DataFrame, keys: Sequence[str] = (), queue: str = "queue", up: str = "up", pos: str = "pos") -> DataFrame:
     """Those that are up, by queue in threes, then by place in the list."""
     by = Window.partitionBy(*keys).orderBy(F.floor(F.coalesce(F.col(queue), F.lit(0)) / 3), F.col(pos))
@@ -94,6 +100,13 @@ def failover(attempts: DataFrame, key: str = "request_id", result: str = "result
     )
 
 
+def with_fallback(jobs: DataFrame, attempts: DataFrame, key: str = "job_id", tries: int = 2) -> DataFrame:
+    """Where each job runs in the end: a cloud job (but a fast one) stays there if one of its first tries succeeded, else it goes on as a hybrid one."""
+    done = attempts.where(F.col("ok") & (F.col("rank") <= tries)).select(key).distinct().withColumn("_done", F.lit(True))
+    runs = F.when(F.col("compute") != "CLOUD", F.col("compute")).when((F.col("preset") != "FAST") & F.col("_done").isNotNull(), "CLOUD").otherwise("HYBRID")
+    return jobs.join(done, key, "left").withColumn("runs", runs).drop("_done")
+
+
 def kicked(sessions: DataFrame, kick_before: Column | int) -> DataFrame:
     """Sessions that must exit."""
     return sessions.where(F.col("session_start") < kick_before)
@@ -142,6 +155,22 @@ def queue_state(events: DataFrame) -> DataFrame:
     return rows.where(~gone).select("job_id", F.when(stopped_at.isNotNull(), "CANCELLED").otherwise(F.col("status")).alias("status"))
 
 
+def paused(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Whether each queue stands still: the last command said so; a job's start or end takes it back."""
+    last = events.where(F.col("action").isin("PAUSE", "RESUME", "START", "DONE", "FAIL", "CANCEL", "CANCEL_ALL"))
+    return last.groupBy(*keys).agg((F.max_by("action", "seq") == "PAUSE").alias("paused"))
+
+
+def with_status(state: DataFrame, *status: str) -> DataFrame:
+    """D6."""
+    return state.where(F.col("status").isin(*status))
+
+
+def finished_cleared(state: DataFrame) -> DataFrame:
+    """L2: what stays when finished jobs are cleared."""
+    return with_status(state, "WAITING", "RUNNING")
+
+
 def queue_counts(state: DataFrame) -> DataFrame:
     """F12."""
     return state.groupBy("status").agg(F.count("*").alias("n"))
@@ -163,6 +192,17 @@ def history_json(history: DataFrame) -> DataFrame:
     return rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("ts_ms")).alias("k"), *history.columns)))).alias("json"))
 
 
+def after_clear(history: DataFrame, clears: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """The entries of each key newer than its last clear."""
+    last = clears.groupBy(*keys).agg(F.max(at).alias("_cleared"))
+    return history.join(last, list(keys), "left").where(F.col("_cleared").isNull() | (F.col(at) > F.col("_cleared"))).drop("_cleared")
+
+
+def without_stale(history: DataFrame, there: DataFrame, key: str = "uri") -> DataFrame:
+    """The entries whose file is still there."""
+    return history.join(there.select(key).distinct(), key, "left_semi")
+
+
 def history_rows(text: Column, schema: str) -> Column:
     """Entries of a JSON text; null or bad text gives none."""
     return F.coalesce(F.from_json(text, f"array<struct<{schema}>>"), F.array())
@@ -173,6 +213,11 @@ def added_sources(sources: DataFrame, fresh: DataFrame, key: str = "uri") -> Dat
     return sources.unionByName(fresh.dropDuplicates([key]).join(sources.select(key), key, "left_anti").select(sources.columns))
 
 
+def picked_sources(sources: DataFrame, picked: DataFrame, order: Sequence[Column | str], failed: DataFrame, key: str = "uri", most: int = PICKED) -> DataFrame:
+    """The first `most` of what was picked is appended, once; whatever failed its probe is taken out again."""
+    return added_sources(sources, picked.orderBy(*order).limit(most), key).join(failed.select(key), key, "left_anti")
+
+
 def upserted(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Rows with the updates' values where these are not null."""
     renamed = updates.select(key, *(F.col(c).alias(f"_{c}") for c in updates.columns if c != key))
@@ -188,6 +233,20 @@ def applied_analysis(settings: DataFrame, analysis: DataFrame, key: str = "video
     return rows.withColumns({"model": model, "color": colour}).select(settings.columns)
 
 
+def edited_settings(settings: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Settings (key, model, gpu, auto_model) after edits (key, model, gpu, deleted).
+
+    A model picked by hand turns the automatic choice off; deleting the active model resets it; preview_stale
+    says whether a preview made before no longer holds.
+    """
+    renamed = edits.select(key, F.col("model").alias("_model"), F.col("gpu").alias("_gpu"), F.col("deleted").alias("_deleted"))
+    rows = settings.join(renamed, key, "left").withColumn("_before", F.struct("model", "gpu"))
+    picked = F.coalesce("_model", "model")
+    rows = rows.withColumns({"model": F.when(picked == F.col("_deleted"), "NATURAL").otherwise(picked), "gpu": F.coalesce("_gpu", "gpu"), "auto_model": F.col("auto_model") & F.col("_model").isNull()})
+    rows = rows.withColumn("preview_stale", preview_stale(F.col("_before"), F.struct("model", "gpu")))
+    return rows.drop("_model", "_gpu", "_deleted", "_before")
+
+
 def preview_stale(before: Column, after: Column) -> Column:
     """A change of model or device invalidates a preview."""
     return ~(before["model"].eqNullSafe(after["model"]) & before["gpu"].eqNullSafe(after["gpu"]))
@@ -227,6 +286,11 @@ def interleaved(video: DataFrame, audio: DataFrame, shortest: bool = False) -> D
     return rows.orderBy("video_id", "pts_us", "track")
 
 
+def mapped_tracks(packets: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Packets of the tracks that are taken over, with their number in the output; others fall out."""
+    return packets.join(tracks.select("video_id", "track", "out_index"), ["video_id", "track"])
+
+
 def round_robin(df: DataFrame, order: str, devices: int) -> DataFrame:
     """The stride that a row belongs to."""
     return df.withColumn("device", F.pmod(F.col(order), F.lit(devices)).cast("int"))

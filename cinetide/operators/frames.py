@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinetide.functions import pixels
+from cinetide.functions import scalars as S
 
 DUPLICATE, CUT, FIRST = 0.05, 40.0, 255.0
 
@@ -105,16 +106,40 @@ def classified(scores: DataFrame, videos: DataFrame, keys: Sequence[str] = ("vid
     )
 
 
-def sample_points(frames: DataFrame, videos: DataFrame, shares: Sequence[float] = (0.15, 0.5, 0.85)) -> DataFrame:
-    """A4: the key frame closest to each share of the duration; ties go to the earlier one.
+def closest(frames: DataFrame, points: DataFrame, keyed: bool = True) -> DataFrame:
+    """A4, A5: for each point (video_id, name, t) the frame closest to its time; ties go to the earlier one.
 
+    keyed: key frames only, if the frames say which these are; raw video has none that are not.
     Aggregated map-side: a video's frames never meet in one place.
     """
-    points = videos.select("video_id", F.explode(F.array(*(F.lit(s) for s in shares))).alias("share"), "duration_ms")
-    at = points.withColumn("t", F.floor(F.col("duration_ms") * 1000 * F.col("share")).cast("long")).select("video_id", "share", "t")
-    keyed = frames.where("is_key").select("video_id", "frame_idx", "pts_us").join(at, "video_id")
+    rows = frames.where("is_key") if keyed and "is_key" in frames.columns else frames
+    rows = rows.select("video_id", "frame_idx", "pts_us").join(points.select("video_id", "name", "t"), "video_id")
     best = F.min(F.struct(F.abs(F.col("pts_us") - F.col("t")).alias("gap"), "pts_us", "frame_idx")).alias("best")
-    return keyed.groupBy("video_id", "share").agg(best).select("video_id", "share", "best.frame_idx", "best.pts_us")
+    return rows.groupBy("video_id", "name").agg(best).select("video_id", "name", "best.frame_idx", "best.pts_us")
+
+
+def sample_points(frames: DataFrame, videos: DataFrame, shares: Sequence[float] = (0.15, 0.5, 0.85)) -> DataFrame:
+    """A4: the key frame closest to each share of the duration."""
+    points = videos.select("video_id", F.explode(F.array(*(F.lit(s) for s in shares))).alias("name"), "duration_ms")
+    points = points.withColumn("t", F.floor(F.col("duration_ms") * 1000 * F.col("name")).cast("long"))
+    return closest(frames, points).withColumnRenamed("name", "share")
+
+
+def still_points(videos: DataFrame) -> DataFrame:
+    """A5: points of each video (video_id, duration_ms, start_ms): its thumbnail, to be taken from key frames, and its preview, from any."""
+    names = F.array(F.struct(F.lit("thumbnail").alias("name"), S.thumbnail_us("duration_ms").alias("t")), F.struct(F.lit("preview").alias("name"), S.preview_us("start_ms", "duration_ms").alias("t")))
+    return videos.select("video_id", F.explode(names).alias("p")).select("video_id", "p.name", F.col("p.t").cast("long").alias("t"))
+
+
+def with_skips(df: DataFrame, keys: Sequence[str], order: str, preset: Column | str = "preset") -> DataFrame:
+    """A duplicate is skipped in the balanced preset only, and only if an earlier frame has a result to repeat."""
+    earlier = F.lag(order).over(Window.partitionBy(*keys).orderBy(order)).isNotNull()
+    return df.withColumn("skipped", ((F.col(preset) if isinstance(preset, str) else preset) == "BALANCED") & F.col("is_dup") & earlier)
+
+
+def counters(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """frames, and how many of them were skipped and inferred."""
+    return df.groupBy(*keys).agg(F.count("*").alias("processed"), F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped")).alias("inferred"))
 
 
 def reordered_prefix(df: DataFrame, keys: Sequence[str], order: str, start: int = 0) -> DataFrame:

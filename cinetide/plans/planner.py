@@ -18,6 +18,17 @@ def ms_per_tile(tile: Column, model: Column, gpu: Column, high_end: Column, meas
     return guess if measured is None else F.coalesce(measured, guess)
 
 
+def tile_milliseconds(runs: DataFrame, keys: list[str], run: str = "run", ms: str = "ms", tiles: str = "tiles", timed: int = 2) -> DataFrame:
+    """F16: the mean time of a tile: run 0 warms up, and the next `timed` runs count."""
+    rows = runs.where((F.col(run) >= 1) & (F.col(run) <= timed))
+    return rows.groupBy(*keys).agg((F.avg(ms) / F.max(tiles)).alias("ms_per_tile"))
+
+
+def with_measured(rows: DataFrame, bench: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `measured`, the benchmark's ms_per_tile for the row's model and device, null if there is none."""
+    return rows.join(bench.select(*keys, F.col("ms_per_tile").alias("measured")), keys, "left")
+
+
 def estimated_seconds(v: dict[str, Column], preset: Column, model: Column, compute: Column) -> Column:
     """L11 for columns width, height, fps, duration_ms, tile, gpu, high_end, cloud_up and measured (or none).
 
@@ -67,6 +78,6 @@ def plan(v: dict[str, Column], recommended: Column, heavy_ready: Column) -> Colu
     )
 
 
-def selection_seconds(items: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """the whole selection's time in whole seconds."""
-    return items.agg(F.floor(F.sum(seconds)).cast("long").alias("seconds"))
+def selection_seconds(items: DataFrame, keys: list[str], seconds: str = "seconds") -> DataFrame:
+    """the time of each selection in whole seconds; the items' durations are those of scalars.trimmed_ms()."""
+    return items.groupBy(*keys).agg(F.floor(F.round(F.sum(seconds), 3)).cast("long").alias("seconds"))  # sums in another order agree

@@ -209,21 +209,17 @@ def block_boundary(spark, sf):
     )
 
 
-_SCORES = "(p_partkey % 10) / 10.0::double as anime, (p_size % 7) / 7.0::double as blockiness, (p_size % 5) / 5.0::double as darkness, (p_partkey % 3) / 10.0::double as saturation"
+_SCORES = """(p_partkey % 10) / 10.0{d} + 0.10013{d} as anime, (p_size % 7) / 7.0{d} + 0.0337{d} as blockiness, (p_size % 5) / 5.0{d} + 0.00131{d} as darkness, (p_partkey % 3) / 10.0{d} + 0.00017{d} as saturation"""
 
 
 @query(f"""
-with s as (select p_type, p_size % 10 as part_no, {_SCORES} from part),
-m as (select p_type, part_no, round(avg(anime), 6) as a, round(avg(blockiness), 6) as b, round(avg(darkness), 6) as d, round(avg(saturation), 6) as s from s group by 1, 2)
-select p_type, cast(part_no as bigint) as part_no, case when a > 0.46 then 'ANIME' when b > 0.43 then 'GENERAL_DENOISE' else 'NATURAL' end as recommended, d > 0.55 or s < 0.18 as color_fix from m""")
+with s as (select p_type, p_size % 10 as part_no, {_SCORES.format(d="::double")} from part),
+m as (select p_type, part_no, avg(anime) as a, avg(blockiness) as b, avg(darkness) as d, avg(saturation) as s from s group by 1, 2)
+select p_type, cast(part_no as bigint) as part_no, case when a > 0.6 then 'ANIME' when b > 0.55 then 'GENERAL_DENOISE' else 'NATURAL' end as recommended, d > 0.55 or s < 0.18 as color_fix from m""")
 def content_class(spark, sf):
-    rows = read(spark, sf, "part").selectExpr(
-        "p_type", "cast(p_size % 10 as bigint) as part_no", "(p_partkey % 10) / 10.0D as anime", "(p_size % 7) / 7.0D as blockiness", "(p_size % 5) / 5.0D as darkness", "(p_partkey % 3) / 10.0D as saturation"
-    )
-    out = frames.classified(rows, rows, ("p_type", "part_no"))
-    mean = lambda c: F.round(c, 6)
-    model = F.when(mean("anime") > 0.46, "ANIME").when(mean("blockiness") > 0.43, "GENERAL_DENOISE").otherwise("NATURAL")  # cuts between this table's means
-    return out.select("p_type", "part_no", model.alias("recommended"), "color_fix")
+    """F10; scores are moved a little, so that no mean lies on a limit."""
+    rows = read(spark, sf, "part").selectExpr("p_type", "cast(p_size % 10 as bigint) as part_no", *_SCORES.format(d="D").split(", "))
+    return frames.classified(rows, rows, ("p_type", "part_no")).select("p_type", "part_no", "recommended", "color_fix")
 
 
 # ---- geometry and plans ----
@@ -561,11 +557,30 @@ def settings_decode(spark, sf):
     return rows.select("c_custkey", "s.model", "s.preset", "s.natural", "s.gpu")
 
 
-@query("select s_suppkey, round(avg(ms), 6) as ms from (select l_suppkey as s_suppkey, l_quantity / 4.0::double as ms from lineitem where l_linenumber > 1) group by 1")
+_BENCH = "select l_suppkey as s_suppkey, avg(l_quantity) / max(9) as ms_per_tile from lineitem where l_linenumber in (2, 3) group by 1"
+
+
+@query(f"select s_suppkey, round(ms_per_tile, 6) as ms from ({_BENCH})")
 def tile_benchmark(spark, sf):
-    """F16: mean of the timed runs after the warm-up, by tiles."""
-    rows = read(spark, sf, "lineitem").where("l_linenumber > 1").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_quantity") / 4.0).alias("ms"))
-    return rows.groupBy("s_suppkey").agg(F.round(F.avg("ms"), 6).alias("ms"))
+    """F16: mean of two timed runs after the warm-up, by tiles."""
+    return _bench(spark, sf).select("s_suppkey", F.round("ms_per_tile", 6).alias("ms"))
+
+
+def _bench(spark, sf):
+    runs = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_linenumber") - 1).alias("run"), F.col("l_quantity").alias("ms"), F.lit(9).alias("tiles"))
+    return planner.tile_milliseconds(runs, ["s_suppkey"])
+
+
+@query(f"""
+with b as (select s_suppkey, ms_per_tile from ({_BENCH}) where s_suppkey % 2 = 0)
+select p_partkey, round(coalesce(ms_per_tile, 45.0::double * (160 * 160) / (128.0::double * 128.0::double) * case when p_partkey % 2 = 0 then 1.0::double else 4.0::double end * 1.6::double), 6) as ms
+from part left join b on s_suppkey = p_partkey % 100 + 1""")
+def measured_tiles(spark, sf):
+    """The benchmark's time where there is one, else the guess."""
+    rows = read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 100 + 1).alias("s_suppkey"), (F.col("p_partkey") % 2 == 0).alias("gpu"))
+    rows = planner.with_measured(rows, _bench(spark, sf).where("s_suppkey % 2 = 0"), ["s_suppkey"])
+    ms = planner.ms_per_tile(F.lit(160), F.lit("NATURAL"), F.col("gpu"), F.lit(False), F.col("measured"))
+    return rows.select("p_partkey", F.round(ms, 6).alias("ms"))
 
 
 # ---- more of the inventory ----
@@ -717,12 +732,150 @@ def registration_forced(spark, sf):
 
 
 @query(f"""
-with s as (select p_partkey, {_cost_sql('preset', 'model', 'compute')} as seconds, width from ({_CLIP})) select width::bigint as width, cast(floor(round(sum(seconds), 3)) as bigint) as seconds from s group by 1""")
+with n as (select *, row_number() over (partition by width order by p_partkey) - 1 as pos from ({_CLIP})),
+c as (select * exclude (duration_ms), case when pos = 0 then 61000 - 1500 else duration_ms end as duration_ms from n), s as (select {_cost_sql('preset', 'model', 'compute')} as seconds, width from c)
+select width::bigint as width, cast(floor(round(sum(seconds), 3)) as bigint) as seconds from s group by 1""")
 def selection_time(spark, sf):
-    """the estimated time of each selection (clips of one width), in whole seconds."""
+    """the estimated time of each selection (clips of one width), of whose first clip a part is taken."""
+    place = F.row_number().over(Window.partitionBy("width").orderBy("p_partkey")) - 1
+    rows = _clips(spark, sf).withColumn("pos", place).withColumn("duration_ms", S.trimmed_ms("pos", "duration_ms", F.lit(1500), F.lit(61000)))
     seconds = planner.estimated_seconds(_columns(), F.col("preset"), F.col("model"), F.col("compute"))
-    rows = _clips(spark, sf).select(F.col("width").cast("long").alias("width"), seconds.alias("seconds"))
-    return rows.groupBy("width").agg(F.floor(F.round(F.sum("seconds"), 3)).cast("long").alias("seconds"))
+    return planner.selection_seconds(rows.select(F.col("width").cast("long").alias("width"), seconds.alias("seconds")), ["width"])
+
+
+@query("""
+with e as (select user_id, event_id, event_id % 3 = 0 as is_key, cast(epoch_us(ts) as bigint) as us from events),
+s as (select user_id, event_id, is_key, us - min(us) over (partition by user_id) as pts from e),
+d as (select user_id, max(pts) // 1000 as ms, user_id % 7 * 100000 as start from s group by 1),
+p as (select user_id, 'thumbnail' as name, least(ms, 2000) * 1000 as t from d union all select user_id, 'preview', least(start + least(ms, 3000), ms - 1) * 1000 from d),
+c as (select p.user_id, name, pts, event_id, row_number() over (partition by p.user_id, name order by abs(pts - t), pts, event_id) as n from p join s on s.user_id = p.user_id and (is_key or name = 'preview'))
+select user_id, name, event_id, pts as pts_us from c where n = 1""")
+def still_frames(spark, sf):
+    """A5: the frames of thumbnails (key frames) and of previews (any)."""
+    rows = read(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 3 == 0).alias("is_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = rows.groupBy("user_id").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    clips = first.select(F.col("user_id").alias("video_id"), F.floor((F.col("last") - F.col("first")) / 1000).alias("duration_ms"), (F.col("user_id") % 7 * 100_000).alias("start_ms"))
+    shown = rows.join(first, "user_id").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_idx"), (F.col("us") - F.col("first")).alias("pts_us"), "is_key")
+    points = frames.still_points(clips)
+    out = frames.closest(shown, points.where("name = 'thumbnail'")).union(frames.closest(shown, points.where("name = 'preview'"), keyed=False))
+    return out.select(F.col("video_id").alias("user_id"), "name", F.col("frame_idx").alias("event_id"), "pts_us")
+
+
+@query("""
+select c_custkey, '{"model":"' || case when c_custkey % 3 = 0 then 'ANIME' else 'NATURAL' end || '","target":"AUTO","preset":"BALANCED","color":"OFF","compute":"DEVICE","natural":' || (c_custkey % 10 / 10.0::double)::varchar
+  || ',"sharpen":0.3,"anti_flicker":true,"hevc":true,"gpu":true,"max_mode":true}' as json from customer""")
+def settings_write(spark, sf):
+    """B9."""
+    model = F.when(F.col("c_custkey") % 3 == 0, '"ANIME"').otherwise('"none such"')
+    text = F.concat(F.lit('{"model": '), model, F.lit(', "natural": '), (F.col("c_custkey") % 10 / F.lit(10.0)).cast("string"), F.lit("}"))
+    return read(spark, sf, "customer").select("c_custkey", S.settings_json(S.settings(text)).alias("json"))
+
+
+@query("""
+with c as (select o_custkey, max(o_orderdate) as cleared from orders where o_orderkey % 9 = 0 group by 1)
+select o_orderkey, o_custkey from orders left join c using (o_custkey) where (cleared is null or o_orderdate > cleared) and o_orderpriority <> '5-LOW'""")
+def history_cleared(spark, sf):
+    """Entries after a customer's last clear whose file (order priority) is still there."""
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    left = control.after_clear(rows, rows.where("o_orderkey % 9 = 0"), ["o_custkey"], "o_orderdate")
+    return control.without_stale(left, rows.where("o_orderpriority <> '5-LOW'").select("o_orderpriority"), "o_orderpriority").select("o_orderkey", "o_custkey")
+
+
+@query("""
+with h as (select s_nationkey as n, list(s_name order by s_suppkey) as hosts, list(s_acctbal > 0 order by s_suppkey) as up from supplier group by 1),
+z as (select n, unnest(hosts) as host, unnest(up) as up, generate_subscripts(hosts, 1) - 1 as pos from h)
+select n, pos, host, row_number() over (partition by n order by pos // 3, pos) as rank from z where up""")
+def backends_with_probes(spark, sf):
+    """Lists of backends and of their probes by place, then the ranking."""
+    lists = read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name", (F.col("s_acctbal") > 0).alias("up")))).alias("a"))
+    rows = control.zipped(lists.select("n", F.col("a.s_name").alias("host"), F.col("a.up").alias("up")), "host", "up")
+    out = control.ranked(rows.withColumn("queue", F.col("pos")), ["n"])
+    return out.select("n", F.col("pos").cast("long").alias("pos"), "host", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+with p as (select c_custkey, c_name from (select * from customer where c_acctbal > 0 order by c_acctbal desc, c_custkey limit 20)), s as (select c_custkey, c_name from customer where c_nationkey < 3)
+select * from (select * from s union all select * from p where c_custkey not in (select c_custkey from s)) where c_custkey % 5 <> 0""")
+def picked_sources(spark, sf):
+    """Twenty picked at most; those whose probe failed are out."""
+    rows = read(spark, sf, "customer")
+    own, picked = (rows.where(c).select("c_custkey", "c_name", "c_acctbal") for c in ("c_nationkey < 3", "c_acctbal > 0"))
+    return control.picked_sources(own, picked, [F.desc("c_acctbal"), F.col("c_custkey")], rows.where("c_custkey % 5 = 0"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""
+with m as (select c_custkey, case when c_custkey % 4 = 0 then 'ANIME' else 'GENERAL' end as model, c_custkey % 2 = 0 as gpu, case when c_custkey % 3 = 0 then 'ULTRA_PLUS' end as pick, case when c_custkey % 5 = 0 then false end as device,
+  case when c_custkey % 7 < 3 then 'ANIME' when c_custkey % 7 = 3 then 'ULTRA_PLUS' end as gone from customer),
+n as (select *, coalesce(pick, model) as chosen from m), r as (select *, case when chosen = gone then 'NATURAL' else chosen end as now from n)
+select c_custkey, now as model, coalesce(device, gpu) as gpu, pick is null as auto_model, now <> model or coalesce(device, gpu) <> gpu as preview_stale from r""")
+def settings_edits(spark, sf):
+    """L17."""
+    key = F.col("c_custkey")
+    rows = read(spark, sf, "customer").select("c_custkey", F.when(key % 4 == 0, "ANIME").otherwise("GENERAL").alias("model"), (key % 2 == 0).alias("gpu"), F.lit(True).alias("auto_model"))
+    gone = F.when(key % 7 < 3, "ANIME").when(key % 7 == 3, "ULTRA_PLUS")
+    edits = rows.select("c_custkey", F.when(key % 3 == 0, "ULTRA_PLUS").alias("model"), F.when(key % 5 == 0, F.lit(False)).alias("gpu"), gone.alias("deleted"))
+    return control.edited_settings(rows, edits, "c_custkey")
+
+
+@query("""
+with d as (select distinct l_orderkey from lineitem where l_returnflag = 'R' and l_linenumber <= 2),
+j as (select o_orderkey, (['DEVICE', 'HYBRID', 'CLOUD'])[o_orderkey % 3 + 1] as compute, case when o_orderkey % 5 = 0 then 'FAST' else 'HIGH' end as preset from orders)
+select o_orderkey, case when compute <> 'CLOUD' then compute when preset <> 'FAST' and l_orderkey is not null then 'CLOUD' else 'HYBRID' end as runs from j left join d on l_orderkey = o_orderkey""")
+def cloud_fallback(spark, sf):
+    """L8."""
+    compute = F.get(F.array(F.lit("DEVICE"), F.lit("HYBRID"), F.lit("CLOUD")), (F.col("o_orderkey") % 3).cast("int"))
+    jobs = read(spark, sf, "orders").select("o_orderkey", compute.alias("compute"), F.when(F.col("o_orderkey") % 5 == 0, "FAST").otherwise("HIGH").alias("preset"))
+    attempts = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("rank"), (F.col("l_returnflag") == "R").alias("ok"))
+    return control.with_fallback(jobs, attempts, "o_orderkey").select("o_orderkey", "runs")
+
+
+@query("""
+select user_id, max_by(case event_type when 'view' then 'START' when 'click' then 'PAUSE' when 'purchase' then 'RESUME' when 'error' then 'PAUSE' else 'ENQUEUE' end, event_id) filter (event_type in ('view', 'click', 'purchase', 'error')) = 'PAUSE' as paused
+from events where event_type in ('view', 'click', 'purchase', 'error') group by 1""")
+def queue_paused(spark, sf):
+    """L2, L20."""
+    action = F.expr("case event_type when 'view' then 'START' when 'click' then 'PAUSE' when 'purchase' then 'RESUME' when 'error' then 'PAUSE' else 'ENQUEUE' end")
+    return control.paused(read(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), action.alias("action")), ["user_id"])
+
+
+@query(f"select job_id, status from ({_QUEUE}) where status in ('WAITING', 'RUNNING')")
+def queue_live(spark, sf):
+    """What stays when finished jobs are cleared."""
+    return control.finished_cleared(_queue(spark, sf))
+
+
+@query(f"select min(job_id) as job_id, 'WAITING' as status from ({_QUEUE}) where status = 'WAITING' having count(*) > 0")
+def queue_next(spark, sf):
+    """H4."""
+    return control.next_job(_queue(spark, sf))
+
+
+_SKIPS = _EVENT_FRAMES + """, k as (select *, (['ULTRA', 'HIGH', 'BALANCED'])[user_id % 3 + 1] = 'BALANCED' and is_dup and lag(event_id) over (partition by user_id order by event_id) is not null as skipped from r) """
+
+
+@query(_SKIPS + "select user_id, count(*) as processed, count_if(skipped)::bigint as skipped, count_if(not skipped)::bigint as inferred from k group by 1")
+def frame_counters(spark, sf):
+    """D9, F13."""
+    rows = _event_frames(spark, sf).withColumn("preset", F.get(F.array(F.lit("ULTRA"), F.lit("HIGH"), F.lit("BALANCED")), (F.col("user_id") % 3).cast("int")))
+    return frames.counters(frames.with_skips(rows, ["user_id"], "event_id"), ["user_id"])
+
+
+@query("select s_name as name, s_suppkey % 3 = 0 or (s_suppkey % 3 = 1 and s_acctbal * 1000 > 1000000) as there from supplier")
+def models_available(spark, sf):
+    """The map of what is there, taken apart again."""
+    key = F.col("s_suppkey")
+    models = read(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.when(key % 3 != 0, "https://models").alias("download_url"))
+    files = read(spark, sf, "supplier").where(key % 3 == 1).select(F.col("s_name").alias("name"), (F.col("s_acctbal") * 1000).alias("size_bytes"))
+    return control.availability(models, files).select(F.explode("available").alias("name", "there"))
+
+
+@query("""
+select l_orderkey, l_linenumber::bigint as l_linenumber, case l_returnflag when 'N' then 0 else 1 end as out_index from lineitem where l_returnflag in ('N', 'A') and l_orderkey % 4 <> 0""")
+def track_map(spark, sf):
+    """Two tracks of most videos are taken over."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_returnflag").alias("track"))
+    tracks = rows.where("video_id % 4 <> 0 and track in ('N', 'A')").select("video_id", "track").distinct().withColumn("out_index", F.when(F.col("track") == "N", 0).otherwise(1))
+    return control.mapped_tracks(rows, tracks).select(F.col("video_id").alias("l_orderkey"), "l_linenumber", "out_index")
 
 
 # ---- frames for real ----

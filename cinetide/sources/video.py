@@ -173,10 +173,22 @@ class Y4MWriter(DataSourceWriter):
         return Written(pairs)
 
     def commit(self, messages) -> None:
+        """All files or none; what is there already is not replaced."""
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        for message in messages:
-            for temporary, final in message.pairs if message else ():
+        pairs = [pair for message in messages if message for pair in message.pairs]
+        taken = [f.path for f in fs.get_file_info([final for _, final in pairs]) if f.type != pafs.FileType.NotFound] if pairs else []
+        if taken or len({final for _, final in pairs}) < len(pairs):
+            self.abort(messages)
+            raise FileExistsError(f"{len(taken)} of the videos are there already, or one comes twice")
+        moved: list[tuple[str, str]] = []
+        try:
+            for temporary, final in pairs:
                 fs.move(temporary, final)
+                moved.append((temporary, final))
+        except OSError:
+            for temporary, final in moved:
+                fs.move(final, temporary)
+            raise
 
     def abort(self, messages) -> None:
         fs, _ = pafs.FileSystem.from_uri(self.path)
