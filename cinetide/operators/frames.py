@@ -6,7 +6,7 @@ windows run over ids and small values, and pixels are joined last.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,21 @@ def shared_back(results: DataFrame, analysis: DataFrame, keys: Sequence[str] = (
     return analysis.join(roots, [*keys, "root"])
 
 
+def digests(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray] = lambda rgb: rgb) -> DataFrame:
+    """(video_id, frame_idx, digest): a sum of what the kernel makes of each frame, weighted by row, column and channel."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for px, w, h in zip(*(batch.column(c).to_pylist() for c in ("px", "width", "height")), strict=True):
+                out = np.atleast_3d(kernel(pixels.frame(px, w, h))).astype(np.int64)
+                y, x, c = np.ogrid[: out.shape[0], : out.shape[1], : out.shape[2]]
+                sums.append(int((out * (1 + (x * 7 + y * 13 + c * 29) % 101)).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(sums, pa.int64())], ["video_id", "frame_idx", "digest"])
+
+    return frames.mapInArrow(run, "video_id string, frame_idx bigint, digest bigint")
+
+
 CONTENT = "anime double, blockiness double, darkness double, saturation double"
 
 

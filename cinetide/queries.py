@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinetide.functions import pixels
 from cinetide.functions import scalars as S
 from cinetide.operators import control, folds, frames, tiles
 from cinetide.plans import planner
@@ -980,6 +981,122 @@ def frame_content(spark, sf):
     return frames.classified(scores, scores).select("video_id", "recommended", "color_fix", *(F.round(c, 6).alias(c) for c in ("anime", "blockiness", "darkness", "saturation")))
 
 
+# ---- kernels, by digests of what they make of whole frames ----
+
+_WEIGHT = "(1 + (x * 7 + y * 13 + c * 29) % 101)"
+_GRID = f"range({WIDE}) as a(x), range({HIGH}) as b(y)"
+
+
+def _luma_256_sql(x: str, y: str) -> str:
+    r, g, b = _pixel_sql(x, y)
+    return f"((77 * {r} + 150 * {g} + 29 * {b}) >> 8)"
+
+
+def _channel_sql(x: str, y: str) -> str:
+    r, g, b = _pixel_sql(x, y)
+    return f"(case c when 0 then {r} when 1 then {g} else {b} end)"
+
+
+_STEP = f"(abs({_luma_256_sql('x + 1', 'y')} - {_luma_256_sql('x - 1', 'y')}) + abs({_luma_256_sql('x', 'y + 1')} - {_luma_256_sql('x', 'y - 1')})) * 255 // 60"
+
+
+@query(f"""
+with {_FRAMES_OF}, raw as (select video_id, frame_idx, x, y, case when x between 1 and {WIDE - 2} and y between 1 and {HIGH - 2} then {_STEP} else 0 end as raw from f, {_GRID}),
+wide as (select *, sum(raw) over (partition by video_id, frame_idx, y order by x rows between 1 preceding and 1 following) as wide from raw),
+box as (select *, sum(wide) over (partition by video_id, frame_idx, x order by y rows between 1 preceding and 1 following) as box, 0 as c from wide)
+select video_id, frame_idx, cast(sum(case when x between 1 and {WIDE - 2} and y between 1 and {HIGH - 2} then least(box // 9, 255) else 0 end * {_WEIGHT}) as bigint) as digest from box group by 1, 2""")
+def pixel_edges(spark, sf):
+    """K1."""
+    return frames.digests(part_clips(spark, sf), pixels.edge_mask)
+
+
+@query(f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x, y, {_luma_256_sql("x", "y")} as p from f, {_GRID}),
+across as (select video_id, frame_idx, x, y, (sum(p) over (o rows between 8 preceding and 8 following) + greatest(8 - x, 0) * first_value(p) over (o rows unbounded preceding)
+  + greatest(x - {WIDE - 9}, 0) * last_value(p) over (o rows between unbounded preceding and unbounded following)) // 17 as p from p window o as (partition by video_id, frame_idx, y order by x)),
+down as (select video_id, frame_idx, x, y, 0 as c, (sum(p) over (o rows between 8 preceding and 8 following) + greatest(8 - y, 0) * first_value(p) over (o rows unbounded preceding)
+  + greatest(y - {HIGH - 9}, 0) * last_value(p) over (o rows between unbounded preceding and unbounded following)) // 17 as p from across window o as (partition by video_id, frame_idx, x order by y))
+select video_id, frame_idx, cast(sum(p * {_WEIGHT}) as bigint) as digest from down group by 1, 2""")
+def pixel_blur(spark, sf):
+    """K2 at scale 4."""
+    return frames.digests(part_clips(spark, sf), lambda rgb: pixels.box_blur(pixels.luma_256(rgb), 4))
+
+
+_UP = [_channel_sql(x, y) for y in ("y0", "y0 + 1") for x in ("x0", "x0 + 1")]
+
+
+@query(f"""
+with {_FRAMES_OF}, spots as (select *, greatest(x * 128 - 128, 0) as ax, greatest(y * 128 - 128, 0) as ay from f, range({2 * WIDE}) as a(x), range({2 * HIGH}) as b(y), range(3) as d(c)),
+i as (select *, least(ax >> 8, {WIDE - 2}) as x0, ax & 255 as wx, least(ay >> 8, {HIGH - 2}) as y0, ay & 255 as wy from spots)
+select video_id, frame_idx, cast(sum(((({_UP[0]} * (256 - wx) + {_UP[1]} * wx) * (256 - wy) + ({_UP[2]} * (256 - wx) + {_UP[3]} * wx) * wy) >> 14) * {_WEIGHT}) as bigint) as digest from i group by 1, 2""")
+def pixel_upsampled(spark, sf):
+    """C12 at scale 2."""
+    return frames.digests(part_clips(spark, sf), lambda rgb: pixels.upsample_x4(rgb, 2))
+
+
+@query(f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x, y, c, 1192 * greatest({_pixel_sql("x", "y")[0]} - 16, 0) as base, {_pixel_sql("(x // 2 * 2)", "(y // 2 * 2)")[1]} - 128 as cb, {_pixel_sql("(x // 2 * 2)", "(y // 2 * 2)")[2]} - 128 as cr
+  from f, {_GRID}, range(3) as d(c))
+select video_id, frame_idx, cast(sum(least(greatest(case c when 0 then base + 1634 * cr when 1 then base - 833 * cr - 400 * cb else base + 2066 * cb end >> 10, 0), 255) * {_WEIGHT}) as bigint) as digest from p group by 1, 2""")
+def pixel_yuv(spark, sf):
+    """C1, with the frame's channels as planes."""
+    return frames.digests(part_clips(spark, sf), lambda rgb: pixels.yuv420_to_rgb(rgb[..., 0], rgb[::2, ::2, 1], rgb[::2, ::2, 2]))
+
+
+_RS, _GS, _BS = _pixel_sql("x", "y")
+_U = f"128 + (-37.797::double * {_RS} - 74.203::double * {_GS} + 112.0::double * {_BS}) / 255"
+_V = f"128 + (112.0::double * {_RS} - 93.786::double * {_GS} - 18.214::double * {_BS}) / 255"
+_BYTE = "least(greatest(round_even({}, 0), 0), 255)"
+
+
+@query(f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x, y, 16 + (65.481::double * {_RS} + 128.553::double * {_GS} + 24.966::double * {_BS}) / 255 as luma, {_U} as u, {_V} as v from f, {_GRID}),
+h as (select video_id, frame_idx, x // 2 as x, y // 2 as y, avg(u) as u, avg(v) as v from p group by all),
+b as (select video_id, frame_idx, y * {WIDE} + x as x, {_BYTE.format("luma")} as s from p union all select video_id, frame_idx, {WIDE * HIGH} + y * {WIDE // 2} + x, {_BYTE.format("u")} from h
+  union all select video_id, frame_idx, {WIDE * HIGH + WIDE * HIGH // 4} + y * {WIDE // 2} + x, {_BYTE.format("v")} from h)
+select video_id, frame_idx, cast(sum(s * (1 + x * 7 % 101)) as bigint) as digest from b group by 1, 2""")
+def pixel_i420(spark, sf):
+    """The bytes of a raw frame."""
+    import numpy as np
+
+    return frames.digests(part_clips(spark, sf), lambda rgb: np.frombuffer(pixels.rgb_to_i420(rgb), np.uint8)[None, :, None])
+
+
+_RX = [_channel_sql(x, y) for y in ("y0", "y1") for x in ("x0", "x1")]
+
+
+@query(f"""
+with {_FRAMES_OF}, spots as (select *, least(greatest((x + 0.5::double) * {WIDE} / 20 - 0.5::double, 0), {WIDE - 1}) as ax, least(greatest((y + 0.5::double) * {HIGH} / 15 - 0.5::double, 0), {HIGH - 1}) as ay
+  from f, range(20) as a(x), range(15) as b(y), range(3) as d(c)),
+i as (select *, cast(floor(ax) as bigint) as x0, least(cast(floor(ax) as bigint) + 1, {WIDE - 1}) as x1, cast(floor(ay) as bigint) as y0, least(cast(floor(ay) as bigint) + 1, {HIGH - 1}) as y1 from spots),
+s as (select *, ({_RX[0]} * (1 - (ay - y0)) + {_RX[2]} * (ay - y0)) * (1 - (ax - x0)) + ({_RX[1]} * (1 - (ay - y0)) + {_RX[3]} * (ay - y0)) * (ax - x0) as s from i)
+select video_id, frame_idx, cast(sum(least(greatest(floor(s + 0.5::double), 0), 255) * {_WEIGHT}) as bigint) as digest from s group by 1, 2""")
+def pixel_resized(spark, sf):
+    """K7 to 20 x 15."""
+    return frames.digests(part_clips(spark, sf), lambda rgb: pixels.bilinear(rgb, 20, 15))
+
+
+_R, _G, _B = _pixel_sql("x", "cast(floor(i * 0.75) as bigint)")
+_ALPHA = "case when abs(q.r - t.r) + abs(q.g - t.g) + abs(q.b - t.b) >= 24 then 0 else 128 * (24 - abs(q.r - t.r) - abs(q.g - t.g) - abs(q.b - t.b)) // 24 end"
+_BLEND = "case when q.segment <> t.segment then q.{c} else (q.{c} * (256 - " + _ALPHA + ") + t.{o} * " + _ALPHA + ") >> 8 end as {o}"
+
+
+@query(f"""
+with recursive {_FRAMES_OF}, cells as (select video_id, frame_idx, x, i, cast((2 * {_R} + 5 * {_G} + {_B}) >> 3 as double) as luma from f, range(32) as a(x), range(32) as c(i)),
+steps as (select video_id, frame_idx, abs(luma - lag(luma) over (partition by video_id, x, i order by frame_idx)) as step from cells),
+d as (select video_id, frame_idx, coalesce(avg(step), 255.0) as diff from steps group by 1, 2),
+g as (select video_id, frame_idx, sum(case when diff = 255.0 or diff > 40.0 then 1 else 0 end) over (partition by video_id order by frame_idx rows unbounded preceding) as segment from d),
+q as (select video_id, frame_idx, segment, x, y, {_RS} as r, {_GS} as g, {_BS} as b from f join g using (video_id, frame_idx), {_GRID}),
+t as (select video_id, frame_idx, segment, x, y, r, g, b, r as o0, g as o1, b as o2 from q where frame_idx = 0
+  union all select q.video_id, q.frame_idx, q.segment, q.x, q.y, q.r, q.g, q.b, {_BLEND.format(c="r", o="o0")}, {_BLEND.format(c="g", o="o1")}, {_BLEND.format(c="b", o="o2")}
+  from t join q on q.video_id = t.video_id and q.frame_idx = t.frame_idx + 1 and q.x = t.x and q.y = t.y)
+select video_id, frame_idx, cast(sum(o0 * (1 + (x * 7 + y * 13) % 101) + o1 * (1 + (x * 7 + y * 13 + 29) % 101) + o2 * (1 + (x * 7 + y * 13 + 58) % 101)) as bigint) as digest from t group by 1, 2""")
+def pixel_stabilised(spark, sf):
+    """G4, K5 on pixels: each frame's blend with what the one before became, within its scene."""
+    clips = part_clips(spark, sf)
+    return frames.digests(tiles.stabilised(clips.withColumn("source", F.col("px")), frames.analysed(clips)))
+
+
 @query()
 def upscale_smoke(spark, sf):
     """J1-J5, K1-K3, E1, G4 on pixels: digests of the finished frames."""
