@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -89,6 +89,12 @@ def arbitration() -> Step:
     return step
 
 
+def newest_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], session: str = "session_start") -> DataFrame:
+    """L4 where nothing is forced and all come by a tunnel: accepted unless an earlier one was newer; a running maximum, without a fold."""
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("accepted", F.coalesce(F.col(session) >= F.max(session).over(before), F.lit(True)))
+
+
 def throttle(gap: int) -> Step:
     """Whether a report at (time) passes: the first does, and then one in every gap."""
 

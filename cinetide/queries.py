@@ -444,11 +444,8 @@ def failover(spark, sf):
 with o as (select o_orderpriority, o_orderkey, o_custkey + 1 as mine, max(o_custkey + 1) over (partition by o_orderpriority order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding) as best from orders)
 select o_orderpriority, o_orderkey, best is null or mine >= best as accepted from o""")
 def registration(spark, sf):
-    rows = read(spark, sf, "orders").select(
-        "o_orderpriority", "o_orderdate", "o_orderkey", (F.col("o_custkey") + 1).alias("mine"), F.lit(False).alias("force"), F.lit(True).alias("is_tunnel"), F.lit(1).alias("now")
-    )
-    out = folds.folded(rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], ["mine", "force", "is_tunnel", "now"], folds.arbitration(), "accepted", "boolean")
-    return out.select("o_orderpriority", "o_orderkey", "accepted")
+    rows = read(spark, sf, "orders").select("o_orderpriority", "o_orderdate", "o_orderkey", (F.col("o_custkey") + 1).alias("session_start"))
+    return folds.newest_wins(rows, ["o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_orderpriority", "o_orderkey", "accepted")
 
 
 @query("select o_orderkey, o_custkey from orders where o_custkey < 500")

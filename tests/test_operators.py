@@ -54,6 +54,27 @@ def test_pipeline_infers_roots_only_and_shares(spark):
     assert motion.count() == 5
 
 
+def test_results_are_never_shuffled(spark):
+    source = clip(spark, [0, 0, 60])
+    plan = tiles.processed(source, frames.analysed(source), tile=48)._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "Exchange" not in physical[: physical.index("MapInArrow")]  # nothing above the kernel deals rows anew
+
+
+def test_doubling_and_the_two_blends(spark):
+    """J8's rule, and K4 through a Spark operator."""
+    source = clip(spark, [9, 200])
+    repeat = lambda p: p.repeat(4, axis=2).repeat(4, axis=3)
+    x = np.random.default_rng(1).integers(0, 256, (48, 64, 3)).astype(np.uint8)
+    assert (tiles.result_of(x, repeat, 32, natural=0.4, pre2=None) == tiles.result_of(x, repeat, 32, natural=0.4, pre2=False)).all()
+    assert (tiles.result_of(x, repeat, 32, natural=0.5, pre2=None) == tiles.result_of(x, repeat, 32, natural=0.5, pre2=True)).all()
+    assert not (tiles.result_of(x, repeat, 32, natural=0.5, pre2=True) == tiles.result_of(x, repeat, 32, natural=0.5, pre2=False)).all()
+    for blend in ("device", "backend"):
+        out = tiles.inferred(source, tile=32, natural=1.0, blend=blend).orderBy("frame_idx").collect()
+        means = [np.frombuffer(r["px"], np.uint8).mean() for r in out]
+        assert abs(means[0] - 9) < 1.5 and abs(means[1] - 200) < 1.5
+
+
 def test_two_passes_crops_and_sizes(spark):
     source = clip(spark, [7])
     assert tuple(tiles.inferred(source, tile=64, passes=2).select("width", "height").first()) == (64 * 16, 48 * 16)
@@ -244,6 +265,16 @@ def test_raw_video_round_trip(spark, tmp_path):
         video.header(b"RIFF W1 H1\n")
 
 
+def test_videos_are_written_all_or_none(spark, tmp_path):
+    path = f"file://{tmp_path}/clips"
+    video.write_video(clip(spark, [1, 2], "a"), path)
+    with pytest.raises(Exception, match="there already"):
+        video.write_video(clip(spark, [3], "b").union(clip(spark, [3], "a")), path)
+    assert os.listdir(tmp_path / "clips") == ["a.y4m"]
+    assert video.read_video(spark, path).count() == 2
+
+
+
 def test_sample_points_prefer_the_earlier(spark):
     clips = spark.createDataFrame([("v", 1)], "video_id string, duration_ms bigint")
     points = spark.createDataFrame([("v", 0, 100, True), ("v", 1, 900, True), ("v", 2, 500, False)], "video_id string, frame_idx bigint, pts_us bigint, is_key boolean")

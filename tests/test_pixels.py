@@ -159,3 +159,13 @@ def test_i420_round_trip_is_close():
     x = noise(6, 10).repeat(2, axis=0).repeat(2, axis=1)  # as coarse as the chroma planes
     assert np.abs(P.i420_to_rgb(P.rgb_to_i420(x), 20, 12).astype(int) - x).max() <= 4
     assert len(P.rgb_to_i420(noise(5, 7))) == 35 + 2 * 12
+
+
+def test_resampling_keeps_flat_areas_and_means():
+    flat = np.full((6, 9, 3), 140, np.uint8)
+    assert (P.cubic(flat, 18, 12) == 140).all() and np.allclose(P.lanczos(flat, 36, 24), 140) and (P.area_halved(flat) == 140).all()
+    x = P.bilinear(noise(6, 8), 40, 30)
+    assert np.abs(P.area_halved(P.cubic(x, 80, 60)).astype(int) - x).mean() < 4 and abs(P.lanczos(x, 160, 120).mean() - x.mean()) < 1
+    assert P.area_halved(noise(5, 7)).shape == (2, 3, 3)
+    ramp = np.repeat(np.arange(0, 200, 20, dtype=np.uint8)[None, :, None], 3, axis=2).repeat(8, axis=0)
+    assert np.abs(np.diff(P.lanczos(ramp, 40, 32)[16, 10:30, 0]) - 5).max() < 0.6  # straight lines stay straight
