@@ -56,7 +56,7 @@ from .common import table
 #: The public model, where neither a parameter nor the setting names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SETTING = "spark.cinetide.pieces.model"
-CACHE = 500_000
+CACHE = 800_000
 ARCS = 600_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -116,7 +116,9 @@ class Model:
 
 
 INFINITY = float("inf")
-Arc = tuple[int, int, float]  # where to, the piece (or -1, the character itself), the weight
+#: States of the composition are (place, last piece) as one number; piece -1 is a character without one, or the start.
+BITS = 20
+PIECE = (1 << BITS) - 1
 
 
 class CharacterMap:
@@ -150,6 +152,8 @@ class Normaliser:
 
     def __init__(self, model: Model):
         self.map, self.prefix, self.strip = CharacterMap(model.map), model.prefix, model.strip
+        #: Without a map every arc reads one character: all of them at once, by character.
+        self.single = None if model.map or model.strip else {ord(" "): SPACE}
 
     def arc(self, raw: bytes, at: int) -> tuple[int, bytes]:
         """Where the arc from a place of the input ends, and what it gives."""
@@ -162,6 +166,8 @@ class Normaliser:
 
     def output(self, text: str, whole: bool = True) -> str:
         """What N makes of the text; without `whole`, of a piece of a text, so without dummy prefix."""
+        if self.single is not None:
+            return (SPACE if self.prefix and whole and text else "") + text.translate(self.single)
         raw, at, out, spaced = text.encode(), 0, [], self.strip
         while at < len(raw):
             at, made = self.arc(raw, at)
@@ -195,9 +201,9 @@ class Lexicon:
         self.weight = [0.0] * len(model.pieces) if model.bpe else [-score for score in model.scores]
         self.rare = 0.0 if model.bpe else 10.0 - min((model.scores[i] for _, i in used), default=0.0)  # of a character without a piece
 
-    def arcs(self, text: str, at: int) -> list[Arc]:
-        """The paths from the trie's root along the text; the character itself, if it is no piece."""
-        out: list[Arc] = []
+    def arcs(self, text: str, at: int) -> list[int]:
+        """The states that the paths from the trie's root along the text lead to, nearest first; with the character itself, if it is no piece."""
+        out: list[int] = []
         end, size, state, next_, piece = at, len(text), 0, self.next, self.piece
         while end < size:
             state = next_[state].get(text[end], 0)
@@ -206,11 +212,16 @@ class Lexicon:
             end += 1
             i = piece[state]
             if i >= 0:
-                out.append((end, i, self.weight[i]))
-        if not out or out[0][0] > at + 1:
-            out.insert(0, (at + 1, -1, self.rare))
+                out.append(end << BITS | (i + 1))
+        if not out or out[0] >> BITS > at + 1:
+            out.insert(0, (at + 1) << BITS)
         return out
 
+    def weight_of(self, state: int) -> float:
+        """Weight of the arc that leads to a state."""
+        piece = (state & PIECE) - 1
+        return self.weight[piece] if piece >= 0 else self.rare
+
 
 class Pairs:
     """A: a state for each last piece, and weights of the arcs between them."""
@@ -238,7 +249,7 @@ class Pairs:
         """Weight of the arc from piece u to v; a character without a piece, and the start, merge with nothing."""
         if not self.bpe or u < 0 or v < 0:
             return 0.0
-        key = u << 20 | v
+        key = u << BITS | v
         known = self.arcs.get(key)
         if known is None:
             if len(self.arcs) >= ARCS:
@@ -260,33 +271,48 @@ class Transducer:
     def path(self, text: str) -> list[tuple[int, int]]:
         """The shortest path of normalised text: (end, piece or -1) of each arc.
 
-        A state is (place, last piece), as one number.  An arc's weight in A is asked
-        for when the search comes to it, so arcs that no light path needs are never made.
+        A state's arcs are taken one by one, lightest first, and an arc's weight in A is
+        asked for when the search comes to it, so arcs that no light path needs are never
+        looked at.
         """
-        arcs, weight, size = self.lexicon.arcs, self.pairs.weight, len(text)
+        arcs, weight, known, own = self.lexicon.arcs, self.pairs.weight, self.pairs.arcs.get, self.lexicon.weight_of
+        weighted, last = not self.model.bpe, len(text) << BITS
         reached: dict[int, int] = {}
-        todo: list[tuple[float, int, int, int, float]] = [(0.0, 0, 0, -1, 0.0)]  # weight, -place, state, the state before, the arc's weight in A or -1
-        while todo:
-            so_far, back, state, before, known = heapq.heappop(todo)
-            if state in reached:
+        todo: list[tuple] = []
+        # weight so far, state (the furthest first), the state before, its arcs that are still to come; None once A's weight is in
+        so_far, turned, before, rest = 0.0, 0, -1, None
+        while True:
+            state = -turned
+            if rest is not None:
+                if rest:
+                    to = rest.pop()
+                    base = so_far - own(state) + own(to) if weighted else so_far
+                    heapq.heappush(todo, (base, -to, before, rest))
+                u, v = (before & PIECE) - 1, (state & PIECE) - 1
+                more = known(u << BITS | v) if u >= 0 <= v else 0.0
+                if more is None:
+                    more = weight(u, v)
+                if more and more < INFINITY:
+                    heapq.heappush(todo, (so_far + more, turned, before, None))
+            else:
+                more = 0.0
+            if more or state in reached:
+                if not todo:
+                    raise AssertionError("no path")
+                so_far, turned, before, rest = heapq.heappop(todo)
                 continue
-            piece = (state & 0xFFFFF) - 1
-            if known < 0:
-                more = weight((before & 0xFFFFF) - 1, piece)
-                if more:
-                    if more < INFINITY:
-                        heapq.heappush(todo, (so_far + more, back, state, before, more))
-                    continue
             reached[state] = before
-            if back == -size:
+            if state >= last:
                 out = []
                 while before >= 0:
-                    out.append((state >> 20, (state & 0xFFFFF) - 1))
+                    out.append((state >> BITS, (state & PIECE) - 1))
                     state, before = before, reached[before]
                 return out[::-1]
-            for end, i, own in arcs(text, -back):
-                heapq.heappush(todo, (so_far + own, -end, end << 20 | (i + 1), state, -1.0))
-        raise AssertionError("no path")
+            rest = arcs(text, state >> BITS)
+            if weighted:
+                rest.sort(key=lambda to: (-own(to), to))
+            to = rest.pop()
+            so_far, turned, before, rest = heapq.heappushpop(todo, (so_far + own(to) if weighted else so_far, -to, state, rest))
 
     def segment_ids(self, text: str) -> list[int]:
         """Ids of normalised text."""

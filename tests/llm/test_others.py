@@ -127,17 +127,21 @@ def test_a_unigram_model_with_a_character_map(unigram, text):
 @pytest.mark.parametrize("text", ["internationalisation", "the weather there", "xéx"])
 def test_the_shortest_path_is_least(unigram, text):
     """The path's weight is the least over all paths of the composed machine, for both kinds of model."""
+
+    def arcs(machine, text, at):
+        return [(s >> pieces.BITS, (s & pieces.PIECE) - 1, machine.lexicon.weight_of(s)) for s in machine.lexicon.arcs(text, at)]
+
     for machine in (_machine().machine, pieces.Transducer(pieces.Model(unigram))):
         own = machine.normaliser.output(text)
 
         def weights(at, last, machine=machine, own=own):
             if at == len(own):
                 return 0.0
-            return min((machine.pairs.weight(last, p) + w + weights(end, p) for end, p, w in machine.lexicon.arcs(own, at) if machine.pairs.weight(last, p) < pieces.INFINITY), default=pieces.INFINITY)
+            return min((machine.pairs.weight(last, p) + w + weights(end, p) for end, p, w in arcs(machine, own, at) if machine.pairs.weight(last, p) < pieces.INFINITY), default=pieces.INFINITY)
 
         total, at, last = 0.0, 0, -1
         for end, piece in machine.path(own):
-            (weight,) = (w for e, p, w in machine.lexicon.arcs(own, at) if (e, p) == (end, piece))
+            (weight,) = (w for e, p, w in arcs(machine, own, at) if (e, p) == (end, piece))
             total, at, last = total + weight + machine.pairs.weight(last, piece), end, piece
         assert at == len(own) and abs(total - weights(0, -1)) < 1e-9
 
