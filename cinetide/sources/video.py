@@ -1,10 +1,11 @@
 """Raw video as a Spark data source, and readers of the small text formats.
 
-format("y4m") reads and writes YUV4MPEG2 files (4:2:0).  The reader plans ranges of
-frames from file sizes, since frames have one size; a range of time is an option
-that becomes a range of frames, so frames outside of it are never read (with
-pushed filters on pts_us and frame_idx as well).  The writer puts each task's
-frames into a file of its own and renames them on commit.
+format("y4m") reads and writes YUV4MPEG2 files (4:2:0).  The driver plans shares of
+files from their sizes alone and opens none; a share's task reads the header and, since
+frames have one size, finds its range of frames.  A range of time is an option that
+becomes a range of frames, so frames outside of it are never read (with pushed filters
+on pts_us and frame_idx as well).  The writer puts each task's frames into a file of
+its own and renames all of them on commit, or none.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from cinetide.functions import pixels
 from cinetide.schemas import FRAMES
 
 FRAMES_AT_ONCE = 32
+SHARE_BYTES = 64 << 20
 
 
 @dataclass
@@ -51,13 +53,15 @@ def header(raw: bytes) -> Header:
     return Header(int(fields[b"W"]), int(fields[b"H"]), rate, len(line) + 1)
 
 
-class FrameRange(InputPartition):
-    def __init__(self, path: str, video_id: str, head: Header, first: int, last: int, start_us: int):
-        self.path, self.video_id, self.head, self.first, self.last, self.start_us = path, video_id, head, first, last, start_us
+class FileShare(InputPartition):
+    """Part number `share` of `of` parts of a file's frames."""
+
+    def __init__(self, path: str, size: int, share: int, of: int):
+        self.path, self.size, self.share, self.of = path, size, share, of
 
 
 class Y4M(DataSource):
-    """Options: path (a file or directory), startUs, endUs, framesPerPartition."""
+    """Options: path (a file or directory), startUs, endUs, bytesPerPartition."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,7 +89,7 @@ class Y4MReader(DataSourceReader):
         self.path = options["path"]
         self.start = int(options.get("startUs", 0))
         self.end = int(options["endUs"]) if options.get("endUs") else None
-        self.per_partition = int(options.get("framesPerPartition", 256))
+        self.bytes = int(options.get("bytesPerPartition", SHARE_BYTES))
         self.bounds = {"frame_idx": [0, None], "pts_us": [0, None]}
 
     def pushFilters(self, filters) -> Iterator:  # noqa: N802
@@ -101,42 +105,42 @@ class Y4MReader(DataSourceReader):
                 self.bounds[column] = [low, high]
             yield f  # Spark still applies it to what is read
 
-    def partitions(self) -> list[FrameRange]:
-        fs, files = _files(self.path)
-        out = []
-        for info in files:
-            with fs.open_input_stream(info.path) as source:
-                head = header(source.read(256))
-            total = (info.size - head.size) // head.frame_bytes
-            per_second = head.rate[0] / head.rate[1]
-            first = next(i for i in range(max(0, int(self.start * per_second / 1e6) - 1), total + 2) if head.pts(i) >= self.start or i > total)
-            last = total if self.end is None else min(total, int(self.end * per_second / 1e6) + 1)
-            while last > first and self.end is not None and head.pts(last - 1) > self.end:
-                last -= 1
-            low, high = first, last
-            idx, pts = self.bounds["frame_idx"], self.bounds["pts_us"]
-            low = max(low, first + idx[0], first + int(pts[0] * per_second / 1e6) - 1)
-            high = high if idx[1] is None else min(high, first + idx[1] + 1)
-            high = high if pts[1] is None else min(high, first + int(pts[1] * per_second / 1e6) + 2)
-            video = info.path.rsplit("/", 1)[-1].removesuffix(".y4m")
-            out += [FrameRange(info.path, video, head, a, min(a + self.per_partition, high), first) for a in range(low, high, self.per_partition)]
-        return out or [FrameRange("", "", Header(0, 0, (1, 1), 0), 0, 0, 0)]
-
-    def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
-        if partition.first >= partition.last:
+    def partitions(self) -> list[FileShare]:
+        _, files = _files(self.path)
+        parts = [(info, max(1, -(-info.size // self.bytes))) for info in files]
+        return [FileShare(info.path, info.size, k, of) for info, of in parts for k in range(of)] or [FileShare("", 0, 0, 1)]
+
+    def bounded(self, head: Header, total: int) -> tuple[int, int, int]:
+        """The first frame of the range of time, and which frames are asked for."""
+        per_second = head.rate[0] / head.rate[1]
+        first = next(i for i in range(max(0, int(self.start * per_second / 1e6) - 1), total + 2) if head.pts(i) >= self.start or i > total)
+        last = total if self.end is None else min(total, int(self.end * per_second / 1e6) + 1)
+        while last > first and self.end is not None and head.pts(last - 1) > self.end:
+            last -= 1
+        idx, pts = self.bounds["frame_idx"], self.bounds["pts_us"]
+        low = max(first, first + idx[0], first + int(pts[0] * per_second / 1e6) - 1)
+        high = last if idx[1] is None else min(last, first + idx[1] + 1)
+        high = high if pts[1] is None else min(high, first + int(pts[1] * per_second / 1e6) + 2)
+        return first, low, max(low, high)
+
+    def read(self, partition: FileShare) -> Iterator[pa.RecordBatch]:
+        if not partition.path:
             return
         fs, _ = pafs.FileSystem.from_uri(self.path)
-        head, skipped = partition.head, partition.start_us  # frames before the range of time
+        video = partition.path.rsplit("/", 1)[-1].removesuffix(".y4m")
         with fs.open_input_file(partition.path) as source:
-            for a in range(partition.first, partition.last, FRAMES_AT_ONCE):
-                b = min(a + FRAMES_AT_ONCE, partition.last)
+            head = header(source.read_at(min(256, partition.size), 0))
+            skipped, low, high = self.bounded(head, (partition.size - head.size) // head.frame_bytes)  # frames before the range of time
+            begin, end = (low + (high - low) * k // partition.of for k in (partition.share, partition.share + 1))
+            for a in range(begin, end, FRAMES_AT_ONCE):
+                b = min(a + FRAMES_AT_ONCE, end)
                 raw = source.read_at((b - a) * head.frame_bytes, head.size + a * head.frame_bytes)
                 parts = [raw[k * head.frame_bytes + 6 : (k + 1) * head.frame_bytes] for k in range(b - a)]
                 px = [pixels.i420_to_rgb(p, head.width, head.height).tobytes() for p in parts]
                 n = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([partition.video_id] * n), pa.array(range(a - skipped, b - skipped), pa.int64()),
+                        pa.array([video] * n), pa.array(range(a - skipped, b - skipped), pa.int64()),
                         pa.array([head.pts(i) - head.pts(skipped) for i in range(a, b)], pa.int64()), pa.array([head.width] * n, pa.int32()),
                         pa.array([head.height] * n, pa.int32()), pa.array(px, pa.binary()),
                     ],

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,16 +20,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cinetide.operators.folds import Step
 
 STATE = "buffer binary"
-#: Rows of a key that may wait for a missing index before it is given up.
-MOST_GAP = 1024
 
 
-def in_order(stream: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], step: Step, out: str, kind: str, most_gap: int | None = MOST_GAP) -> DataFrame:
+def in_order(stream: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], step: Step, out: str, kind: str, most_gap: int | None = None) -> DataFrame:
     """Rows in order of a dense index per key, folded by step as operators.folds.folded() does.
 
-    A row waits until all before it are there.  If more than most_gap rows wait,
-    the missing ones are skipped (None: they are waited for).  Rows that come
-    twice or after their place was passed are dropped.
+    A row waits until all before it are there.  Only if most_gap is given and more rows
+    wait, the missing ones are skipped.  Rows that come twice or after their place was
+    passed are dropped.
     """
     fields = [f for f in stream.schema.fields if f.name in {*keys, order, *values}]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out}` {kind}"
@@ -84,8 +83,8 @@ def cache_sink(path: str, key: str = "key") -> Callable[[DataFrame, int], None]:
         fresh = batch.dropDuplicates([key])
         try:
             fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         fresh.write.mode("append").parquet(path)
 
