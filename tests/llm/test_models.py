@@ -190,6 +190,33 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == known[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
 
 
+def test_predictions_equal_plain_sums(spark, small):
+    """The whole query on some texts: all words' forward sums, one after the other, and the likeliest language."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    own = language.train(docs)
+    pieces = {p: i for i, p in enumerate(own.pieces)}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identified(docs).collect()}
+    for row in sorted((r for r in docs.collect() if r["text"] and len(r["text"]) < 1500), key=lambda r: r["doc_id"])[:12]:
+        total = np.zeros(len(own.languages))
+        raw = row["text"].translate({c: c + 32 for c in range(65, 91)}).encode()
+        for word in re.findall(rb"[a-z\x80-\xff]+", raw):
+            body = bytes([language.MARK]) + word
+            alpha = np.full((len(body) + 1, len(own.languages)), -np.inf)
+            alpha[0] = 0
+            for end in range(1, len(body) + 1):
+                for start in range(max(0, end - own.trie.depth - 4), end):
+                    part = body[start:end]
+                    if (body[start] & 0xC0) == 0x80 or (end < len(body) and (body[end] & 0xC0) == 0x80):
+                        continue
+                    if part in pieces:
+                        alpha[end] = np.logaddexp(alpha[end], alpha[start] + np.log(own.weight[pieces[part]]))
+                    elif len(part.decode()) == 1:
+                        alpha[end] = np.logaddexp(alpha[end], alpha[start] + np.log(language.FLOOR))
+            total += alpha[-1]
+        posterior = np.exp(total - np.logaddexp.reduce(total))
+        assert got[row["doc_id"]][0] == own.languages[int(total.argmax())] and abs(got[row["doc_id"]][1] - posterior.max()) < 1e-6
+
+
 def test_language_of_odd_rows(odd, empty):
     rows = language.identified(odd).collect()
     assert len(rows) == odd.count()

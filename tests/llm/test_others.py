@@ -16,7 +16,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinetide.llm import decontaminate, licences, media, neardup, pieces, secrets, sharding, toxicity
+from test_decontaminate import brute
+from test_dedup import clusters
+
+from cinetide.llm import licences, media, pieces, secrets, sharding, toxicity
 from cinetide.llm.common import scratch, table
 
 
@@ -442,16 +445,21 @@ def test_pipeline_stages_do_what_they_say(spark):
         out = stage(spark, state, small)
         rows = out.collect()
         if name == "toxicity":
-            bad = {r["doc_id"] for r in toxicity.scores(state, labels).collect() if r["predicted"]}
-            assert {r["doc_id"] for r in rows} == set(before) - bad
+            known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+            gone = set(before) - {r["doc_id"] for r in rows}
+            assert gone == {r["doc_id"] for r in toxicity.scores(state, labels).collect() if r["predicted"]}
+            assert gone and sum(known.get(i) == 0 for i in gone) <= 2 and sum(known.get(i) == 1 for i in gone) >= 0.7 * sum(v == 1 for v in known.values())
         elif name == "near_duplicates":
-            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in neardup.grouped(state).collect() if r["kept"]}
+            assert {r["doc_id"] for r in rows} == {i for i, _, _, kept in clusters(sorted(before.items())) if kept}
         elif name == "decontamination":
-            bad = {r["doc_id"] for r in decontaminate.contaminated(state, bench).collect()}
+            bad = {doc for doc, _ in brute(before.items(), [(r["item_id"], r["text"]) for r in bench.collect()])}
             assert bad and {r["doc_id"] for r in rows} == set(before) - bad
         elif name == "secrets":
             assert {r["doc_id"] for r in rows} == set(before)
             assert not any(secrets.base_spans(r["text"]) for r in rows)
+            for r in rows:  # what is masked stood there, and the rest is as it was
+                parts = [re.escape(x) for x in r["text"].split(secrets.MASK)]
+                assert re.fullmatch(".+?".join(parts), before[r["doc_id"]], re.DOTALL)
         else:
             lib = _library()
             assert all(r["ids"] == lib.encode(before[r["doc_id"]]) for r in rows) and len(rows) == len(before)
@@ -463,6 +471,16 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert corpus_pipeline.run(spark, small).count() == counts[-1]
 
 
+def test_pipeline_makes_equal_rows_one(spark, small, tmp_path):
+    docs = table(spark, small, "documents").limit(30)
+    twice = docs.union(docs.limit(5)).union(docs.limit(5))
+    twice.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, small, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert len(ids) == len(set(ids)) > 10
+
+
 def test_pipeline_of_odd_rows(spark, small, odd, empty):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "key", "n", "component")
     for state in (docs, empty.select(docs.columns)):
