@@ -1073,6 +1073,31 @@ def pixel_resized(spark, sf):
     return frames.digests(part_clips(spark, sf), lambda rgb: pixels.bilinear(rgb, 20, 15))
 
 
+@query(f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x * 4 + dx as x, y * 4 + dy as y, c, {_channel_sql("x", "y")} as s from f, {_GRID}, range(3) as d(c), range(4) as g(dx), range(4) as h(dy))
+select video_id, frame_idx, cast(sum(s * {_WEIGHT}) as bigint) as digest from p group by 1, 2""")
+def tiles_stitched(spark, sf):
+    """Tiles of 24 taken out, enlarged by repetition, and put together again."""
+    repeat = lambda planes: planes.repeat(tiles.SCALE, axis=2).repeat(tiles.SCALE, axis=3)
+    return frames.digests(tiles.inferred(part_clips(spark, sf), repeat, tile=24))
+
+
+_C = [f"(({c} / 255.0::double - 0.5::double) * 1.22::double + 0.5::double)" for c in (_RS, _GS, _BS)]
+_CURVE = "({c} * 0.65::double + {t} * {t} * (3 - 2 * {t}) * 0.35::double)"
+
+
+@query(f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x, y, c, {_C[0]} as r, {_C[1]} as g, {_C[2]} as b from f, {_GRID}, range(3) as d(c)),
+t as (select *, least(greatest(r, 0.0::double), 1.0::double) as tr, least(greatest(g, 0.0::double), 1.0::double) as tg, least(greatest(b, 0.0::double), 1.0::double) as tb from p),
+k as (select video_id, frame_idx, x, y, c, {_CURVE.format(c="r", t="tr")} as r, {_CURVE.format(c="g", t="tg")} as g, {_CURVE.format(c="b", t="tb")} as b from t),
+m as (select *, 0.299::double * r + 0.587::double * g + 0.114::double * b as luma from k)
+select video_id, frame_idx, cast(sum(floor(least(greatest(luma * (1 - 1.35::double) + case c when 0 then r when 1 then g else b end * 1.35::double, 0.0::double), 1.0::double) * 255 + 0.5::double) * {_WEIGHT}) as bigint) as digest
+from m group by 1, 2""")
+def pixel_graded(spark, sf):
+    """C13, K6 without sharpening."""
+    return frames.digests(tiles.rendered(part_clips(spark, sf), "VIVID", 0.0))
+
+
 _R, _G, _B = _pixel_sql("x", "cast(floor(i * 0.75) as bigint)")
 _ALPHA = "case when abs(q.r - t.r) + abs(q.g - t.g) + abs(q.b - t.b) >= 24 then 0 else 128 * (24 - abs(q.r - t.r) - abs(q.g - t.g) - abs(q.b - t.b)) // 24 end"
 _BLEND = "case when q.segment <> t.segment then q.{c} else (q.{c} * (256 - " + _ALPHA + ") + t.{o} * " + _ALPHA + ") >> 8 end as {o}"
