@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .bytestext import LOWER, Words, chunks
 from .common import held_out, sampled_ids, table, texts_of
-from .pieces import MODEL, NORMAL, SPACE, Model
+from .pieces import MODEL, NORMAL, SETTING, SPACE, Model
 
 TRAIN_DOCS = 150
 TRAIN_BYTES = 16 << 20
@@ -285,8 +285,9 @@ def predicted(batches: Iterable[pa.RecordBatch], own: Identifier) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(posterior)], ["doc_id", "lang_pred", "score"])
 
 
-def identified(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    own = train(docs, model)
+def identified(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """Predictions with the pieces of the model's file: a parameter, or the setting that op2 has."""
+    own = train(docs, model or docs.sparkSession.conf.get(SETTING, MODEL))
     rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: predicted(it, own), SCHEMA)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
