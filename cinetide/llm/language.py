@@ -162,8 +162,11 @@ class Identifier:
         out = np.zeros((len(offs) - 1, len(self.languages)))
         if not len(words) or not self.languages:
             return out
-        pairs = np.stack([words.hashes(), words.hashes(1)], axis=1).view([("a", "u8"), ("b", "u8")]).ravel()
-        _, index, inverse = np.unique(pairs, return_index=True, return_inverse=True)
+        _, index, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if (words.hashes(1)[index][inverse] != words.hashes(1)).any():  # two words have one hash: told apart by both
+            pairs = np.stack([words.hashes(), words.hashes(1)], axis=1)
+            _, index, inverse = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
+            inverse = inverse.ravel()
         flat, starts, sizes, owner = marked([words.text(i) for i in index.tolist()], self.trie)
         parts = self.word_scores(flat, starts, sizes)
         per_word = np.zeros((len(index), parts.shape[1]))
