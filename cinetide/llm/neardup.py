@@ -60,7 +60,7 @@ MINIMA = BANDS * ROWS
 #: Equal minima that a pair needs to be compared on its sets: five deviations below 0.75.
 LEAST_EQUAL = 72
 #: Members of a block whose signatures are compared; members, and shingles, of one whose sets are.
-SIGNATURES = 2048
+SIGNATURES = 512
 BLOCK, BLOCK_SHINGLES = 256, 300_000
 #: Places where members of a mixed bucket meet its statistics.
 SALTS = 16
