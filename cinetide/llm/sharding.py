@@ -112,9 +112,15 @@ def last_map(spark: SparkSession, path: str) -> list[tuple]:
 
 
 def commit(spark: SparkSession, rows: list[tuple], path: str) -> DataFrame:
-    """Writes a version of the map; fails if another run has committed the version meanwhile."""
+    """Writes a version of the map; fails if another run has committed the version meanwhile, and replaces what a broken run left of it."""
     folder = f"{path}/v{rows[0][0]:06d}"
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(folder)
+    new = spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1)
+    try:
+        new.write.mode("errorifexists").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS" or not spark.read.schema(MAP_SCHEMA).parquet(folder).isEmpty():
+            raise
+        new.write.mode("overwrite").parquet(folder)
     return spark.read.schema(MAP_SCHEMA).parquet(folder)
 
 

@@ -422,6 +422,9 @@ def test_a_committed_map_is_edited_as_the_data_grow(spark):
     assert moved < 500  # a map made anew would move some 4400
     with pytest.raises(Exception, match="exist"):
         sharding.commit(spark, [(2, 0, 0, 0, 0, False)], path)
+    broken = scratch(spark, "map")
+    spark.createDataFrame([], sharding.MAP_SCHEMA).write.parquet(f"{broken}/v000001")  # no rows were committed
+    assert sharding.commit(spark, [(1, 0, 0, 0, 0, False)], broken).count() == 1
     where = {r["doc_id"]: r["shard"] for r in rows}
     clash = _docs(spark, texts).selectExpr("doc_id", "text", "'x' as shard", "'y' as start", "1 as virtual_slot", "2 as size", "3 as slot")
     out = sharding.assigned(clash, path)
