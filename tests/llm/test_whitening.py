@@ -1,0 +1,109 @@
+"""Whitening against a plain computation with whole numbers of any size."""
+
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from cinetide.llm import whitening
+from cinetide.llm.common import table
+
+
+def brute(rows, top=4):
+    """(vec_id, component) to (n, deviation, |whitened|, explained), by fractions and eigh."""
+    good = [(i, v) for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    sizes = [len(v) for _, v in good]
+    width = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 0
+    good = [(i, tuple(math.floor(256 * c) for c in v)) for i, v in good if len(v) == width]
+    fit = sorted({x for _, x in good})
+    n = len(fit)
+    sums = [sum(x[k] for x in fit) for k in range(width)]
+    centred = [[n * x[k] - sums[k] for k in range(width)] for x in fit]
+    cov = np.array([[float(Fraction(sum(r[a] * r[b] for r in centred), n**3)) for b in range(width)] for a in range(width)])
+    values, vectors = np.linalg.eigh(cov)
+    order = [k for k in np.argsort(-values)[:top] if values[k] > 1e-12 * values.max()]
+    out = []
+    for i, x in good:
+        c = [n * x[k] - sums[k] for k in range(width)]
+        for m, k in enumerate(order):
+            w = sum(float(Fraction(c[d], n)) * vectors[d, k] for d in range(width)) / math.sqrt(values[k])
+            out.append((i, m + 1, n, sum(v * v for v in c), abs(w), values[k] / np.trace(cov)))
+    return out
+
+
+def check(df, rows):
+    got = sorted(((*tuple(r)[:4], abs(r["whitened"]), r["explained"]) for r in whitening.whitened(df).collect()), key=lambda r: (r[0] is None, r))
+    expected = sorted(brute(rows), key=lambda r: (r[0] is None, r))
+    assert [g[:4] for g in got] == [e[:4] for e in expected]
+    assert np.allclose([g[4:] for g in got], [e[4:] for e in expected], rtol=1e-9, atol=1e-9)
+    return whitening.whitened(df)
+
+
+def test_query_equals_brute_force(spark, small):
+    rows = [tuple(r) for r in table(spark, small, "embeddings").select("vec_id", "embedding").collect()]
+    out = check(table(spark, small, "embeddings"), rows)
+    assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert out.agg({"identity_error": "max"}).first()[0] < 1e-9 and out.select("identity_error").distinct().count() == 1
+    assert whitening.op12(spark, small).count() == 4 * len(rows)
+
+
+def test_signs_are_one_for_all_rows(spark, small):
+    rows = [(r["vec_id"], r["component"], r["whitened"]) for r in whitening.op12(spark, small).collect()]
+    again = [(r["vec_id"], r["component"], r["whitened"]) for r in whitening.whitened(table(spark, small, "embeddings").repartition(5)).collect()]
+    assert np.allclose([r[2] for r in sorted(rows)], [r[2] for r in sorted(again)], atol=1e-9)
+
+
+SCHEMA = "vec_id int, embedding array<float>, label string, x int, n string, component string"
+
+
+def odd():
+    nan, inf = float("nan"), float("inf")
+    vectors = [None, [], [1.0, None, 2.0], [nan, 1.0, 1.0], [inf, 0.0, 1.0], [-inf, 0.0, 1.0], [1.0], [0.5, -0.25, 3.0], [0.5, -0.25, 3.0], [-0.0, 0.001, -0.001], [9.0, 9.0, 1.0], [1.0, 2.0, 3.0, 4.0]]
+    vectors += [[2.0, 2.0, 2.0]] * 40 + [[0.5001, -0.25, 3.0]]
+    rows = [(i, v, "l", 1, None, "c") for i, v in enumerate(vectors)]
+    return rows + [(None, [7.0, -1.0, 0.5], None, None, None, None), (8, [0.5, -0.25, 3.0], "again", 2, "n", None)]
+
+
+def test_odd_rows(spark):
+    rows = odd()
+    check(spark.createDataFrame(rows, SCHEMA), [r[:2] for r in rows])
+
+
+def test_large_whole_numbers_and_long_overflow(spark):
+    rows = [(i, [1e9 + 3.0 * i, -2e9 + (i * i) % 17, 5.0 * (i % 3)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    check(df, rows)
+    far = [(i, [1e16 * (i % 3), float(i)]) for i in range(6)]
+    df = spark.createDataFrame(far, "vec_id bigint, embedding array<double>")
+    got = whitening.whitened(df).collect()
+    assert {r["deviation"] is None for r in got if r["vec_id"] % 3 != 1} == {True} and {r["n"] for r in got} == {6}
+
+
+@pytest.mark.parametrize("vectors", [[], [[1.0, 2.0]], [[1.0, 2.0]] * 5, [None]])
+def test_nothing_to_scale(spark, vectors):
+    df = spark.createDataFrame([(i, v, "l", 1, "n", "c") for i, v in enumerate(vectors)], SCHEMA)
+    out = whitening.whitened(df)
+    assert out.count() == 0 and out.columns[0] == "vec_id"
+
+
+def test_two_vectors_have_one_component(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 5.0])], "vec_id bigint, embedding array<float>")
+    got = whitening.whitened(df).collect()
+    assert {r["component"] for r in got} == {1} and sorted(round(r["whitened"], 12) for r in got) == [-1.0, 1.0] and got[0]["explained"] == pytest.approx(1)
+
+
+def test_slices_do_not_matter(spark, small, monkeypatch):
+    frame = table(spark, small, "embeddings").limit(50).toPandas()
+    x = np.floor(np.stack(frame["embedding"].to_list()).astype(float) * 256).astype(np.int64)
+    fit = whitening.Fit(50, x.sum(axis=0).tolist(), np.cov(x.T, bias=True))
+    monkeypatch.setattr(whitening, "SLICE", 3 * x.shape[1])
+
+    class Sent:
+        value = fit
+
+    frame = frame.assign(x=list(x))[["vec_id", "x"]]
+    parts = list(whitening.whitener(Sent, 0.0)(iter([frame])))
+    assert len(parts) == 17 and sum(len(p) for p in parts) == 200
+    wide = fit.centred(x).astype(object)
+    assert fit.deviations(wide).tolist() == fit.deviations(fit.centred(x)).tolist()
