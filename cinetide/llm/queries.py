@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, media, neardup, pieces, secrets, sharding, substrings, toxicity, whitening
+from . import decontaminate, language, licences, media, neardup, pieces, secrets, sharding, spelling, substrings, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -21,6 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
     "op12_whitening": whitening.op12,
+    "op13_spelling": spelling.op13,
 }
 #: For DuckDB; the other queries are tested against brute force, exact round trips or held-out rows.
-ORACLES: dict[str, str] = {"op3_substrings": substrings.ORACLE_SQL, "op7_neardup": neardup.ORACLE_SQL, "op8_licences": licences.ORACLE_SQL, "op8_notices": licences.NOTICES_SQL}
+ORACLES: dict[str, str] = {
+    "op3_substrings": substrings.ORACLE_SQL,
+    "op7_neardup": neardup.ORACLE_SQL,
+    "op8_licences": licences.ORACLE_SQL,
+    "op8_notices": licences.NOTICES_SQL,
+    "op13_spelling": spelling.ORACLE_SQL,
+}
