@@ -11,25 +11,13 @@ Method.
    a table, and only the class goes on, so exact copies cost one row.
 2. Banding: `BANDS` bands of `ROWS` minima.  A pair at 0.75 misses all of them
    with a chance of 5e-6.
-3. In each bucket the smallest class is the hub.  Pairs of a hub and a member are
-   verified by their signatures and then on the full sets: as many pairs as
-   members.  Components of these links are found.
-4. A bucket whose members are not yet in one component may hide links that its
-   hub does not have.  First the signatures of its members are compared, in cells
-   of two blocks of members; only members that have a likely partner in another
-   component bring their texts.  Their pairs are compared on the full sets, in
-   smaller cells, and a cell returns links only as far as they join components: no
-   pairs are emitted, no link between components is lost, and no cell grows with
-   the bucket.
-5. Links between the classes of one id's rows are added, and components of all
+3. Pairs of a bucket's hub and its members, then what hubs do not hold together, are
+   compared by signatures and confirmed on full sets (see links).
+4. Links between the classes of one id's rows are added, and components of all
    links found by alternating large-star and small-star.
 
-Hot groups: step 1 folds copies after partial aggregation; hubs are found by a
-partial aggregate and brought to members by a join whose skewed partitions
-Spark splits; cells bound what one task holds.  Iterations are cut by tables in
-the shared folder.  The driver receives two numbers per iteration.  A bucket of n
-members that no hub holds together costs n**2 / SIGNATURES signatures: that much
-any exact comparison within a bucket needs.
+Hot groups: step 1 folds copies after partial aggregation, so a text on a third of
+all rows is one class; buckets of many classes are dealt by links.
 
 Shingles are told apart by 61-bit hashes of words over a prime field, mixed (see
 bytestext): two unequal shingles of one pair of texts meet with a chance of 2**-60.
@@ -43,15 +31,16 @@ the query and kept by deduplicated(), where equal rows (id and text) become one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytestext import LOWER, U64, Words, buffers, chunks, mix
+from .bytestext import LOWER, U64, Words, chunks, mix
 from .common import discarded, made, saved, table
+from .links import Check, buckets, components, hub_links, rest_links
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -59,14 +48,6 @@ BANDS, ROWS = 32, 4
 MINIMA = BANDS * ROWS
 #: Equal minima that a pair needs to be compared on its sets: five deviations below 0.75.
 LEAST_EQUAL = 72
-#: Members of a block whose signatures are compared; members, and shingles, of one whose sets are.
-SIGNATURES = 512
-BLOCK, BLOCK_SHINGLES = 256, 300_000
-#: Places where members of a mixed bucket meet its statistics.
-SALTS = 16
-#: Columns of the matrix of shingles that are held at once.
-SLICE = 4096
-ROUNDS = 60
 
 _rng = np.random.default_rng(75)
 _A = _rng.integers(0, 2**63, MINIMA, dtype=np.uint64) * U64(2) + U64(1)
@@ -115,23 +96,34 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 SKETCHES = "doc_id bigint, row bigint, n_shingles bigint, d0 bigint, d1 bigint, sig binary"
 
 
-def sketches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of SKETCHES; digests and signature are null for an empty set."""
-    for batch in batches:
-        for part, buf, offs in chunks(batch):
-            flat, first = shingle_sets(buf, offs)
-            size = np.diff(first)
-            full = size > 0
-            cols = []
-            for lane in (1, 2):
-                sums = np.zeros(len(flat) + 1, np.uint64)
-                np.cumsum(mix(flat ^ mix(np.array([lane], np.uint64))), out=sums[1:])
-                cols.append(pa.array(mix(sums[first[1:]] - sums[first[:-1]] + size.astype(np.uint64)).view(np.int64), mask=~full))
-            sig = signatures(flat, first)
-            rows = np.full(len(size), -1)
-            rows[full] = np.arange(len(sig))
-            blobs = pa.array([sig[r].tobytes() if r >= 0 else None for r in rows.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(size.astype(np.int64)), *cols, blobs], [c.split()[0] for c in SKETCHES.split(", ")])
+def set_digests(flat: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    size = np.diff(first).astype(np.uint64)
+    out = []
+    for lane in (1, 2):
+        sums = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(mix(flat ^ mix(np.array([lane], np.uint64))), out=sums[1:])
+        out.append(mix(sums[first[1:]] - sums[first[:-1]] + size))
+    return out
+
+
+def sketches(make: Callable = signatures) -> Callable:
+    """Rows of SKETCHES; digests and sketch are null for an empty set."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, offs in chunks(batch):
+                flat, first = shingle_sets(buf, offs)
+                size = np.diff(first)
+                full = size > 0
+                cols = [pa.array(d.view(np.int64), mask=~full) for d in set_digests(flat, first)]
+                sig = make(flat, first)
+                rows = np.full(len(size), -1)
+                rows[full] = np.arange(len(sig))
+                blobs = pa.array([sig[r].tobytes() if r >= 0 else None for r in rows.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(size.astype(np.int64)), *cols, blobs], [c.split()[0] for c in SKETCHES.split(", ")])
+
+    return run
 
 
 def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,160 +136,41 @@ def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([keys, batch.column("node").take(index), batch.column("n_shingles").take(index)], ["key", "node", "n_shingles"])
 
 
-def confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, a_text, b_text, a_sig, b_sig) that are links, as (a, b)."""
-    for batch in batches:
-        sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, MINIMA) for c in ("a_sig", "b_sig")]
-        likely = np.flatnonzero((sig[0] == sig[1]).sum(axis=1) >= LEAST_EQUAL)
-        keep = []
-        for at in range(0, len(likely), 64):
-            rows = likely[at : at + 64]
-            (fa, ia), (fb, ib) = (shingle_sets(*buffers(batch.column(c).take(pa.array(rows)))) for c in ("a_text", "b_text"))
-            for k, r in enumerate(rows.tolist()):
-                x, y = fa[ia[k] : ia[k + 1]], fb[ib[k] : ib[k + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if linked(both, len(x), len(y)):
-                    keep.append(r)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-
-def linked(both, one, other):
-    return DENOMINATOR * both >= NUMERATOR * (one + other - both)
-
-
-def cell_likely(table: pa.Table) -> pa.Table:
-    """(key, node) of a cell's classes (key, node, component, sig) that have a likely partner in another component."""
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, MINIMA)
+def equal_minima(a: np.ndarray, b: np.ndarray, *sizes: np.ndarray) -> np.ndarray:
+    """Which rows of signatures are likely links."""
+    return (a.view(np.uint32) == b.view(np.uint32)).sum(axis=1) >= LEAST_EQUAL
+
+
+def equal_grid(sig: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures are likely links."""
+    sig = sig.view(np.uint32)
     equal = np.zeros((len(sig), len(sig)), np.uint8)
     for k in range(MINIMA):
         equal += sig[:, k, None] == sig[None, :, k]
-    comp = table.column("component").to_numpy()
-    found = ((equal >= LEAST_EQUAL) & (comp[:, None] != comp[None, :])).any(axis=1)
-    return table.select(["key", "node"]).filter(pa.array(found))
-
-
-def cell_links(table: pa.Table) -> pa.Table:
-    """Links of a cell's classes (node, component, text) that join different components."""
-    table = table.select(["node", "component", "text"])
-    flat, first = shingle_sets(*buffers(table.column("text")))
-    size = np.diff(first)
-    own = np.repeat(np.arange(len(size)), size)
-    values, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.full(len(values), -1)
-    column[seen > 1] = np.arange(int((seen > 1).sum()))
-    at = column[index]
-    own, at = own[at >= 0], at[at >= 0]
-    order = np.argsort(at, kind="stable")
-    own, at = own[order], at[order]
-    both = np.zeros((len(size), len(size)), np.int64)
-    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, SLICE):
-        a, b = np.searchsorted(at, (lo, lo + SLICE))
-        grid = np.zeros((len(size), SLICE), np.float32)
-        grid[own[a:b], at[a:b] - lo] = 1
-        both += (grid @ grid.T).astype(np.int64)  # a slice counts exactly in single precision
-    comp = table.column("component").to_numpy()
-    ids = table.column("node").to_numpy()
-    found = linked(both, size[:, None], size[None, :]) & (comp[:, None] < comp[None, :]) & (size > 0)[:, None]
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while x in top:
-            x = top[x]
-        return x
-
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(found)), strict=True):
-        x, y = root(int(comp[i])), root(int(comp[j]))
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            out.append((int(ids[i]), int(ids[j])))
-    a, b = zip(*out, strict=True) if out else ((), ())
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-# ---- components ----
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the ends of links (a, b), by alternating large-star and small-star."""
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
-    for _ in range(ROUNDS):
-        now = edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("long")), F.sum((F.xxhash64("v", "u") % 998_244_353).cast("long"))).first()
-        if now == state:
-            break
-        state, mark = now, made()
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = saved(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        discarded(links.sparkSession, mark, edges)
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return equal >= LEAST_EQUAL
 
 
-# ---- the whole ----
+CHECK = Check(NUMERATOR, DENOMINATOR, shingle_sets, equal_minima, equal_grid)
 
 
-def buckets(first: DataFrame) -> DataFrame:
-    """Members of buckets of two or more: (key, node, n_shingles, hub, n)."""
-    bands = first.select("node", "n_shingles", "sig").mapInArrow(banded, "key bigint, node bigint, n_shingles bigint")
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return saved(bands.join(saved(hubs, "hubs"), "key"), "buckets")  # read from a table, both sides of the join are shuffled and can be split
+# ---- the whole ----
 
 
-def hub_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links between hubs and members."""
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    for side in ("b", "a"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"{side}_text"), F.col("sig").alias(f"{side}_sig")), side)
-    return pairs.select("a", "b", "a_text", "b_text", "a_sig", "b_sig").mapInArrow(confirmed, "a bigint, b bigint")
+def candidates(first: DataFrame) -> DataFrame:
+    """Members of buckets of equal bands."""
+    return buckets(first.select("node", "n_shingles", "sig").mapInArrow(banded, "key bigint, node bigint, n_shingles bigint"))
 
 
-def cells(rows: DataFrame, block: int, block_shingles: int, name: str) -> DataFrame:
-    """(key, i, j, node, component): every two members (key, node, component, n_shingles, hub) of a bucket's different components meet in a cell.
+def numbered(docs: DataFrame, make: Callable, number: Callable) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, n_shingles, node), where `row` is a hash of the text; classes (node, first id); sketches of classes.
 
-    Of a bucket, `j` numbers blocks of all members and `i` blocks of those outside of its largest part, the hub's component.
+    `number` gives the numbers of classes (d0, d1).
     """
-    own = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.bool_or(F.col("node") == F.col("hub")).alias("with_hub"))
-    outside = lambda c: F.sum(F.when(~F.col("with_hub"), F.col(c)))
-    keys = own.groupBy("key").agg(
-        F.max(F.when(F.col("with_hub"), F.col("component"))).alias("main"), F.sum("size").alias("n"), F.sum("weight").alias("shingles"),
-        outside("size").alias("left"), outside("weight").alias("left_shingles"), F.count("*").alias("parts"),
-    )
-    # Members of one bucket meet its statistics in SALTS places, so that a hot bucket has no task of its own.
-    salted = saved(keys.where("left > 0 and parts > 1"), name).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.select("key", "node", "component", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt"))
-    rows = rows.join(salted.hint("merge"), ["key", "salt"]).drop("salt")  # the copies must not be broadcast
-    blocks = lambda n, s: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(s) / block_shingles), F.lit(1)).cast("int")
-    rows = rows.withColumns({"across": blocks("n", "shingles"), "down": blocks("left", "left_shingles")})
-    spot = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    as_member = rows.select("*", spot(1, "across").alias("j"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"))
-    as_left = rows.where("coalesce(component <> main, true) and (across > 1 or down > 1)").select("*", spot(2, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
-    return as_member.select("key", "i", "j", "node", "component").union(as_left.select("key", "i", "j", "node", "component")).distinct()
-
-
-def rest_links(members: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that hubs do not have, from buckets of three or more in several components."""
-    rows = members.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = saved(rows.select("key", "node", "component", "n_shingles", "hub"), "bucket-parts")
-    by_signature = cells(rows, SIGNATURES, 1 << 62, "mixed").join(texts.select("node", "sig"), "node").select("key", "i", "j", "node", "component", "sig")
-    likely = by_signature.groupBy("key", "i", "j").applyInArrow(cell_likely, "key bigint, node bigint").distinct()
-    rows = saved(rows.join(saved(likely, "likely"), ["key", "node"]), "likely-parts")
-    by_text = cells(rows, BLOCK, BLOCK_SHINGLES, "mixed-likely").join(texts.select("node", "text"), "node")
-    return by_text.groupBy("key", "i", "j").applyInArrow(cell_links, "a bigint, b bigint")
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, row, n_shingles, node), where `row` is a hash of the text; classes (node, first id, ...); texts' sketches of classes."""
-    sets = saved(docs.mapInArrow(sketches, SKETCHES), "sketches")
+    sets = saved(docs.mapInArrow(sketches(make), SKETCHES), "sketches")
     with_set = sets.where("doc_id is not null and d0 is not null")
     classes = with_set.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    classes = saved(classes.select("d0", "d1", "first.doc_id", "first.row", F.monotonically_increasing_id().alias("node")), "classes")
+    classes = classes.select("d0", "d1", "first.doc_id", "first.row")
+    classes = saved(classes.select("*", number(classes).alias("node")), "classes")
     known = saved(with_set.select("doc_id", "row", "n_shingles", "d0", "d1").join(classes.select("d0", "d1", "node"), ["d0", "d1"]).drop("d0", "d1"), "known")
     first = with_set.join(classes.select("doc_id", "row", "node"), ["doc_id", "row"])
     first = first.groupBy("doc_id", "row").agg(F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))  # rows may stand there twice
@@ -308,25 +181,39 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return saved(rows, "rows"), classes.select("node", "doc_id"), saved(first, "class-sketches")
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id, kept) for each row of documents."""
-    mark = made()
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row"))
-    rows, classes, first = numbered(docs)
-    members = buckets(first)
-    texts = members.select("node").distinct().join(first.drop("n_shingles"), "node").join(docs, ["doc_id", "row"])
-    texts = saved(texts.groupBy("doc_id", "row").agg(F.first("node").alias("node"), F.first("sig").alias("sig"), F.first("text").alias("text")), "texts")
-    links = saved(hub_links(members, texts), "hub-links")
-    more = saved(rest_links(members, components(links), texts), "rest-links")
+def rows_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row"))
+
+
+def texts_of_members(docs: DataFrame, members: DataFrame, first: DataFrame) -> DataFrame:
+    """(node, text) of the classes that are in a bucket."""
+    texts = members.select("node").distinct().join(first.select("node", "doc_id", "row"), "node").join(docs, ["doc_id", "row"])
+    return saved(texts.groupBy("doc_id", "row").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text"), "texts")
+
+
+def joined(rows: DataFrame, classes: DataFrame, members: DataFrame, sketch: DataFrame, texts: DataFrame, check: Check) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id) of rows, from buckets of candidates."""
+    found = saved(hub_links(members, sketch, texts, check), "hub-links")
+    more = saved(rest_links(members, components(found), sketch, texts, check), "rest-links")
     ids = rows.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     of_ids = rows.where("node is not null").join(saved(ids.select("doc_id", "a"), "ids"), "doc_id").where("node > a").select("a", F.col("node").alias("b"))
-    parts = classes.join(components(links.union(more).union(of_ids)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = classes.join(components(found.union(more).union(of_ids)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = saved(parts.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
-    named = saved(parts.join(least, "component").select("node", "component_id"), "named")  # nothing but this and the rows is read from now on
-    discarded(docs.sparkSession, mark, rows, named)
+    named = saved(parts.join(least, "component").select("node", "component_id"), "named")
     alone = rows.where("node is null").withColumn("component_id", F.col("doc_id"))
-    out = rows.where("node is not null").join(named, "node").unionByName(alone)
-    return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = rows.where("node is not null").join(named, "node").unionByName(alone).select("doc_id", "row", "n_shingles", "component_id")
+    out._scratch = named._scratch
+    return out
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, kept) for each row of documents."""
+    mark, docs = made(), rows_of(docs)
+    rows, classes, first = numbered(docs, signatures, lambda classes: F.monotonically_increasing_id())
+    members = candidates(first)
+    out = joined(rows, classes, members, first, texts_of_members(docs, members, first), CHECK)
+    discarded(docs.sparkSession, mark, rows, out)  # nothing else is read from now on
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

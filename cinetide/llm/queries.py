@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licences, media, neardup, pieces, secrets, sharding, spelling, substrings, toxicity, whitening
+from . import decontaminate, language, licences, media, neardup, ngramjoin, pieces, secrets, sharding, spelling, substrings, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_notices": licences.op8_notices,
     "op9_sharding": sharding.op9,
     "op10_decontamination": decontaminate.op10,
+    "op11_ngram_join": ngramjoin.op11,
     "op12_whitening": whitening.op12,
     "op13_spelling": spelling.op13,
 }
@@ -29,5 +30,6 @@ ORACLES: dict[str, str] = {
     "op7_neardup": neardup.ORACLE_SQL,
     "op8_licences": licences.ORACLE_SQL,
     "op8_notices": licences.NOTICES_SQL,
+    "op11_ngram_join": ngramjoin.ORACLE_SQL,
     "op13_spelling": spelling.ORACLE_SQL,
 }

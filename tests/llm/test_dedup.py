@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from cinetide.llm import neardup, substrings
+from cinetide.llm import links, neardup, substrings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -29,7 +29,7 @@ def fallen(rows):
     return out
 
 
-def clusters(rows):
+def clusters(rows, least=75):
     """Brute force: (id, shingles, component, kept) of each row."""
     sets = collections.defaultdict(list)
     sizes = []
@@ -49,7 +49,7 @@ def clusters(rows):
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and any(s & t and 100 * len(s & t) >= 75 * len(s | t) for s in sets[a] for t in sets[b]):
+            if a < b and any(s & t and 100 * len(s & t) >= least * len(s | t) for s in sets[a] for t in sets[b]):
                 x, y = root(a), root(b)
                 top[max(x, y)] = min(x, y)
     return [(i, n, None if i is None else root(i), i is None or root(i) == i) for i, n in sizes]
@@ -111,8 +111,8 @@ def test_near_duplicates_equal_brute_force(spark, small, odd):
 
 def test_links_that_the_hub_lacks_are_found(spark, monkeypatch):
     """A chain: each text is near the next only, and the smallest id is at its end; cells are made tiny."""
-    monkeypatch.setattr(neardup, "BLOCK", 2)
-    monkeypatch.setattr(neardup, "SIGNATURES", 3)
+    monkeypatch.setattr(links, "BLOCK", 2)
+    monkeypatch.setattr(links, "SKETCHES", 3)
     base = [f"w{i}" for i in range(200)]
     rows = [(d, " ".join(f"x{d // 8}_{i}" if i < 5 * (d % 8) else w for i, w in enumerate(base))) for d in range(24)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
@@ -122,19 +122,19 @@ def test_links_that_the_hub_lacks_are_found(spark, monkeypatch):
 
 def test_components(spark):
     rng = np.random.default_rng(5)
-    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
-    top = {x: x for link in links for x in link}
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(400, 460)]
+    top = {x: x for edge in edges for x in edge}
 
     def root(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    for a, b in links:
+    for a, b in edges:
         x, y = root(a), root(b)
         top[max(x, y)] = min(x, y)
-    got = {r[0]: r[1] for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    ends = {x for a, b in links if a != b for x in (a, b)}
+    got = {r[0]: r[1] for r in links.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    ends = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: root(x) for x in ends}
 
 
