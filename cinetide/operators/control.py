@@ -186,10 +186,17 @@ def newest(history: DataFrame, order: Sequence[Column], n: int = HISTORY) -> Dat
     return history.orderBy(*order).limit(n)
 
 
+#: The fields of a stored entry and the columns that they hold.
+STORED = {"uri": "uri", "name": "name", "res": "res", "el": "elapsed_s", "size": "size_bytes", "ts": "ts_ms", "preset": "preset", "model": "model"}
+STORED_TYPES = "uri string, name string, res string, el bigint, size bigint, ts bigint, preset string, model string"
+
+
 def history_json(history: DataFrame) -> DataFrame:
-    """One JSON text of the newest entries."""
+    """One JSON text of the newest entries, newest first (ties by uri), as it is stored; nulls are left out."""
     rows = newest(history, [F.desc("ts_ms"), F.col("uri")])
-    return rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct((-F.col("ts_ms")).alias("k"), *history.columns)))).alias("json"))
+    entry = F.struct(*[F.col(c).alias(k) for k, c in STORED.items() if c in history.columns])
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("ts_ms")).alias("at"), "uri", entry.alias("entry"))))
+    return rows.agg(F.to_json(F.transform(ordered, lambda e: e["entry"])).alias("json"))
 
 
 def after_clear(history: DataFrame, clears: DataFrame, keys: Sequence[str], at: str) -> DataFrame:

@@ -15,7 +15,8 @@ from cinetide.functions import pixels
 from cinetide.functions import scalars as S
 from cinetide.operators import control, folds, frames, tiles
 from cinetide.plans import planner
-from cinetide.sources import video
+from cinetide.session import shared_folder
+from cinetide.sources import mp4, video
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1125,3 +1126,100 @@ def upscale_smoke(spark, sf):
     clips = part_clips(spark, sf)
     out = tiles.processed(clips, frames.analysed(clips), tile=48)
     return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))
+
+
+# ---- files of packets ----
+
+#: A supplier's lines as the packets of a clip: two tracks, key frames, video decoded in another order than shown.
+_PACKETS = """
+select 'clip' || l_suppkey as video_id, case when l_returnflag = 'N' then 'video/avc1' else 'audio/mp4a' end as track,
+  (row_number() over (partition by l_suppkey, l_returnflag = 'N' order by l_orderkey, l_linenumber) - 1) * 40000 + case when l_returnflag = 'N' then 0 else 20000 end as dts_us,
+  case when l_returnflag = 'N' then (l_linenumber % 3) * 40000 else 0 end as later, l_returnflag <> 'N' or l_linenumber = 1 as is_key,
+  l_orderkey || ':' || l_linenumber || repeat('x', cast(l_linenumber * 9 as int)) as body from lineitem"""
+_SHOWN = f"select video_id, track, dts_us + later as pts_us, dts_us, is_key, body from ({_PACKETS})"
+
+
+def _clip_packets(spark, sf):
+    rows = read(spark, sf, "lineitem")
+    is_video = F.col("l_returnflag") == "N"
+    place = F.row_number().over(Window.partitionBy("l_suppkey", is_video).orderBy("l_orderkey", "l_linenumber")) - 1
+    rows = rows.select(
+        F.concat(F.lit("clip"), "l_suppkey").alias("video_id"), F.when(is_video, "video/avc1").otherwise("audio/mp4a").alias("track"),
+        (place * 40_000 + F.when(is_video, 0).otherwise(20_000)).cast("long").alias("dts_us"), F.when(is_video, (F.col("l_linenumber") % 3) * 40_000).otherwise(0).alias("later"),
+        (~is_video | (F.col("l_linenumber") == 1)).alias("is_key"), F.concat("l_orderkey", F.lit(":"), "l_linenumber", F.repeat(F.lit("x"), (F.col("l_linenumber") * 9).cast("int"))).alias("data"),
+    )
+    return rows.withColumn("pts_us", (F.col("dts_us") + F.col("later")).cast("long")).withColumn("data", F.col("data").cast("binary")).drop("later")
+
+
+def _clip_tracks(packets):
+    tracks = packets.select("video_id", "track").distinct()
+    is_video = F.col("track").startswith("video")
+    size = F.pmod(F.substring("video_id", 5, 9).cast("int"), F.lit(50))
+    return tracks.withColumns({"number": F.when(is_video, 1).otherwise(2), "width": F.when(is_video, 160 + size), "height": F.when(is_video, 90 + size), "rotation": F.lit(90), "channels": F.lit(1), "sample_rate": F.lit(44_100)})
+
+
+def _clips(spark, sf):
+    """The folder of the clips' files."""
+    packets, path = _clip_packets(spark, sf), shared_folder(spark, "clips")
+    mp4.write_packets(packets, _clip_tracks(packets), path)
+    return path
+
+
+def _listed(packets):
+    return packets.select("video_id", "track", "pts_us", "dts_us", "is_key", F.md5("data").alias("digest"))
+
+
+@query(f"select video_id, track, pts_us, dts_us, is_key, md5(body) as digest from ({_SHOWN})")
+def mp4_packets(spark, sf):
+    return _listed(mp4.read_packets(spark, _clips(spark, sf)))
+
+
+@query(f"select video_id, track, pts_us - 2000000 as pts_us, dts_us, is_key, md5(body) as digest from ({_SHOWN}) where track = 'audio/mp4a' and pts_us between 2000000 and 9000000")
+def mp4_audio_range(spark, sf):
+    packets = mp4.read_packets(spark, _clips(spark, sf)).where("track = 'audio/mp4a'")
+    return _listed(control.track_range(packets, 2_000_000, 9_000_000, "audio/"))
+
+
+@query(f"""
+with p as ({_SHOWN}), b as (select video_id, coalesce(max(pts_us) filter (track = 'video/avc1' and is_key and pts_us <= 3000000), 0) as base from p group by video_id)
+select video_id, track, pts_us - base as pts_us, dts_us - base as dts_us, is_key, md5(body) as digest from p join b using (video_id) where pts_us between base and 8000000""")
+def mp4_remuxed(spark, sf):
+    source = _clips(spark, sf)
+    target = shared_folder(spark, "remuxed")
+    mp4.write_packets(mp4.remuxed(mp4.read_packets(spark, source), 3_000_000, 8_000_000), mp4.read_tracks(spark, source).drop("duration_us"), target)
+    return _listed(mp4.read_packets(spark, target))
+
+
+@query(f"""
+with p as ({_SHOWN}), t as (select video_id, track, count(*) as n, max(dts_us) - min(dts_us) + case when count(*) > 1 then 40000 else 1 end as us from p group by all),
+v as (select video_id, n, us from t where track = 'video/avc1'), l as (select video_id, max(us) as us, bool_or(track = 'audio/mp4a') as has_audio from t group by video_id)
+select video_id, cast(160 + cast(video_id[5:] as int) % 50 as int) as width, cast(90 + cast(video_id[5:] as int) % 50 as int) as height, 90 as rotation, cast(floor(l.us / 1000) as bigint) as duration_ms, 'video/avc1' as mime, has_audio,
+  cast(case when n * 1e6 / v.us > 120 then 30 when n * 1e6 / v.us > 1 then round(n * 1e6 / v.us, 6) when n * 1e3 / floor(l.us / 1000) > 1 then round(n * 1e3 / floor(l.us / 1000), 6) else 30 end as double) as fps, n as frame_count
+from l join v using (video_id)""")
+def mp4_probed(spark, sf):
+    return mp4.probed_files(mp4.read_tracks(spark, _clips(spark, sf))).withColumn("fps", F.round("fps", 6))
+
+
+@query(f"""
+with p as ({_SHOWN}), e as (select video_id, max(dts_us) + 40000 as us from p where track = 'video/avc1' group by video_id having count(*) > 1),
+a as (select video_id, unnest([0, 1, 2]) as point, unnest([cast(floor(us * 0.15::double) as bigint), cast(floor(us * 0.5::double) as bigint), cast(floor(us * 0.85::double) as bigint)]) as at_us from e),
+k as (select video_id, point, at_us, pts_us, row_number() over (partition by video_id, point order by abs(pts_us - at_us), pts_us) as place from a join p using (video_id) where track = 'video/avc1' and is_key)
+select video_id, point::int as point, at_us, pts_us from k where place = 1""")
+def mp4_key_samples(spark, sf):
+    path = _clips(spark, sf)
+    several = mp4.read_tracks(spark, path).where("samples > 1")
+    return mp4.key_samples(mp4.read_packets(spark, path, payload="false"), several).select("video_id", "point", "at_us", "pts_us")
+
+
+@query("""
+with h as (select 'file' || o_orderkey as uri, 'clip ' || o_orderkey as name, case when o_orderkey % 3 > 0 then o_orderstatus end as res, o_custkey as el, o_orderkey * 7 as size, cast(epoch_ms(o_orderdate) as bigint) as ts, o_orderpriority as preset, 'general' as model from orders),
+n as (select * from h order by ts desc, uri limit 30)
+select uri, name, res, el, size, ts, preset, model, cast(row_number() over (order by ts desc, uri) - 1 as int) as place from n""")
+def history_stored(spark, sf):
+    """The stored text read again: fields, order and nulls."""
+    rows = read(spark, sf, "orders").select(
+        F.concat(F.lit("file"), "o_orderkey").alias("uri"), F.concat(F.lit("clip "), "o_orderkey").alias("name"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).alias("res"),
+        F.col("o_custkey").alias("elapsed_s"), (F.col("o_orderkey") * 7).alias("size_bytes"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), F.col("o_orderpriority").alias("preset"), F.lit("general").alias("model"),
+    )
+    back = control.history_rows(F.col("json"), control.STORED_TYPES)
+    return control.history_json(rows).select(F.posexplode(back).alias("place", "entry")).select("entry.*", "place")

@@ -177,28 +177,36 @@ class Y4MWriter(DataSourceWriter):
         return Written(pairs)
 
     def commit(self, messages) -> None:
-        """All files or none; what is there already is not replaced."""
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        pairs = [pair for message in messages if message for pair in message.pairs]
-        taken = [f.path for f in fs.get_file_info([final for _, final in pairs]) if f.type != pafs.FileType.NotFound] if pairs else []
-        if taken or len({final for _, final in pairs}) < len(pairs):
-            self.abort(messages)
-            raise FileExistsError(f"{len(taken)} of the videos are there already, or one comes twice")
-        moved: list[tuple[str, str]] = []
-        try:
-            for temporary, final in pairs:
-                fs.move(temporary, final)
-                moved.append((temporary, final))
-        except OSError:
-            for temporary, final in moved:
-                fs.move(final, temporary)
-            raise
+        moved_or_none(self.path, messages)
 
     def abort(self, messages) -> None:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
-        for message in messages:
-            for temporary, _ in message.pairs if message else ():
-                fs.delete_file(temporary)
+        parts_removed(self.path, messages)
+
+
+def moved_or_none(path: str, messages) -> None:
+    """All files of a job get their names, or none; what is there already is not replaced."""
+    fs, _ = pafs.FileSystem.from_uri(path)
+    pairs = [pair for message in messages if message for pair in message.pairs]
+    taken = [f.path for f in fs.get_file_info([final for _, final in pairs]) if f.type != pafs.FileType.NotFound] if pairs else []
+    if taken or len({final for _, final in pairs}) < len(pairs):
+        parts_removed(path, messages)
+        raise FileExistsError(f"{len(taken)} of the videos are there already, or one comes twice")
+    moved: list[tuple[str, str]] = []
+    try:
+        for temporary, final in pairs:
+            fs.move(temporary, final)
+            moved.append((temporary, final))
+    except OSError:
+        for temporary, final in moved:
+            fs.move(final, temporary)
+        raise
+
+
+def parts_removed(path: str, messages) -> None:
+    fs, _ = pafs.FileSystem.from_uri(path)
+    for message in messages:
+        for temporary, _ in message.pairs if message else ():
+            fs.delete_file(temporary)
 
 
 def read_video(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -214,22 +222,34 @@ def write_video(frames: DataFrame, path: str, fps: str = "30:1") -> None:
     dealt.write.format("y4m").mode("append").options(path=path, fps=fps).save()
 
 
+def rgb_of(data: bytes, channels: int) -> np.ndarray:
+    """Samples of 1 (grey), 3 (BGR) or 4 (BGRA) channels as RGB."""
+    x = np.frombuffer(data, np.uint8).reshape(-1, channels)
+    if channels == 1:
+        return np.repeat(x, 3, axis=1)
+    if channels not in (3, 4):
+        raise ValueError(f"images of {channels} channels can't be read")
+    return x[:, 2::-1]
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """A2: a directory of colour images as frames, in order of their names; the built-in source gives BGR.
+    """A2: a directory of images as frames, in order of their names.
 
-    Only names go through the window; pixels meet their numbers by a join.
+    The built-in source gives rows of 8-bit samples as BGR, BGRA or grey: grey is repeated, alpha is left
+    out, and what has another number of channels fails.  A file that is no image has no row, as in the
+    source itself.  Only names go through the window; pixels meet their numbers by a join.
     """
-    images = spark.read.format("image").load(path).select("image.*").where("nChannels = 3")
+    images = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
     parts = F.split("origin", "/")
     names = images.select("origin", F.element_at(parts, -2).alias("video_id"), F.element_at(parts, -1).alias("name"))
     numbers = names.withColumn("frame_idx", (F.row_number().over(Window.partitionBy("video_id").orderBy("name")) - 1).cast("long")).drop("name")
 
     def swapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            px = [np.frombuffer(d, np.uint8).reshape(-1, 3)[:, ::-1].tobytes() for d in batch.column("data").to_pylist()]
+            px = [rgb_of(d, n).tobytes() for d, n in zip(batch.column("data").to_pylist(), batch.column("nChannels").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("origin", "width", "height")] + [pa.array(px, pa.binary())], ["origin", "width", "height", "px"])
 
-    rows = images.select("origin", "width", "height", "data").mapInArrow(swapped, "origin string, width int, height int, px binary")
+    rows = images.select("origin", "width", "height", "nChannels", "data").mapInArrow(swapped, "origin string, width int, height int, px binary")
     return rows.join(numbers, "origin").select("video_id", "frame_idx", F.lit(0).cast("long").alias("pts_us"), "width", "height", "px")
 
 

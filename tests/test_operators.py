@@ -175,8 +175,8 @@ def test_caches(spark):
 def test_history_and_settings(spark):
     items = spark.createDataFrame([(f"u{i}", i) for i in range(40)], "uri string, ts_ms bigint")
     text = control.history_json(items).first()["json"]
-    assert [x["ts_ms"] for x in json.loads(text)] == list(range(39, 9, -1))
-    back = spark.createDataFrame([(text,), (None,), ("{",)], "t string").select(F.size(control.history_rows(F.col("t"), "uri string, ts_ms bigint")).alias("n"))
+    assert [tuple(x.items()) for x in json.loads(text)] == [(("uri", f"u{i}"), ("ts", i)) for i in range(39, 9, -1)]
+    back = spark.createDataFrame([(text,), (None,), ("{",)], "t string").select(F.size(control.history_rows(F.col("t"), "uri string, ts bigint")).alias("n"))
     assert [r["n"] for r in back.collect()] == [30, 0, 0]
     s = spark.createDataFrame([('{"model": "ANIME", "preset": "?", "natural": 0.25}',), ("nope",), (None,)], "j string").select(S.settings("j").alias("s")).collect()
     assert [(r["s"]["model"], r["s"]["preset"], r["s"]["natural"]) for r in s] == [("ANIME", "BALANCED", 0.25), ("NATURAL", "BALANCED", 1.0), ("NATURAL", "BALANCED", 1.0)]
@@ -292,14 +292,18 @@ def test_images_in_order_of_their_names(spark, tmp_path):
     import struct
     import zlib
 
-    def png(pixels_):
+    def png(pixels_, kind_=2):
         part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
         raw = b"".join(b"\0" + bytes(x for px in row for x in px) for row in pixels_)
-        head = struct.pack(">IIBBBBB", len(pixels_[0]), len(pixels_), 8, 2, 0, 0, 0)
+        head = struct.pack(">IIBBBBB", len(pixels_[0]), len(pixels_), 8, kind_, 0, 0, 0)
         return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
 
     (tmp_path / "clip").mkdir()
     (tmp_path / "clip" / "b.png").write_bytes(png([[(1, 2, 3), (4, 5, 6)]]))
     (tmp_path / "clip" / "a.png").write_bytes(png([[(9, 8, 7), (0, 0, 255)]]))
+    (tmp_path / "clip" / "c.png").write_bytes(png([[(7,), (250,)]], 0))  # grey
+    (tmp_path / "clip" / "d.png").write_bytes(png([[(1, 2, 3, 255), (4, 5, 6, 255)]], 6))  # with alpha
+    (tmp_path / "clip" / "e.png").write_bytes(b"no image")
     got = video.read_images(spark, str(tmp_path / "clip")).orderBy("frame_idx").collect()
-    assert [(r["video_id"], r["frame_idx"], r["width"], r["height"], list(r["px"])) for r in got] == [("clip", 0, 2, 1, [9, 8, 7, 0, 0, 255]), ("clip", 1, 2, 1, [1, 2, 3, 4, 5, 6])]
+    expected = [[9, 8, 7, 0, 0, 255], [1, 2, 3, 4, 5, 6], [7, 7, 7, 250, 250, 250], [1, 2, 3, 4, 5, 6]]
+    assert [(r["video_id"], r["frame_idx"], r["width"], r["height"], list(r["px"])) for r in got] == [("clip", k, 2, 1, px) for k, px in enumerate(expected)]
