@@ -3,7 +3,9 @@
 Members are classes of equal sets.  A `Check` says which pairs of sketches may be
 links, and when two sets are.  In each bucket the smallest member is the hub.
 
-1. Buckets of the same members are one (128 bits of a hash of their members).
+1. Buckets of the same members are one (128 bits of a hash of their members), and so
+   are a hub's buckets if together they have at most `MERGE` times the members of its
+   largest: what groups of near copies share gives them many buckets of much the same members.
 2. Pairs of hub and member are compared by their sketches.  Only the likely ones
    bring texts: a hub's text once for `BLOCK` members, each member's once a hub.
 3. Buckets that their hubs' links do not hold together are compared in cells of
@@ -32,6 +34,8 @@ from .common import discarded, made, saved
 #: Members of a block whose sketches are compared; members, and shingles, of one whose sets are.
 SKETCHES = 512
 BLOCK, BLOCK_SHINGLES = 256, 300_000
+#: How much larger than its largest bucket the union of a hub's buckets may be.
+MERGE = 2
 #: Places where members of a mixed bucket meet its statistics.
 SALTS = 16
 #: Columns of the matrix of shingles that are held at once.
@@ -71,7 +75,13 @@ def buckets(keyed: DataFrame) -> DataFrame:
     mark = lambda salt: F.expr(f"bit_xor(xxhash64(node, {salt}L))")
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
     hubs = hubs.groupBy("hub", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "hub", "n")
-    return saved(keyed.join(saved(hubs, "hubs"), "key"), "buckets")  # read from tables, both sides of the join are shuffled and can be split
+    own = saved(keyed.join(saved(hubs, "hubs"), "key"), "own-buckets")  # read from tables, both sides of the join are shuffled and can be split
+    several = own.groupBy("hub").agg(F.max("n").alias("largest"), F.count("*").alias("rows")).where(F.col("rows") > F.col("largest"))
+    both = saved(own.join(several.select("hub", "largest"), "hub").select("hub", "node", "n_shingles", "largest").distinct(), "unions")
+    merged = saved(both.groupBy("hub").agg(F.count("*").alias("n"), F.max("largest").alias("largest")).where(F.col("n") <= MERGE * F.col("largest")).select("hub", "n"), "merged")
+    apart = own.join(merged.select("hub"), "hub", "left_anti").select("key", "node", "n_shingles", "hub", "n")
+    union = both.join(merged, "hub").select(F.col("hub").alias("key"), "node", "n_shingles", "hub", "n")
+    return saved(apart.union(union), "buckets")
 
 
 def likely(check: Check) -> Callable:
