@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from cinetide.functions import flow
+
 THUMB = 32
 
 
@@ -326,35 +328,23 @@ def stabilised(out: np.ndarray, last_out: np.ndarray | None, source: np.ndarray,
     return ((out.astype(np.int32) * (256 - a) + last_out.astype(np.int32) * a) >> 8).astype(np.uint8)
 
 
-def block_motion(last: np.ndarray, now: np.ndarray, block: int = 8, reach: int = 4) -> np.ndarray:
-    """Displacement (dy, dx) of each block that fits the last luma best; ties go to the smallest."""
-    h, w = now.shape
-    shifts = sorted(((dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)), key=lambda s: (s[0] ** 2 + s[1] ** 2, s))
-    padded = np.pad(last.astype(np.int32), reach, mode="edge")
-    bh, bw = -(-h // block), -(-w // block)
-    best, flow = np.full((bh, bw), np.inf), np.zeros((bh, bw, 2), np.int64)
-    for dy, dx in shifts:
-        diff = np.abs(now - padded[reach + dy : reach + dy + h, reach + dx : reach + dx + w]).astype(np.float64)
-        diff = np.pad(diff, ((0, bh * block - h), (0, bw * block - w)))
-        cost = diff.reshape(bh, block, bw, block).sum(axis=(1, 3))
-        better = cost < best
-        best[better], flow[better] = cost[better], (dy, dx)
-    return flow
+def grey(rgb: np.ndarray) -> np.ndarray:
+    return np.rint(rgb.astype(np.float64) @ np.array([0.299, 0.587, 0.114]))
 
 
 def compensated(out: np.ndarray, last_out: np.ndarray | None, source: np.ndarray, last_source: np.ndarray | None) -> np.ndarray:
     """Blends with the previous output moved along the source's motion; none where they differ or at a cut.
 
-    The motion comes from block matching, a published estimator that needs no
-    library; weights and limits are the inventory's.
+    Motion is dense (see flow), found on the sources and brought to the output's size; the previous output
+    is sampled at fractional places, mirrored at its edges.
     """
     now = out.astype(np.float64)
-    if last_out is None or last_source is None or last_out.shape != out.shape:
+    if last_out is None or last_source is None or last_out.shape != out.shape or last_source.shape != source.shape:
         return now
-    scale = out.shape[1] // source.shape[1]
-    flow = block_motion(luma_256(last_source), luma_256(source)).repeat(8 * scale, axis=0).repeat(8 * scale, axis=1)[: out.shape[0], : out.shape[1]] * scale
-    y, x = np.indices(out.shape[:2])
-    moved = last_out.astype(np.float64)[np.clip(y + flow[..., 0], 0, out.shape[0] - 1), np.clip(x + flow[..., 1], 0, out.shape[1] - 1)]
+    h, w = out.shape[:2]
+    motion = flow.resized(flow.dense_flow(grey(last_source), grey(source)), h, w) * (w / source.shape[1])
+    y, x = np.mgrid[0:h, 0:w].astype(np.float64)
+    moved = flow.sampled(last_out.astype(np.float64), x - motion[..., 0], y - motion[..., 1], reflect=True)
     error = np.abs(moved - now).mean(axis=2, keepdims=True)
     alpha = np.clip(1 - error / 18, 0, 1) * 0.55 * (error.mean() <= 25)
     return now * (1 - alpha) + moved * alpha

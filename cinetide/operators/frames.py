@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinetide.functions import pixels
+from cinetide.functions import flow, pixels
 from cinetide.functions import scalars as S
 
 DUPLICATE, CUT, FIRST = 0.05, 40.0, 255.0
@@ -161,3 +161,28 @@ def reordered_prefix(df: DataFrame, keys: Sequence[str], order: str, start: int
     """The rows that can be emitted: those without a gap in the order before them."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1 + start
     return df.withColumn("_place", place).where(F.col(order) == F.col("_place")).drop("_place")
+
+
+def motion(frames: DataFrame) -> DataFrame:
+    """How each frame moved against the one before it: medians of its dense motion, in pixels; a clip's first frame, and one of another size, has none.
+
+    Each frame meets its neighbour by a join on clip and index, so frames of one clip spread over all tasks.
+    """
+    last = frames.select("video_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("px").alias("last_px"), F.col("width").alias("last_width"), F.col("height").alias("last_height"))
+    pairs = frames.select("video_id", "frame_idx", "width", "height", "px").join(last, ["video_id", "frame_idx"], "left")
+    schema = "video_id string, frame_idx bigint, dx double, dy double"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            names = ("width", "height", "px", "last_width", "last_height", "last_px")
+            for w, h, px, lw, lh, last_px in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if last_px is None or (lw, lh) != (w, h):
+                    found.append((None, None))
+                else:
+                    moved = flow.dense_flow(pixels.grey(pixels.frame(last_px, w, h)), pixels.grey(pixels.frame(px, w, h)))
+                    found.append(tuple(float(m) for m in np.median(moved, axis=(0, 1))))
+            dx, dy = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(dx, pa.float64()), pa.array(dy, pa.float64())], ["video_id", "frame_idx", "dx", "dy"])
+
+    return pairs.mapInArrow(run, schema)

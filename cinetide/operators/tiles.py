@@ -1,20 +1,23 @@
 """Tiles, inference and the frame pipeline.
 
 The upscaling kernel is a parameter: any function of (n, 3, T, T) float arrays to
-(n, 3, 4T, 4T).  The built-in one is bilinear; `onnx_kernel` runs a model file
-that is sent with SparkContext.addFile, loaded once per worker.
+(n, 3, 4T, 4T).  The built-in one is bilinear; `net_kernel` runs a network whose
+weights are rows of a table (J9, J10, J13), built once per worker; `onnx_kernel` runs a
+model file that is sent with SparkContext.addFile, loaded once per worker.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinetide.functions import pixels
+from cinetide.functions import nets, pixels
 from cinetide.functions.scalars import OVERLAP
 from cinetide.schemas import FRAMES
 
@@ -68,7 +71,55 @@ def checked(kernel: Kernel, tile: int) -> Kernel:
     return kernel
 
 
+#: Bytes of weights that the driver takes and sends to the workers.
+WEIGHT_BYTES = 256 << 20
 _sessions: dict[str, object] = {}
+_networks: dict[str, Kernel] = {}
+
+
+def tensors_of(weights: DataFrame, most_bytes: int = WEIGHT_BYTES) -> nets.Tensors:
+    """The tensors of a table (name, shape, values), fetched once their size is known to fit.
+
+    A name that comes twice, or a shape that its values don't fill, is an error.
+    """
+    size = 4 * (weights.agg(F.sum(F.size("values"))).first()[0] or 0)
+    if size > most_bytes:
+        raise ValueError(f"the weights have {size} bytes, {most_bytes} are allowed")
+    rows = weights.select("name", "shape", "values").collect()
+    out = {r["name"]: np.array(r["values"], np.float32).reshape(r["shape"]) for r in rows}
+    if len(out) < len(rows):
+        raise ValueError("a tensor comes twice")
+    return out
+
+
+def weight_rows(spark: SparkSession, tensors: nets.Tensors) -> DataFrame:
+    """Tensors as a table (name, shape, values)."""
+    rows = [(name, list(t.shape), t.ravel().tolist()) for name, t in tensors.items()]
+    return spark.createDataFrame(rows, "name string, shape array<int>, values array<float>")
+
+
+def net_kernel(weights: DataFrame) -> Kernel:
+    """The network that a table of weights holds; they are broadcast, and the network is built once per worker."""
+    tensors = tensors_of(weights)
+    nets.kind(tensors)
+    sent, key = weights.sparkSession.sparkContext.broadcast(tensors), uuid.uuid4().hex
+
+    def run(planes: np.ndarray) -> np.ndarray:
+        if key not in _networks:
+            _networks[key] = nets.network(sent.value)
+        return _networks[key](planes)
+
+    return run
+
+
+def add_model(weights: DataFrame, name: str, folder: str) -> str:
+    """The network as an ONNX file `<folder>/<name>.onnx`, sent to the workers; its name for onnx_kernel."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}.onnx") as sink:
+        sink.write(nets.graph(tensors_of(weights), name))
+    weights.sparkSession.sparkContext.addFile(f"{folder}/{name}.onnx")
+    return f"{name}.onnx"
 
 
 def onnx_kernel(name: str) -> Kernel:
@@ -140,6 +191,27 @@ def inferred(
     return frames.mapInArrow(run, schema)
 
 
+def enhanced(images: DataFrame, kernels: dict[str, Kernel], scale: int = SCALE, tile: int = 128, fallback: str = "general") -> DataFrame:
+    """Single images through the kernel that their column `model` names; a name that is not known, or none, takes the fallback.
+
+    Other scales than four are resampled from the result.
+    """
+    schema = FRAMES + ", model string"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {name: checked(kernel, tile) for name, kernel in kernels.items()}
+        for batch in batches:
+            outs, names = [], []
+            for px, w, h, model in zip(*(batch.column(c).to_pylist() for c in ("px", "width", "height", "model")), strict=True):
+                names.append(model if model in kernels else fallback)
+                big = upscaled(pixels.frame(px, w, h), own[names[-1]], tile)
+                outs.append(big if scale == SCALE else np.clip(np.rint(pixels.lanczos(big, w * scale, h * scale)), 0, 255).astype(np.uint8))
+            part = _frames(batch, outs)
+            yield part.append_column("model", pa.array(names, pa.string()))
+
+    return images.select(*(c.split()[0] for c in schema.split(", "))).mapInArrow(run, schema)
+
+
 def _frames(batch: pa.RecordBatch, outs: list[np.ndarray], source: pa.Array | None = None) -> pa.RecordBatch:
     """A batch with new pixels, and with the source, if any, as a further column."""
     names = ["video_id", "frame_idx", "pts_us", "width", "height", "px"]
@@ -219,7 +291,7 @@ def blended_weights(a: DataFrame, b: DataFrame, share: float = 0.5) -> DataFrame
     """Tensors (name, values) interpolated element by element."""
     other = b.select("name", F.col("values").alias("other"))
     mixed = F.zip_with("values", "other", lambda x, y: (x * F.lit(share) + y * F.lit(1 - share)).cast("float"))
-    return a.join(other, "name").select("name", mixed.alias("values"))
+    return a.join(other, "name").select(*(c for c in a.columns if c != "values"), mixed.alias("values"))
 
 
 def architecture(names: DataFrame, name: str = "name") -> DataFrame:

@@ -6,6 +6,7 @@ The tables hold no video: each query runs an operator on rows of the same shape
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1128,6 +1129,110 @@ def upscale_smoke(spark, sf):
     return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))
 
 
+# ---- networks and motion ----
+
+#: A corner of each frame, and the weights of a compact network of two features, by a rule in whole numbers, so that results are exact.
+CORNER_X, CORNER_Y = 8, 6
+_WEIGHT_OF = "((o * 7 + i * 5 + r * 3 + q * 11) % 3 - 1)"
+
+
+def _net_weights(spark, sf):
+    """The tensors of the network as a table, for each region's name (the first one is used)."""
+    sizes = [("body.0.weight", 2, 3), ("body.2.weight", 48, 2)]
+    layers = spark.createDataFrame(sizes, "name string, outs int, ins int").join(read(spark, sf, "region").agg(F.min("r_regionkey").alias("base")))
+    at = lambda n: F.sequence(F.lit(0), n - 1)
+    grid = layers.select("*", F.explode(at(F.col("outs"))).alias("o")).select("*", F.explode(at(F.col("ins"))).alias("i")).select("*", F.explode(at(F.lit(3))).alias("r")).select("*", F.explode(at(F.lit(3))).alias("q"))
+    value = F.struct("o", "i", "r", "q", ((F.col("o") * 7 + F.col("i") * 5 + F.col("r") * 3 + F.col("q") * 11) % 3 - 1).cast("float").alias("v"))
+    convs = grid.groupBy("name", "outs", "ins").agg(F.sort_array(F.collect_list(value)).alias("all")).select("name", F.array("outs", "ins", F.lit(3), F.lit(3)).alias("shape"), F.transform("all", lambda e: e["v"]).alias("values"))
+    biases = layers.select(F.regexp_replace("name", "weight", "bias").alias("name"), F.array("outs").alias("shape"), F.transform(at(F.col("outs")), lambda k: (k % 5 - 2).cast("float")).alias("values"))
+    slopes = layers.where("name like 'body.0%'").select(F.lit("body.1.weight").alias("name"), F.array("outs").alias("shape"), F.transform(at(F.col("outs")), lambda k: (k + 2).cast("float")).alias("values"))
+    return convs.union(biases).union(slopes)
+
+
+def _in_corner(x: str, y: str, value: str) -> str:
+    return f"(case when {x} between 0 and {CORNER_X - 1} and {y} between 0 and {CORNER_Y - 1} then {value} else 0 end)"
+
+
+def _hidden_sql(o: int) -> str:
+    terms = []
+    for r in range(3):
+        for q in range(3):
+            for i, channel in enumerate(_pixel_sql(f"x + {q - 1}", f"y + {r - 1}")):
+                if weight := (o * 7 + i * 5 + r * 3 + q * 11) % 3 - 1:
+                    terms.append(f"{weight:+d} * {_in_corner(f'x + {q - 1}', f'y + {r - 1}', channel)}")
+    return f"({o % 5 - 2} {' '.join(terms)})"
+
+
+_CHANNEL = "(case o // 16 when 0 then {} when 1 then {} else {} end)".format(*_pixel_sql("x", "y"))
+_NET_SQL = f"""
+with {_FRAMES_OF}, h as (select video_id, frame_idx, x, y, v, w, {_hidden_sql(0)} as h0, {_hidden_sql(1)} as h1 from f, range({CORNER_X}) as a(x), range({CORNER_Y}) as b(y)),
+p as (select video_id, frame_idx, x, y, v, w, case when h0 > 0 then h0 else 2 * h0 end as h0, case when h1 > 0 then h1 else 3 * h1 end as h1 from h),
+taps as (select o, i, r, q, {_WEIGHT_OF} as k from range(48) as a(o), range(2) as b(i), range(3) as c(r), range(3) as d(q)),
+lists as (select o, list(k order by r, q, i) as ks from taps group by o),
+near as (select m.video_id, m.frame_idx, m.x, m.y, m.v, m.w, flatten(list([coalesce(n.h0, 0), coalesce(n.h1, 0)] order by r, q)) as hs
+  from p m cross join range(3) as c(r) cross join range(3) as d(q) left join p n on n.video_id = m.video_id and n.frame_idx = m.frame_idx and n.x = m.x + q - 1 and n.y = m.y + r - 1 group by all),
+outs as (select video_id, frame_idx, 4 * x + o % 4 as big_x, 4 * y + (o // 4) % 4 as big_y, o // 16 as c, cast(list_inner_product(hs, ks) as bigint) + o % 5 - 2 + {_CHANNEL} as value from near, lists)
+select video_id, frame_idx, cast(sum(value * (1 + (big_x * 7 + big_y * 13 + c * 29) % 101)) as bigint) as digest from outs group by 1, 2"""
+
+
+def _corner_through(kernel):
+    import numpy as np
+
+    def run(rgb):
+        planes = rgb[:CORNER_Y, :CORNER_X].transpose(2, 0, 1)[None].astype(np.float32)
+        return np.rint(kernel(planes)[0]).astype(np.int64).transpose(1, 2, 0)
+
+    return run
+
+
+@query(_NET_SQL)
+def net_compact(spark, sf):
+    """A compact network whose weights are a table, on a corner of each frame."""
+    return frames.digests(part_clips(spark, sf), _corner_through(tiles.net_kernel(_net_weights(spark, sf))))
+
+
+@query(_NET_SQL)
+def net_as_onnx(spark, sf):
+    """The same network, written as an ONNX file and run by the runtime."""
+    return frames.digests(part_clips(spark, sf), _corner_through(tiles.onnx_kernel(tiles.add_model(_net_weights(spark, sf), f"net{uuid.uuid4().hex}", shared_folder(spark, "models")))))
+
+
+@query("""
+with n as (select p_brand as video_id, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) - 1 as frame_idx from part)
+select video_id, frame_idx, case when frame_idx % 2 = 1 then p_size % 5 - 2 end as dx, case when frame_idx % 2 = 1 then p_size % 7 - 3 end as dy from n""")
+def motion_found(spark, sf):
+    """Every second frame is the one before it, moved by whole pixels that its part tells; motion() finds them."""
+    moved = frames.motion(moved_clips(spark, sf)).where("dx is not null or frame_idx = 0")
+    found = lambda c: F.when(F.col("frame_idx") % 2 == 1, F.round(c).cast("long")).alias(c)
+    return moved.select("video_id", "frame_idx", found("dx"), found("dy"))
+
+
+def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of frames with a pattern of waves from a part's price; the second one is moved."""
+    from cinetide.schemas import FRAMES
+
+    by = Window.partitionBy("video_id").orderBy("p_partkey")
+    rows = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").cast("double").alias("price"))
+    rows = rows.withColumn("frame_idx", (F.row_number().over(by) - 1).cast("long"))
+    odd = F.col("frame_idx") % 2 == 1
+    rows = rows.select("video_id", "frame_idx", F.when(odd, F.lag("price").over(by)).otherwise(F.col("price")).alias("price"), F.when(odd, F.col("size") % 5 - 2).otherwise(0).alias("dx"), F.when(odd, F.col("size") % 7 - 3).otherwise(0).alias("dy"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = np.mgrid[0:48, 0:64]
+        for batch in batches:
+            price, dx, dy = (batch.column(c).to_numpy()[:, None, None] for c in ("price", "dx", "dy"))
+            u, v = x - dx, y - dy
+            wave = np.sin(u * (0.35 + price % 7 / 50) + price) + np.sin(v * (0.4 + price % 11 / 80) - price) + np.sin((u + 2 * v) * 0.21 + price % 3)
+            px = np.repeat(np.clip(np.rint(127.5 + wave * 40), 0, 255).astype(np.uint8)[..., None], 3, axis=-1)
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(batch.column("frame_idx").to_numpy() * 33_333), pa.array([64] * n, pa.int32()), pa.array([48] * n, pa.int32()), pa.array([p.tobytes() for p in px], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+
+    return rows.mapInArrow(run, FRAMES)
+
+
 # ---- files of packets ----
 
 #: A supplier's lines as the packets of a clip: two tracks, key frames, video decoded in another order than shown.

@@ -115,16 +115,6 @@ def test_stabiliser_by_loops():
     assert (P.stabilised(now, last, b, a, 0.0) == now).all() and (P.stabilised(now, None, b, None, 0.5) == now).all()
 
 
-def test_motion_compensation_follows_a_shift_and_stops_at_cuts():
-    big = P.bilinear(noise(12, 12), 60, 60)
-    a, b = big[4:52, 4:52], big[4:52, 6:54]
-    flow = P.block_motion(P.luma_256(a), P.luma_256(b))
-    assert (flow[1:-1, 1:-1] == (0, 2)).all()
-    still = P.compensated(a, a.astype(float), a, a)
-    assert np.allclose(still, a)
-    assert (P.compensated(a, 255.0 - a, a, a) == a).mean() > 0.5
-
-
 def test_grade_and_render():
     x = noise(6, 6)
     assert (P.rendered(x, "OFF", 0.0) == x).all()
