@@ -12,24 +12,30 @@ largest first, to the lightest shard, so two shards differ by at most the larges
 slot's bytes; later ones keep that as long as a slot can be moved.  Since ids and
 texts are hashed, copies of one text and rows of one source spread over all slots.
 
-Hot slots.  Rows without an id, and rows of a slot that holds more than 1 of `HOT`
-of all bytes (an equal record repeated very often), have no slot by their content:
-they are dealt over all slots by their number in a table of the records, so neither
-a slot nor a task grows with a repeated record.
-
-Defined results: a null text has no bytes (size 1, crc32 0); rows with a null id
-are records like any other, in any shard; repeated rows are separate records;
-records of one id may be in several shards if their texts differ; ties in a shard's
-order are between equal records only; a very long text counts its bytes and stays
-one record; an empty table gives an empty result; other columns are ignored by the
-query and kept by assigned(), where columns named shard and virtual_slot are replaced.
+Equal records.  A record's slot is a function of its content and, for records that
+are equal in id and text, of their ordinal: the first is hashed by content alone, the k-th
+by content and k.  So a record that stands there millions of times spreads over all
+slots, and which slots it takes depends on nothing but how often it stands there.
+Ordinals are counted in parts: a row's place in its input partition, plus the rows of
+earlier partitions, so no group is ever ordered in one task.
+
+Defined results: a null text has no bytes (size 1, crc32 0); a null id is content
+like any other; repeated rows are separate records; records of one id may be in
+several shards if their texts differ; ties in a shard's order are between equal
+records only; a very long text counts its bytes and stays one record; with fewer
+shards than before, the slots of those that go are dealt to the lightest that stay;
+an empty table gives an empty result; other columns are ignored by the query and
+kept by assigned(), where columns named shard and virtual_slot are replaced.
 """
 
 from __future__ import annotations
 
 import bisect
+import hashlib
 import heapq
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,9 +45,8 @@ from .common import saved, scratch_root, table
 #: Virtual slots; fixed for the life of a data set, and a proven bound of the map's rows.
 SLOTS = 4096
 SHARDS = 8
-#: A slot with more than this part of all bytes is hot: there are at most so many.
-HOT = 128
-MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes bigint, slot_rows bigint, hot boolean"
+MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes bigint, slot_rows bigint"
+CONTENT = ["doc_id", "text_crc32", "size"]
 
 
 # ---- the map ----
@@ -70,18 +75,24 @@ def first_map(stats: list[tuple[int, int, int]], shards: int = SHARDS, slots: in
 
 
 def edited_map(old: list[tuple], stats: list[tuple[int, int, int]], shards: int) -> list[tuple]:
-    """The next version for new statistics or more shards, moving few slots.
+    """The next version for new statistics or another number of shards, moving few slots.
 
-    Again and again the slot nearest to half the gap goes from the heaviest shard
-    to the lightest, as long as that narrows the gap; all others stay.
+    Slots of shards that are no more go to the lightest ones, largest first.  Then, again
+    and again, the slot nearest to half the gap goes from the heaviest shard to the
+    lightest, as long as that narrows the gap; all others stay.
     """
     known = {slot: (size, rows) for slot, size, rows in stats}
     where = {slot: shard for _, slot, shard, _, _ in old}
     held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     for slot, shard in where.items():
-        if size := known.get(slot, (0, 0))[0]:
+        if (size := known.get(slot, (0, 0))[0]) and shard < shards:
             bisect.insort(held[shard], (size, slot))
     loads = [sum(size for size, _ in own) for own in held]
+    for slot in sorted((k for k, shard in where.items() if shard >= shards), key=lambda k: (-known.get(k, (0, 0))[0], k)):
+        where[slot] = light = loads.index(min(loads))
+        if size := known.get(slot, (0, 0))[0]:
+            bisect.insort(held[light], (size, slot))
+            loads[light] += size
     while True:
         heavy, light = loads.index(max(loads)), loads.index(min(loads))
         gap = loads[heavy] - loads[light]
@@ -102,7 +113,7 @@ def edited_map(old: list[tuple], stats: list[tuple[int, int, int]], shards: int)
 def last_map(spark: SparkSession, path: str) -> list[tuple]:
     """The rows of the last committed version of the map at the path, or none."""
     try:
-        maps = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/*")
+        maps = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v*")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -112,50 +123,61 @@ def last_map(spark: SparkSession, path: str) -> list[tuple]:
 
 
 def commit(spark: SparkSession, rows: list[tuple], path: str) -> DataFrame:
-    """Writes a version of the map; fails if another run has committed the version meanwhile, and replaces what a broken run left of it."""
-    folder = f"{path}/v{rows[0][0]:06d}"
-    new = spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1)
+    """Writes a version of the map whole and then gives it its name, which fails if another run has taken it: of two runs one commits."""
+    folder, written = f"{path}/v{rows[0][0]:06d}", f"{path}/_{uuid.uuid4().hex}"
+    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(written)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (written, folder))
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.getFileSystem(conf).makeQualified(source).toUri(), conf)
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        new.write.mode("errorifexists").parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_ALREADY_EXISTS" or not spark.read.schema(MAP_SCHEMA).parquet(folder).isEmpty():
+        files.rename(files.makeQualified(source), files.makeQualified(target), none)
+    except Py4JJavaError as e:
+        files.delete(files.makeQualified(source), True)
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
             raise
-        new.write.mode("overwrite").parquet(folder)
+        raise FileExistsError(f"another run has committed {folder}") from e
     return spark.read.schema(MAP_SCHEMA).parquet(folder)
 
 
-def rebalanced(spark: SparkSession, stats: list[tuple[int, int, int]], hot: set[int], path: str, shards: int = SHARDS) -> DataFrame:
+def rebalanced(spark: SparkSession, stats: list[tuple[int, int, int]], path: str, shards: int = SHARDS) -> DataFrame:
     """The map at the path for slots with these bytes and rows: the committed one if it still fits, else the next version."""
     old = last_map(spark, path)
-    new = edited_map([r[:5] for r in old], stats, shards) if old else first_map(stats, shards)
-    rows = [(*r, r[1] in hot) for r in new]
-    if old and [r[1:] for r in old] == [r[1:] for r in rows]:
+    new = edited_map(old, stats, shards) if old else first_map(stats, shards)
+    if old and [r[1:] for r in old] == [r[1:] for r in new]:
         return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/v{old[0][0]:06d}")
-    return commit(spark, rows, path)
+    return commit(spark, new, path)
 
 
 # ---- records ----
 
 
-def with_slots(records: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], set[int]]:
-    """Records (doc_id, size, text_crc32) as a table with a slot each; bytes and rows of the slots; the hot ones by content."""
-    by_content = F.when(F.col("doc_id").isNotNull(), hashed_slot("doc_id", "text_crc32", "size"))
-    numbered = records.select("doc_id", "size", "text_crc32", by_content.alias("by_content"), F.monotonically_increasing_id().alias("number"))
-    numbered = saved(numbered, "records")  # the numbers must be the same whenever they are read
-    stats = numbered.groupBy("by_content").agg(F.sum("size").alias("slot_bytes")).collect()  # at most SLOTS rows and one
-    total = sum(size for _, size in stats)
-    hot = {slot for slot, size in stats if slot is not None and size * HOT > total}
-    rehash = F.col("by_content").isNull() | F.col("by_content").isin(sorted(hot)) if hot else F.col("by_content").isNull()
-    out = numbered.withColumn("virtual_slot", F.when(rehash, hashed_slot("number")).otherwise(F.col("by_content"))).drop("by_content", "number")
-    return out, [tuple(r) for r in slot_stats(out).collect()], hot
+def with_slots(records: DataFrame) -> DataFrame:
+    """Rows that have the columns CONTENT with their virtual_slot, a function of content and of the ordinal among equal rows."""
+    repeats = saved(records.groupBy(*CONTENT).count().where("count > 1").select(*(F.col(c).alias(f"_{c}") for c in CONTENT)), "repeats")
+    if repeats.isEmpty():
+        return records.withColumn("virtual_slot", hashed_slot(*CONTENT))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size"))
+    once = records.join(repeats, same, "left_anti").withColumn("virtual_slot", hashed_slot(*CONTENT))
+    tagged = records.withColumns({"_part": F.spark_partition_id(), "_number": F.monotonically_increasing_id()})
+    again = saved(tagged.join(repeats, same, "left_semi"), "repeated")  # parts and numbers must be the same whenever they are read
+    before = Window.partitionBy(*CONTENT).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = again.groupBy(*CONTENT, "_part").count().select(*(F.col(c).alias(f"_{c}") for c in CONTENT), F.col("_part").alias("_of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(*CONTENT, "_part").orderBy("_number")
+    rows = again.withColumn("_nth", F.row_number().over(own) - 1).join(starts, same & (F.col("_part") == F.col("_of")))
+    ordinal = F.col("_start") + F.col("_nth")
+    slot = F.when(ordinal == 0, hashed_slot(*CONTENT)).otherwise(hashed_slot(*CONTENT, ordinal))
+    return once.unionByName(rows.withColumn("virtual_slot", slot).select(once.columns))
 
 
 def measured(docs: DataFrame) -> DataFrame:
     """Id, size and checksum of each document."""
-    text = F.col("text").cast("binary")
-    return docs.select(
-        F.col("doc_id").cast("bigint"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32")
-    )
+    return docs.select(*content())
+
+
+def content() -> list[Column]:
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    return [F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32")]
 
 
 def placed(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
@@ -164,8 +186,9 @@ def placed(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
     A place is the rows of the shard's earlier virtual slots plus the place in the
     own one, so that only rows of one virtual slot are ever ordered together.
     """
-    records, stats, hot = with_slots(measured(docs))
-    slots = rebalanced(docs.sparkSession, stats, hot, path, shards)
+    records = with_slots(saved(measured(docs), "records"))
+    stats = [tuple(r) for r in slot_stats(records).collect()]  # SLOTS rows
+    slots = rebalanced(docs.sparkSession, stats, path, shards)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slots.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("start"))
     own = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
@@ -174,23 +197,23 @@ def placed(docs: DataFrame, path: str, shards: int = SHARDS) -> DataFrame:
 
 
 def assigned(docs: DataFrame, path: str) -> DataFrame:
-    """The documents with the virtual_slot and shard that the committed map gives them; all columns, no shuffle."""
+    """The documents with the virtual_slot and shard that the committed map gives them; all columns.
+
+    The slots are those of placed(); only rows that stand there more than once are shuffled.
+    """
     rows = last_map(docs.sparkSession, path)
     if not rows:
         raise ValueError(f"no map at {path}")
-    hot = sorted(r[1] for r in rows if r[5])
-    text = F.col("text").cast("binary")
-    content = hashed_slot(F.col("doc_id").cast("bigint"), F.coalesce(F.crc32(text), F.lit(0)), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
-    rehash = F.col("doc_id").isNull() | content.isin(hot) if hot else F.col("doc_id").isNull()
-    out = docs.withColumn("virtual_slot", F.when(rehash, hashed_slot(F.monotonically_increasing_id())).otherwise(content))
+    kept = [c for c in docs.columns if c not in ("virtual_slot", "shard")]
     slots = docs.sparkSession.createDataFrame([(r[1], r[2]) for r in rows], "virtual_slot int, shard int")
-    return out.drop("shard").join(F.broadcast(slots), "virtual_slot").select(*(c for c in docs.columns if c not in ("virtual_slot", "shard")), "virtual_slot", "shard")
+    return with_slots(docs.select(F.struct(*kept).alias("_row"), *content())).join(F.broadcast(slots), "virtual_slot").select("_row.*", "virtual_slot", "shard")
 
 
 def map_path(spark: SparkSession, dataset: str) -> str:
-    """Where the shared folder keeps a data set's maps."""
-    name = "".join(c if c.isalnum() else "-" for c in dataset.strip("/"))
-    return f"{scratch_root(spark)}/cinetide/shard-maps/{name}"
+    """Where the shared folder keeps a data set's maps: its name for readers, and a checksum that tells names apart."""
+    dataset = dataset.rstrip("/")
+    name = "".join(c if c.isalnum() else "-" for c in dataset.strip("/"))[-80:]
+    return f"{scratch_root(spark)}/cinetide/shard-maps/{name}-{hashlib.sha256(dataset.encode()).hexdigest()[:16]}"
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Pieces, media, licences, sharding, the pipeline."""
 
+import collections
 import hashlib
 import os
 import random
@@ -11,6 +12,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -409,6 +411,92 @@ def test_hot_records_spread(spark, row):
     assert max(per_slot.values()) < 40
 
 
+def _brute_slots(records):
+    """Slots of (doc_id, size, crc) records in any order, by the published hash, and the multiset of (record, slot)."""
+
+    def hashed(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64(struct.pack("<q", v), seed).intdigest()
+        return (seed - (1 << 64) if seed >= 1 << 63 else seed) % sharding.SLOTS
+
+    return sorted(
+        ((r, hashed(r[0], r[2], r[1], *([k] if k else []))) for r, n in collections.Counter(records).items() for k in range(n)), key=str
+    )
+
+
+def test_the_query_equals_brute_force(spark, small):
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    slots = _brute_slots([(i, len(t) + 1, zlib.crc32(t)) for i, t in texts.items()])
+    stats = collections.defaultdict(lambda: [0, 0])
+    for (_, size, _), slot in slots:
+        stats[slot][0] += size
+        stats[slot][1] += 1
+    shards = {r[1]: r[2] for r in sharding.first_map([(k, *v) for k, v in stats.items()])}
+    places, expected = collections.Counter(), []
+    for record, slot in sorted(slots, key=lambda x: (x[1], x[0][0], x[0][2])):
+        expected.append((*record, shards[slot], places[shards[slot]], slot))
+        places[shards[slot]] += 1
+    got = sharding.placed(spark.read.parquet(f"{small}/documents.parquet"), scratch(spark, "map"))
+    assert sorted(tuple(r) for r in got.select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot").collect()) == sorted(expected)
+
+
+def test_slots_follow_from_records_alone(spark, odd):
+    """Whatever the partitions: the same records in the same shards, no new version, and assigned() says the same."""
+    rows = [(i if i % 4 else None, f"text {i % 3000}") for i in range(4000)] + [(7, "hot")] * 1500 + [(None, "hot")] * 700 + [(5, "long " * 200_000)]
+    path = scratch(spark, "map")
+    seen = []
+    for parts in (3, 7):
+        docs = _docs(spark, rows).repartition(parts)
+        placed = sharding.placed(docs, path)
+        seen.append(sorted((tuple(r) for r in placed.select("doc_id", "size", "text_crc32", "virtual_slot", "shard").collect()), key=str))
+        text = F.col("text").cast("binary")
+        out = sharding.assigned(docs.withColumn("shard", F.lit("x")), path).select("doc_id", (F.octet_length("text") + 1).cast("long"), F.crc32(text), "virtual_slot", "shard")
+        seen.append(sorted((tuple(r) for r in out.collect()), key=str))
+        assert {r[0] for r in sharding.last_map(spark, path)} == {1}
+    assert all(s == seen[0] for s in seen) and len(seen[0]) == len(rows)
+    records = [(i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in rows]
+    assert sorted(((r[:3], r[3]) for r in seen[0]), key=str) == _brute_slots(records)
+    own = sharding.assigned(odd, _placed_path(spark, odd))
+    assert own.count() == odd.count() and own.drop("virtual_slot", "shard").columns == odd.columns
+
+
+def _placed_path(spark, docs):
+    path = scratch(spark, "map")
+    sharding.placed(docs, path).count()
+    return path
+
+
+def test_fewer_shards_and_names_of_maps(spark):
+    stats = [(k, 100 + k % 7, 1) for k in range(sharding.SLOTS)]
+    first = sharding.first_map(stats)
+    fewer = sharding.edited_map(first, stats, 5)
+    loads = [sum(r[3] for r in fewer if r[2] == s) for s in range(5)]
+    assert {r[2] for r in fewer} == set(range(5)) and max(loads) - min(loads) < 250
+    stayed = {r[1]: r[2] for r in first if r[2] < 5}
+    assert sum(r[2] != stayed[r[1]] for r in fewer if r[1] in stayed) < 20  # only what is gone has to move
+    paths = [sharding.map_path(spark, p) for p in ("/data/a-b", "/data/a/b", "data/a/b", "/data/a_b")]
+    assert len(set(paths)) == 4 and sharding.map_path(spark, "/data/a/b/") == paths[1]
+
+
+def test_of_runs_that_commit_at_once_one_does(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = scratch(spark, "map")
+
+    def run(k):
+        try:
+            return sharding.commit(spark, [(1, 0, k, 0, 0)], path).first()["shard"]
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(run, range(4)))
+    won = [d for d in done if d is not None]
+    assert len(won) == 1 and [r[2] for r in sharding.last_map(spark, path)] == won
+
+
 def test_a_committed_map_is_edited_as_the_data_grow(spark):
     path = scratch(spark, "map")
     texts = [(i, "word " * (i % 13)) for i in range(6000)]
@@ -420,11 +508,9 @@ def test_a_committed_map_is_edited_as_the_data_grow(spark):
     assert {r[0] for r in sharding.last_map(spark, path)} == {2} and max(loads) - min(loads) < 200
     moved = sum(first[r["doc_id"]] != r["shard"] for r in rows if r["doc_id"] in first)
     assert moved < 500  # a map made anew would move some 4400
-    with pytest.raises(Exception, match="exist"):
-        sharding.commit(spark, [(2, 0, 0, 0, 0, False)], path)
-    broken = scratch(spark, "map")
-    spark.createDataFrame([], sharding.MAP_SCHEMA).write.parquet(f"{broken}/v000001")  # no rows were committed
-    assert sharding.commit(spark, [(1, 0, 0, 0, 0, False)], broken).count() == 1
+    with pytest.raises(FileExistsError, match="committed"):
+        sharding.commit(spark, [(2, 0, 0, 0, 0)], path)
+    assert len(sharding.last_map(spark, path)) == sharding.SLOTS
     where = {r["doc_id"]: r["shard"] for r in rows}
     clash = _docs(spark, texts).selectExpr("doc_id", "text", "'x' as shard", "'y' as start", "1 as virtual_slot", "2 as size", "3 as slot")
     out = sharding.assigned(clash, path)
