@@ -6,9 +6,10 @@ public licence notice or its short form.  Its blocks are all runs of `window`
 consecutive words, a quarter more than it has itself, so a short form can't be
 put together from words far apart.  A block matches a template if it holds at least
 `THRESHOLD` of the template's distinct words, its telling word, without which it may
-be another licence's notice, and none of the words that make it one; the document
-then gets the template's label.  The base labels (the three phrases of consecutive
-words) always stay.
+be another licence's notice, and if neither it nor the `AFTER` words behind it hold a
+word that makes it one; a short form must not be denied either, by a word of
+`DENIALS` in the block or up to `BEFORE` words before it.  The document then gets the
+template's label.  The base labels (the three phrases of consecutive words) always stay.
 
 Method.  Words are ordered by their frequency over all documents, rarest
 first.  A template of m distinct words of which a = ceil(THRESHOLD m) are needed:
@@ -50,29 +51,52 @@ THRESHOLD = 0.8
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 
+#: Words that deny what a short form says, and how far before its block, and words that bar a template behind it, are looked for.
+DENIALS = ("not", "never", "neither", "nor", "isn", "unlike", "incompatible", "instead")
+BEFORE, AFTER = 4, 2
+
+
 class Template(NamedTuple):
-    """A notice in lower case: its label, a word that it must hold, and words that it must not hold."""
+    """A notice in lower case: its label, a word that it must hold, words that it must not hold, and whether it is a short form."""
 
     label: str
     text: str
     telling: str | None = None
     barred: tuple[str, ...] = ()
+    short: bool = False
 
     @property
     def words(self) -> list[str]:
         return sorted(set(self.text.split()))
 
+    @property
+    def denials(self) -> tuple[str, ...]:
+        return DENIALS if self.short else ()
+
     @property
     def window(self) -> int:
         n = len(self.text.split())
         return n + n // 4
 
 
+def short_forms(label: str, name: str, telling: str, barred: tuple[str, ...] = ()) -> tuple[Template, ...]:
+    """The usual sentences that name a licence."""
+    said = ("released under the {}", "licensed under the {}", "distributed under the {}")
+    return tuple(Template(label, form.format(name), telling, barred, True) for form in said)
+
+
+def identified(label: str, name: str, telling: str, barred: tuple[str, ...] = ()) -> Template:
+    """A machine-readable identifier."""
+    return Template(label, f"spdx license identifier {name}", telling, barred, True)
+
+
 _OTHER_CC = ("noncommercial", "nc", "sharealike", "sa", "noderivatives", "noderivs", "nd")
+_OTHER_GNU = ("lesser", "affero")
 #: Public licence notices and their short forms.
 TEMPLATES = (
-    Template("mit", "released under the mit license", "mit"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    *short_forms("mit", "mit license", "mit", ("lincoln", "press")),
+    identified("mit", "mit", "mit"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", None, ("boost", "font")),
     Template(
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
@@ -80,8 +104,10 @@ TEMPLATES = (
         "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the software",
     ),
-    Template("apache", "licensed under the apache license version 2 0", "apache"),
-    Template("apache", "you may not use this file except in compliance with the license", None, ("mozilla", "mpl")),
+    Template("apache", "licensed under the apache license version 2 0", "apache", (), True),
+    *short_forms("apache", "apache license", "apache"),
+    identified("apache", "apache", "apache"),
+    Template("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache"),
     Template(
         "apache",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
@@ -89,23 +115,41 @@ TEMPLATES = (
         "basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
         "apache",
     ),
-    Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu", ("lesser", "affero")),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu", ("lesser", "affero")),
+    Template("gpl", "this work is licensed under the gnu general public license version 3", "gnu", _OTHER_GNU, True),
+    *short_forms("gpl", "gnu general public license", "gnu", _OTHER_GNU),
+    *short_forms("gpl", "gpl", "gpl"),
+    *short_forms("gpl", "gnu gpl", "gpl"),
+    identified("gpl", "gpl", "gpl"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu", _OTHER_GNU),
     Template(
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
         "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
         "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
         "gnu",
-        ("lesser", "affero"),
+        _OTHER_GNU,
     ),
     Template("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser"),
+    *short_forms("lgpl", "gnu lesser general public license", "lesser"),
+    *short_forms("lgpl", "lgpl", "lgpl"),
+    identified("lgpl", "lgpl", "lgpl"),
     Template("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license", "affero"),
+    *short_forms("agpl", "gnu affero general public license", "affero"),
+    *short_forms("agpl", "agpl", "agpl"),
+    identified("agpl", "agpl", "agpl"),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0", "nc", ("sa", "nd")),
-    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "noncommercial", ("sharealike", "noderivatives")),
-    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "sharealike", ("noncommercial",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution", _OTHER_CC),
+    *short_forms("mpl", "mozilla public license", "mozilla"),
+    identified("mpl", "mpl", "mpl"),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", "nc", ("sa", "nd"), True),
+    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", "noncommercial", ("sharealike", "noderivatives"), True),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", "sa", ("nc",), True),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "sharealike", ("noncommercial",), True),
+    Template("cc-by", "licensed under cc by 4 0", "cc", _OTHER_CC, True),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "attribution", _OTHER_CC, True),
+    identified("cc-by", "cc by", "by", _OTHER_CC),
+    identified("cc-by-sa", "cc by sa", "sa", ("nc",)),
+    *short_forms("bsd", "bsd license", "bsd"),
+    identified("bsd", "bsd", "bsd"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     Template(
         "bsd",
@@ -114,6 +158,16 @@ TEMPLATES = (
         "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     ),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    *short_forms("isc", "isc license", "isc"),
+    identified("isc", "isc", "isc"),
+    *short_forms("boost", "boost software license", "boost"),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization"),
+    *short_forms("epl", "eclipse public license", "eclipse"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse"),
+    Template("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common"),
+    *short_forms("eupl", "eupl", "eupl"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", (), True),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "authors"),
     Template("reserved", "all rights reserved"),
 )
 
@@ -131,12 +185,12 @@ class Templates:
         hashes = np.array([hash_word(w) for w in ranked], np.uint64)
         self.order = np.argsort(hashes)
         self.table = hashes[self.order]
-        self.rows = [(t.label, t.window, sorted(rank[w] for w in t.words), rank.get(t.telling), sorted(rank[w] for w in t.barred)) for t in templates]
+        self.rows = [(t.label, t.window, sorted(rank[w] for w in t.words), rank.get(t.telling), sorted(rank[w] for w in t.barred), sorted(rank[w] for w in t.denials)) for t in templates]
         self.phrases = [(label, np.array([hash_word(w) for w in phrase.split()], np.uint64)) for phrase, label in PHRASES.items()]
 
 
 def vocabulary(templates: tuple[Template, ...] = TEMPLATES) -> list[str]:
-    return sorted({w for t in templates for w in (*t.words, *t.barred)})
+    return sorted({w for t in templates for w in (*t.words, *t.barred, *t.denials)})
 
 
 def counted(batches: Iterable[pa.RecordBatch], words: list[str]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +227,7 @@ def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, int, s
     by_rank = np.argsort(found, kind="stable")
     limits = np.searchsorted(found[by_rank], np.arange(len(templates.table) + 1))
     of = lambda r: places[by_rank[limits[r] : limits[r + 1]]]  # noqa: E731  a word's places in order
-    for number, (label, window, ranks, telling, barred) in enumerate(templates.rows):
+    for number, (label, window, ranks, telling, barred, denials) in enumerate(templates.rows):
         least = needed(len(ranks))
         rare = np.sort(np.concatenate([of(r) for r in ranks[: len(ranks) - least + 1]]))
         if not len(rare):
@@ -188,7 +242,10 @@ def notices_in(words: Words, templates: Templates) -> Iterator[tuple[int, int, s
             told = last_before(of(telling), ends) >= first
             ends, first = ends[told], first[told]
         for r in barred:
-            free = last_before(of(r), ends) < first
+            free = last_before(of(r), np.minimum(ends + AFTER, words.first[doc[ends] + 1] - 1)) < first
+            ends, first = ends[free], first[free]
+        for r in denials:
+            free = last_before(of(r), ends) < np.maximum(first - BEFORE, words.first[doc[ends]])
             ends, first = ends[free], first[free]
         common = np.zeros(len(ends), np.int64)
         for n, r in enumerate(ranks, 1):
@@ -265,7 +322,7 @@ def _sql() -> str:
     """The same result by counting the distinct words of all blocks that end at a template's word."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    rows = ", ".join(f"({k}, '{t.label}', {t.words!r}, '{t.telling or ''}', {list(t.barred) or ['']!r}, {t.window}, {len(t.words)}, {needed(len(t.words))})" for k, t in enumerate(TEMPLATES))
+    rows = ", ".join(f"({k}, '{t.label}', {t.words!r}, '{t.telling or ''}', {list(t.barred) or ['']!r}, {list(t.denials) or ['']!r}, {t.window}, {len(t.words)}, {needed(len(t.words))})" for k, t in enumerate(TEMPLATES))
     phrases = " union all ".join(
         f"select doc_id, '{label}' as label, unnest(list_filter(range(0, len(w)), lambda i: "
         + " and ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split())) + ")) as place from whole"
@@ -274,13 +331,14 @@ def _sql() -> str:
     return f"""
 with texts as (select doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') as t from documents),
 whole as (select doc_id, regexp_extract_all(t, '{pattern}') as w from texts),
-templates(t, label, words, telling, barred, size, n, least) as (values {rows}),
-known as (select t, unnest(words) as word, true as own from templates union all select t, unnest(barred), false from templates),
+templates(t, label, words, telling, barred, denials, size, n, least) as (values {rows}),
+known as (select t, unnest(words) as word, 'own' as kind from templates union all select t, unnest(barred), 'bar' from templates union all select t, unnest(denials), 'deny' from templates),
 words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from whole),
-places as (select doc_id, t, place, word, own, telling, size, n, least, label from words join known using (word) join templates using (t)),
-runs as (select doc_id, t, label, own, n, least, telling, count(distinct case when own then word end) over r as common, count(case when word = telling then 1 end) over r as told,
-  count(case when not own then 1 end) over r as bars from places window r as (partition by doc_id, t order by place range between size - 1 preceding and current row)),
-found as (select doc_id, t, label, max(common * 1.0::double / n) as share from runs where own and common >= least and (telling = '' or told > 0) and bars = 0 group by all),
+places as (select doc_id, t, place, word, kind, telling, size, n, least, label from words join known using (word) join templates using (t)),
+runs as (select doc_id, t, label, kind, n, least, telling, count(distinct case when kind = 'own' then word end) over r as common, count(case when word = telling and kind = 'own' then 1 end) over r as told,
+  count(case when kind = 'bar' then 1 end) over b as bars, count(case when kind = 'deny' then 1 end) over d as denied from places window r as (partition by doc_id, t order by place range between size - 1 preceding and current row),
+  b as (partition by doc_id, t order by place range between size - 1 preceding and {AFTER} following), d as (partition by doc_id, t order by place range between size - 1 + {BEFORE} preceding and current row)),
+found as (select doc_id, t, label, max(common * 1.0::double / n) as share from runs where kind = 'own' and common >= least and (telling = '' or told > 0) and bars = 0 and denied = 0 group by all),
 best as (select doc_id, max(share) as score, count(*) as n_templates from found group by 1),
 phrases as ({phrases}),
 base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, string_agg(distinct label, ',' order by label) as base_labels from phrases group by 1),
