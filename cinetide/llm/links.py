@@ -76,9 +76,10 @@ def buckets(keyed: DataFrame) -> DataFrame:
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n"), mark(1).alias("x"), mark(2).alias("y")).where("n > 1")
     hubs = hubs.groupBy("hub", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "hub", "n")
     own = saved(keyed.join(saved(hubs, "hubs"), "key"), "own-buckets")  # read from tables, both sides of the join are shuffled and can be split
-    several = own.groupBy("hub").agg(F.max("n").alias("largest"), F.count("*").alias("rows")).where(F.col("rows") > F.col("largest"))
-    both = saved(own.join(several.select("hub", "largest"), "hub").select("hub", "node", "n_shingles", "largest").distinct(), "unions")
-    merged = saved(both.groupBy("hub").agg(F.count("*").alias("n"), F.max("largest").alias("largest")).where(F.col("n") <= MERGE * F.col("largest")).select("hub", "n"), "merged")
+    both = saved(own.select("hub", "node", "n_shingles").distinct(), "unions")
+    largest = own.groupBy("hub").agg(F.max("n").alias("largest"))
+    unions = both.groupBy("hub").agg(F.count("*").alias("n")).join(largest, "hub")
+    merged = saved(unions.where(F.col("n") <= MERGE * F.col("largest")).select("hub", "n"), "merged")
     apart = own.join(merged.select("hub"), "hub", "left_anti").select("key", "node", "n_shingles", "hub", "n")
     union = both.join(merged, "hub").select(F.col("hub").alias("key"), "node", "n_shingles", "hub", "n")
     return saved(apart.union(union), "buckets")
