@@ -1,0 +1,148 @@
+"""Event streams that stop and go on, and sessions that end, against what a batch gives."""
+
+import json
+import random
+
+import pyarrow.fs as pafs
+import pytest
+from pyspark.sql import functions as F
+
+from cinetide.operators import folds
+from cinetide.streaming import events, sessions
+
+
+def drained(df, name, checkpoint):
+    q = df.writeStream.format("parquet").option("path", f"{checkpoint}/out-{name}").option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    return df.sparkSession.read.schema(df.schema).parquet(f"{checkpoint}/out-{name}")
+
+
+class Whole:
+    def __init__(self, raw):
+        self.raw = raw
+
+    def read_at(self, n, at):
+        return self.raw[at : at + n]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_are_given_once_however_ranges_cut_them(seed, monkeypatch):
+    monkeypatch.setattr(events, "LOOK_BACK", 7)
+    monkeypatch.setattr(events, "SHARE_BYTES", 5)
+    rng = random.Random(seed)
+    texts = [f"data: {'x' * rng.randint(0, 30)}{k}\nid: {k}" for k in range(12)]
+    raw = ("\n\n".join(texts) + "\n\n").encode()
+    cuts = sorted({0, len(raw), *(rng.randint(0, len(raw)) for _ in range(9))})
+    got = [b for a, e in zip(cuts, cuts[1:], strict=False) for b in events.blocks_of(Whole(raw), a, e)]
+    assert [b.decode() for _, b in got] == texts and [p for p, _ in got] == sorted({p for p, _ in got})
+
+
+def test_fields_of_a_block():
+    assert events.block(b": hello\nevent: tick\nid: 7\ndata: a\ndata:b\nretry: 5") == ("tick", "7", "a\nb")
+    assert events.block(b"event: none") is None and events.block(b"data") == (None, None, "")
+
+
+def test_a_log_is_followed_over_restarts(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    lines = [f'id: {k}\ndata: {{"stage": "{"processing" if k % 5 else "odd"}", "progress": {k / 40}}}\n\n' for k in range(40)]
+    raw = "".join(lines).encode()
+    places = [0, 333, 334, 1200, len(raw)]
+    for a, b in zip(places, places[1:], strict=False):  # each run ends in the middle of a block
+        with open(folder / "job.log", "ab") as f:
+            f.write(raw[a:b])
+        if a == 334:
+            (folder / "other.log").write_bytes(b'id: x\ndata: {"stage": "done"}\n\ndata: not json\n\n')
+        out = drained(events.progress(events.follow(spark, f"file://{folder}", bytesPerPartition=100)), "progress", tmp_path / "run")
+    got = sorted((r["source"], r["id"], r["stage"], r["progress"]) for r in out.collect())
+    assert got == sorted([("job.log", str(k), "processing", k / 40) for k in range(40) if k % 5] + [("other.log", "x", "done", None)])
+
+
+def test_what_is_published_is_followed_once(spark, tmp_path):
+    schema, out = "id string, data string", f"file://{tmp_path}/out"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for turn in range(3):
+        rows = [(f"{turn}-{k}", json.dumps({"stage": "done", "progress": float(k)}) if k % 3 else "two\nlines") for k in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+        events.publish(source, out, str(tmp_path / "c")).awaitTermination(180)
+        got = drained(events.follow(spark, out), "follow", tmp_path / "run")
+        assert got.count() == 10 * (turn + 1) == got.select("id").distinct().count()
+    assert got.where("data = 'two\nlines'").count() == 12 and events.progress(got).count() == 18
+    writer = events.EventWriter({"path": out})
+    before = len(pafs.LocalFileSystem().get_file_info(pafs.FileSelector(str(tmp_path / "out"))))
+
+    class Row:
+        def asDict(self):  # noqa: N802
+            return {"data": "again"}
+
+    writer.commit([writer.write(iter([Row()])), writer.write(iter([]))], 0)  # a batch that was committed already
+    writer.abort([writer.write(iter([Row()]))], 99)
+    assert len(pafs.LocalFileSystem().get_file_info(pafs.FileSelector(str(tmp_path / "out")))) == before
+
+
+# ---- sessions ----
+
+LIMIT = 100_000
+HEAD = "service string, at timestamp, seq bigint, host string, session_start bigint, force boolean, is_tunnel boolean"
+
+
+def registrations():
+    rng = random.Random(4)
+    rows = []
+    for service in ("a", "b"):
+        at = 0
+        for seq in range(40):
+            at += rng.choice((1_000, 7_000, 30_000, 160_000))
+            rows.append((service, at, seq, f"h{seq}", rng.choice((None, at - rng.choice((0, 20_000, 90_000)))), rng.random() < 0.1, rng.random() < 0.8))
+    return rows
+
+
+def brute(rows):
+    out = []
+    for service in sorted({r[0] for r in rows}):
+        current = None
+        for _, at, seq, host, start, force, tunnel in sorted(r for r in rows if r[0] == service):
+            if current and current[2] + LIMIT <= at:
+                out.append((service, current[2] + LIMIT, -1, current[0], current[1], "EXPIRED"))
+                current = None
+            mine = start or 0
+            accepted = not (current and not force and tunnel and mine < current[1])
+            if accepted:
+                current = (host, mine or at, at)
+            out.append((service, at, seq, host, mine, "ACCEPTED" if accepted else "REJECTED"))
+    return sorted(out)
+
+
+def test_live_sessions_equal_the_batch_in_any_order(spark, tmp_path):
+    rows = registrations()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    sessions.with_timers(spark)
+    try:
+        late = [(s, 10**9, 999, "end", 10**9, True, True) for s in ("a", "b")]  # brings the watermark past all others
+        dealt = rows[:]
+        random.Random(1).shuffle(dealt)
+        for part in [dealt[k::4] for k in range(4)] + [late, [("a", 2 * 10**9, 1000, "end", 2 * 10**9, True, True)]]:
+            frame = spark.createDataFrame([(s, at / 1000, *rest) for s, at, *rest in part], HEAD.replace("at timestamp", "at double")).withColumn("at", F.timestamp_millis((F.col("at") * 1000).cast("long")))
+            frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(HEAD).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        live = sessions.live(stream, "1 hour 30 minutes" if max(r[1] for r in rows) < 5_000_000 else "5 hours", LIMIT)
+        got = sorted(tuple(r) for r in drained(live, "live", tmp_path / "run").where("host <> 'end'").collect())
+    finally:
+        spark.conf.set(provider, before)
+    expected = brute(rows)
+    last = {s: max(e[1] for e in expected if e[0] == s) for s in ("a", "b")}
+    assert [e for e in got if e[1] <= last[e[0]]] == expected
+    assert [e[5] for e in got if e[1] > last[e[0]]] == ["EXPIRED"] * 2  # the sessions in force at the end
+    assert {"ACCEPTED", "REJECTED", "EXPIRED"} == {e[5] for e in expected}
+
+
+def test_the_batch_form(spark):
+    rows = registrations()
+    frame = spark.createDataFrame(rows, HEAD.replace("at timestamp", "at_ms bigint"))
+    out = folds.folded(frame, ["service"], ["at_ms", "seq"], ["host", "session_start", "force", "is_tunnel", "at_ms"], sessions.step(LIMIT), "made", "struct<accepted:boolean,expired:boolean>")
+    got = sorted((r["service"], r["at_ms"], r["seq"], "ACCEPTED" if r["made"][0] else "REJECTED") for r in out.collect())
+    assert got == [(s, at, seq, event) for s, at, seq, _, _, event in brute(rows) if event != "EXPIRED"]
+    assert sum(r["made"][1] for r in out.collect()) == sum(e[5] == "EXPIRED" for e in brute(rows))
