@@ -8,6 +8,7 @@ model file that is sent with SparkContext.addFile, loaded once per worker.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,7 +23,9 @@ from cinetide.functions.scalars import OVERLAP
 from cinetide.schemas import FRAMES
 
 SCALE = 4
-TILES_AT_ONCE, ROWS_AT_ONCE = 16, 64
+TILES_AT_ONCE = 16
+#: Bytes of results that a task holds before it hands them on; frames of a block of a long scene.
+OUT_BYTES, BLOCK_FRAMES = 64 << 20, 64
 PRE2_NATURAL, PRE2_HEIGHT = 0.5, 240
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -185,8 +188,7 @@ def inferred(
         own = checked(kernel, tile)
         for batch in batches:
             sizes = zip(batch.column("px"), batch.column("width").to_pylist(), batch.column("height").to_pylist(), strict=True)
-            outs = [result_of(pixels.frame(px.as_py(), w, h), own, tile, passes, natural, pre2, blend) for px, w, h in sizes]
-            yield _frames(batch, outs, batch.column("px"))
+            yield from _sliced(batch, (result_of(pixels.frame(px.as_py(), w, h), own, tile, passes, natural, pre2, blend) for px, w, h in sizes), "px")
 
     return frames.mapInArrow(run, schema)
 
@@ -216,10 +218,35 @@ def _frames(batch: pa.RecordBatch, outs: list[np.ndarray], source: pa.Array | No
     """A batch with new pixels, and with the source, if any, as a further column."""
     names = ["video_id", "frame_idx", "pts_us", "width", "height", "px"]
     arrays = [*(batch.column(c) for c in names[:3]), pa.array([x.shape[1] for x in outs], pa.int32()), pa.array([x.shape[0] for x in outs], pa.int32())]
-    arrays.append(pa.array([x.tobytes() for x in outs], pa.binary()))
+    arrays.append(_binary(outs))
     return pa.RecordBatch.from_arrays(arrays if source is None else [*arrays, source], names if source is None else [*names, "source"])
 
 
+def _binary(outs: list[np.ndarray]) -> pa.Array:
+    """Pixels of frames as a column; a single frame is not copied."""
+    limits = np.r_[0, np.cumsum([x.nbytes for x in outs])].astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(outs[0])) if len(outs) == 1 else pa.py_buffer(b"".join(x.tobytes() for x in outs))
+    return pa.Array.from_buffers(pa.binary(), len(outs), [None, pa.py_buffer(limits.tobytes()), data])
+
+
+def _sliced(batch: pa.RecordBatch, outs: Iterable[np.ndarray], source: str | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch with new pixels, in slices of OUT_BYTES of them or one frame."""
+    held, size, start = [], 0, 0
+
+    def part() -> pa.RecordBatch:
+        own = batch.slice(start, len(held))
+        return _frames(own, held, own.column(source) if source else None)
+
+    for out in outs:
+        held.append(out)
+        size += out.nbytes
+        if size >= OUT_BYTES:
+            yield part()
+            held, size, start = [], 0, start + len(held)
+    if held:
+        yield part()
+
+
 class Filter:
     """The recursive filter; state is the previous output and source, and a new scene begins anew."""
 
@@ -253,7 +280,7 @@ def stabilised(frames: DataFrame, segments: DataFrame, strength: float = 0.5, me
         for batch in batches:
             names = ("video_id", "segment", "width", "height", "sw", "sh", "px", "source")
             rows = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
-            yield _frames(batch, [own.shown((video, segment), pixels.frame(px, w, h), pixels.frame(raw, sw, sh)) for video, segment, w, h, sw, sh, px, raw in rows])
+            yield from _sliced(batch, (own.shown((video, segment), pixels.frame(px, w, h), pixels.frame(raw, sw, sh)) for video, segment, w, h, sw, sh, px, raw in rows))
 
     return rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx").mapInArrow(run, FRAMES)
 
@@ -301,30 +328,110 @@ def architecture(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def processed(
-    frames: DataFrame, analysis: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, strength: float = 0.5, natural: float = 1.0, skip: bool = True, method: str = "device"
+    frames: DataFrame, analysis: DataFrame, kernel: Kernel = bilinear_kernel, tile: int = 128, strength: float = 0.5, natural: float = 1.0, skip: bool = True, method: str = "device",
+    folder: str | None = None,
 ) -> DataFrame:
-    """The whole of it in one stream: inference on roots, their results for the duplicates that follow, temporal filter.
+    """The whole of it: inference on roots, their results for the duplicates that follow, temporal filter.
 
     Source frames meet their flags by a join and are then dealt by scene and sorted; only source pixels
     travel, once for each of the two, and results, sixteen times their size, never do.  A duplicate
-    follows its root within its scene, so the last root's result is all that sharing needs.  A scene is
-    one task, however long: its filter is a recursion over its frames.
-    """
+    follows its root within its scene, so the last root's result is all that sharing needs.
+
+    Without a folder all is one stream, and a scene, however long, is one task.  With a folder that all tasks
+    share, inference comes first, in blocks of BLOCK_FRAMES frames that are dealt one by one, so a clip without
+    cuts keeps all cores busy; a block's results are a file of its own there.  The second pass, a task
+    a scene, is the recursion alone: it opens the blocks of its scene in order.  Both ways give the same bits.
+    """
     flags = analysis.select("video_id", "frame_idx", "is_dup", "segment")
-    rows = frames.join(flags, ["video_id", "frame_idx"]).repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
+    rows = frames.join(flags, ["video_id", "frame_idx"])
+    by_scene = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
+    if folder is not None:
+        _inferred_blocks(rows.where(~F.col("is_dup") | F.lit(not skip)), folder, kernel, tile, natural)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, filter_ = checked(kernel, tile), Filter(strength, method)
+        own, filter_ = checked(kernel, tile) if folder is None else None, Filter(strength, method)
+        blocks = Blocks(folder) if folder is not None else None
         result = source = None
+
+        def shown(part: pa.RecordBatch) -> Iterator[np.ndarray]:
+            nonlocal result, source
+            names = ("video_id", "segment", "frame_idx", "is_dup", "width", "height", "px")
+            for video, segment, index, dup, w, h, px in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                if not (dup and skip) or result is None:
+                    source = pixels.frame(px, w, h)
+                    result = result_of(source, own, tile, natural=natural, pre2=False) if blocks is None else blocks.result(video, segment, index)
+                yield filter_.shown((video, segment), result, source)
+
+        for batch in batches:
+            yield from _sliced(batch, shown(batch))
+
+    return by_scene.mapInArrow(run, FRAMES)
+
+
+def _block_path(folder: str, video: str, segment: int, block: int) -> str:
+    return f"{folder}/{hashlib.sha256(video.encode()).hexdigest()[:32]}-{segment}-{block}.arrow"
+
+
+def _inferred_blocks(roots: DataFrame, folder: str, kernel: Kernel, tile: int, natural: float) -> None:
+    """Writes the results of each block of each scene as a file; a file gets its name when it is whole, and a repeated task writes the same."""
+    block = F.floor(F.col("frame_idx") / BLOCK_FRAMES).alias("block")
+    rows = roots.select("video_id", "segment", "frame_idx", "width", "height", "px", block)
+    keys = ("video_id", "segment", "block")
+    schema = pa.schema([("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("px", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        own, open_key, sink, file, done = checked(kernel, tile), None, None, None, []
+
+        def close() -> None:
+            if file is not None:
+                file.close()
+                sink.close()
+                if fs.get_file_info(_block_path(root, *open_key)).type == pafs.FileType.NotFound:
+                    fs.move(f"{root}/_{token}", _block_path(root, *open_key))
+                else:
+                    fs.delete_file(f"{root}/_{token}")
+                done.append(open_key)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part, outs = batch.slice(at, ROWS_AT_ONCE), []
-                names = ("video_id", "segment", "is_dup", "width", "height", "px")
-                for video, segment, dup, w, h, px in zip(*(part.column(n).to_pylist() for n in names), strict=True):
-                    if not (dup and skip) or result is None:
-                        source = pixels.frame(px, w, h)
-                        result = result_of(source, own, tile, natural=natural, pre2=False)
-                    outs.append(filter_.shown((video, segment), result, source))
-                yield _frames(part, outs)
-
-    return rows.mapInArrow(run, FRAMES)
+            names = (*keys, "frame_idx", "width", "height", "px")
+            for video, segment, number, index, w, h, px in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (video, segment, number) != open_key:
+                    close()
+                    open_key, token = (video, segment, number), uuid.uuid4().hex
+                    sink = fs.open_output_stream(f"{root}/_{token}")
+                    file = pa.ipc.new_file(sink, schema)
+                out = result_of(pixels.frame(px, w, h), own, tile, natural=natural, pre2=False)
+                file.write(pa.record_batch([pa.array([index]), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), _binary([out])], schema=schema))
+        close()
+        columns = list(zip(*done, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], list(keys))
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "frame_idx")
+    dealt.mapInArrow(run, "video_id string, segment bigint, block bigint").write.format("noop").mode("overwrite").save()
+
+
+class Blocks:
+    """Results of blocks in order of their frames: one frame is held at a time."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.key, self.rows = None, iter(())
+
+    def result(self, video: str, segment: int, index: int) -> np.ndarray:
+        key = (video, segment, index // BLOCK_FRAMES)
+        if key != self.key:
+            self.key, self.rows = key, self._frames(_block_path(self.root, *key))
+        for found, out in self.rows:
+            if found == index:
+                return out
+        raise KeyError(f"no result of frame {index} of {video}")
+
+    def _frames(self, path: str) -> Iterator[tuple[int, np.ndarray]]:
+        with self.fs.open_input_file(path) as source:
+            reader = pa.ipc.open_file(source)
+            for k in range(reader.num_record_batches):
+                batch = reader.get_batch(k)
+                index, w, h = (batch.column(c)[0].as_py() for c in ("frame_idx", "width", "height"))
+                yield index, np.frombuffer(batch.column("px").buffers()[2], np.uint8)[: w * h * 3].reshape(h, w, 3)

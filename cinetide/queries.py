@@ -1129,6 +1129,16 @@ def upscale_smoke(spark, sf):
     return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))
 
 
+@query("select p_brand as video_id, count(*) as frames, count(*) as same from part group by 1")
+def upscale_blocks(spark, sf):
+    """The upscaling path with inference in blocks gives the bits of the single stream."""
+    clips = part_clips(spark, sf)
+    flags = frames.analysed(clips)
+    ways = [tiles.processed(clips, flags, tile=48, folder=folder).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for folder in (None, shared_folder(spark, "blocks"))]
+    both = ways[0].join(ways[1].withColumnRenamed("sha256", "other"), ["video_id", "frame_idx"])
+    return both.groupBy("video_id").agg(F.count("*").alias("frames"), F.count_if(F.col("sha256") == F.col("other")).alias("same"))
+
+
 # ---- networks and motion ----
 
 #: A corner of each frame, and the weights of a compact network of two features, by a rule in whole numbers, so that results are exact.

@@ -54,6 +54,38 @@ def test_pipeline_infers_roots_only_and_shares(spark):
     assert motion.count() == 5
 
 
+def test_blocks_give_the_bits_of_one_stream(spark, tmp_path):
+    """A scene of several blocks, with duplicates over their limits, and short ones."""
+    rng = np.random.default_rng(5)
+    rows, px = [], None
+    for v, n in (("a/b", 200), ("c", 3)):
+        for i in range(n):
+            px = px if i and rng.random() < 0.3 or i == 64 else np.clip(100 + rng.integers(-9, 9, (12, 16, 3)), 0, 255).astype(np.uint8).tobytes()
+            rows.append((v, i, i * 33_333, 16, 12, px))
+    source = spark.createDataFrame(rows, FRAMES).repartition(3)
+    flags = frames.analysed(source)
+    assert flags.where("is_dup").count() > 30 and flags.where("video_id = 'a/b'").select("segment").distinct().count() == 1
+    key = lambda df: sorted((r["video_id"], r["frame_idx"], r["width"], bytes(r["px"])) for r in df.collect())
+    for k, skip in enumerate((True, False)):
+        folder = f"file://{tmp_path}/blocks{k}"
+        one = key(tiles.processed(source, flags, tile=48, skip=skip))
+        assert key(tiles.processed(source, flags, tile=48, skip=skip, folder=folder)) == one and len(one) == 203
+        files = [f.name for f in (tmp_path / f"blocks{k}").iterdir()]
+        assert len(files) == 5 and not any(f.startswith("_") for f in files)  # four blocks and one
+        assert key(tiles.processed(source, flags, tile=48, skip=skip, folder=folder)) == one  # what is there already is kept
+
+
+def test_batches_are_cut_by_what_they_become(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tiles, "OUT_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"video_id": ["v"] * 5, "frame_idx": list(range(5)), "pts_us": list(range(5)), "px": [b"x"] * 5})
+    outs = [np.full((3, n, 3), n, np.uint8) for n in (2, 10, 20, 1, 4)]
+    parts = list(tiles._sliced(batch, iter(outs), "px"))
+    assert [p.num_rows for p in parts] == [2, 1, 2] and [r for p in parts for r in p.column("px").to_pylist()] == [x.tobytes() for x in outs]
+    assert [i for p in parts for i in p.column("frame_idx").to_pylist()] == list(range(5)) and parts[0].schema.names[-1] == "source"
+
+
 def test_results_are_never_shuffled(spark):
     source = clip(spark, [0, 0, 60])
     plan = tiles.processed(source, frames.analysed(source), tile=48)._jdf.queryExecution().toString()
