@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytestext import LOWER, Words, chunks
-from .common import held_out, sampled_ids, table, texts_of
+from .common import held_out, sampled_ids, table
 from .pieces import MODEL, NORMAL, SETTING, SPACE, Model
 
 TRAIN_DOCS = 150
@@ -210,40 +210,50 @@ def vocabulary(model: str) -> list[bytes]:
     return sorted(out | {bytes([MARK])})
 
 
+def expected_counts(texts: Iterable[str | None], pieces: list[bytes], trie: Trie) -> np.ndarray:
+    """How often each piece stands in the texts, by ROUNDS of expectation maximisation."""
+    seen: Counter[bytes] = Counter()
+    for text in texts:
+        raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+        words = Words(raw, np.array([0, len(raw)]), LETTERS)
+        seen.update(words.text(i) for i in range(len(words)))
+    kept = sorted(seen.items())
+    own = np.zeros(len(pieces))
+    if not kept:
+        return own
+    flat, starts, sizes, owner = marked([w for w, _ in kept], trie)
+    times = np.array([n for _, n in kept], float)[owner]
+    arcs = lattice(trie, flat, starts, sizes)
+    begin, end, piece = arcs
+    word = np.searchsorted(starts, begin, "right") - 1
+    back = mirrored(starts, sizes, arcs)
+    weight = np.full((len(pieces) + 1, 1), 1e-4)
+    weight[-1] = FLOOR
+    for _ in range(ROUNDS):
+        alpha = forward(starts, sizes, arcs, weight)[:, 0]
+        beta = forward(starts, sizes, back, weight)[:, 0]
+        total = alpha[starts + sizes + np.arange(len(sizes))]
+        mirror = starts[word] + sizes[word] - (end - starts[word]) + word  # end's place, from the word's end
+        share = np.exp(alpha[begin + word] + np.log(weight[piece, 0]) + beta[mirror] - total[word]) * times[word]
+        own = np.bincount(piece[piece >= 0], share[piece >= 0], len(pieces))
+        weight[:-1, 0] = (own + SMOOTHING) / (own.sum() + SMOOTHING * len(pieces))
+    return own
+
+
+def assembled(counts: dict[str, np.ndarray], pieces: list[bytes]) -> Identifier:
+    """Piece probabilities of each language, from the pieces' counts."""
+    languages = sorted(counts)
+    by_language = np.stack([counts[lang] for lang in languages], axis=1) if languages else np.zeros((len(pieces), 0))
+    used = np.flatnonzero(by_language.max(axis=1, initial=0) > 1e-3)
+    weight = (by_language[used] + SMOOTHING) / np.maximum(by_language[used].sum(axis=0) + SMOOTHING * len(pieces), 1)
+    return Identifier(languages, [pieces[i] for i in used], np.vstack([weight, np.full((1, len(languages)), FLOOR)]))
+
+
 def fitted(texts: dict[str, list[str]], model: str = MODEL) -> Identifier:
-    """Piece probabilities of each language, by ROUNDS of expectation maximisation."""
-    languages, pieces = sorted(texts), vocabulary(model)
+    """The model of some texts of each language."""
+    pieces = vocabulary(model)
     trie = Trie(pieces)
-    counts = np.zeros((len(pieces) + 1, len(languages)))
-    for k, lang in enumerate(languages):
-        seen: Counter[bytes] = Counter()
-        for text in texts[lang]:
-            raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            words = Words(raw, np.array([0, len(raw)]), LETTERS)
-            seen.update(words.text(i) for i in range(len(words)))
-        kept = sorted(seen.items())
-        if not kept:
-            continue
-        flat, starts, sizes, owner = marked([w for w, _ in kept], trie)
-        times = np.array([n for _, n in kept], float)[owner]
-        arcs = lattice(trie, flat, starts, sizes)
-        begin, end, piece = arcs
-        word = np.searchsorted(starts, begin, "right") - 1
-        back = mirrored(starts, sizes, arcs)
-        weight = np.full((len(pieces) + 1, 1), 1e-4)
-        weight[-1] = FLOOR
-        for _ in range(ROUNDS):
-            alpha = forward(starts, sizes, arcs, weight)[:, 0]
-            beta = forward(starts, sizes, back, weight)[:, 0]
-            total = alpha[starts + sizes + np.arange(len(sizes))]
-            mirror = starts[word] + sizes[word] - (end - starts[word]) + word  # end's place, from the word's end
-            share = np.exp(alpha[begin + word] + np.log(weight[piece, 0]) + beta[mirror] - total[word]) * times[word]
-            own = np.bincount(piece[piece >= 0], share[piece >= 0], len(pieces))
-            weight[:-1, 0] = (own + SMOOTHING) / (own.sum() + SMOOTHING * len(pieces))
-        counts[:-1, k] = own
-    used = np.flatnonzero(counts[:-1].max(axis=1, initial=0) > 1e-3)
-    weight = (counts[used] + SMOOTHING) / np.maximum(counts[used].sum(axis=0) + SMOOTHING * len(pieces), 1)
-    return Identifier(languages, [pieces[i] for i in used], np.vstack([weight, np.full((1, len(languages)), FLOOR)]))
+    return assembled({lang: expected_counts(own, pieces, trie) for lang, own in texts.items()}, pieces)
 
 
 def mirrored(starts: np.ndarray, sizes: np.ndarray, arcs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
@@ -255,16 +265,31 @@ def mirrored(starts: np.ndarray, sizes: np.ndarray, arcs: tuple[np.ndarray, ...]
 
 
 def train(docs: DataFrame, model: str = MODEL) -> Identifier:
-    """From at most TRAIN_DOCS documents a language outside of the held-out fold."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    texts: dict[str, list[str]] = {}
-    chosen: dict[str, list] = {}
-    for lang, doc_id in sampled_ids(known, "lang", TRAIN_DOCS):
-        chosen.setdefault(lang, []).append(doc_id)
-    for lang in sorted(chosen):
-        found = texts_of(docs.where(F.col("lang") == lang), chosen[lang], TRAIN_BYTES)
-        texts[lang] = [text for _, text in sorted(found)]
-    return fitted(texts, model)
+    """From at most TRAIN_DOCS documents and TRAIN_BYTES of text a language outside of the held-out fold.
+
+    Ids and sizes of all languages' samples come by one scan each; a third one brings the texts to a task per language, which fits
+    it.  The driver receives ids, sizes and one vector of counts a language, no texts.
+    """
+    spark, pieces = docs.sparkSession, vocabulary(model)
+    known = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = sampled_ids(known.select("doc_id", "lang"), "lang", TRAIN_DOCS)
+    picked = spark.createDataFrame([(lang, doc_id, place) for place, (lang, doc_id) in enumerate(chosen)], "lang string, doc_id bigint, place bigint")
+    rows = known.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(picked), ["lang", "doc_id"])  # TRAIN_DOCS rows a language
+    least = F.min(F.struct("_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("least")
+    taken, total = [], Counter()
+    for lang, doc_id, _, (key, size) in sorted(rows.groupBy("lang", "doc_id", "place").agg(least).collect(), key=lambda r: r["place"]):
+        if total[lang] + size <= TRAIN_BYTES:
+            total[lang] += size
+            taken.append((lang, doc_id, key))
+    own = spark.createDataFrame(taken, "lang string, doc_id bigint, _hash bigint")
+
+    def fit(table: pa.Table) -> pa.Table:
+        once = dict(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        counts = expected_counts(once.values(), pieces, Trie(pieces))
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    fits = rows.join(F.broadcast(own), ["lang", "doc_id", "_hash"]).select("lang", "doc_id", "text").groupBy("lang").applyInArrow(fit, "lang string, counts binary")
+    return assembled({r["lang"]: np.frombuffer(bytes(r["counts"])) for r in fits.collect()}, pieces)
 
 
 SCHEMA = "doc_id bigint, lang_pred string, score double"

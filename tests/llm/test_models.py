@@ -393,3 +393,29 @@ def test_texts_are_fetched_by_bytes(spark):
     got = texts_of(df, [5, 2, 4, 3, 1, 9], 350)
     assert [d for d, _ in got] == [5, 4, 3, 1] and got[2][1] == "" and got[1][1] in ("z" * 100, "w" * 100)
     assert texts_of(df, [], 10) == []
+
+
+def test_training_takes_the_same_jobs_for_any_number_of_languages(spark):
+    """A scan for ids, one for sizes and one for texts, whatever the number of languages; the model is that of the texts."""
+
+    def jobs(n):
+        rows = [(i, f"wort{i % n} haus und hof {chr(97 + i % n)}lles", f"l{i % n}") for i in range(12 * n)] + [(0, "zwei texte", "l0"), (0, "zwei texte", "l0"), (None, "ohne nummer", "l0"), (5, None, "l1")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+        tracker, group = spark.sparkContext.statusTracker(), f"train-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        own = language.train(docs)
+        spark.sparkContext.setJobGroup("other", "other")
+        texts = {}
+        for doc_id, text, lang in sorted({r for r in rows if r[0] is not None}, key=str):
+            if zlib.crc32(str(doc_id).encode()) % 3 != 1:
+                texts.setdefault((lang, doc_id), []).append(text)
+        hashes = {(r[0], r[1]): r[2] for r in docs.select("lang", "text", F.xxhash64("text")).collect()}
+        chosen = {}
+        for (lang, doc_id), found in texts.items():
+            chosen.setdefault(lang, []).append(min(found, key=lambda t: hashes[lang, t]))
+        expected = language.fitted(chosen)
+        assert own.languages == expected.languages and own.pieces == expected.pieces and np.allclose(own.weight, expected.weight)
+        return len(tracker.getJobIdsForGroup(group))
+
+    few, many = jobs(3), jobs(24)
+    assert many <= few + 2
