@@ -7,21 +7,21 @@ if some window of as many words as the item (or the whole document, if it is
 shorter) has a weighted-shingle similarity of `SIMILARITY` or more to it: the
 sum of the smaller weights over the sum of the larger ones.
 
-Method.  A shingle in common is necessary for any similarity, so windows are
-fingerprinted only around the places where a document has a shingle of the
-benchmark; all other windows have similarity 0.  A window's fingerprint is the
-128-bit SimHash of its weighted shingles.  Fingerprints are looked up in a
-multi-index of the items of the window's length: 128 bits fall in `BLOCKS` blocks,
-and within the radius of an item's fingerprint at least one block is within
-radius // BLOCKS bits, so every item within the radius is found.  What is within
-the radius is verified exactly, on the counts of all shingles.
+Method.  A shingle in common is necessary for any similarity, so a window is compared
+with the items that have one of its shingles; with all others its similarity is 0.
+Its fingerprint is the SimHash of its weighted shingles, of `BITS` bits in `BLOCKS` blocks of
+64.  Within the radius of an item's fingerprint at least one block is within radius //
+BLOCKS bits of the item's, so the blocks decide first, and lose nothing; then the
+whole distance does.  What is within the radius is verified exactly, on the counts of all
+shingles.
 
 The radius follows from the number of shingles.  A window that is just similar
 enough has m shingles of n that the item lacks; the chance that a bit of the two
 fingerprints differs is then a sum of binomials, and `radius` is the least number
-of differing bits that such a window exceeds with a chance below `MISS`.  Unrelated
-fingerprints differ in 64 bits with a deviation of 5.7, the radius is 45 at most,
-so fewer than 1 in 1000 of them get through (tests measure it).
+of differing bits that such a window exceeds with a chance below `MISS`.  It is 150 at
+most, so a block may differ in 18 of 64 bits; blocks of unrelated fingerprints differ in
+32 with a deviation of 4, and fewer than 1 in 100 of such pairs pass the blocks (tests
+measure it).
 
 The sum holds for shingles that stand once.  Windows or items that repeat a
 shingle need not obey it; there the fingerprint is not asked, and every window
@@ -30,9 +30,10 @@ brute-force one is tested.
 
 Scale: documents are scanned once without a shuffle, whatever the benchmark's
 size.  The benchmark is written to the shared folder, and tasks build its index
-from there in blocks of at most `BLOCK_ITEMS` items and `BLOCK_BYTES` bytes; with
-more than one block a task holds `GROUP_BYTES` of texts, already cut in words, and
-goes through the blocks.  Memory is linear in a text and in an item.  Only hits
+from there in blocks of at most `BLOCK_ITEMS` items and `BLOCK_BYTES` bytes.  A worker
+keeps the indexes that fit in `KEPT_BYTES` (some 300,000 items of 50 words) as long as it
+lives, so each is built once a worker, however large the corpus; what does not fit is built
+again for each `GROUP_BYTES` of texts.  Memory is linear in a text and in an item.  Only hits
 leave a task; the driver holds nothing of the benchmark.
 
 Defined results: null or wordless texts and items match nothing; null ids of
@@ -61,20 +62,19 @@ from .common import scratch, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
-BITS, BLOCKS = 128, 16
+BITS, BLOCKS = 512, 8
 #: Chance that a window of just that similarity is beyond the radius.
 MISS = 1e-6
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 8 << 20
 #: Texts that a task holds while it goes through several blocks of the benchmark.
 GROUP_BYTES = 8 << 20
-#: Windows whose votes are held at once.
-REACH = 1 << 14
+#: Bytes of indexes that a worker keeps, and counts of items' shingles.
+KEPT_BYTES, KEPT_COUNTS = 512 << 20, 1024
+#: Windows whose votes are held at once, and pairs of windows and items that are compared at once.
+REACH, PAIRS = 1 << 14, 1 << 16
 SCHEMA = "doc_id bigint, item_id bigint, similarity double, first_word bigint, n_windows bigint"
 
-_NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
-
-
 def fewest(one: int, other: int) -> int:
     """Shingles that two multisets of those sizes have in common at least at the similarity wanted."""
     return int(-(-SIMILARITY * (one + other) // (1 + SIMILARITY)))
@@ -113,7 +113,7 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def simhash(shingles: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """128-bit SimHash (two columns) of the `length` shingles from each start; a repeated shingle votes as often as it stands there."""
+    """SimHash (a column for 64 bits) of the `length` shingles from each start; a repeated shingle votes as often as it stands there."""
     out = np.empty((len(starts), BITS // 64), np.uint64)
     for lane in range(BITS // 64):
         bits = np.unpackbits((mix(shingles + U64(lane)) if lane else shingles).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -132,63 +132,65 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Index:
-    """Fingerprints, shingle counts and the multi-index of some benchmark items."""
+    """Fingerprints and shingles of some benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids, self.sets, self.n_words = [], [], []
+        self.ids, n_words, sets = [], [], []
         for item_id, text in items:
             raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
             words = Words(raw, np.array([0, len(raw)])).hashes()
             if len(words):
                 self.ids.append(item_id)
-                self.n_words.append(len(words))
-                self.sets.append(shingle_hashes(words))
-        self.counts = [Counter(s.tolist()) for s in self.sets]
-        self.repeats = np.array([len(c) < len(s) for c, s in zip(self.counts, self.sets, strict=True)], bool)
-        self.by_length: dict[int, np.ndarray] = {n: np.flatnonzero(np.array(self.n_words) == n) for n in sorted(set(self.n_words))}
-        self.short = [n for n in self.by_length if n < SHINGLE]
-        self.multi: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.lookups: dict[tuple[int, int], np.ndarray] = {}
-        long = [k for k, n in enumerate(self.n_words) if n >= SHINGLE]
-        own = [np.fromiter(self.counts[k], np.uint64, len(self.counts[k])) for k in long]
-        flat = np.concatenate([np.empty(0, np.uint64), *own])
-        of = np.repeat(np.array(long, np.int64), [len(x) for x in own]) if long else np.empty(0, np.int64)
+                n_words.append(len(words))
+                sets.append(shingle_hashes(words))
+        self.n_words = np.array(n_words, np.int64)
+        self.flat, self.limits = np.concatenate([np.empty(0, np.uint64), *sets]), np.r_[0, np.cumsum([len(x) for x in sets], dtype=np.int64)]
+        own = [np.unique(x) for x in sets]
+        self.repeats = np.array([len(x) < len(y) for x, y in zip(own, sets, strict=True)], bool)
+        self.by_length: dict[int, np.ndarray] = {n: np.flatnonzero(self.n_words == n) for n in sorted(set(n_words)) if n < SHINGLE}
+        self.prints, self.printed = np.zeros((len(sets), BITS // 64), np.uint64), np.zeros(len(sets), bool)
+        self._counts: dict[int, Counter] = {}
+        long = np.flatnonzero(self.n_words >= SHINGLE)
+        flat = np.concatenate([np.empty(0, np.uint64), *(own[k] for k in long.tolist())])
+        of = np.repeat(long, [len(own[k]) for k in long.tolist()])
         order = np.argsort(flat, kind="stable")
         self.holders = of[order]  # the items of each shingle of the table
         self.table, first = np.unique(flat[order], return_index=True)
         self.first = np.r_[first, len(flat)]
 
-    def blocks(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the items of a length: fingerprints, and for each block and its values, which items are near that value."""
-        if n not in self.multi:
-            ks = self.by_length[n]
-            prints = np.concatenate([simhash(self.sets[k], np.zeros(1, int), len(self.sets[k])) for k in ks.tolist()])
-            self.multi[n] = prints, _NEAR[np.ascontiguousarray(prints).view(np.uint8).reshape(len(ks), BLOCKS)]  # items, blocks, values
-        return self.multi[n]
-
-    def near(self, prints: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of windows of `size` shingles whose fingerprint is within the radius of an item of n words."""
-        own, distance = self.blocks(n)
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.flat, self.limits, self.prints, self.holders, self.table, self.first)) + 200 * len(self.ids)
+
+    def shingles(self, k: int) -> np.ndarray:
+        return self.flat[self.limits[k] : self.limits[k + 1]]
+
+    def counts(self, k: int) -> Counter:
+        if k not in self._counts:
+            if len(self._counts) >= KEPT_COUNTS:
+                self._counts.clear()
+            self._counts[k] = Counter(self.shingles(k).tolist())
+        return self._counts[k]
+
+    def fingerprints(self, items: np.ndarray) -> np.ndarray:
+        """Fingerprints of items, made when they are first asked for."""
+        for k in np.unique(items[~self.printed[items]]).tolist():
+            own = self.shingles(k)
+            self.prints[k], self.printed[k] = simhash(own, np.zeros(1, int), len(own))[0], True
+        return self.prints[items]
+
+    def near(self, prints: np.ndarray, items: np.ndarray, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of windows of `size` shingles and items of n words: whether a block is near enough, and whether the whole is."""
         most = radius(size, n - SHINGLE + 1)
-        lookup = self.lookups.get((n, most // BLOCKS))
-        if lookup is None:
-            lookup = self.lookups[n, most // BLOCKS] = distance <= most // BLOCKS
-        parts = np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), BLOCKS)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        step = max(1, (1 << 22) // len(own))
-        for at in range(0, len(prints), step):
-            some = np.zeros((len(own), min(step, len(prints) - at)), bool)
-            for b in range(BLOCKS):
-                some |= lookup[:, b, parts[at : at + step, b]]
-            k, w = np.nonzero(some)
-            within = np.bitwise_count(prints[at + w] ^ own[k]).sum(axis=1) <= most
-            out.append((at + w[within], self.by_length[n][k[within]]))
-        w, k = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int))
-        return w, k
+        apart = np.bitwise_count(prints ^ self.fingerprints(items))
+        blocks = apart.min(axis=1, initial=64) <= most // BLOCKS
+        within = blocks.copy()
+        within[blocks] = apart[blocks].sum(axis=1) <= most
+        return blocks, within
 
     def verified(self, shingles: np.ndarray, k: int, starts: np.ndarray, span: int) -> Iterator[tuple[int, float]]:
         """(start, similarity) of the windows of `span` shingles from the starts, in order, that are similar to item k: counts slide along."""
-        theirs, size = self.counts[k], len(self.sets[k])
+        theirs, size = self.counts(k), len(self.shingles(k))
         mine: Counter[int] = Counter()
         smaller, lo, hi = 0, 0, 0
         values = shingles.tolist() if len(starts) * 4 > len(shingles) else shingles
@@ -215,11 +217,11 @@ class Index:
     def search(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """For each item that the words hold: best similarity, first word of that window, matching windows."""
         found: dict[int, tuple[float, int, int]] = {}
-        for n in self.short:
+        for n, items in self.by_length.items():
             if n <= len(words):
                 runs = shingle_hashes(words, n)
-                for k in self.by_length[n].tolist():
-                    at = np.flatnonzero(runs == self.sets[k][0])
+                for k in items.tolist():
+                    at = np.flatnonzero(runs == self.shingles(k)[0])
                     if len(at):
                         found[k] = (1.0, int(at[0]), len(at))
         if len(words) < SHINGLE:
@@ -237,17 +239,12 @@ class Index:
         each = self.first[row + 1] - self.first[row]
         holder = self.holders[np.arange(each.sum()) + np.repeat(self.first[row] - np.r_[0, np.cumsum(each)[:-1]], each)]
         place = np.repeat(places, each)
-        length = np.array(self.n_words)[holder]
+        length = self.n_words[holder]
         for n in np.unique(length).tolist():
             size = min(n, len(words))
             span, last = size - SHINGLE + 1, len(words) - size
             own = length == n
-            candidates: list[tuple[np.ndarray, np.ndarray]] = []
-            for lo, hi in merged(np.clip(place[own] - span + 1, 0, last), np.clip(place[own], 0, last)):
-                for at in range(lo, hi + 1, REACH):  # bounds the votes held
-                    starts = np.arange(at, min(at + REACH, hi + 1))
-                    w, k = self.near(simhash(shingles[at : int(starts[-1]) + span], starts - at, span), n, span)
-                    candidates.append((starts[w], k))
+            candidates = list(self.likely(shingles, place[own], holder[own], n, span, last))
             candidates.append(self.sharing(place[own], holder[own], n, span, last, repeated))
             start, k = (np.concatenate(x) for x in zip(*candidates, strict=True))
             for item in np.unique(k).tolist():
@@ -256,6 +253,26 @@ class Index:
                     found[item] = (max(best, similarity), s if similarity > best else first, count + 1)
         return found
 
+    def likely(self, shingles: np.ndarray, place: np.ndarray, holder: np.ndarray, n: int, span: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, item) of windows around an item's shingles whose fingerprint is near that item's."""
+        lo, hi = np.clip(place - span + 1, 0, last), np.clip(place, 0, last)
+        apart = last + 2  # keeps the intervals of different items from touching
+        pairs = np.array(merged(lo + holder * apart, hi + holder * apart), np.int64).reshape(-1, 2)
+        items, begin, stop = pairs[:, 0] // apart, pairs[:, 0] % apart, pairs[:, 1] % apart
+        for a, b in merged(lo, hi):
+            for at in range(a, b + 1, REACH):  # bounds the votes held
+                end = min(at + REACH - 1, b)
+                prints = simhash(shingles[at : end + span], np.arange(end - at + 1), span)
+                on = np.flatnonzero((begin <= end) & (stop >= at))
+                size = np.minimum(stop[on], end) - np.maximum(begin[on], at) + 1
+                upto = np.r_[0, np.cumsum(size)]
+                for low in range(0, int(upto[-1]), PAIRS):
+                    number = np.arange(low, min(low + PAIRS, int(upto[-1])))
+                    row = np.searchsorted(upto, number, "right") - 1
+                    start, item = np.maximum(begin[on[row]], at) + number - upto[row], items[on[row]]
+                    within = self.near(prints[start - at], item, span, n)[1]
+                    yield start[within], item[within]
+
     def sharing(self, place: np.ndarray, holder: np.ndarray, n: int, span: int, last: int, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of windows that hold enough of an item's shingles, where the window or the item repeats one."""
         least = fewest(span, n - SHINGLE + 1)
@@ -277,22 +294,32 @@ class Index:
 # ---- Spark ----
 
 _indexes: dict[tuple[str, int], Index] = {}
+#: How many blocks the benchmarks have that were read to their end, and how many indexes this worker has built.
+_complete: dict[str, int] = {}
+built = Counter()
 
 
 def blocks_of(path: str) -> Iterator[Index]:
-    """Indexes of the benchmark written at the path; a worker keeps the last ones it built."""
-    fs, root = pafs.FileSystem.from_uri(path)
-    number = 0
+    """Indexes of the benchmark written at the path; a worker keeps those that fit in KEPT_BYTES."""
+    if path in _complete and all((path, k) in _indexes for k in range(_complete[path])):
+        yield from (_indexes[path, k] for k in range(_complete[path]))
+        return
+    for old in [k for k in _indexes if k[0] != path]:
+        del _indexes[old]
+    number = -1
 
     def index(rows: list[tuple[int | None, str | None]]) -> Index:
         nonlocal number
         number += 1
-        if (path, number) not in _indexes:
-            if len(_indexes) >= 2:
-                _indexes.clear()
-            _indexes[path, number] = Index(rows)
-        return _indexes[path, number]
+        if (path, number) in _indexes:
+            return _indexes[path, number]
+        out = Index(rows)
+        built[path] += 1
+        if out.nbytes + sum(x.nbytes for x in _indexes.values()) <= KEPT_BYTES:
+            _indexes[path, number] = out
+        return out
 
+    fs, root = pafs.FileSystem.from_uri(path)
     names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet"))
     rows, size = [], 0
     for name in names:
@@ -306,6 +333,7 @@ def blocks_of(path: str) -> Iterator[Index]:
                         rows, size = [], 0
     if rows:
         yield index(rows)
+    _complete[path] = number + 1
 
 
 def written(benchmark: DataFrame) -> str:
@@ -318,7 +346,7 @@ def written(benchmark: DataFrame) -> str:
 def found_in(words: Words, index: Index) -> Iterator[tuple[int, dict]]:
     """The rows of a chunk that hold items, with what Index.search() gives."""
     hashes = words.hashes()
-    if index.short or len(words) < SHINGLE:
+    if index.by_length or len(words) < SHINGLE:
         docs = np.flatnonzero(words.counts)
     else:
         run, left = shingle_hashes(hashes), np.repeat(words.first[1:], words.counts) - np.arange(len(words))

@@ -76,7 +76,7 @@ def test_the_radius_holds_what_is_similar_and_little_else(n):
     shared = decontaminate.fewest(size, size)
     assert shared <= size and 2 * size * 0.75 <= shared * 1.75 < 2 * size * 0.75 + 1.75
     most = decontaminate.radius(size, size)
-    assert most <= 45
+    assert most <= 150
     draw = lambda k: rng.integers(0, 2**63, k, dtype=np.uint64)
     one = lambda s: decontaminate.simhash(s, np.zeros(1, int), len(s))[0]
     far = near = 0
@@ -87,16 +87,45 @@ def test_the_radius_holds_what_is_similar_and_little_else(n):
     assert near == 1000 and far < 10
 
 
-def test_the_index_finds_all_within_the_radius():
+def test_blocks_pass_all_within_the_radius_and_few_others():
     rng = np.random.default_rng(1)
-    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 300, 30))) for k in range(200)]
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 3000, n))) for k in range(200) for n in (15, 30, 60)]
     index = decontaminate.Index(items)
-    own, _ = index.blocks(30)
-    prints = np.r_[own[:50] ^ rng.integers(0, 2**63, (50, 2), dtype=np.uint64) & rng.integers(0, 2**63, (50, 2), dtype=np.uint64), rng.integers(0, 2**63, (500, 2), dtype=np.uint64)]
-    most = decontaminate.radius(26, 26)
-    want = {(w, k) for w in range(len(prints)) for k in range(200) if int(np.bitwise_count(prints[w] ^ own[k]).sum()) <= most}
-    assert set(zip(*(x.tolist() for x in index.near(prints, 30, 26)), strict=True)) == want and want
-    assert len(want) < 0.01 * len(prints) * 200
+    for n in (15, 30, 60):
+        own = np.flatnonzero(index.n_words == n)
+        noise = lambda k: rng.integers(0, 2**63, (k, 8), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (k, 8), dtype=np.uint64)
+        close = index.fingerprints(own[:50]) ^ (noise(50) & noise(50) & noise(50))  # an eighth of the bits differs
+        other = decontaminate.simhash(rng.integers(0, 2**63, 600 + n, dtype=np.uint64), np.arange(600), n - 4)
+        prints = np.r_[close, other]
+        most, passed, within = decontaminate.radius(n - 4, n - 4), 0, 0
+        for w in range(len(prints)):
+            blocks, near = index.near(np.repeat(prints[w : w + 1], len(own), axis=0), own, n - 4, n)
+            distance = np.bitwise_count(prints[w] ^ index.fingerprints(own)).sum(axis=1)
+            assert (near == (distance <= most)).all() and (blocks | ~near).all()
+            within += int(near.sum())
+            passed += int(blocks.sum()) if w >= 50 else 0
+        print(f"{n} words: radius {most}, blocks pass {passed / (600 * len(own)):.5f} of unrelated pairs")
+        assert passed < 0.01 * 600 * len(own) and within >= 45
+
+
+def test_each_index_is_built_once_a_worker(monkeypatch, spark):
+    """Whatever the number of groups of texts; 20,000 items stay small."""
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(50))) for k in range(20_000)]
+    path = decontaminate.written(spark.createDataFrame(items, "item_id bigint, text string"))
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 4000)
+    texts = [f"{' '.join(rng.choice(vocabulary) for _ in range(30))} {items[k * 97][1]} tail" for k in range(60)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})
+    tracemalloc.start()
+    found = [tuple(r.values())[:2] for b in decontaminate.hits([batch.slice(k, 1) for k in range(60)], path) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [(k, k * 97) for k in range(60)]
+    assert decontaminate.built[path] == 4 and peak < 500 << 20
+    monkeypatch.setattr(decontaminate, "KEPT_BYTES", 1)  # nothing is kept: the result is the same
+    decontaminate._indexes.clear()
+    assert sorted(tuple(r.values())[:2] for b in decontaminate.hits([batch], path) for r in b.to_pylist()) == sorted(found)
 
 
 def test_very_long_items_take_little_memory():
