@@ -473,6 +473,24 @@ def queue_state(spark, sf):
     return _queue(spark, sf)
 
 
+_EDITS = f"case when event_id % 1501 = 0 then 'CANCEL_ALL' when event_id % 4 = 1 then 'REMOVE' else {_ACTIONS} end"
+
+
+@query(f"""
+with e as (select event_id as seq, user_id as job_id, {_EDITS} as action from events), a as (select max(seq) as all_at from e where action = 'CANCEL_ALL'),
+o as (select * from e where action <> 'CANCEL_ALL'),
+l as (select job_id, max_by(action, seq) as action, max(seq) as seq from o where action <> 'REMOVE' group by 1),
+r as (select o.job_id, min(o.seq) as removed_at from o join l using (job_id) where o.action = 'REMOVE' and o.seq > l.seq group by 1),
+s as (select job_id, seq, removed_at, all_at, case action when 'ENQUEUE' then 'WAITING' when 'START' then 'RUNNING' when 'DONE' then 'DONE' when 'FAIL' then 'FAILED' else 'CANCELLED' end as status from l left join r using (job_id), a)
+select job_id, case when status in ('WAITING', 'RUNNING') and all_at > seq then 'CANCELLED' else status end as status from s
+where not (status = 'WAITING' and removed_at is not null and (all_at is null or all_at <= seq or removed_at < all_at))""")
+def queue_edited(spark, sf):
+    """L2: a log in which waiting jobs are removed and, now and then, all are cancelled."""
+    action = F.expr(_EDITS)
+    rows = read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("job_id"), action.alias("action"))
+    return control.queue_state(rows.withColumn("job_id", F.when(F.col("action") != "CANCEL_ALL", F.col("job_id"))))
+
+
 @query(f"select status, count(*) as n from ({_QUEUE}) group by 1")
 def queue_counts(spark, sf):
     return control.queue_counts(_queue(spark, sf))
@@ -1100,6 +1118,28 @@ def pixel_graded(spark, sf):
     return frames.digests(tiles.rendered(part_clips(spark, sf), "VIVID", 0.0))
 
 
+def _sharpened_sql(amount: float) -> str:
+    """Each sample against the mean of its 3 x 3 neighbourhood; edges repeat."""
+    near = [_pixel_sql(f"least(greatest(x + {dx}, 0), {WIDE - 1})", f"least(greatest(y + {dy}, 0), {HIGH - 1})") for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    means = [" + ".join(n[c] for n in near) for c in range(3)]
+    own = _pixel_sql("x", "y")
+    high = ", ".join(f"{own[c]} / 255.0::double as {n}, ({own[c]} * 9 - ({means[c]})) / 2295.0::double as h{n}" for c, n in enumerate("rgb"))
+    step = lambda lo, hi: f"(least(greatest((size - {lo}::double) / {hi - lo:.2f}::double, 0.0::double), 1.0::double))"
+    curve = lambda t: f"({t} * {t} * (3 - 2 * {t}))"
+    return f"""
+with {_FRAMES_OF}, p as (select video_id, frame_idx, x, y, {high} from f, {_GRID}),
+s as (select *, sqrt(hr * hr + hg * hg + hb * hb) as size from p),
+w as (select *, 0.4::double + 0.6::double * {curve(step(0.0, 0.08))} * (1 - {curve(step(0.25, 0.6))}) as weight from s),
+o as (select video_id, frame_idx, x, y, c, case c when 0 then r when 1 then g else b end + case c when 0 then hr when 1 then hg else hb end * {amount}::double * weight as v from w, range(3) as d(c))
+select video_id, frame_idx, cast(sum(floor(least(greatest(v, 0.0::double), 1.0::double) * 255 + 0.5::double) * {_WEIGHT}) as bigint) as digest from o group by 1, 2"""
+
+
+@query(_sharpened_sql(0.6))
+def pixel_sharpened(spark, sf):
+    """C14, K6: adaptive sharpening without a grade."""
+    return frames.digests(tiles.rendered(part_clips(spark, sf), "OFF", 0.6))
+
+
 _R, _G, _B = _pixel_sql("x", "cast(floor(i * 0.75) as bigint)")
 _ALPHA = "case when abs(q.r - t.r) + abs(q.g - t.g) + abs(q.b - t.b) >= 24 then 0 else 128 * (24 - abs(q.r - t.r) - abs(q.g - t.g) - abs(q.b - t.b)) // 24 end"
 _BLEND = "case when q.segment <> t.segment then q.{c} else (q.{c} * (256 - " + _ALPHA + ") + t.{o} * " + _ALPHA + ") >> 8 end as {o}"

@@ -86,6 +86,25 @@ def test_batches_are_cut_by_what_they_become(monkeypatch):
     assert [i for p in parts for i in p.column("frame_idx").to_pylist()] == list(range(5)) and parts[0].schema.names[-1] == "source"
 
 
+def test_the_upscaling_query_equals_a_loop_over_its_frames(spark, small):
+    """upscale_smoke frame by frame on the driver: inference on roots, shared results, the filter within a scene."""
+    import hashlib
+
+    clips = Q.part_clips(spark, small)
+    flags = {(r["video_id"], r["frame_idx"]): r for r in frames.analysed(clips).select("video_id", "frame_idx", "is_dup", "segment").collect()}
+    want, last = {}, None
+    for r in sorted(clips.collect(), key=lambda r: (r["video_id"], r["frame_idx"])):
+        flag, source = flags[r["video_id"], r["frame_idx"]], pixels.frame(bytes(r["px"]), r["width"], r["height"])
+        scene = (r["video_id"], flag["segment"])
+        same = last is not None and last[0] == scene
+        result, origin = (last[1], last[2]) if flag["is_dup"] and same else (pixels.faithful(tiles.upscaled(source, tiles.bilinear_kernel, 48), source, 1.0), source)
+        out = pixels.stabilised(result, last[3] if same else None, origin, last[2] if same else None, 0.5)
+        want[r["video_id"], r["frame_idx"]] = (out.shape[1], out.shape[0], hashlib.sha256(out.tobytes()).hexdigest())
+        last = (scene, result, origin, out)
+    got = {(r["video_id"], r["frame_idx"]): tuple(r)[2:] for r in Q.upscale_smoke(spark, small).select("video_id", "frame_idx", "width", "height", "sha256").collect()}
+    assert got == want and len(want) > 100
+
+
 def test_results_are_never_shuffled(spark):
     source = clip(spark, [0, 0, 60])
     plan = tiles.processed(source, frames.analysed(source), tile=48)._jdf.queryExecution().toString()

@@ -99,6 +99,69 @@ def test_faithful_identity_and_brightness():
     assert (P.faithful_float(out, source, 0) == out).all()
 
 
+@pytest.mark.parametrize("strength", [0.3, 1.0])
+def test_faithful_device_blend_by_loops(strength):
+    """K3 and C11 sample by sample: fixed-point luma and chroma of four times the samples."""
+    source, out = noise(6, 8, 1), noise(24, 32, 2)
+    base, k, edges = P.upsample_x4(source, 4).astype(int), int(strength * 256), P.edge_mask(source)
+    luma = lambda p: (77 * int(p[0]) + 150 * int(p[1]) + 29 * int(p[2])) >> 8
+    y_base = np.array([[luma(base[y, x]) for x in range(32)] for y in range(24)])
+    y_ai = np.array([[luma(out[y, x]) << 2 for x in range(32)] for y in range(24)])
+    low_base, low_ai = P.box_blur(y_base, 4), P.box_blur(y_ai, 4)
+    got = P.faithful(out, source, strength)
+    for y in range(24):
+        for x in range(32):
+            weight = 179 + (77 * int(edges[y // 4, x // 4]) >> 8)
+            fresh = low_base[y, x] + ((y_ai[y, x] - low_ai[y, x]) * weight >> 8)
+            mixed = lambda mine, raw: int(mine * k + raw * (256 - k)) >> 8
+            luma_out = mixed(fresh, y_ai[y, x])
+            cb = mixed((base[y, x, 2] - y_base[y, x]) * 144 >> 8, ((int(out[y, x, 2]) << 2) - y_ai[y, x]) * 144 >> 8)
+            cr = mixed((base[y, x, 0] - y_base[y, x]) * 183 >> 8, ((int(out[y, x, 0]) << 2) - y_ai[y, x]) * 183 >> 8)
+            want = (luma_out + (cr * 359 >> 8), luma_out - (cb * 88 >> 8) - (cr * 183 >> 8), luma_out + (cb * 454 >> 8))
+            assert got[y, x].tolist() == [min(max((v + 2) >> 2, 0), 255) for v in want]
+
+
+def test_faithful_backend_blend_by_loops():
+    """K4: low frequencies and chroma of the source's resampling, detail of the output, weighted by the source's edges."""
+    source, out, natural = noise(8, 8, 1), noise(32, 32, 2), 0.8
+    base, grey = np.clip(P.lanczos(source, 32, 32), 0, 255), source.astype(float) @ [0.299, 0.587, 0.114]
+    at = lambda p, y, x: p[[y, -y, 2 * 7 - y][(y < 0) + 2 * (y > 7)], [x, -x, 2 * 7 - x][(x < 0) + 2 * (x > 7)]]
+    slope = np.zeros((8, 8))
+    for y in range(8):
+        for x in range(8):
+            gx = sum(w * (at(grey, y + d, x + 1) - at(grey, y + d, x - 1)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+            gy = sum(w * (at(grey, y + 1, x + d) - at(grey, y - 1, x + d)) for d, w in ((-1, 1), (0, 2), (1, 1)))
+            slope[y, x] = np.hypot(gx, gy)
+    edge = (np.clip(P.gaussian(slope, 1.0) / 30, 0, 1) * 255).astype(np.uint8)
+    edge = P.bilinear(np.repeat(edge[..., None], 3, axis=2), 32, 32)[..., 0] / 255
+    luma = lambda p: p.astype(float) @ [0.299, 0.587, 0.114]
+    y_base, y_ai = luma(base), luma(out)
+    low_base, low_ai = P.gaussian(y_base, 4.0), P.gaussian(y_ai, 4.0)
+    got = P.faithful_float(out, source, natural)
+    for y in range(32):
+        for x in range(32):
+            weight = (0.7 + 0.3 * edge[y, x]) * natural + 1 - natural
+            fresh = (low_base[y, x] + (y_ai[y, x] - low_ai[y, x]) * weight) * natural + y_ai[y, x] * (1 - natural)
+            for c in range(3):
+                chroma = (base[y, x, c] - y_base[y, x]) * natural + (float(out[y, x, c]) - y_ai[y, x]) * (1 - natural)
+                assert abs(got[y, x, c] - min(max(fresh + chroma, 0), 255)) < 1e-9
+
+
+def test_sharpening_by_loops():
+    """C14: against the mean of 3 x 3, stronger on middling detail than on noise or hard edges."""
+    rgb, amount = noise(7, 9), 0.7
+    got = P.rendered(rgb, "OFF", amount)
+    for y in range(7):
+        for x in range(9):
+            near = [rgb[min(max(y + dy, 0), 6), min(max(x + dx, 0), 8)].astype(float) / 255 for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+            own = rgb[y, x] / 255
+            high = own - sum(near) / 9
+            size = float(np.sqrt((high**2).sum()))
+            step = lambda lo, hi: (lambda t: t * t * (3 - 2 * t))(min(max((size - lo) / (hi - lo), 0), 1))  # noqa: B023, E731
+            want = np.clip(own + high * amount * (0.4 + 0.6 * step(0, 0.08) * (1 - step(0.25, 0.6))), 0, 1) * 255
+            assert np.abs(got[y, x] - want).max() <= 0.5 + 1e-9
+
+
 def test_stabiliser_by_loops():
     a, b = noise(3, 4, 1), noise(3, 4, 2)
     b[0] = a[0]
