@@ -11,7 +11,8 @@ Training: the field is fitted by gradient ascent of the likelihood on at most
 texts at most), read whole, in which the base spans are tagged and secrets of other
 forms, made by rule from a seed, are planted.  Every epoch ascends on all windows of
 tokens that hold a secret and `CLEAR` times as many of those that hold none, drawn
-anew from all of them.  Only the weights, some 100 kB, go to the executors.
+anew from all of them.  Windows lie within texts and cover each to its end; a short text is
+a window of its own.  Only the weights, some 100 kB, go to the executors.
 
 Decoding is exact Viterbi.  A token whose outside score leads by more than any
 transitions can win back is outside in every best path, so texts fall apart
@@ -51,7 +52,9 @@ LEAST_VALUE = 6
 
 TRAIN_DOCS = 300
 TRAIN_BYTES = 8 << 20
-CLEAR = 6
+CLEAR = 5
+#: Words of a training text for each planted secret.
+EVERY = 60
 EPOCHS = 100
 WINDOW = 24
 BUCKETS = 4096
@@ -139,8 +142,8 @@ class Field:
             out += self.w[ids[:, c]]
         return out
 
-    def fit(self, all_ids: np.ndarray, all_tags: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5, seed: int = 6) -> None:
-        """Ascends the likelihood of windows: ids (n, WINDOW, kinds), tags (n, WINDOW)."""
+    def fit(self, all_ids: np.ndarray, all_tags: np.ndarray, valid: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, decay: float = 1e-5, seed: int = 6) -> None:
+        """Ascends the likelihood of windows: ids (n, WINDOW, kinds), tags (n, WINDOW); places that are not valid are behind a text's end, and outside."""
         rng = np.random.default_rng(seed)
         with_one = all_tags.any(axis=1)
         some, rest = np.flatnonzero(with_one), np.flatnonzero(~with_one)
@@ -148,12 +151,13 @@ class Field:
         seen_w, seen_t = np.full(self.w.shape, 1e-6), np.full((3, 3), 1e-6)
         for _ in range(epochs):
             pick = np.r_[some, rng.choice(rest, min(len(rest), max(1, CLEAR * len(some))), replace=False)] if len(rest) else some
-            n, tags = len(pick), all_tags[pick]
+            n, tags, real = len(pick), all_tags[pick], valid[pick]
             flat = all_ids[pick].reshape(-1, kinds)
             gold = np.eye(3)[tags]
             pairs = np.zeros((3, 3))
-            np.add.at(pairs, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+            np.add.at(pairs, (tags[:, :-1][real[:, 1:]], tags[:, 1:][real[:, 1:]]), 1)
             e = self.scores(flat).reshape(n, size, 3).astype(np.float64)
+            e[~real] = (0, -1e4, -1e4)
             t = self.t.astype(np.float64)
             a, b = np.empty_like(e), np.zeros_like(e)
             a[:, 0] = e[:, 0] + self.first
@@ -163,8 +167,8 @@ class Field:
                 b[:, i] = np.logaddexp.reduce(t + (e[:, i + 1] + b[:, i + 1])[:, None, :], axis=2)
             z = np.logaddexp.reduce(a[:, -1], axis=1)
             p = np.exp(a + b - z[:, None, None])
-            both = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
-            diff = (gold - p).reshape(-1, 3)
+            both = np.exp(a[:, :-1, :, None] + t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])[real[:, 1:]].sum(axis=0)
+            diff = ((gold - p) * real[..., None]).reshape(-1, 3)
             grad = np.stack([np.bincount(flat.ravel(), np.repeat(diff[:, k], kinds), len(self.w)) for k in range(3)], axis=1) / n - decay * self.w
             grad_t = (pairs - both) / n - decay * self.t
             grad_t[OUT, IN] = 0
@@ -243,14 +247,14 @@ def made_secret(rng: np.random.Generator) -> str:
     )[rng.integers(8)]
 
 
-def tagged(texts: list[str], seed: int = 5) -> tuple[Words, np.ndarray]:
-    """Texts with planted secrets, and the tags of their tokens."""
+def tagged(texts: list[str], seed: int = 5, every: int = EVERY) -> tuple[Words, np.ndarray]:
+    """Texts with planted secrets, one and another for each `every` words, and the tags of their tokens."""
     rng = np.random.default_rng(seed)
     raw, marks, at = [], [], 0
     for text in texts:
         pieces = text.split(" ")
         spans = []
-        for _ in range(1 + len(pieces) // 120):
+        for _ in range(1 + len(pieces) // every):
             pieces.insert(int(rng.integers(len(pieces) + 1)), "\0" + made_secret(rng) + "\1")
         joined, out = " ".join(pieces), []
         for part in re.split("(\0[^\1]*\1)", joined):
@@ -277,17 +281,29 @@ def tagged(texts: list[str], seed: int = 5) -> tuple[Words, np.ndarray]:
     return words, tags
 
 
+def windows(first: np.ndarray) -> np.ndarray:
+    """Places of the tokens of each window, -1 behind a text's end: windows stay within texts, a text's last one ends where it does."""
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        starts = [*range(a, b - WINDOW + 1, WINDOW)] or [a]
+        starts += [b - WINDOW] if b - a > WINDOW and (b - a) % WINDOW else []
+        if b > a:
+            rows = np.array(starts)[:, None] + np.arange(WINDOW)
+            out.append(np.where(rows < b, rows, -1))
+    return np.concatenate(out) if out else np.empty((0, WINDOW), np.int64)
+
+
 def fitted(texts: list[str]) -> Field:
     """A field trained on all windows of the texts."""
     field = Field()
     words, tags = tagged(texts)
-    n = len(words) // WINDOW
-    if not n:
+    places = windows(words.first)
+    if not len(places):
         return field
-    ids = feature_ids(words)[: n * WINDOW].reshape(n, WINDOW, -1)
-    tags = tags[: n * WINDOW].reshape(n, WINDOW)
+    valid = places >= 0
+    tags = np.where(valid, tags[places], OUT)
     tags[:, 0][tags[:, 0] == IN] = BEGIN
-    field.fit(ids, tags)
+    field.fit(np.where(valid[..., None], feature_ids(words)[places], 0), tags, valid)
     return field
 
 
@@ -363,7 +379,7 @@ def redact_batches(batches: Iterable[pa.RecordBatch], field: Field) -> Iterator[
 def spans(docs: DataFrame) -> DataFrame:
     """Counts, digest of the base spans and all spans of each document."""
     field = train(docs)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: scan(it, field), SCHEMA)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda it: scan(it, field), SCHEMA)
 
 
 def redact(docs: DataFrame) -> DataFrame:
