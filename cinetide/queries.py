@@ -18,6 +18,7 @@ from cinetide.operators import control, folds, frames, tiles
 from cinetide.plans import planner
 from cinetide.session import shared_folder
 from cinetide.sources import mp4, video
+from cinetide.streaming import events, sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1378,3 +1379,69 @@ def history_stored(spark, sf):
     )
     back = control.history_rows(F.col("json"), control.STORED_TYPES)
     return control.history_json(rows).select(F.posexplode(back).alias("place", "entry")).select("entry.*", "place")
+
+
+# ---- streams ----
+
+
+def _drained(df, name):
+    """What a stream gives until its source is used up, as a table."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    running = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def _as_stream(rows, name, files=3):
+    """Rows written to a folder in a few files, read again one file a batch."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.repartition(files).write.parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("""
+select event_id::varchar as id, case event_type when 'view' then 'queued' when 'click' then 'processing' when 'purchase' then 'done' else 'error' end as stage, round(value / 7, 4) as progress
+from events where event_id % 5 <> 0""")
+def events_followed(spark, sf):
+    """Progress events published as a stream, followed as another; every fifth has a stage that nobody knows."""
+    stage = F.when(F.col("event_id") % 5 == 0, "lost").when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "processing").when(F.col("event_type") == "purchase", "done").otherwise("error")
+    rows = read(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.to_json(F.struct(stage.alias("stage"), F.round(F.col("value") / 7, 4).alias("progress"))).alias("data"))
+    path = shared_folder(spark, "published")
+    events.publish(_as_stream(rows, "progress"), f"{path}/log", f"{path}/state").awaitTermination()
+    return _drained(events.progress(events.follow(spark, f"{path}/log")), "followed").select("id", "stage", "progress")
+
+
+_LIMIT_MS = 3 * 24 * 3_600_000
+_REGISTRATIONS = f"""
+select 'service' || user_id % 40 as service, (epoch_us(ts) // 1000) as at_ms, event_id as seq, case when event_id % 6 = 0 then 0 else (epoch_us(ts) // 1000) - (event_id % 9) * 20000000 end as mine,
+  event_id % 13 = 0 as force, event_id % 7 > 0 as is_tunnel from events"""
+
+
+@query(f"""
+with recursive e as (select *, row_number() over (partition by service order by at_ms, seq) as n from ({_REGISTRATIONS})),
+r as (select service, 0::bigint as n, null::bigint as cur, null::bigint as since, null::bigint as seq, null::bigint as at_ms, null::boolean as accepted, null::bigint as ended from e group by 1
+  union all select service, n, case when accepted then case when mine = 0 then at_ms else mine end else cur end, case when accepted then at_ms else since end, seq, at_ms, accepted, ended from (
+    select e.*, r.since + {_LIMIT_MS} <= e.at_ms as over, case when r.since + {_LIMIT_MS} <= e.at_ms then r.since + {_LIMIT_MS} end as ended, case when over then null else r.cur end as cur, case when over then null else r.since end as since,
+      not (coalesce(case when over then null else r.cur end, 0) > 0 and not e.force and e.is_tunnel and e.mine < r.cur) as accepted
+    from r join e on e.service = r.service and e.n = r.n + 1)),
+last as (select service, max_by(since, n) as since from r group by 1)
+select service, at_ms, seq, case when accepted then 'ACCEPTED' else 'REJECTED' end as event from r where n > 0
+union all select service, ended, -1, 'EXPIRED' from r where ended is not null
+union all select service, since + {_LIMIT_MS}, -1, 'EXPIRED' from last where since is not null""")
+def sessions_decided(spark, sf):
+    """Registrations as a stream, decided in order of time by timers, and the ends of sessions."""
+    at = F.col("ts").cast("timestamp")
+    start = F.when(F.col("event_id") % 6 == 0, F.lit(None).cast("bigint")).otherwise(F.unix_millis(at) - (F.col("event_id") % 9) * 20_000_000)
+    rows = read(spark, sf, "events").select(
+        F.concat(F.lit("service"), (F.col("user_id") % 40).cast("string")).alias("service"), at.alias("at"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("host"),
+        start.alias("session_start"), (F.col("event_id") % 13 == 0).alias("force"), (F.col("event_id") % 7 > 0).alias("is_tunnel"),
+    )
+    span = rows.agg((F.unix_seconds(F.max("at")) - F.unix_seconds(F.min("at")) + 60).alias("s")).first()["s"] or 60
+    path = shared_folder(spark, "registrations")
+    rows.repartition(3).write.parquet(path)
+    for k in (1, 2):  # what comes years later brings the watermark past all else
+        late = rows.agg(F.max("at").alias("at")).select(F.lit("end").alias("service"), (F.col("at") + F.make_interval(F.lit(10 * k))).alias("at"), F.lit(0).cast("bigint").alias("seq"), F.lit("end").alias("host"), F.lit(0).cast("bigint").alias("session_start"), F.lit(True).alias("force"), F.lit(True).alias("is_tunnel"))
+        late.coalesce(1).write.mode("append").parquet(path)
+    sessions.with_timers(spark)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _drained(sessions.live(stream, f"{span} seconds", _LIMIT_MS), "decided").where("service <> 'end'").select("service", "at_ms", "seq", "event")
