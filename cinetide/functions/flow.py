@@ -23,8 +23,11 @@ def _along(plane: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
     """Correlation with taps along an axis; edges repeat."""
     reach = len(taps) // 2
     padded = np.pad(plane, [(reach, reach) if a == axis else (0, 0) for a in range(plane.ndim)], mode="edge")
-    size = plane.shape[axis]
-    return sum(t * padded.take(range(k, k + size), axis=axis) for k, t in enumerate(taps))
+    size, front = plane.shape[axis], (slice(None),) * axis
+    out = taps[0] * padded[(*front, slice(0, size))]
+    for k in range(1, len(taps)):
+        out += taps[k] * padded[(*front, slice(k, k + size))]
+    return out
 
 
 def expansion(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +73,14 @@ def resized(values: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def _window_means(values: np.ndarray, size: int) -> np.ndarray:
-    taps = np.full(size, 1 / size)
-    return _along(_along(values, taps, 0), taps, 1)
+    """Means over windows of size x size; edges repeat."""
+    reach = size // 2
+    for axis in (0, 1):
+        padded = np.pad(values, [(reach + 1, reach) if a == axis else (0, 0) for a in range(values.ndim)], mode="edge")
+        sums = np.cumsum(padded, axis=axis)
+        n, front = values.shape[axis], (slice(None),) * axis
+        values = (sums[(*front, slice(size, size + n))] - sums[(*front, slice(0, n))]) / size
+    return values
 
 
 def _refined(one: tuple, other: tuple, flow: np.ndarray) -> np.ndarray:

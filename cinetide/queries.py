@@ -1272,14 +1272,14 @@ def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        y, x = np.mgrid[0:48, 0:64]
+        y, x = np.mgrid[0:HIGH, 0:WIDE]
         for batch in batches:
             price, dx, dy = (batch.column(c).to_numpy()[:, None, None] for c in ("price", "dx", "dy"))
             u, v = x - dx, y - dy
             wave = np.sin(u * (0.35 + price % 7 / 50) + price) + np.sin(v * (0.4 + price % 11 / 80) - price) + np.sin((u + 2 * v) * 0.21 + price % 3)
             px = np.repeat(np.clip(np.rint(127.5 + wave * 40), 0, 255).astype(np.uint8)[..., None], 3, axis=-1)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(batch.column("frame_idx").to_numpy() * 33_333), pa.array([64] * n, pa.int32()), pa.array([48] * n, pa.int32()), pa.array([p.tobytes() for p in px], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
+            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(batch.column("frame_idx").to_numpy() * 33_333), pa.array([WIDE] * n, pa.int32()), pa.array([HIGH] * n, pa.int32()), pa.array([p.tobytes() for p in px], pa.binary())], ["video_id", "frame_idx", "pts_us", "width", "height", "px"])
 
     return rows.mapInArrow(run, FRAMES)
 
@@ -1411,10 +1411,12 @@ def events_followed(spark, sf):
     return _drained(events.progress(events.follow(spark, f"{path}/log")), "followed").select("id", "stage", "progress")
 
 
-_LIMIT_MS = 3 * 24 * 3_600_000
+#: A session lasts 26 hours; each service registers with its first event of a day.
+_LIMIT_MS = 26 * 3_600_000
 _REGISTRATIONS = f"""
 select 'service' || user_id % 40 as service, (epoch_us(ts) // 1000) as at_ms, event_id as seq, case when event_id % 6 = 0 then 0 else (epoch_us(ts) // 1000) - (event_id % 9) * 20000000 end as mine,
-  event_id % 13 = 0 as force, event_id % 7 > 0 as is_tunnel from events"""
+  event_id % 13 = 0 as force, event_id % 7 > 0 as is_tunnel from events
+qualify row_number() over (partition by user_id % 40, ts::date order by ts, event_id) = 1"""
 
 
 @query(f"""
@@ -1432,8 +1434,9 @@ def sessions_decided(spark, sf):
     """Registrations as a stream, decided in order of time by timers, and the ends of sessions."""
     at = F.col("ts").cast("timestamp")
     start = F.when(F.col("event_id") % 6 == 0, F.lit(None).cast("bigint")).otherwise(F.unix_millis(at) - (F.col("event_id") % 9) * 20_000_000)
-    rows = read(spark, sf, "events").select(
-        F.concat(F.lit("service"), (F.col("user_id") % 40).cast("string")).alias("service"), at.alias("at"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("host"),
+    day = read(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("of"), F.to_date("ts").alias("day")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    rows = day.select("of", "first.*").select(
+        F.concat(F.lit("service"), F.col("of").cast("string")).alias("service"), at.alias("at"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("host"),
         start.alias("session_start"), (F.col("event_id") % 13 == 0).alias("force"), (F.col("event_id") % 7 > 0).alias("is_tunnel"),
     )
     span = rows.agg((F.unix_seconds(F.max("at")) - F.unix_seconds(F.min("at")) + 60).alias("s")).first()["s"] or 60

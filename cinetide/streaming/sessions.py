@@ -1,7 +1,7 @@
 """Sessions over time (L4, L6): registrations in any order within the watermark, with timers for the end of a session.
 
 transformWithState keeps, per service, the registrations whose time has not come and the session in
-force.  A timer stands at the time of every registration, so they are decided in order of time once the
+force.  A timer stands at the earliest of them, so they are decided in order of time once the
 watermark passes them, whatever their order of arrival; another one stands at the end of the
 session in force, which then expires and leaves no state behind.  The state store must be RocksDB's
 (`with_timers` sets it).
@@ -46,39 +46,44 @@ class Sessions(StatefulProcessor):
         self.current = handle.getValueState("current", "host string, session_start long, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = None
         for frame in rows:
             for r in frame.itertuples(index=False):
                 start = 0 if pd.isna(r.session_start) else int(r.session_start)
                 self.waiting.updateValue((int(r.at_ms), int(r.seq)), (r.host, start, bool(r.force), bool(r.is_tunnel)))
-                self.handle.registerTimer(int(r.at_ms))
+                first = int(r.at_ms) if first is None else min(first, int(r.at_ms))
+        if first is not None:
+            self.handle.registerTimer(first)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        events: list[tuple] = []
-        due = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= now)
-        for at, seq in due:
-            events += self.ended(key[0], at)
-            host, start, force, tunnel = self.waiting.getValue((at, seq))
+        """All that the watermark has passed is decided at once; the earliest that waits on gets the next timer."""
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting = sorted((tuple(at), tuple(value)) for at, value in self.waiting.iterator())
+        before = self.current.get() if self.current.exists() else None
+        current, events = tuple(before) if before else None, []
+        for (at, seq), (host, start, force, tunnel) in waiting:
+            if at > now:
+                self.handle.registerTimer(at)
+                break
+            current = self.ended(key[0], current, at, events)
+            current, accepted = decided(current, host, start, force, tunnel, at)
             self.waiting.removeKey((at, seq))
-            before = self.current.get() if self.current.exists() else None
-            after, accepted = decided(tuple(before) if before else None, host, start, force, tunnel, at)
-            if accepted:
-                self.current.update(after)
-                self.handle.registerTimer(at + self.limit)
             events.append((key[0], at, seq, host, start, "ACCEPTED" if accepted else "REJECTED"))
-        events += self.ended(key[0], now)
+        current = self.ended(key[0], current, now, events)
+        if current is None:
+            self.current.clear()
+        elif current != before:
+            self.current.update(current)
+            self.handle.registerTimer(current[2] + self.limit)
         yield pd.DataFrame(events, columns=[c.split()[0] for c in EVENT.split(", ")]) if events else pd.DataFrame()
 
-    def ended(self, service: str, now: int) -> list[tuple]:
-        """The end of the session in force, if it has come; its state goes."""
-        if not self.current.exists():
-            return []
-        host, start, at = self.current.get()
-        if at + self.limit > now:
-            return []
-        self.current.clear()
-        return [(service, at + self.limit, -1, host, start, "EXPIRED")]
+    def ended(self, service: str, current: tuple | None, now: int, events: list[tuple]) -> tuple | None:
+        """The session in force, unless its end has come, which is an event."""
+        if current is None or current[2] + self.limit > now:
+            return current
+        events.append((service, current[2] + self.limit, -1, current[0], current[1], "EXPIRED"))
+        return None
 
     def close(self) -> None:
         pass
