@@ -1314,7 +1314,7 @@ def _clip_tracks(packets):
     return tracks.withColumns({"number": F.when(is_video, 1).otherwise(2), "width": F.when(is_video, 160 + size), "height": F.when(is_video, 90 + size), "rotation": F.lit(90), "channels": F.lit(1), "sample_rate": F.lit(44_100)})
 
 
-def _clips(spark, sf):
+def _clip_folder(spark, sf):
     """The folder of the clips' files."""
     packets, path = _clip_packets(spark, sf), shared_folder(spark, "clips")
     mp4.write_packets(packets, _clip_tracks(packets), path)
@@ -1327,12 +1327,12 @@ def _listed(packets):
 
 @query(f"select video_id, track, pts_us, dts_us, is_key, md5(body) as digest from ({_SHOWN})")
 def mp4_packets(spark, sf):
-    return _listed(mp4.read_packets(spark, _clips(spark, sf)))
+    return _listed(mp4.read_packets(spark, _clip_folder(spark, sf)))
 
 
 @query(f"select video_id, track, pts_us - 2000000 as pts_us, dts_us, is_key, md5(body) as digest from ({_SHOWN}) where track = 'audio/mp4a' and pts_us between 2000000 and 9000000")
 def mp4_audio_range(spark, sf):
-    packets = mp4.read_packets(spark, _clips(spark, sf)).where("track = 'audio/mp4a'")
+    packets = mp4.read_packets(spark, _clip_folder(spark, sf)).where("track = 'audio/mp4a'")
     return _listed(control.track_range(packets, 2_000_000, 9_000_000, "audio/"))
 
 
@@ -1340,7 +1340,7 @@ def mp4_audio_range(spark, sf):
 with p as ({_SHOWN}), b as (select video_id, coalesce(max(pts_us) filter (track = 'video/avc1' and is_key and pts_us <= 3000000), 0) as base from p group by video_id)
 select video_id, track, pts_us - base as pts_us, dts_us - base as dts_us, is_key, md5(body) as digest from p join b using (video_id) where pts_us between base and 8000000""")
 def mp4_remuxed(spark, sf):
-    source = _clips(spark, sf)
+    source = _clip_folder(spark, sf)
     target = shared_folder(spark, "remuxed")
     mp4.write_packets(mp4.remuxed(mp4.read_packets(spark, source), 3_000_000, 8_000_000), mp4.read_tracks(spark, source).drop("duration_us"), target)
     return _listed(mp4.read_packets(spark, target))
@@ -1353,7 +1353,7 @@ select video_id, cast(160 + cast(video_id[5:] as int) % 50 as int) as width, cas
   cast(case when n * 1e6 / v.us > 120 then 30 when n * 1e6 / v.us > 1 then round(n * 1e6 / v.us, 6) when n * 1e3 / floor(l.us / 1000) > 1 then round(n * 1e3 / floor(l.us / 1000), 6) else 30 end as double) as fps, n as frame_count
 from l join v using (video_id)""")
 def mp4_probed(spark, sf):
-    return mp4.probed_files(mp4.read_tracks(spark, _clips(spark, sf))).withColumn("fps", F.round("fps", 6))
+    return mp4.probed_files(mp4.read_tracks(spark, _clip_folder(spark, sf))).withColumn("fps", F.round("fps", 6))
 
 
 @query(f"""
@@ -1362,7 +1362,7 @@ a as (select video_id, unnest([0, 1, 2]) as point, unnest([cast(floor(us * 0.15:
 k as (select video_id, point, at_us, pts_us, row_number() over (partition by video_id, point order by abs(pts_us - at_us), pts_us) as place from a join p using (video_id) where track = 'video/avc1' and is_key)
 select video_id, point::int as point, at_us, pts_us from k where place = 1""")
 def mp4_key_samples(spark, sf):
-    path = _clips(spark, sf)
+    path = _clip_folder(spark, sf)
     several = mp4.read_tracks(spark, path).where("samples > 1")
     return mp4.key_samples(mp4.read_packets(spark, path, payload="false"), several).select("video_id", "point", "at_us", "pts_us")
 
