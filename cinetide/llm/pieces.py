@@ -32,7 +32,7 @@ size; a segment without blanks costs some 200 bytes a character while it is enco
 The model's path is a parameter, or the setting `spark.cinetide.pieces.model`; the
 driver reads the file and sends its pieces.
 
-Defined results: a null text is empty and has no ids; U+2581 in a text reads as
+Defined results: a null text is empty and has no ids; a null id stays null; U+2581 in a text reads as
 a space, so round_trip is false for such texts, as it is where the character map
 changed something; repeated rows are encoded alike; an empty table gives an empty
 result; other columns, also those named like the operator's own, are ignored.
