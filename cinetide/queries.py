@@ -920,14 +920,14 @@ def part_clips(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", F.col("p_size").cast("long").alias("v"), price.cast("long").alias("w"))
     rows = rows.withColumn("frame_idx", (F.row_number().over(by) - 1).cast("long"))
     pair = lambda c: F.when(F.col("frame_idx") % 2 == 1, F.lag(c).over(by)).otherwise(F.col(c)).alias(c)
-    rows = rows.select("video_id", "frame_idx", pair("v"), pair("w"))
+    rows = frames.dealt(rows.select("video_id", "frame_idx", pair("v"), pair("w")), "video_id", "frame_idx")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         y, x = np.mgrid[0:HIGH, 0:WIDE]
-        for batch in batches:
+        for batch in frames.slices(batches):
             v, w = (batch.column(c).to_numpy()[:, None, None] for c in ("v", "w"))
             r = (x * 3 + y * 2 + v * 5) % 256
             px = np.stack([r, (x * w + y * 7 + v) % 256, (255 - r + x * y) % 256], axis=-1).astype(np.uint8)
@@ -1267,13 +1267,14 @@ def moved_clips(spark: SparkSession, sf: str) -> DataFrame:
     rows = rows.withColumn("frame_idx", (F.row_number().over(by) - 1).cast("long"))
     odd = F.col("frame_idx") % 2 == 1
     rows = rows.select("video_id", "frame_idx", F.when(odd, F.lag("price").over(by)).otherwise(F.col("price")).alias("price"), F.when(odd, F.col("size") % 5 - 2).otherwise(0).alias("dx"), F.when(odd, F.col("size") % 7 - 3).otherwise(0).alias("dy"))
+    rows = frames.dealt(rows, "video_id", "frame_idx")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         y, x = np.mgrid[0:HIGH, 0:WIDE]
-        for batch in batches:
+        for batch in frames.slices(batches):
             price, dx, dy = (batch.column(c).to_numpy()[:, None, None] for c in ("price", "dx", "dy"))
             u, v = x - dx, y - dy
             wave = np.sin(u * (0.35 + price % 7 / 50) + price) + np.sin(v * (0.4 + price % 11 / 80) - price) + np.sin((u + 2 * v) * 0.21 + price % 3)
