@@ -183,23 +183,31 @@ def reordered_prefix(df: DataFrame, keys: Sequence[str], order: str, start: int
 def motion(frames: DataFrame) -> DataFrame:
     """How each frame moved against the one before it: medians of its dense motion, in pixels; a clip's first frame, and one of another size, has none.
 
-    Each frame meets its neighbour by a join on clip and index, so frames of one clip spread over all tasks.
+    Frames are dealt by blocks of a clip, so those of one clip spread over all tasks; the last frame of a block goes to the next one as well.
+    A task streams its blocks in order and holds one frame of state; no side of pixels can be taken for a small one and sent to all.
     """
-    last = frames.select("video_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("px").alias("last_px"), F.col("width").alias("last_width"), F.col("height").alias("last_height"))
-    pairs = frames.select("video_id", "frame_idx", "width", "height", "px").join(last, ["video_id", "frame_idx"], "left")
+    block = F.floor(F.col("frame_idx") / FRAMES_AT_ONCE)
+    is_last = F.pmod(F.col("frame_idx"), F.lit(FRAMES_AT_ONCE)) == FRAMES_AT_ONCE - 1
+    rows = frames.select("video_id", "frame_idx", "width", "height", "px", F.explode(F.when(is_last, F.array(block, block + 1)).otherwise(F.array(block))).alias("block"))
     schema = "video_id string, frame_idx bigint, dx double, dy double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            names = ("width", "height", "px", "last_width", "last_height", "last_px")
-            for w, h, px, lw, lh, last_px in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if last_px is None or (lw, lh) != (w, h):
+        last = grey = None
+        for batch in slices(batches):
+            ids, found = [], []
+            names = ("video_id", "block", "frame_idx", "width", "height", "px")
+            for video, block, index, w, h, px in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                before, last_grey = last, grey
+                last, grey = (video, index, w, h), pixels.grey(pixels.frame(px, w, h))
+                if index // FRAMES_AT_ONCE != block:
+                    continue
+                ids.append((video, index))
+                if before != (video, index - 1, w, h):
                     found.append((None, None))
                 else:
-                    moved = flow.dense_flow(pixels.grey(pixels.frame(last_px, w, h)), pixels.grey(pixels.frame(px, w, h)))
-                    found.append(tuple(float(m) for m in np.median(moved, axis=(0, 1))))
-            dx, dy = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("frame_idx"), pa.array(dx, pa.float64()), pa.array(dy, pa.float64())], ["video_id", "frame_idx", "dx", "dy"])
+                    found.append(tuple(float(m) for m in np.median(flow.dense_flow(last_grey, grey), axis=(0, 1))))
+            (videos, indices), (dx, dy) = zip(*ids, strict=True) if ids else ((), ()), zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(videos, pa.string()), pa.array(indices, pa.int64()), pa.array(dx, pa.float64()), pa.array(dy, pa.float64())], ["video_id", "frame_idx", "dx", "dy"])
 
+    pairs = dealt(rows, "video_id", "block").sortWithinPartitions("video_id", "block", "frame_idx")
     return pairs.mapInArrow(run, schema)

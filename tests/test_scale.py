@@ -3,6 +3,8 @@
 
 from pyspark.sql import functions as F
 
+from cinetide.operators import frames
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -11,3 +13,14 @@ def plan(df):
 def test_rows_are_spread_before_they_become_pixels(spark, small, clips):
     sizes = [r["count"] for r in clips(spark, small).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 100
+
+
+def test_motion_across_blocks_gaps_and_clips(spark):
+    from cinetide.schemas import FRAMES
+
+    size = frames.FRAMES_AT_ONCE
+    px = bytes(range(256)) * 3  # 16 x 16
+    rows = [("a", i, i, 16, 16, px) for i in (*range(2 * size + 2), 2 * size + 5)] + [("b", i, i, 16, 16, px) for i in (size - 1, size)] + [("c", 0, 0, 16, 16, px), ("c", 1, 1, 8, 16, px[:384])]
+    got = {(r["video_id"], r["frame_idx"]): r["dx"] for r in frames.motion(spark.createDataFrame(rows, FRAMES)).collect()}
+    assert len(got) == len(rows)
+    assert {k for k, v in got.items() if v is None} == {("a", 0), ("a", 2 * size + 5), ("b", size - 1), ("c", 0), ("c", 1)}
