@@ -133,7 +133,9 @@ def onnx_kernel(name: str) -> Kernel:
         from pyspark import SparkFiles
 
         if name not in _sessions:
-            _sessions[name] = onnxruntime.InferenceSession(SparkFiles.get(name), providers=["CPUExecutionProvider"])
+            options = onnxruntime.SessionOptions()  # a thread a worker: tasks are what fills the cores
+            options.intra_op_num_threads = options.inter_op_num_threads = 1
+            _sessions[name] = onnxruntime.InferenceSession(SparkFiles.get(name), options, providers=["CPUExecutionProvider"])
         session = _sessions[name]
         return session.run(None, {session.get_inputs()[0].name: planes})[0]
 

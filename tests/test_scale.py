@@ -1,9 +1,12 @@
 """What must not grow with the tables: tasks that take all rows, sides of joins that are sent to all, pixels held at once."""
 
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cinetide.operators import frames
+from cinetide import queries as Q
+from cinetide.operators import frames, tiles
+from cinetide.session import shared_folder
 
 
 def plan(df):
@@ -24,3 +27,9 @@ def test_motion_across_blocks_gaps_and_clips(spark):
     got = {(r["video_id"], r["frame_idx"]): r["dx"] for r in frames.motion(spark.createDataFrame(rows, FRAMES)).collect()}
     assert len(got) == len(rows)
     assert {k for k, v in got.items() if v is None} == {("a", 0), ("a", 2 * size + 5), ("b", size - 1), ("c", 0), ("c", 1)}
+
+
+def test_a_model_takes_one_thread_a_task(spark, small):
+    name = tiles.add_model(Q._net_weights(spark, small), "threads", shared_folder(spark, "models"))
+    tiles.onnx_kernel(name)(np.zeros((1, 3, 6, 8), np.float32))
+    assert tiles._sessions.pop(name).get_session_options().intra_op_num_threads == 1
