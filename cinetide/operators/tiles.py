@@ -25,7 +25,7 @@ from cinetide.schemas import FRAMES
 SCALE = 4
 TILES_AT_ONCE = 16
 #: Bytes of results that a task holds before it hands them on; frames of a block of a long scene.
-OUT_BYTES, BLOCK_FRAMES = 64 << 20, 64
+OUT_BYTES, BLOCK_FRAMES = 8 << 20, 64
 PRE2_NATURAL, PRE2_HEIGHT = 0.5, 240
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -62,8 +62,14 @@ def bilinear_kernel(planes: np.ndarray) -> np.ndarray:
         return lo, np.minimum(lo + 1, size - 1), (at - lo).astype(np.float32)
 
     (y0, y1, fy), (x0, x1, fx) = axis(h), axis(w)
-    rows = planes[:, :, y0] * (1 - fy)[:, None] + planes[:, :, y1] * fy[:, None]
-    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
+    rows = planes[:, :, y0] * (1 - fy)[:, None]
+    rows += planes[:, :, y1] * fy[:, None]
+    out = rows[..., x0]
+    out *= 1 - fx
+    more = rows[..., x1]
+    more *= fx
+    out += more
+    return out
 
 
 def checked(kernel: Kernel, tile: int) -> Kernel:
@@ -227,7 +233,7 @@ def _frames(batch: pa.RecordBatch, outs: list[np.ndarray], source: pa.Array | No
 def _binary(outs: list[np.ndarray]) -> pa.Array:
     """Pixels of frames as a column; a single frame is not copied."""
     limits = np.r_[0, np.cumsum([x.nbytes for x in outs])].astype(np.int32)
-    data = pa.py_buffer(np.ascontiguousarray(outs[0])) if len(outs) == 1 else pa.py_buffer(b"".join(x.tobytes() for x in outs))
+    data = pa.py_buffer(np.ascontiguousarray(outs[0]) if len(outs) == 1 else np.concatenate([x.ravel() for x in outs] or [np.empty(0, np.uint8)]))
     return pa.Array.from_buffers(pa.binary(), len(outs), [None, pa.py_buffer(limits.tobytes()), data])
 
 

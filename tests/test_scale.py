@@ -2,6 +2,7 @@
 
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cinetide import queries as Q
@@ -18,6 +19,13 @@ def test_rows_are_spread_before_they_become_pixels(spark, small, clips):
     assert len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 100
 
 
+def test_pixels_are_made_a_few_frames_at_a_time(spark, small):
+    batch = pa.RecordBatch.from_pydict({"n": list(range(150))})
+    parts = list(frames.slices([batch, batch.slice(0, 0), batch]))
+    assert [p.num_rows for p in parts] == [64, 64, 22] * 2 and [v for p in parts for v in p.column("n").to_pylist()] == list(range(150)) * 2
+    assert tiles.OUT_BYTES <= 8 << 20
+
+
 def test_motion_across_blocks_gaps_and_clips(spark):
     from cinetide.schemas import FRAMES
 
