@@ -281,7 +281,8 @@ def stabilised(frames: DataFrame, segments: DataFrame, strength: float = 0.5, me
     Sorted partitions are streamed, so a task holds one frame of state.
     method: "device" for G4, "motion" for G5.
     """
-    rows = frames.join(segments.select("video_id", "frame_idx", "segment", F.col("width").alias("sw"), F.col("height").alias("sh")), ["video_id", "frame_idx"])
+    sizes = segments.select("video_id", "frame_idx", "segment", F.col("width").alias("sw"), F.col("height").alias("sh"))
+    rows = frames.join(sizes.hint("merge"), ["video_id", "frame_idx"])  # a row a frame: never to be sent to all
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(strength, method)
@@ -351,7 +352,7 @@ def processed(
     a scene, is the recursion alone: it opens the blocks of its scene in order.  Both ways give the same bits.
     """
     flags = analysis.select("video_id", "frame_idx", "is_dup", "segment")
-    rows = frames.join(flags, ["video_id", "frame_idx"])
+    rows = frames.join(flags.hint("merge"), ["video_id", "frame_idx"])
     by_scene = rows.repartition("video_id", "segment").sortWithinPartitions("video_id", "segment", "frame_idx")
     if folder is not None:
         _inferred_blocks(rows.where(~F.col("is_dup") | F.lit(not skip)), folder, kernel, tile, natural)

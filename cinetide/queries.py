@@ -1176,7 +1176,7 @@ def upscale_blocks(spark, sf):
     clips = part_clips(spark, sf)
     flags = frames.analysed(clips)
     ways = [tiles.processed(clips, flags, tile=48, folder=folder).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for folder in (None, shared_folder(spark, "blocks"))]
-    both = ways[0].join(ways[1].withColumnRenamed("sha256", "other"), ["video_id", "frame_idx"])
+    both = ways[0].join(ways[1].withColumnRenamed("sha256", "other").hint("merge"), ["video_id", "frame_idx"])
     return both.groupBy("video_id").agg(F.count("*").alias("frames"), F.count_if(F.col("sha256") == F.col("other")).alias("same"))
 
 

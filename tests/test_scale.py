@@ -26,6 +26,13 @@ def test_pixels_are_made_a_few_frames_at_a_time(spark, small):
     assert tiles.OUT_BYTES <= 8 << 20
 
 
+def test_frames_are_never_sent_to_all(spark, small):
+    clips = Q.part_clips(spark, small)
+    flags = frames.analysed(clips)
+    for df in (frames.motion(clips), tiles.processed(clips, flags), tiles.stabilised(clips.withColumn("source", F.col("px")), flags), Q.upscale_blocks(spark, small)):
+        assert "Broadcast" not in plan(df)
+
+
 def test_motion_across_blocks_gaps_and_clips(spark):
     from cinetide.schemas import FRAMES
 
