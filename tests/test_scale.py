@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cinetide import queries as Q
+from cinetide.functions import pixels
 from cinetide.operators import frames, tiles
 from cinetide.session import shared_folder
 
@@ -48,3 +49,18 @@ def test_a_model_takes_one_thread_a_task(spark, small):
     name = tiles.add_model(Q._net_weights(spark, small), "threads", shared_folder(spark, "models"))
     tiles.onnx_kernel(name)(np.zeros((1, 3, 6, 8), np.float32))
     assert tiles._sessions.pop(name).get_session_options().intra_op_num_threads == 1
+
+
+def test_kernels_in_whole_numbers(spark):
+    rng = np.random.default_rng(7)
+    plane = rng.integers(-400, 1021, (9, 13))
+    padded = np.pad(plane, 8, mode="edge")
+    cut = lambda v: int(v / 17)
+    rows = [[cut(padded[y, x : x + 17].sum()) for x in range(13)] for y in range(25)]
+    want = [[cut(sum(rows[y + k][x] for k in range(17))) for x in range(13)] for y in range(9)]
+    assert pixels.box_blur(plane, 4).tolist() == want
+    out, last = (rng.integers(0, 256, (12, 12, 3)).astype(np.uint8) for _ in range(2))
+    still, far = np.zeros((3, 3, 3), np.uint8), np.full((3, 3, 3), 99, np.uint8)
+    assert pixels.stabilised(out, last, far, still, 0.5) is out  # nothing is blended
+    assert (pixels.stabilised(out, last, still, still, 1.0) == last).all()
+    assert (pixels.stabilised(out, last, still, still, 0.5) == (out.astype(int) + last) * 128 // 256).all()
