@@ -284,12 +284,21 @@ def track_range(packets: DataFrame, start_us: int, end_us: int | None, prefix: s
     return rows.withColumn("pts_us", F.col("pts_us") - start_us)
 
 
+#: Tasks that the packets of one video are spread over where they meet its end.
+SPREAD = 64
+
+
 def interleaved(video: DataFrame, audio: DataFrame, shortest: bool = False) -> DataFrame:
-    """Both tracks in order of time; with shortest, up to the end of the shorter one that has packets."""
+    """Both tracks in order of time; with shortest, up to the end of the shorter one that has packets.
+
+    A video's packets are spread by their times, so none of them is a single task's, however long it is.
+    """
     rows = video.unionByName(audio)
     if shortest:
         ends = rows.groupBy("video_id", "track").agg(F.max("pts_us").alias("end")).groupBy("video_id").agg(F.min("end").alias("end"))
-        rows = rows.join(ends, "video_id").where("pts_us <= end").drop("end")
+        spread = F.pmod(F.xxhash64("pts_us"), F.lit(SPREAD))
+        copies = ends.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+        rows = rows.withColumn("_part", spread).join(copies, ["video_id", "_part"]).where("pts_us <= end").drop("end", "_part")
     return rows.orderBy("video_id", "pts_us", "track")
 
 

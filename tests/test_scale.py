@@ -1,5 +1,6 @@
 """What must not grow with the tables: tasks that take all rows, sides of joins that are sent to all, pixels held at once."""
 
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cinetide import queries as Q
 from cinetide.functions import pixels
-from cinetide.operators import frames, tiles
+from cinetide.operators import control, frames, tiles
 from cinetide.session import shared_folder
 
 
@@ -45,6 +46,20 @@ def test_motion_across_blocks_gaps_and_clips(spark):
     assert {k for k, v in got.items() if v is None} == {("a", 0), ("a", 2 * size + 5), ("b", size - 1), ("c", 0), ("c", 1)}
 
 
+def test_a_video_is_not_one_task_where_its_end_is_found(spark):
+    rows = spark.range(200).select(F.lit(0).alias("video_id"), F.lit("v").alias("track"), (F.col("id") * 10).alias("pts_us"))
+    out = control.interleaved(rows, rows.where("pts_us <= 1000").withColumn("track", F.lit("a")), shortest=True)
+    assert out.columns == ["video_id", "track", "pts_us"]
+    assert [tuple(r) for r in out.collect()] == [(0, t, p) for p in range(0, 1010, 10) for t in "av"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(control.interleaved(rows, rows.withColumn("track", F.lit("a")), shortest=True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = re.findall(r"SortMergeJoin \[([^\]]*)\]", text)
+    assert joins and all("_part" in keys for keys in joins)
+
+
 def test_a_model_takes_one_thread_a_task(spark, small):
     name = tiles.add_model(Q._net_weights(spark, small), "threads", shared_folder(spark, "models"))
     tiles.onnx_kernel(name)(np.zeros((1, 3, 6, 8), np.float32))
