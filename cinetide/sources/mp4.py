@@ -19,6 +19,8 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -391,28 +393,38 @@ class Mp4Reader(DataSourceReader):
     def rows(self, source, path: str, tracks: list[Track], chosen: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
         number, pts, dts, size, place, key = chosen
         at, n = 0, len(pts)
+        names, ends = pa.array([t.name for t in tracks], pa.string()), place + size
+        reach = np.maximum.accumulate(ends)
+        gaps = np.r_[np.flatnonzero(place[1:] > ends[:-1] + GAP_BYTES) + 1, n]
         while at < n:
-            to = at + 1
-            while to < n and to - at < ROWS_AT_ONCE and (not self.payload or (place[to] + size[to] - place[at] <= READ_BYTES and place[to] <= place[to - 1] + size[to - 1] + GAP_BYTES)):
-                to += 1
+            to = min(at + ROWS_AT_ONCE, n)
             if self.payload:
-                end = int((place[at:to] + size[at:to]).max())
-                raw = source.read_at(end - int(place[at]), int(place[at]))
-                if len(raw) < end - int(place[at]):
+                to = min(to, int(gaps[np.searchsorted(gaps, at, "right")]), max(at + 1, int(np.searchsorted(reach, place[at] + READ_BYTES, "right"))))
+                begin, end = int(place[at]), int(ends[at:to].max())
+                raw = source.read_at(end - begin, begin)
+                if len(raw) < end - begin:
                     raise ValueError(f"{path} ends before its samples do")
-                data = [raw[p : p + s] for p, s in zip((place[at:to] - place[at]).tolist(), size[at:to].tolist(), strict=True)]
+                data = _cut(raw, place[at:to] - begin, size[at:to])
             else:
-                data = [None] * (to - at)
+                data = pa.nulls(to - at, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([_name(path)] * (to - at)), pa.array([tracks[k].name for k in number[at:to].tolist()], pa.string()), pa.array(pts[at:to]), pa.array(dts[at:to]),
-                    pa.array(key[at:to]), pa.array(place[at:to]), pa.array(size[at:to]), pa.array(data, pa.binary()),
+                    pa.array([_name(path)] * (to - at)), names.take(pa.array(number[at:to])), pa.array(pts[at:to]), pa.array(dts[at:to]),
+                    pa.array(key[at:to]), pa.array(place[at:to]), pa.array(size[at:to]), data,
                 ],
                 [c.split()[0] for c in PACKETS.split(", ")],
             )
             at = to
 
 
+def _cut(raw: bytes, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parts of what was read; parts without gaps between them are views of it."""
+    if len(raw) < 1 << 31 and (start[1:] == start[:-1] + size[:-1]).all():
+        limits = np.r_[start, start[-1:] + size[-1:]].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(limits), pa.py_buffer(raw)])
+    return pa.array([raw[p : p + s] for p, s in zip(start.tolist(), size.tolist(), strict=True)], pa.binary())
+
+
 class Mp4Tracks(DataSource):
     """Options: path, bytesPerPartition."""
 
@@ -494,7 +506,7 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _table(kind: bytes, rows: list[tuple], form: str, version: int = 0) -> bytes:
-    return full_box(kind, version, 0, struct.pack(">I", len(rows)), b"".join(struct.pack(form, *r) for r in rows))
+    return full_box(kind, version, 0, struct.pack(">I", len(rows)), struct.pack(">" + form[1:] * len(rows), *chain.from_iterable(rows)))
 
 
 _MATRIX = {0: (1, 0, 0, 1), 90: (0, 1, -1, 0), 180: (-1, 0, 0, -1), 270: (0, -1, 1, 0)}
@@ -575,11 +587,11 @@ class VideoFile:
     def track(self, row: dict) -> None:
         self.tracks.setdefault(row["track"], TrackFile(row))
 
-    def packet(self, row: dict) -> None:
-        if row["track"] not in self.tracks:
-            raise ValueError(f"{row['video_id']} has packets of {row['track']}, but no such track")
-        data = row["data"] or b""
-        self.held.append((row["track"], row["pts_us"], row["dts_us"] if row["dts_us"] is not None else row["pts_us"], bool(row["is_key"]), data))
+    def packet(self, video: str, track: str, pts: int, dts: int | None, key: bool | None, data: bytes | None) -> None:
+        if track not in self.tracks:
+            raise ValueError(f"{video} has packets of {track}, but no such track")
+        data = data or b""
+        self.held.append((track, pts, pts if dts is None else dts, bool(key), data))
         self.held_bytes += len(data)
         if self.held_bytes >= MDAT_BYTES:
             self.flush()
@@ -588,19 +600,18 @@ class VideoFile:
         """What is held goes out as one box; neighbours of one track are a chunk."""
         if not self.held:
             return
-        last, place = None, self.at + 16
+        place = self.at + 16
         self._put(struct.pack(">I4sQ", 1, b"mdat", 16 + self.held_bytes))
-        for name, pts, dts, key, data in self.held:
+        for name, chunk in groupby(self.held, itemgetter(0)):
             own = self.tracks[name]
-            if name != last:
-                own.chunks.append((place, 0))
-            start, count = own.chunks[-1]
-            own.chunks[-1] = (start, count + 1)
-            own.pts.append(pts)
-            own.dts.append(dts)
-            own.sizes.append(len(data))
-            own.keys.append(key)
-            last, place = name, place + len(data)
+            _, pts, dts, keys, data = zip(*chunk, strict=True)
+            sizes = [len(d) for d in data]
+            own.chunks.append((place, len(sizes)))
+            own.pts += pts
+            own.dts += dts
+            own.sizes += sizes
+            own.keys += keys
+            place += sum(sizes)
         self._put(b"".join(d for *_, d in self.held))
         self.held, self.held_bytes = [], 0
 
@@ -625,14 +636,15 @@ class Mp4Writer(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         pairs, file, video = [], None, None
         for batch in iterator:
-            for row in batch.to_pylist():
-                if file is None or row["video_id"] != video:
+            columns = (batch.column(c).to_pylist() for c in ("video_id", "is_track", "track", "pts_us", "dts_us", "is_key", "data"))
+            for k, (own, is_track, *packet) in enumerate(zip(*columns, strict=True)):
+                if file is None or own != video:
                     if file is not None:
                         file.close()
-                    video, temporary = row["video_id"], f"{root}/_{uuid.uuid4().hex}.part"
+                    video, temporary = own, f"{root}/_{uuid.uuid4().hex}.part"
                     pairs.append((temporary, f"{root}/{video}.mp4"))
                     file = VideoFile(fs, temporary)
-                file.track(row) if row["is_track"] else file.packet(row)
+                file.track(batch.slice(k, 1).to_pylist()[0]) if is_track else file.packet(video, *packet)
         if file is not None:
             file.close()
         return Written(pairs)

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cinetide import queries as Q
@@ -16,6 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("clips", [Q.part_clips, Q.moved_clips])
 def test_rows_are_spread_before_they_become_pixels(spark, small, clips):
     sizes = [r["count"] for r in clips(spark, small).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 4 and sum(sizes) == 200 and max(sizes) < 100
@@ -79,3 +81,12 @@ def test_kernels_in_whole_numbers(spark):
     assert pixels.stabilised(out, last, far, still, 0.5) is out  # nothing is blended
     assert (pixels.stabilised(out, last, still, still, 1.0) == last).all()
     assert (pixels.stabilised(out, last, still, still, 0.5) == (out.astype(int) + last) * 128 // 256).all()
+
+
+def test_neighbouring_samples_are_views_of_what_was_read():
+    from cinetide.sources import mp4
+
+    raw = pa.py_buffer(b"aabbbcd")
+    whole = mp4._cut(raw.to_pybytes(), np.array([0, 2, 5, 6]), np.array([2, 3, 1, 0]))
+    assert whole.to_pylist() == [b"aa", b"bbb", b"c", b""] and whole.buffers()[2].size == 7
+    assert mp4._cut(raw.to_pybytes(), np.array([0, 3, 3]), np.array([2, 2, 4])).to_pylist() == [b"aa", b"bb", b"bbcd"]
