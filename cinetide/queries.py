@@ -1182,7 +1182,7 @@ def upscale_blocks(spark, sf):
 
 # ---- networks and motion ----
 
-#: A corner of each frame, and the weights of a compact network of two features, by a rule in whole numbers, so that results are exact.
+#: net_compact's corner of each frame, and the weights of a compact network of two features, by a rule in whole numbers, so that results are exact.
 CORNER_X, CORNER_Y = 8, 6
 _WEIGHT_OF = "((o * 7 + i * 5 + r * 3 + q * 11) % 3 - 1)"
 
@@ -1200,17 +1200,17 @@ def _net_weights(spark, sf):
     return convs.union(biases).union(slopes)
 
 
-def _in_corner(x: str, y: str, value: str) -> str:
-    return f"(case when {x} between 0 and {CORNER_X - 1} and {y} between 0 and {CORNER_Y - 1} then {value} else 0 end)"
+def _inside(x: str, y: str, value: str, wide: int, high: int) -> str:
+    return f"(case when {x} between 0 and {wide - 1} and {y} between 0 and {high - 1} then {value} else 0 end)"
 
 
-def _hidden_sql(o: int) -> str:
+def _hidden_sql(o: int, wide: int = CORNER_X, high: int = CORNER_Y) -> str:
     terms = []
     for r in range(3):
         for q in range(3):
             for i, channel in enumerate(_pixel_sql(f"x + {q - 1}", f"y + {r - 1}")):
                 if weight := (o * 7 + i * 5 + r * 3 + q * 11) % 3 - 1:
-                    terms.append(f"{weight:+d} * {_in_corner(f'x + {q - 1}', f'y + {r - 1}', channel)}")
+                    terms.append(f"{weight:+d} * {_inside(f'x + {q - 1}', f'y + {r - 1}', channel, wide, high)}")
     return f"({o % 5 - 2} {' '.join(terms)})"
 
 
@@ -1226,11 +1226,23 @@ outs as (select video_id, frame_idx, 4 * x + o % 4 as big_x, 4 * y + (o // 4) %
 select video_id, frame_idx, cast(sum(value * (1 + (big_x * 7 + big_y * 13 + c * 29) % 101)) as bigint) as digest from outs group by 1, 2"""
 
 
-def _corner_through(kernel):
+#: The same network on whole frames; neighbours are the rows before and after.
+_WHOLE_NET_SQL = f"""
+with {_FRAMES_OF}, h as (select video_id, frame_idx, x, y, v, w, {_hidden_sql(0, WIDE, HIGH)} as h0, {_hidden_sql(1, WIDE, HIGH)} as h1 from f, {_GRID}),
+p as (select video_id, frame_idx, x, y, v, w, case when h0 > 0 then h0 else 2 * h0 end as h0, case when h1 > 0 then h1 else 3 * h1 end as h1 from h),
+across as (select *, [coalesce(lag(h0) over o, 0), coalesce(lag(h1) over o, 0), h0, h1, coalesce(lead(h0) over o, 0), coalesce(lead(h1) over o, 0)] as hs from p window o as (partition by video_id, frame_idx, y order by x)),
+near as (select video_id, frame_idx, x, y, v, w, coalesce(lag(hs) over o, [0, 0, 0, 0, 0, 0]) || hs || coalesce(lead(hs) over o, [0, 0, 0, 0, 0, 0]) as hs from across window o as (partition by video_id, frame_idx, x order by y)),
+taps as (select o, i, r, q, {_WEIGHT_OF} as k from range(48) as a(o), range(2) as b(i), range(3) as c(r), range(3) as d(q)),
+lists as (select o, list(k order by r, q, i) as ks from taps group by o),
+outs as (select video_id, frame_idx, 4 * x + o % 4 as big_x, 4 * y + (o // 4) % 4 as big_y, o // 16 as c, cast(list_inner_product(hs, ks) as bigint) + o % 5 - 2 + {_CHANNEL} as value from near, lists)
+select video_id, frame_idx, cast(sum(value * (1 + (big_x * 7 + big_y * 13 + c * 29) % 101)) as bigint) as digest from outs group by 1, 2"""
+
+
+def _through(kernel, wide: int = WIDE, high: int = HIGH):
     import numpy as np
 
     def run(rgb):
-        planes = rgb[:CORNER_Y, :CORNER_X].transpose(2, 0, 1)[None].astype(np.float32)
+        planes = rgb[:high, :wide].transpose(2, 0, 1)[None].astype(np.float32)
         return np.rint(kernel(planes)[0]).astype(np.int64).transpose(1, 2, 0)
 
     return run
@@ -1239,13 +1251,13 @@ def _corner_through(kernel):
 @query(_NET_SQL)
 def net_compact(spark, sf):
     """A compact network whose weights are a table, on a corner of each frame."""
-    return frames.digests(part_clips(spark, sf), _corner_through(tiles.net_kernel(_net_weights(spark, sf))))
+    return frames.digests(part_clips(spark, sf), _through(tiles.net_kernel(_net_weights(spark, sf)), CORNER_X, CORNER_Y))
 
 
-@query(_NET_SQL)
+@query(_WHOLE_NET_SQL)
 def net_as_onnx(spark, sf):
-    """The same network, written as an ONNX file and run by the runtime."""
-    return frames.digests(part_clips(spark, sf), _corner_through(tiles.onnx_kernel(tiles.add_model(_net_weights(spark, sf), f"net{uuid.uuid4().hex}", shared_folder(spark, "models")))))
+    """The same network on whole frames, written as an ONNX file and run by the runtime."""
+    return frames.digests(part_clips(spark, sf), _through(tiles.onnx_kernel(tiles.add_model(_net_weights(spark, sf), f"net{uuid.uuid4().hex}", shared_folder(spark, "models")))))
 
 
 @query("""

@@ -132,6 +132,18 @@ def test_weights_as_a_table_run_in_tasks(spark, clip, tmp_path):
         tiles.tensors_of(rows.union(rows))
 
 
+def test_the_model_sees_whole_frames(spark):
+    """net_as_onnx: digests of whole frames, by the numpy form of the network; a change outside of a corner counts."""
+    from cinetide import queries as Q
+
+    small = "/root/testdata/sf0.001"
+    net = nets.network(tiles.tensors_of(Q._net_weights(spark, small)))
+    whole = lambda rgb: np.rint(net(np.ascontiguousarray(rgb.transpose(2, 0, 1))[None])[0]).astype(np.int64).transpose(1, 2, 0)
+    key = lambda df: {(r["video_id"], r["frame_idx"]): r["digest"] for r in df.collect()}
+    got = key(Q.net_as_onnx(spark, small))
+    assert got == key(frames.digests(Q.part_clips(spark, small), whole)) and len(got) == 200
+
+
 def test_unknown_models_take_the_general_one(spark, clip):
     repeat = lambda p: p.repeat(4, axis=2).repeat(4, axis=3)
     dark = lambda p: 0 * p.repeat(4, axis=2).repeat(4, axis=3)
