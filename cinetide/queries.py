@@ -7,7 +7,7 @@ The tables hold no video: each query runs an operator on rows of the same shape
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from cinetide.functions import pixels
 from cinetide.functions import scalars as S
 from cinetide.operators import control, folds, frames, tiles
 from cinetide.plans import planner
-from cinetide.session import shared_folder
+from cinetide.session import removed, shared_folder, shuffles_dropped
 from cinetide.sources import mp4, video
 from cinetide.streaming import events, sessions
 
@@ -911,13 +911,14 @@ def _pixel_sql(x: str, y: str) -> tuple[str, str, str]:
     return r, f"((({x}) * w + ({y}) * 7 + v) % 256)", f"((255 - {r} + ({x}) * ({y})) % 256)"
 
 
-def part_clips(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames of WIDE x HIGH pixels whose samples are made from the values of parts."""
+def part_clips(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    """Frames of WIDE x HIGH pixels whose samples are made from the values of parts; of the clips that are named, or of all."""
     from cinetide.schemas import FRAMES
 
     by = Window.partitionBy("video_id").orderBy("p_partkey")
     price = F.floor("p_retailprice") % 64
-    rows = read(spark, sf, "part").select(F.col("p_brand").alias("video_id"), "p_partkey", F.col("p_size").cast("long").alias("v"), price.cast("long").alias("w"))
+    parts = read(spark, sf, "part")
+    rows = (parts if names is None else parts.where(F.col("p_brand").isin(names))).select(F.col("p_brand").alias("video_id"), "p_partkey", F.col("p_size").cast("long").alias("v"), price.cast("long").alias("w"))
     rows = rows.withColumn("frame_idx", (F.row_number().over(by) - 1).cast("long"))
     pair = lambda c: F.when(F.col("frame_idx") % 2 == 1, F.lag(c).over(by)).otherwise(F.col(c)).alias(c)
     rows = frames.dealt(rows.select("video_id", "frame_idx", pair("v"), pair("w")), "video_id", "frame_idx")
@@ -1170,14 +1171,45 @@ def upscale_smoke(spark, sf):
     return out.select("video_id", "frame_idx", "width", "height", F.sha2("px", 256).alias("sha256"))
 
 
+#: Bytes of results that upscale_blocks has in blocks on disk at a time, or those of one clip.
+BLOCK_BYTES = 1 << 30
+
+
+def clip_batches(spark: SparkSession, sf: str, most_bytes: int) -> Iterator[list[str]]:
+    """Names of clips in batches whose results, if no frame is a duplicate, have so many bytes, or of one clip each."""
+    held, size = [], 0
+    for name, n in read(spark, sf, "part").where("p_brand is not null").groupBy("p_brand").count().orderBy("p_brand").toLocalIterator():
+        own = n * WIDE * HIGH * 3 * tiles.SCALE**2
+        if held and size + own > most_bytes:
+            yield held
+            held, size = [], 0
+        held.append(name)
+        size += own
+    if held:
+        yield held
+
+
 @query("select p_brand as video_id, count(*) as frames, count(*) as same from part group by 1")
 def upscale_blocks(spark, sf):
-    """The upscaling path with inference in blocks gives the bits of the single stream."""
-    clips = part_clips(spark, sf)
-    flags = frames.analysed(clips)
-    ways = [tiles.processed(clips, flags, tile=48, folder=folder).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for folder in (None, shared_folder(spark, "blocks"))]
-    both = ways[0].join(ways[1].withColumnRenamed("sha256", "other").hint("merge"), ["video_id", "frame_idx"])
-    return both.groupBy("video_id").agg(F.count("*").alias("frames"), F.count_if(F.col("sha256") == F.col("other")).alias("same"))
+    """The upscaling path with inference in blocks gives the bits of the single stream.
+
+    Clips come in batches, and a batch's blocks, flags and shuffles are removed before the next one, so disk is that of a batch and not of the table.
+    """
+    found = shared_folder(spark, "compared")
+    schema = "video_id string, frames bigint, same bigint"
+    spark.createDataFrame([], schema).write.parquet(found)
+    for names in clip_batches(spark, sf, BLOCK_BYTES):
+        clips, folder = part_clips(spark, sf, names), shared_folder(spark, "blocks")
+        try:
+            with shuffles_dropped(spark):
+                frames.analysed(clips).select("video_id", "frame_idx", "is_dup", "segment").write.parquet(f"{folder}/flags")
+                flags = spark.read.parquet(f"{folder}/flags")
+                ways = [tiles.processed(clips, flags, tile=48, folder=own).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for own in (None, f"{folder}/blocks")]
+                both = ways[0].join(ways[1].withColumnRenamed("sha256", "other").hint("merge"), ["video_id", "frame_idx"])
+                both.groupBy("video_id").agg(F.count("*").alias("frames"), F.count_if(F.col("sha256") == F.col("other")).alias("same")).write.mode("append").parquet(found)
+        finally:
+            removed(folder)
+    return spark.read.schema(schema).parquet(found)
 
 
 # ---- networks and motion ----

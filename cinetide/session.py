@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 
@@ -35,3 +38,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='cinetide-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/') if '://' in root else 'file://' + root.rstrip('/')}/cinetide/{name}-{uuid.uuid4().hex}"
+
+
+def removed(folder: str) -> None:
+    """Removes a shared folder, if it is there, with all that it holds."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What queries within it have shuffled is removed as each ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -37,6 +37,24 @@ def test_frames_are_never_sent_to_all(spark, small):
         assert "Broadcast" not in plan(df)
 
 
+def test_blocks_of_a_batch_are_removed_before_the_next(spark, small, monkeypatch):
+    """upscale_blocks holds the blocks of one batch of clips at a time, and none when it is done."""
+    from pathlib import Path
+
+    want = sorted(map(tuple, Q.upscale_blocks(spark, small).collect()))
+    names = sorted({r[0] for r in want})
+    a_clip = max(r[1] for r in want) * Q.WIDE * Q.HIGH * 3 * tiles.SCALE**2
+    root = Path(shared_folder(spark, "blocks").removeprefix("file://")).parent
+    there = lambda: {f.parent for f in root.glob("blocks-*/**/*.arrow")}
+    before, seen, processed = there(), [], tiles.processed
+    monkeypatch.setattr(tiles, "processed", lambda *a, **b: (seen.append(len(there() - before)), processed(*a, **b))[1])
+    monkeypatch.setattr(Q, "BLOCK_BYTES", 5 * a_clip)
+    batches = list(Q.clip_batches(spark, small, Q.BLOCK_BYTES))
+    assert len(batches) > 2 and sorted(n for b in batches for n in b) == names
+    assert sorted(map(tuple, Q.upscale_blocks(spark, small).collect())) == want
+    assert len(seen) == 2 * len(batches) and not any(seen) and there() == before
+
+
 def test_motion_across_blocks_gaps_and_clips(spark):
     from cinetide.schemas import FRAMES
 
