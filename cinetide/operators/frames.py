@@ -19,6 +19,8 @@ from cinetide.functions import scalars as S
 DUPLICATE, CUT, FIRST = 0.05, 40.0, 255.0
 #: Frames whose pixels a kernel makes or holds at once.
 FRAMES_AT_ONCE = 64
+#: Pixels of the planes that motion() compares at once; a pair of larger ones goes by itself.
+PIXELS_AT_ONCE = 3 << 12
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -184,7 +186,7 @@ def motion(frames: DataFrame) -> DataFrame:
     """How each frame moved against the one before it: medians of its dense motion, in pixels; a clip's first frame, and one of another size, has none.
 
     Frames are dealt by blocks of a clip, so those of one clip spread over all tasks; the last frame of a block goes to the next one as well.
-    A task streams its blocks in order and holds one frame of state; no side of pixels can be taken for a small one and sent to all.
+    A task streams its blocks in order and compares some frames at a time, each with the one before it; no side of pixels can be taken for a small one and sent to all.
     """
     block = F.floor(F.col("frame_idx") / FRAMES_AT_ONCE)
     is_last = F.pmod(F.col("frame_idx"), F.lit(FRAMES_AT_ONCE)) == FRAMES_AT_ONCE - 1
@@ -192,20 +194,35 @@ def motion(frames: DataFrame) -> DataFrame:
     schema = "video_id string, frame_idx bigint, dx double, dy double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = grey = None
+        last, held = None, []  # the frame before; planes of one size, to be compared at once
         for batch in slices(batches):
-            ids, found = [], []
+            ids, found, pairs = [], [], []
+
+            def compared() -> None:
+                """Settles the pairs of planes that are held, of which the last one stays."""
+                if pairs:
+                    moved = flow.flows(np.stack(held), [k - 1 for k, _ in pairs], [k for k, _ in pairs])
+                    for (_, at), m in zip(pairs, np.median(moved.reshape(*moved.shape[:2], -1), axis=-1).tolist(), strict=True):  # noqa: B023
+                        found[at] = tuple(m)  # noqa: B023
+                pairs.clear()  # noqa: B023
+                del held[:-1]
+
             names = ("video_id", "block", "frame_idx", "width", "height", "px")
             for video, block, index, w, h, px in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                before, last_grey = last, grey
-                last, grey = (video, index, w, h), pixels.grey(pixels.frame(px, w, h))
+                before, last = last, (video, index, w, h)
+                if before is None or before[2:] != (w, h):
+                    compared()
+                    held.clear()
+                elif len(held) * w * h >= PIXELS_AT_ONCE:
+                    compared()
+                held.append(pixels.grey(pixels.frame(px, w, h)))
                 if index // FRAMES_AT_ONCE != block:
                     continue
+                if before == (video, index - 1, w, h):
+                    pairs.append((len(held) - 1, len(ids)))
                 ids.append((video, index))
-                if before != (video, index - 1, w, h):
-                    found.append((None, None))
-                else:
-                    found.append(tuple(float(m) for m in np.median(flow.dense_flow(last_grey, grey), axis=(0, 1))))
+                found.append((None, None))
+            compared()
             (videos, indices), (dx, dy) = zip(*ids, strict=True) if ids else ((), ()), zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(videos, pa.string()), pa.array(indices, pa.int64()), pa.array(dx, pa.float64()), pa.array(dy, pa.float64())], ["video_id", "frame_idx", "dx", "dy"])
 

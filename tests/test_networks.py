@@ -213,6 +213,21 @@ def test_compensation_follows_motion_and_stops_at_cuts():
     assert np.abs(P.compensated(x4(b), x4(a).astype(float), b, a) - x4(b))[32:-32, 32:-32].mean() < 1
 
 
+@pytest.mark.parametrize("size", [(24, 32), (70, 90), (1, 5)])
+def test_many_pairs_at_once_are_as_one_by_one(size, monkeypatch):
+    """Each plane is expanded once a level, in one call for all; sides on both sides of MATRIX_SIDE."""
+    planes = np.random.default_rng(3).integers(0, 256, (5, *size)).astype(float)
+    last, now = [0, 1, 3, 0], [1, 2, 4, 0]
+    calls, plain = [], flow._expansions
+    monkeypatch.setattr(flow, "_expansions", lambda p: (calls.append(len(p)), plain(p))[1])
+    got = flow.flows(planes, last, now)
+    assert got.shape == (4, 2, *size) and set(calls) == {5} and len(calls) == (2 if size[0] > 64 else 1) + (size[0] > 64)
+    for k, (a, b) in enumerate(zip(last, now, strict=True)):
+        assert np.allclose(np.moveaxis(got[k], 0, -1), flow.dense_flow(planes[a], planes[b]), atol=1e-8)
+    monkeypatch.setattr(flow, "MATRIX_SIDE", 0)
+    assert np.allclose(flow.flows(planes, last, now), got, atol=1e-8)
+
+
 def test_motion_of_clips(spark):
     big = np.repeat(texture(160, 200)[..., None], 3, axis=2).astype(np.uint8)
     rows = [("c", i, i * 40_000, 96, 64, np.ascontiguousarray(big[30:94, 30 - 2 * i : 126 - 2 * i]).tobytes()) for i in range(4)] + [("d", 0, 0, 5, 4, bytes(60)), ("d", 1, 1, 4, 4, bytes(48))]
