@@ -1193,22 +1193,24 @@ def clip_batches(spark: SparkSession, sf: str, most_bytes: int) -> Iterator[list
 def upscale_blocks(spark, sf):
     """The upscaling path with inference in blocks gives the bits of the single stream.
 
-    Clips come in batches, and a batch's blocks, flags and shuffles are removed before the next one, so disk is that of a batch and not of the table.
+    Flags are found for all clips at once, as a clip's are one task's.  Then clips come in batches, and a batch's blocks and
+    shuffles are removed before the next one, so the disk that results take is a batch's and not the table's.
     """
-    found = shared_folder(spark, "compared")
+    folder, found = shared_folder(spark, "blocks"), shared_folder(spark, "compared")
     schema = "video_id string, frames bigint, same bigint"
     spark.createDataFrame([], schema).write.parquet(found)
-    for names in clip_batches(spark, sf, BLOCK_BYTES):
-        clips, folder = part_clips(spark, sf, names), shared_folder(spark, "blocks")
-        try:
-            with shuffles_dropped(spark):
-                frames.analysed(clips).select("video_id", "frame_idx", "is_dup", "segment").write.parquet(f"{folder}/flags")
-                flags = spark.read.parquet(f"{folder}/flags")
-                ways = [tiles.processed(clips, flags, tile=48, folder=own).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for own in (None, f"{folder}/blocks")]
+    try:
+        with shuffles_dropped(spark):
+            frames.analysed(part_clips(spark, sf)).select("video_id", "frame_idx", "is_dup", "segment").write.parquet(f"{folder}/flags")
+            flags = spark.read.parquet(f"{folder}/flags")
+            for names in clip_batches(spark, sf, BLOCK_BYTES):
+                clips, own = part_clips(spark, sf, names), flags.where(F.col("video_id").isin(names))
+                ways = [tiles.processed(clips, own, tile=48, folder=to).select("video_id", "frame_idx", F.sha2("px", 256).alias("sha256")) for to in (None, f"{folder}/results")]
                 both = ways[0].join(ways[1].withColumnRenamed("sha256", "other").hint("merge"), ["video_id", "frame_idx"])
                 both.groupBy("video_id").agg(F.count("*").alias("frames"), F.count_if(F.col("sha256") == F.col("other")).alias("same")).write.mode("append").parquet(found)
-        finally:
-            removed(folder)
+                removed(f"{folder}/results")
+    finally:
+        removed(folder)
     return spark.read.schema(schema).parquet(found)
 
 
