@@ -349,7 +349,7 @@ def processed(
 
     Without a folder all is one stream, and a scene, however long, is one task.  With a folder that all tasks
     share, inference comes first, in blocks of BLOCK_FRAMES frames that are dealt one by one, so a clip without
-    cuts keeps all cores busy; a block's results are a file of its own there.  The second pass, a task
+    cuts keeps all cores busy; a block's results are a file there, whatever scenes it holds.  The second pass, a task
     a scene, is the recursion alone: it opens the blocks of its scene in order.  Both ways give the same bits.
     """
     flags = analysis.select("video_id", "frame_idx", "is_dup", "segment")
@@ -369,7 +369,7 @@ def processed(
             for video, segment, index, dup, w, h, px in zip(*(part.column(n).to_pylist() for n in names), strict=True):
                 if not (dup and skip) or result is None:
                     source = pixels.frame(px, w, h)
-                    result = result_of(source, own, tile, natural=natural, pre2=False) if blocks is None else blocks.result(video, segment, index)
+                    result = result_of(source, own, tile, natural=natural, pre2=False) if blocks is None else blocks.result(video, index)
                 yield filter_.shown((video, segment), result, source)
 
         for batch in batches:
@@ -378,24 +378,30 @@ def processed(
     return by_scene.mapInArrow(run, FRAMES)
 
 
-def _block_path(folder: str, video: str, segment: int, block: int) -> str:
-    return f"{folder}/{hashlib.sha256(video.encode()).hexdigest()[:32]}-{segment}-{block}.arrow"
+def _block_path(folder: str, video: str, block: int) -> str:
+    return f"{folder}/{hashlib.sha256(video.encode()).hexdigest()[:32]}-{block}.arrow"
 
 
 def _inferred_blocks(roots: DataFrame, folder: str, kernel: Kernel, tile: int, natural: float) -> None:
-    """Writes the results of each block of each scene as a file; a file gets its name when it is whole, and a repeated task writes the same."""
+    """Writes the results of each block of each video as a file: a batch a frame, then one that lists the frames.
+
+    Short scenes share a file.  A file gets its name when it is whole, and a repeated task writes the same.
+    """
     block = F.floor(F.col("frame_idx") / BLOCK_FRAMES).alias("block")
-    rows = roots.select("video_id", "segment", "frame_idx", "width", "height", "px", block)
-    keys = ("video_id", "segment", "block")
+    rows = roots.select("video_id", "frame_idx", "width", "height", "px", block)
+    keys = ("video_id", "block")
     schema = pa.schema([("frame_idx", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("px", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        own, open_key, sink, file, done = checked(kernel, tile), None, None, None, []
+        own, open_key, sink, file, done, indices = checked(kernel, tile), None, None, None, [], []
 
         def close() -> None:
             if file is not None:
+                n = len(indices)
+                file.write(pa.record_batch([pa.array(indices, pa.int64()), pa.array([0] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array([b""] * n, pa.binary())], schema=schema))
+                indices.clear()
                 file.close()
                 sink.close()
                 if fs.get_file_info(_block_path(root, *open_key)).type == pafs.FileType.NotFound:
@@ -406,42 +412,41 @@ def _inferred_blocks(roots: DataFrame, folder: str, kernel: Kernel, tile: int, n
 
         for batch in batches:
             names = (*keys, "frame_idx", "width", "height", "px")
-            for video, segment, number, index, w, h, px in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                if (video, segment, number) != open_key:
+            for video, number, index, w, h, px in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (video, number) != open_key:
                     close()
-                    open_key, token = (video, segment, number), uuid.uuid4().hex
+                    open_key, token = (video, number), uuid.uuid4().hex
                     sink = fs.open_output_stream(f"{root}/_{token}")
                     file = pa.ipc.new_file(sink, schema)
                 out = result_of(pixels.frame(px, w, h), own, tile, natural=natural, pre2=False)
+                indices.append(index)
                 file.write(pa.record_batch([pa.array([index]), pa.array([out.shape[1]], pa.int32()), pa.array([out.shape[0]], pa.int32()), _binary([out])], schema=schema))
         close()
-        columns = list(zip(*done, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], list(keys))
+        columns = list(zip(*done, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64())], list(keys))
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "frame_idx")
-    dealt.mapInArrow(run, "video_id string, segment bigint, block bigint").write.format("noop").mode("overwrite").save()
+    dealt.mapInArrow(run, "video_id string, block bigint").write.format("noop").mode("overwrite").save()
 
 
 class Blocks:
-    """Results of blocks in order of their frames: one frame is held at a time."""
+    """Results of blocks by their frames: one file is open, and one frame is held at a time."""
 
     def __init__(self, folder: str):
         self.fs, self.root = pafs.FileSystem.from_uri(folder)
-        self.key, self.rows = None, iter(())
+        self.key = self.source = None
 
-    def result(self, video: str, segment: int, index: int) -> np.ndarray:
-        key = (video, segment, index // BLOCK_FRAMES)
+    def result(self, video: str, index: int) -> np.ndarray:
+        key = (video, index // BLOCK_FRAMES)
         if key != self.key:
-            self.key, self.rows = key, self._frames(_block_path(self.root, *key))
-        for found, out in self.rows:
-            if found == index:
-                return out
-        raise KeyError(f"no result of frame {index} of {video}")
-
-    def _frames(self, path: str) -> Iterator[tuple[int, np.ndarray]]:
-        with self.fs.open_input_file(path) as source:
-            reader = pa.ipc.open_file(source)
-            for k in range(reader.num_record_batches):
-                batch = reader.get_batch(k)
-                index, w, h = (batch.column(c)[0].as_py() for c in ("frame_idx", "width", "height"))
-                yield index, np.frombuffer(batch.column("px").buffers()[2], np.uint8)[: w * h * 3].reshape(h, w, 3)
+            if self.source is not None:
+                self.source.close()
+            self.source = self.fs.open_input_file(_block_path(self.root, *key))
+            self.reader, self.key = pa.ipc.open_file(self.source), key
+            listed = self.reader.get_batch(self.reader.num_record_batches - 1).column("frame_idx").to_pylist()
+            self.places = {i: k for k, i in enumerate(listed)}
+        if index not in self.places:
+            raise KeyError(f"no result of frame {index} of {video}")
+        batch = self.reader.get_batch(self.places[index])
+        w, h = (batch.column(c)[0].as_py() for c in ("width", "height"))
+        return np.frombuffer(batch.column("px").buffers()[2], np.uint8)[: w * h * 3].reshape(h, w, 3)

@@ -75,6 +75,16 @@ def test_blocks_give_the_bits_of_one_stream(spark, tmp_path):
         assert key(tiles.processed(source, flags, tile=48, skip=skip, folder=folder)) == one  # what is there already is kept
 
 
+def test_short_scenes_share_the_file_of_their_block(spark, tmp_path):
+    """A scene a frame: files are as many as blocks, not as scenes."""
+    source = clip(spark, [0, 255] * 40)
+    flags = frames.analysed(source)
+    assert flags.select("segment").distinct().count() == 80
+    out = rows(tiles.processed(source, flags, tile=48, folder=f"file://{tmp_path}/blocks").select("frame_idx", F.md5("px")))
+    assert len(list((tmp_path / "blocks").iterdir())) == 2
+    assert out == rows(tiles.processed(source, flags, tile=48).select("frame_idx", F.md5("px"))) and len(out) == 80
+
+
 def test_batches_are_cut_by_what_they_become(monkeypatch):
     import pyarrow as pa
 
